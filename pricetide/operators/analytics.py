@@ -183,7 +183,11 @@ def rankings(per_variant: DataFrame, limit: int = 10) -> DataFrame:
 
 def drawdown_and_volatility(values: DataFrame) -> DataFrame:
     """Running peak drawdown and 30-calendar-day annualised sample volatility."""
-    path = Window.partitionBy("index_code").orderBy("value_date")
+    path = (
+        Window.partitionBy("index_code")
+        .orderBy("value_date")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     month = trailing_days(30, "index_code")
     peak = F.max("index_value").over(path)
     return values.select(

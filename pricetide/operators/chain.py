@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.prices import capped_return, is_spike, usable, used_price
-from pricetide.operators.merge import keep_last
 from pricetide.params import Methodology
 
 VARIANT = ["cm_product_id", "variant_key"]
@@ -54,7 +53,8 @@ def member_panel(
     """One row per index, observation day and member, with the day's price if any.
 
     Prices are cut to variants that were ever members before anything is
-    shuffled by day; duplicate rows of a day keep the last one by `last_by`.
+    shuffled by day. Prices hold one row per variant and day; where they may not,
+    `last_by` names a scalar column whose greatest value marks the row to keep.
     """
     games = F.broadcast(definitions.select("index_code", "game_key"))
     panel = (
@@ -69,14 +69,10 @@ def member_panel(
     # At most target size x rebalances distinct members, whatever the price volume.
     ever_members = members.join(games, "index_code").select(*key).distinct()
     price = used_price(F.col(method.price_field_primary), F.col(method.price_field_fallback))
-    cut = prices.join(ever_members, key, "left_semi").select(
-        *key,
-        "value_date",
-        price.alias("used_price"),
-        (F.col(last_by) if last_by else F.lit(0)).alias("_order"),
-    )
-    # Equal order values are settled by price, so that a rerun picks the same row.
-    daily = keep_last(cut, [*key, "value_date"], ["_order", "used_price"]).drop("_order")
+    cut = prices.join(ever_members, key, "left_semi").withColumn("used_price", price)
+    # Fixed-width buffers, so this stays a hash aggregation with a map-side part.
+    last = F.max_by("used_price", last_by) if last_by else F.max("used_price")
+    daily = cut.groupBy(*key, "value_date").agg(last.alias("used_price"))
     return panel.join(daily, [*key, "value_date"], "left")
 
 
@@ -87,8 +83,9 @@ def flag_members(panel: DataFrame, method: Methodology) -> DataFrame:
     one row per calendar day): the last observed price, and the number of missing
     days since then.
     """
-    history = Window.partitionBy("index_code", *VARIANT).orderBy("value_date")
-    before = history.rowsBetween(Window.unboundedPreceding, -1)
+    path = Window.partitionBy("index_code", *VARIANT).orderBy("value_date")
+    history = path.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = path.rowsBetween(Window.unboundedPreceding, -1)
     price = F.when(~F.col("unchanged"), usable(F.col("used_price")))
     missed = F.when(F.col("observed").isNull() & ~F.col("unchanged"), 1).otherwise(0)
     state = (
@@ -180,7 +177,11 @@ def daily_returns(flagged: DataFrame) -> DataFrame:
 def link(returns: DataFrame, definitions: DataFrame, method: Methodology) -> DataFrame:
     """Index level: base value times the running product of (1 + return)."""
     # One row per index and day: the window holds a calendar, not the prices.
-    path = Window.partitionBy("index_code").orderBy("value_date")
+    path = (
+        Window.partitionBy("index_code")
+        .orderBy("value_date")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     base = F.broadcast(definitions.select("index_code", "base_value"))
     return (
         returns.join(base, "index_code")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Chart ranges in calendar days.
 RANGE_DAYS = {"1M": 30, "3M": 90, "6M": 180, "1Y": 365}
-_BY_DATE = Window.partitionBy("index_code").orderBy("value_date")
-_ALL = Window.partitionBy("index_code")
+
+
+def _by_date() -> Window:
+    return Window.partitionBy("index_code").orderBy("value_date")
 
 
 def post_inception(history: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def chart_range(history: DataFrame, label: str) -> DataFrame:
     if label == "Max":
         return history
     days = RANGE_DAYS[label]
-    latest = F.max("value_date").over(_ALL)
+    latest = F.max("value_date").over(Window.partitionBy("index_code"))
     return (
         history.withColumn("_latest", latest)
         .filter(F.col("value_date") >= F.date_sub("_latest", days))
@@ -62,7 +64,7 @@ def last_observations(history: DataFrame, n: int) -> DataFrame:
 
 def chart_points(history: DataFrame) -> DataFrame:
     """Chart values: index value and drawdown percent against the running peak, 2 places."""
-    peak = F.max("index_value").over(_BY_DATE)
+    peak = F.max("index_value").over(_by_date())
     return history.select(
         "index_code",
         "value_date",
@@ -73,10 +75,10 @@ def chart_points(history: DataFrame) -> DataFrame:
 
 def changes(history: DataFrame, steps: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
     """Change over the last n rows of each index, clamped to the first row; 0 below two rows."""
-    first = F.first("index_value").over(_BY_DATE)
+    first = F.first("index_value").over(_by_date())
     out = history.withColumn("_rn", F.row_number().over(Window.partitionBy("index_code").orderBy(F.desc("value_date"))))
     for n in steps:
-        before = F.coalesce(F.lag("index_value", n).over(_BY_DATE), first)
+        before = F.coalesce(F.lag("index_value", n).over(_by_date()), first)
         out = out.withColumn(f"d{n}", F.col("index_value") / before - 1)
     return out.filter(F.col("_rn") == 1).select("index_code", *[f"d{n}" for n in steps])
 

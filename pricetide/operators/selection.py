@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 import pandas as pd
@@ -113,36 +114,34 @@ _PICKED = (
 )
 
 
-def pick_with_buffer(
-    pool: pd.DataFrame, incumbents: set[tuple[int, str]]
-) -> pd.DataFrame:
-    """Members of one rebalance from its best ranks.
+def incumbent_fold() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The per-index fold over months, as one self-contained function.
 
-    Ordering by (preferred, rank) and keeping the target size equals taking the
-    preferred ranks first and filling up with the best others.
+    It is built here rather than at module level so that Spark ships its code to
+    the executors, which then need not have this package installed.
     """
-    target = int(pool["target_size"].iat[0])
-    held = [key in incumbents for key in zip(pool["cm_product_id"], pool["variant_key"])]
-    pool = pool.assign(incumbent=held)
-    limit = pool["entry_cutoff"].where(~pool["incumbent"], pool["retention_cutoff"])
-    pool = pool.assign(late=pool["rank"] > limit)
-    return pool.sort_values(["late", "rank"], kind="stable").head(target)
-
-
-def _fold_index(pool: pd.DataFrame) -> pd.DataFrame:
-    """Walk the months of one index, carrying its incumbents from one to the next."""
     columns = ["index_code", "effective_date", "cm_product_id", "variant_key", "rank"]
-    incumbents: set[tuple[int, str]] = set()
-    picked = []
-    for _, month in pool.sort_values(["effective_date", "rank"]).groupby("effective_date", sort=True):
-        if len(month) < int(month["target_size"].iat[0]):
-            continue  # too few candidates: no rebalance, incumbents stay
-        chosen = pick_with_buffer(month, incumbents)
-        picked.append(chosen[columns + ["incumbent"]].assign(first_selection=not incumbents))
-        incumbents = set(zip(chosen["cm_product_id"], chosen["variant_key"]))
-    if not picked:
-        return pd.DataFrame(columns=columns + ["incumbent", "first_selection"])
-    return pd.concat(picked, ignore_index=True)
+    flags = ["incumbent", "first_selection"]
+
+    def fold(pool: pd.DataFrame) -> pd.DataFrame:
+        incumbents: set[tuple[int, str]] = set()
+        picked = []
+        for _, month in pool.groupby("effective_date", sort=True):
+            target = int(month["target_size"].iat[0])
+            if len(month) < target:
+                continue  # too few candidates: no rebalance, incumbents stay
+            held = [k in incumbents for k in zip(month["cm_product_id"], month["variant_key"])]
+            month = month.assign(incumbent=held, first_selection=not incumbents)
+            limit = month["entry_cutoff"].where(~month["incumbent"], month["retention_cutoff"])
+            # Ordering by (preferred, rank) and keeping the target size equals taking
+            # the preferred ranks first and filling up with the best others.
+            month = month.assign(late=month["rank"] > limit)
+            chosen = month.sort_values(["late", "rank"]).head(target)
+            picked.append(chosen[columns + flags])
+            incumbents = set(zip(chosen["cm_product_id"], chosen["variant_key"]))
+        return pd.concat(picked, ignore_index=True) if picked else pd.DataFrame(columns=columns + flags)
+
+    return fold
 
 
 def reachable(ranked: DataFrame, definitions: DataFrame, method: Methodology) -> DataFrame:
@@ -204,7 +203,7 @@ def select_members(ranked: DataFrame, definitions: DataFrame, method: Methodolog
             "entry_cutoff",
         )
         .groupBy("index_code")
-        .applyInPandas(_fold_index, _PICKED)
+        .applyInPandas(incumbent_fold(), _PICKED)
     )
     keys = ["index_code", "effective_date", "cm_product_id", "variant_key", "rank"]
     labelled = label_members(

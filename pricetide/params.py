@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricetide.schemas import DEFINITION
 
@@ -147,6 +148,27 @@ class Methodology:
         return replace(self, indexes=tuple(d for d in self.indexes if d.game_key in games))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A parameter table as a literal relation: no job to build it, and a known tiny size."""
+
+    def literal(value: Any) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        if isinstance(value, date):
+            return f"DATE'{value.isoformat()}'"
+        if isinstance(value, (list, tuple)):
+            return "array(" + ", ".join(literal(v) for v in value) + ")"
+        return repr(value)
+
+    if not rows:
+        return spark.createDataFrame([], schema)
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    frame = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(schema.names)})")
+    return frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def definitions_frame(spark: SparkSession, method: Methodology) -> DataFrame:
     """Index definitions as a small dimension table (one row per index)."""
     rows = [
@@ -166,7 +188,7 @@ def definitions_frame(spark: SparkSession, method: Methodology) -> DataFrame:
         )
         for d in method.indexes
     ]
-    return spark.createDataFrame(rows, DEFINITION)
+    return literal_table(spark, rows, DEFINITION)
 
 
 def with_cutoffs(definitions: DataFrame, method: Methodology) -> DataFrame:

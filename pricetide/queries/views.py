@@ -10,11 +10,12 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricetide.functions.hashing import content_sha
 from pricetide.functions.ids import product_id, set_id, snapshot_key, variant_id
 from pricetide.operators import chain, membership, performance, selection
-from pricetide.params import IndexDefinition, Methodology, definitions_frame
+from pricetide.params import IndexDefinition, Methodology, definitions_frame, literal_table
 from pricetide.sources.categories import category_frame
 
 METHOD = Methodology(
@@ -280,7 +281,7 @@ def history_definitions(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata of the order histories, one row per priority, plus one without any rows."""
     code = F.col("index_code")
     found = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("index_code")).distinct()
-    extra = spark.createDataFrame([("9-EMPTY",)], "index_code string")
+    extra = literal_table(spark, [("9-EMPTY",)], StructType.fromDDL("index_code string"))
     return found.unionByName(extra).select(
         code,
         F.concat(F.lit("Index "), code).alias("name"),
@@ -723,6 +724,8 @@ def sql(views: str | list[str], body: str) -> str:
     if not ordered:
         return body
     # Materialised once each: several views are read more than once.
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({SQL[n][1]})" for n in ordered)
-    recursive = "RECURSIVE " if any(n.startswith("fold") for n in ordered) else ""
+    ctes = ",\n".join(
+        f"{n} AS {'' if n == 'fold' else 'MATERIALIZED '}({SQL[n][1]})" for n in ordered
+    )
+    recursive = "RECURSIVE " if "fold" in ordered else ""
     return f"WITH {recursive}{ctes}\n{body}"
