@@ -279,7 +279,7 @@ def select_constituents(
     `monthly_rebalances`, an index with too few candidates still gets what there is.
     """
     spark = prices.sparkSession
-    open_definitions = definitions.withColumn("base_date", F.lit(date.min))
+    open_definitions = definitions.withColumn("base_date", F.lit(effective_date))
     ranked = ranked_candidates(prices, products, open_definitions, method, [effective_date])
     keys = ["index_code", "cm_product_id", "variant_key"]
     if incumbents is None:

@@ -65,10 +65,11 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def record_list(body: Column) -> Column:
     """The document's record list as an array of JSON texts; NULL for an unknown envelope."""
-    trimmed = F.ltrim(body)
-    members = [F.get_json_object(body, f"$.{name}") for name in ENVELOPE_MEMBERS]
-    lists = [F.when(F.ltrim(m).startswith("["), m) for m in members]
-    chosen = F.when(trimmed.startswith("["), trimmed).otherwise(F.coalesce(*lists))
+    # One pass over the document finds all members; their values stay JSON text.
+    envelope = F.from_json(body, ", ".join(f"{name} string" for name in ENVELOPE_MEMBERS))
+    members = [envelope.getField(name) for name in ENVELOPE_MEMBERS]
+    lists = [F.when(m.startswith("["), m) for m in members]
+    chosen = F.when(F.ltrim(body).startswith("["), body).otherwise(F.coalesce(*lists))
     return F.from_json(chosen, "array<string>")
 
 
