@@ -190,15 +190,9 @@ _RUN = date(1999, 6, 30)
     ["price_panel"],
 )
 def prices_up_to_run_date(spark: SparkSession, sf: str) -> DataFrame:
-    import tempfile
-
-    from pricetide.session import ensure_checkpoint_dir
     from pricetide.sources.tables import read_prices
 
-    # A stored table partitioned by game and month, in the shared checkpoint folder.
-    shared = ensure_checkpoint_dir(spark)
-    name = tempfile.template + str(spark.range(1).select(F.expr("uuid()")).first()[0])
-    root = f"{shared.rstrip('/')}/{name}"
+    root = views.scratch(spark)
     (
         views.price_panel(spark, sf)
         .withColumn("month", F.date_format("value_date", "yyyy-MM"))

@@ -7,6 +7,7 @@ composes the WITH clause a query needs.
 from __future__ import annotations
 
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pricetide.functions.hashing import content_sha
 from pricetide.functions.ids import product_id, set_id, snapshot_key, variant_id
 from pricetide.operators import chain, membership, performance, selection
 from pricetide.params import IndexDefinition, Methodology, definitions_frame, literal_table
+from pricetide.session import ensure_checkpoint_dir
 from pricetide.sources.categories import category_frame
 
 METHOD = Methodology(
@@ -44,6 +46,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder for tables a query writes and reads back, in the shared checkpoint folder."""
+    shared = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{shared}/tables-{uuid4().hex}"
+
+
 def definitions(spark: SparkSession) -> DataFrame:
     return definitions_frame(spark, METHOD)
 

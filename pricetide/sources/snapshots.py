@@ -65,11 +65,16 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def record_list(body: Column) -> Column:
     """The document's record list as an array of JSON texts; NULL for an unknown envelope."""
-    # One pass over the document finds all members; their values stay JSON text.
     envelope = F.from_json(body, ", ".join(f"{name} string" for name in ENVELOPE_MEMBERS))
-    members = [envelope.getField(name) for name in ENVELOPE_MEMBERS]
-    lists = [F.when(m.startswith("["), m) for m in members]
-    chosen = F.when(F.ltrim(body).startswith("["), body).otherwise(F.coalesce(*lists))
+
+    def first_list(e: Column) -> Column:
+        members = [e.getField(name) for name in ENVELOPE_MEMBERS]
+        return F.coalesce(*[F.when(m.startswith("["), m) for m in members])
+
+    # Members keep their JSON text. Going through a lambda binds the parsed document
+    # once; as plain field accesses each member would parse the document again.
+    listed = F.get(F.transform(F.array(envelope), first_list), F.lit(0))
+    chosen = F.when(F.ltrim(body).startswith("["), body).otherwise(listed)
     return F.from_json(chosen, "array<string>")
 
 
