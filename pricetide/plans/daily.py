@@ -7,13 +7,13 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricetide.operators import merge, normalize
-from pricetide.schemas import PRICES, PRODUCTS, SETS, VARIANTS
+from pricetide.schemas import PRICE_TABLE, PRICES, PRODUCTS, SETS, VARIANTS
 from pricetide.session import cut_lineage
 from pricetide.sinks.tables import append_receipts, stored, write_if_changed, write_sorted
 from pricetide.sources.snapshots import explode_records, typed_records
-from pyspark.sql.types import StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -137,9 +137,6 @@ def merge_catalogue_table(
     write_if_changed(latest, path, schema, [key])
 
 
-PRICE_TABLE = StructType([*PRICES.fields, StructField("month", StringType())])
-
-
 def merge_price_partitions(spark: SparkSession, path: str, current: DataFrame) -> None:
     """Replace the touched (game, month) partitions by their merged rows.
 
@@ -150,8 +147,12 @@ def merge_price_partitions(spark: SparkSession, path: str, current: DataFrame) -
     existing = stored(spark, path, PRICE_TABLE)
     if existing is not None:
         touched = incoming.select("game_key", "month").distinct()
-        # Games x months of one batch: a few rows, so the pruning filter is a broadcast.
-        old = existing.join(F.broadcast(touched), ["game_key", "month"], "left_semi")
+        # The month names of a batch (a calendar's worth at most) prune the table's
+        # directories; games x months then cut the rest.
+        months = [r["month"] for r in touched.select("month").distinct().collect()]
+        old = existing.filter(F.col("month").isin(months)).join(
+            F.broadcast(touched), ["game_key", "month"], "left_semi"
+        )
         incoming = merge.merge_prices(old, incoming)
     else:
         incoming = merge.merge_prices(incoming.limit(0), incoming)

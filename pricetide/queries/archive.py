@@ -6,13 +6,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from pricetide.functions import ids
 from pricetide.operators import archive
 from pricetide.params import literal_table
 from pricetide.queries import views
 from pricetide.queries.registry import query
+from pricetide.schemas import struct
 from pricetide.sources import manifests as manifest_source
 
 _START, _END = date(1995, 1, 1), date(2001, 12, 31)
@@ -36,7 +36,7 @@ def _days(spark: SparkSession) -> DataFrame:
 
 def _inceptions(spark: SparkSession) -> DataFrame:
     rows = [("onepiece", date(1995, 1, 1)), ("pokemon", date(1995, 6, 15))]
-    return literal_table(spark, rows, StructType.fromDDL("game_key string, inception date"))
+    return literal_table(spark, rows, struct("game_key string, inception date"))
 
 
 def _objects(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pricetide.operators import chain, gates, membership, merge, quality
 from pricetide.params import LANGUAGE_PENDING, LANGUAGE_RESOLVED
 from pricetide.queries import views
 from pricetide.queries.registry import query
-from pricetide.schemas import PRICES
+from pricetide.schemas import PRICES, struct
 from pricetide.sinks import exports, tables
 from pricetide.streaming import prices as stream_prices
 from pricetide.streaming import requests
@@ -761,8 +761,6 @@ def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
     ["history"],
 )
 def cutover_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.types import StructType
-
     from pricetide.params import literal_table
     from pricetide.plans.indexes import write_candidate
     from pricetide.session import cut_lineage
@@ -777,7 +775,7 @@ def cutover_bundle(spark: SparkSession, sf: str) -> DataFrame:
         written = write_candidate(review, history, empty, empty, empty, empty, path)
         count = spark.read.json(f"{path}/candidate/history").count() if written else 0
         rows.append((attempt, written, count))
-    return literal_table(spark, rows, StructType.fromDDL("attempt string, written boolean, history_rows bigint"))
+    return literal_table(spark, rows, struct("attempt string, written boolean, history_rows bigint"))
 
 
 # --- incremental forms ---------------------------------------------------------------
@@ -807,13 +805,14 @@ def request_limits(spark: SparkSession, sf: str) -> DataFrame:
 def request_limits_stream(spark: SparkSession, sf: str) -> DataFrame:
     source, root = views.scratch(spark), views.scratch(spark)
     events = requests.millis(views.table(spark, sf, "events")).select("user_id", "event_id", "ms")
-    # Files in time order, so that the stream takes them as several ordered batches.
-    events.repartitionByRange(4, "ms").sortWithinPartitions("ms").write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
-    requests.start_rate_limit(
-        spark, stream, "user_id", "event_id", root, limit=2, window_ms=3_600_000
-    ).awaitTermination()
+    # Two arrivals: the stream runs once after each and goes on where it stopped.
+    middle = F.lit(1_705_000_000_000)
+    for arrival in (F.col("ms") < middle, F.col("ms") >= middle):
+        events.filter(arrival).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        requests.start_rate_limit(
+            spark, stream, "user_id", "event_id", root, limit=2, window_ms=3_600_000
+        ).awaitTermination()
     return spark.read.parquet(f"{root}/verdicts")
 
 
@@ -847,7 +846,8 @@ def member_flags_stream(spark: SparkSession, sf: str) -> DataFrame:
     ["price_panel"],
 )
 def price_merge_stream(spark: SparkSession, sf: str) -> DataFrame:
-    from pricetide.plans.daily import PRICE_TABLE, merge_price_partitions
+    from pricetide.plans.daily import merge_price_partitions
+    from pricetide.schemas import PRICE_TABLE
 
     source, path, checkpoint = views.scratch(spark), views.scratch(spark), views.scratch(spark)
     panel = stream_prices.price_rows(views.price_panel(spark, sf))

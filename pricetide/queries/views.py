@@ -11,12 +11,12 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from pricetide.functions.hashing import content_sha
 from pricetide.functions.ids import product_id, set_id, snapshot_key, variant_id
 from pricetide.operators import chain, membership, performance, selection
 from pricetide.params import IndexDefinition, Methodology, definitions_frame, literal_table
+from pricetide.schemas import struct
 from pricetide.session import ensure_checkpoint_dir
 from pricetide.sources.categories import category_frame
 
@@ -46,6 +46,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise heavy work when a table has fewer files than cores.
+
+    The driver tables are single files of one row group, hence one task; a table of
+    many files is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for tables a query writes and reads back, in the shared checkpoint folder."""
     shared = ensure_checkpoint_dir(spark).rstrip("/")
@@ -289,7 +299,7 @@ def history_definitions(spark: SparkSession, sf: str) -> DataFrame:
     """Metadata of the order histories, one row per priority, plus one without any rows."""
     code = F.col("index_code")
     found = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("index_code")).distinct()
-    extra = literal_table(spark, [("9-EMPTY",)], StructType.fromDDL("index_code string"))
+    extra = literal_table(spark, [("9-EMPTY",)], struct("index_code string"))
     return found.unionByName(extra).select(
         code,
         F.concat(F.lit("Index "), code).alias("name"),
@@ -352,7 +362,7 @@ def _enveloped(key: Column, records: Column) -> Column:
 
 def price_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Price-guide documents, one per line item, with two records each."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     pid = F.col("l_partkey")
     holo, untaxed = part_game(pid) == "pokemon", F.col("l_tax") == 0
     foil = F.when(F.col("l_returnflag") == "R", F.col("l_quantity") * 2)
@@ -385,7 +395,7 @@ def price_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def catalogue_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue documents, one per part (every tenth part is not listed)."""
-    part = table(spark, sf, "part").filter(F.col("p_partkey") % 10 != 3)
+    part = spread(table(spark, sf, "part")).filter(F.col("p_partkey") % 10 != 3)
     pid = F.col("p_partkey")
     record = F.to_json(
         F.struct(
@@ -411,7 +421,7 @@ def catalogue_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def holdings_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Holdings CSV files, one per line item: its holding, the same one again, and a bad line."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     part = table(spark, sf, "part").select("p_partkey", brand_id(F.col("p_brand")).alias("pid"))
     rows = line.join(part, line.l_partkey == part.p_partkey)
     cost = F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice").cast("string")).otherwise("")

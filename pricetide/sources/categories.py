@@ -8,10 +8,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import StructType
 
 from pricetide.functions.text import label_key
 from pricetide.params import literal_table
+from pricetide.schemas import struct
 
 # Fixed values.
 PRODUCT_KINDS = ("single", "sealed", "other")
@@ -23,7 +23,7 @@ def category_frame(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFr
     if unknown:
         raise ValueError("unsupported product kinds: " + ", ".join(unknown))
     rows = [(str(label), kind) for kind, labels in mapping.items() for label in labels]
-    frame = literal_table(spark, rows, StructType.fromDDL("label string, kind string"))
+    frame = literal_table(spark, rows, struct("label string, kind string"))
     return frame.select(label_key(F.col("label")).alias("label"), "kind").distinct()
 
 

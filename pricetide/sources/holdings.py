@@ -49,33 +49,34 @@ def parse_holdings(documents: DataFrame) -> DataFrame:
         )
     )
     docs = docs.withColumn("problem", problem)
+    names = ("cm_product_id", "variant_key", "quantity", "cost_basis_eur")
+    # Column positions are looked up once per document, cells split once per line.
+    for name in names:
+        docs = docs.withColumn(f"at_{name}", F.array_position("header", name).cast("int"))
     broken = docs.filter(F.col("problem").isNotNull()).select(
         "portfolio_id",
         F.lit(1).alias("line"),
         F.col("problem").alias("error"),
-        *[F.lit(None).cast("string").alias(c) for c in ("pid_text", "variant_text", "qty_text", "cost_text")],
+        *[F.lit(None).cast("string").alias(f"{name}_text") for name in names],
     )
-
-    def cell(name: str) -> Column:
-        # Position of the column in the header, else no value.
-        at = F.array_position("header", name).cast("int")
-        return F.when(at > 0, F.get(_cells(F.col("text")), at - 1))
-
     rows = (
         docs.filter(F.col("problem").isNull())
-        .select("portfolio_id", "header", F.posexplode("lines").alias("pos", "text"))
+        .select("portfolio_id", *[f"at_{name}" for name in names], F.posexplode("lines").alias("pos", "text"))
         .filter(F.col("pos") > 0)
+        .withColumn("cells", F.split("text", ",", -1))
         .select(
             "portfolio_id",
             (F.col("pos") + 1).cast("int").alias("line"),
             F.lit(None).cast("string").alias("error"),
-            cell("cm_product_id").alias("pid_text"),
-            cell("variant_key").alias("variant_text"),
-            cell("quantity").alias("qty_text"),
-            cell("cost_basis_eur").alias("cost_text"),
+            *[
+                F.when(
+                    F.col(f"at_{name}") > 0, F.trim(F.get("cells", F.col(f"at_{name}") - 1))
+                ).alias(f"{name}_text")
+                for name in names
+            ],
         )
     )
-    pid_number = F.col("pid_text").try_cast("double")
+    pid_number = F.col("cm_product_id_text").try_cast("double")
     typed = broken.unionByName(rows).select(
         "portfolio_id",
         "line",
@@ -83,12 +84,12 @@ def parse_holdings(documents: DataFrame) -> DataFrame:
         F.when((pid_number > 0) & (pid_number == F.floor(pid_number)), pid_number.cast("bigint")).alias(
             "cm_product_id"
         ),
-        F.coalesce(F.when(F.col("variant_text") != "", F.col("variant_text")), F.lit("nonfoil")).alias(
+        F.coalesce(F.when(F.col("variant_key_text") != "", F.col("variant_key_text")), F.lit("nonfoil")).alias(
             "variant_key"
         ),
-        positive_number(F.col("qty_text"), MAX_QUANTITY).alias("quantity"),
-        positive_number(F.col("cost_text")).alias("cost_basis_eur"),
-        (F.coalesce(F.col("cost_text"), F.lit("")) != "").alias("has_cost"),
+        positive_number(F.col("quantity_text"), MAX_QUANTITY).alias("quantity"),
+        positive_number(F.col("cost_basis_eur_text")).alias("cost_basis_eur"),
+        (F.coalesce(F.col("cost_basis_eur_text"), F.lit("")) != "").alias("has_cost"),
     )
     row_error = (
         F.when(F.col("cm_product_id").isNull(), "Invalid cm_product_id")

@@ -65,17 +65,18 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def record_list(body: Column) -> Column:
     """The document's record list as an array of JSON texts; NULL for an unknown envelope."""
-    envelope = F.from_json(body, ", ".join(f"{name} string" for name in ENVELOPE_MEMBERS))
+    # One pass over the document reads whichever members are lists (others become
+    # NULL); their elements keep their JSON text.
+    envelope = F.from_json(body, ", ".join(f"{name} array<string>" for name in ENVELOPE_MEMBERS))
 
     def first_list(e: Column) -> Column:
-        members = [e.getField(name) for name in ENVELOPE_MEMBERS]
-        return F.coalesce(*[F.when(m.startswith("["), m) for m in members])
+        return F.coalesce(*[e.getField(name) for name in ENVELOPE_MEMBERS])
 
-    # Members keep their JSON text. Going through a lambda binds the parsed document
-    # once; as plain field accesses each member would parse the document again.
+    # Going through a lambda binds the parsed document once; as plain field accesses
+    # each member would parse the document again.
     listed = F.get(F.transform(F.array(envelope), first_list), F.lit(0))
-    chosen = F.when(F.ltrim(body).startswith("["), body).otherwise(listed)
-    return F.from_json(chosen, "array<string>")
+    bare = F.ltrim(body).startswith("[")
+    return F.when(bare, F.from_json(body, "array<string>")).otherwise(listed)
 
 
 def envelope_field(body: Column, name: str) -> Column:

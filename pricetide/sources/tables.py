@@ -9,26 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
-from pricetide.schemas import PRICES
+from pricetide.schemas import PRICE_TABLE, PRICES
 
 
 def read_prices(spark: SparkSession, root: str, run_date: date) -> DataFrame:
     """Price history up to a day from the (game_key, month) partitioned table.
 
-    The month predicate prunes directories; the day predicate reaches the scan.
+    The month predicate prunes directories; the day predicate reaches the scan. The
+    schema is given, so files that lack a column read as NULL there and no footers
+    are merged.
     """
     month = run_date.strftime("%Y-%m")
-    table = spark.read.option("mergeSchema", "true").parquet(root)
-    known = [
-        F.col(f.name).cast(f.dataType).alias(f.name)
-        if f.name in table.columns
-        else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in PRICES.fields
-    ]
-    # Directory values such as 2026-08 are read as text.
-    return table.filter(
-        (F.col("month").cast("string") <= month) & (F.col("value_date") <= F.lit(run_date))
-    ).select(*known)
+    return (
+        spark.read.schema(PRICE_TABLE)
+        .parquet(root)
+        .filter((F.col("month") <= month) & (F.col("value_date") <= F.lit(run_date)))
+        .select(*PRICES.names)
+    )
 
 
 def read_catalogue(
