@@ -9,6 +9,7 @@ from pricetide.functions.dates import inclusive_days, month_start_on_or_after
 from pricetide.functions.ids import conflict_key, object_category, snapshot_key
 from pricetide.functions.prices import budget_status, ratio
 from pricetide.functions.text import missing_manifest_day
+from pricetide.operators.ranking import rank_within
 from pricetide.params import SOURCE_KINDS
 from pricetide.sources.snapshots import record_list
 
@@ -215,13 +216,13 @@ def sample_size(total: Column, rate: float) -> Column:
 def sample_files(files: DataFrame, rate: float, seed: str) -> DataFrame:
     """A seeded sample of exactly min(n, max(1, ceil(n * rate))) distinct keys.
 
-    The order is a hash of seed and key, so a rerun verifies the same files. The
-    sample size is a plain number, hence one count of the keys.
+    The order is a hash of seed and key, so a rerun verifies the same files.
     """
-    keys = files.select("key").distinct()
-    total = keys.count()
-    size = keys.sparkSession.range(1).select(sample_size(F.lit(total), rate)).first()[0]
-    return keys.orderBy(F.xxhash64(F.lit(seed), F.col("key")), "key").limit(int(size))
+    keys = files.select("key").distinct().withColumn("_order", F.xxhash64(F.lit(seed), F.col("key")))
+    ranked = rank_within(keys, [], [F.asc("_order"), F.asc("key")], "_rank")
+    total = ranked.agg(F.count(F.lit(1)).alias("n"))
+    size = total.select(sample_size(F.col("n"), rate)).scalar()
+    return ranked.filter(F.col("_rank") <= size).select("key")
 
 
 def coverage(days: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -309,13 +310,19 @@ def audit_errors(
 
 def public_health(errors: DataFrame, cover: DataFrame, totals: DataFrame) -> DataFrame:
     """Publishable archive health: aggregates and gap days only, no keys."""
-    gaps = errors.agg(
-        F.count(F.lit(1)).alias("integrity_error_count"),
-        F.count(missing_manifest_day(F.col("error"))).alias("gap_count"),
-    )
+    counts = errors.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("integrity_error_count"),
+            F.count(missing_manifest_day(F.col("error"))).alias("gap_count"),
+        )
+    ).scalar()
+    storage = totals.select(
+        F.struct("total_bytes", "free_tier_usage_ratio", F.col("status").alias("storage_status"))
+    ).scalar()
     return (
-        cover.crossJoin(gaps)  # one row each
-        .crossJoin(totals.select("total_bytes", "free_tier_usage_ratio", F.col("status").alias("storage_status")))
+        cover.withColumn("counts", counts)
+        .withColumn("storage", storage)
+        .select(*cover.columns, "counts.*", "storage.*")
         .withColumn(
             "status", F.when(F.col("integrity_error_count") == 0, "healthy").otherwise("attention_required")
         )

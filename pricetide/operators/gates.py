@@ -75,7 +75,7 @@ def readiness(definitions: DataFrame, receipts: DataFrame, pairs: DataFrame) ->
             "selected_constituents",
         ),
         "index_code",
-    ).crossJoin(F.broadcast(pairs_complete(definitions, pairs)))
+    ).withColumn("snapshot_verified", pairs_complete(definitions, pairs).scalar())
     out = with_state(
         joined,
         {

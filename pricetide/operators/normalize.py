@@ -85,20 +85,13 @@ def sets_table(classified: DataFrame, position: str = "source_pos") -> DataFrame
 
 
 def classification_coverage(classified: DataFrame) -> DataFrame:
-    """Category quality per game and day: coverage, unknown labels, pass or fail.
-
-    The distinct unknown labels are a handful of category names, not product rows.
-    """
-    unknown = F.when(
-        ~F.col("category_known"),
-        F.when(F.col("raw_category") == "", "(missing)").otherwise(F.col("raw_category")),
-    )
+    """Category quality per game and day: coverage, number of unknown rows, pass or fail."""
     return (
         classified.groupBy(*DOCUMENT)
         .agg(
             F.count(F.lit(1)).alias("catalogue_products"),
             F.avg(F.col("category_known").cast("double")).alias("coverage"),
-            F.sort_array(F.collect_set(unknown)).alias("unknown_categories"),
+            F.count_if(~F.col("category_known")).alias("unknown_products"),
         )
         .withColumn("status", F.when(F.col("coverage") >= MIN_CLASSIFICATION, "pass").otherwise("fail"))
         .withColumn("classification_coverage", F.round("coverage", 8))
@@ -106,6 +99,16 @@ def classification_coverage(classified: DataFrame) -> DataFrame:
     )
 
 
+def unknown_categories(classified: DataFrame) -> DataFrame:
+    """Distinct unknown category labels per game and day; a blank label is `(missing)`."""
+    label = F.when(F.col("raw_category") == "", "(missing)").otherwise(F.col("raw_category"))
+    return (
+        classified.filter(~F.col("category_known"))
+        .select(*DOCUMENT, label.alias("category"))
+        .distinct()
+    )
+
+
 def _family(prefix: str, variant: Column) -> Column:
     return F.struct(
         variant.alias("variant_key"),

@@ -200,13 +200,11 @@ def public_summaries(definitions: DataFrame, metrics: DataFrame) -> DataFrame:
 def status_rollup(definitions: DataFrame, history: DataFrame, gaps: DataFrame) -> DataFrame:
     """Per index freshness plus the overall last day and the number of gaps."""
     fresh = history.groupBy("index_code").agg(F.max("value_date").alias("freshness"))
-    overall = history.agg(F.max("value_date").alias("last_calc_date"))
-    gap_count = gaps.agg(F.count(F.lit(1)).alias("gap_count"))
     return (
         definitions.select("index_code", "status")
         .join(fresh, "index_code", "left")
-        .crossJoin(overall)  # one row
-        .crossJoin(gap_count)  # one row
+        .withColumn("last_calc_date", history.agg(F.max("value_date")).scalar())
+        .withColumn("gap_count", gaps.agg(F.count(F.lit(1))).scalar())
     )
 
 

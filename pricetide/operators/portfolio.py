@@ -107,17 +107,20 @@ def totals(validated: DataFrame) -> DataFrame:
     )
 
 
-def summarize(validated: DataFrame, history: DataFrame, basis: Column | None = None) -> DataFrame:
-    """Each portfolio against each benchmark index: returns and relative percentage points.
+def summarize(
+    validated: DataFrame, history: DataFrame, choices: DataFrame, basis: Column | None = None
+) -> DataFrame:
+    """Each portfolio against its chosen benchmark: returns and relative percentage points.
 
-    The benchmark side has one row per index, so it is paired with every portfolio.
+    `choices` holds (portfolio_id, index_code), usually one benchmark per portfolio.
     """
-    ends = F.broadcast(benchmark_ends(history, basis))
+    ends = benchmark_ends(history, basis)
     portfolio = F.when(F.col("has_cost") & (F.col("cost") > 0), F.col("market") / F.col("cost") - 1)
     benchmark = F.col("last_value") / F.col("first_value") - 1
     return (
         totals(validated)
-        .crossJoin(ends)
+        .join(choices.select("portfolio_id", "index_code"), "portfolio_id")
+        .join(ends, "index_code")
         .select(
             "portfolio_id",
             "index_code",

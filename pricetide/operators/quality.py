@@ -68,7 +68,7 @@ def interval_violations(intervals: DataFrame) -> DataFrame:
 
 def provenance_violations(definitions: DataFrame, history: DataFrame) -> DataFrame:
     """Index history against its metadata: start date, base date, non-empty when published."""
-    base = F.broadcast(definitions.select("index_code", "base_date"))
+    base = definitions.select("index_code", "base_date")
     seen = (
         history.join(base, "index_code")
         .groupBy("index_code")
@@ -171,22 +171,34 @@ def rebalance_order_violations(records: DataFrame, generated_for: DataFrame) ->
 
 
 def history_violations(history: DataFrame) -> DataFrame:
-    """Repeated days, returns above the cap, and stored returns that the values do not imply."""
+    """Repeated days, returns above the cap, and stored returns that the values do not imply.
+
+    Broken data may repeat a day any number of times, so rows are first reduced to
+    one per index and day; only those are compared with the day before. A repeated
+    day is reported as such and not compared.
+    """
+    keys = ["index_code", "value_date"]
+    days = history.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("index_value").alias("values"),
+        F.max("index_value").alias("index_value"),
+        F.max("daily_return").alias("daily_return"),
+        F.max(F.abs(F.coalesce("daily_return", F.lit(0.0)))).alias("largest"),
+    )
     path = Window.partitionBy("index_code").orderBy("value_date")
-    stepped = (
-        history.withColumn("_day_before", F.lag("value_date").over(path))
-        .withColumn("_value_before", F.lag("index_value").over(path))
+    stepped = days.withColumn("_before", F.lag("index_value").over(path)).withColumn(
+        "_repeated", (F.col("n") > 1) | (F.coalesce(F.lag("n").over(path), F.lit(1)) > 1)
     )
-    implied = F.col("index_value") / F.col("_value_before") - 1
+    implied = F.col("index_value") / F.col("_before") - 1
     return row_violations(
         stepped,
-        ["index_code", "value_date"],
+        keys,
         {
-            "value_missing": F.col("index_value").isNotNull() & F.col("value_date").isNotNull(),
-            "return_above_cap": F.abs(F.coalesce("daily_return", F.lit(0.0))) <= RETURN_CAP,
-            "date_not_ascending": F.col("_day_before").isNull()
-            | (F.col("value_date") > F.col("_day_before")),
-            "return_mismatch": F.col("_value_before").isNull()
+            "value_missing": (F.col("values") == F.col("n")) & F.col("value_date").isNotNull(),
+            "return_above_cap": F.col("largest") <= RETURN_CAP,
+            "date_not_unique": F.col("n") == 1,
+            "return_mismatch": F.col("_repeated")
+            | F.col("_before").isNull()
             | (F.abs(implied - F.col("daily_return")) <= RETURN_TOLERANCE),
         },
     )
@@ -222,11 +234,11 @@ def build_size_stats(files: DataFrame) -> DataFrame:
 
 def status_violations(status: DataFrame, expected: DataFrame) -> DataFrame:
     """A one-row status against the recomputed one: gaps, version and latest dates."""
-    joined = status.crossJoin(expected.select(*[F.col(c).alias(f"x_{c}") for c in expected.columns]))
+    target = expected.select(F.struct(*expected.columns)).scalar()
     return row_violations(
-        joined,
+        status.withColumn("_expected", target),
         [],
-        {c: F.col(c).eqNullSafe(F.col(f"x_{c}")) for c in expected.columns if c in status.columns},
+        {c: F.col(c).eqNullSafe(F.col(f"_expected.{c}")) for c in expected.columns if c in status.columns},
     )
 
 

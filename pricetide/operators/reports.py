@@ -112,13 +112,19 @@ def replace_reports(existing: DataFrame, drafts: DataFrame) -> DataFrame:
 
 
 def highlight_mismatch(highlights: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(week, index_code, problem) where a week's highlights differ from the configured codes."""
-    weeks = highlights.select("week").distinct()
-    wanted = weeks.crossJoin(F.broadcast(definitions.select("index_code")))
-    keys = ["week", "index_code"]
-    return (
-        wanted.withColumn("w", F.lit(1))
-        .join(highlights.select(*keys).withColumn("h", F.lit(1)), keys, "full_outer")
-        .filter(F.col("w").isNull() | F.col("h").isNull())
-        .select(*keys, F.when(F.col("h").isNull(), "missing").otherwise("unexpected").alias("problem"))
+    """(week, index_code, problem) where a week's highlights differ from the configured codes.
+
+    A week holds one highlight per index, so its codes fit one array.
+    """
+    codes = definitions.select("index_code").distinct()
+    wanted = codes.agg(F.collect_set("index_code")).scalar()
+    found = highlights.groupBy("week").agg(F.collect_set("index_code").alias("found"))
+    missing = found.select(
+        "week", F.explode(F.array_except(wanted, F.col("found"))).alias("index_code")
+    ).withColumn("problem", F.lit("missing"))
+    extra = (
+        highlights.select("week", "index_code")
+        .join(codes, "index_code", "left_anti")
+        .select("week", "index_code", F.lit("unexpected").alias("problem"))
     )
+    return missing.unionByName(extra)

@@ -25,6 +25,7 @@ class NormalizedBatch:
     variants: DataFrame
     prices: DataFrame
     quality: DataFrame
+    unknown_categories: DataFrame
     duplicates: DataFrame
     invalid: DataFrame
 
@@ -60,6 +61,7 @@ def normalize_documents(documents: DataFrame, categories: DataFrame) -> Normaliz
         variants=normalize.variants_table(prices),
         prices=prices,
         quality=normalize.classification_coverage(catalogue),
+        unknown_categories=normalize.unknown_categories(catalogue),
         duplicates=duplicates,
         invalid=records.filter(F.col("cm_product_id").isNull()).select(
             "game_key", "run_date", "kind", "source_pos"
@@ -96,9 +98,7 @@ def run_normalize(
             *day,
             F.coalesce("catalogue_products", F.lit(0)).alias("catalogue_products"),
             F.coalesce("classification_coverage", F.lit(0.0)).alias("classification_coverage"),
-            F.coalesce("unknown_categories", F.array().cast("array<string>")).alias(
-                "unknown_categories"
-            ),
+            F.coalesce("unknown_products", F.lit(0)).alias("unknown_products"),
             F.when(F.col("spoiled"), "invalid")
             .otherwise(F.coalesce("status", F.lit("fail")))
             .alias("status"),
@@ -106,6 +106,8 @@ def run_normalize(
     )
     quality = cut_lineage(quality)
     append_receipts(spark, f"{root}/quality", quality, day)
+    unknown = batch.unknown_categories.select(*day, "category")
+    append_receipts(spark, f"{root}/unknown_categories", unknown, [*day, "category"])
     good = quality.filter(F.col("status") == "pass").select(*day)
     clean = normalize_documents(landed.join(good, day, "left_semi"), categories)
 

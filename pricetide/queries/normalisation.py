@@ -104,18 +104,25 @@ def merged_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "category_coverage",
-    "A9 A10",
-    "game_key:s run_date:s catalogue_products:i classification_coverage:f8 unknown:s status:s",
-    """SELECT game_key, run_date, count(*) AS catalogue_products, avg(CASE WHEN category_known THEN 1.0::DOUBLE ELSE 0 END) AS classification_coverage,
-    string_agg(DISTINCT CASE WHEN NOT category_known THEN CASE WHEN raw_category = '' THEN '(missing)' ELSE raw_category END END, ',' ORDER BY CASE WHEN NOT category_known THEN CASE WHEN raw_category = '' THEN '(missing)' ELSE raw_category END END) AS unknown,
-    CASE WHEN avg(CASE WHEN category_known THEN 1.0::DOUBLE ELSE 0 END) >= 0.99 THEN 'pass' ELSE 'fail' END AS status
-    FROM catalogue_records GROUP BY 1, 2""",
+    "A9",
+    "game_key:s run_date:s catalogue_products:i unknown_products:i classification_coverage:f8 status:s",
+    """SELECT game_key, run_date, count(*) AS catalogue_products, count(*) FILTER (NOT category_known) AS unknown_products, avg(CASE WHEN category_known THEN 1.0::DOUBLE ELSE 0 END) AS classification_coverage,
+    CASE WHEN avg(CASE WHEN category_known THEN 1.0::DOUBLE ELSE 0 END) >= 0.99 THEN 'pass' ELSE 'fail' END AS status FROM catalogue_records GROUP BY 1, 2""",
     ["catalogue_records"],
 )
 def category_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.classification_coverage(_catalogue(spark, sf)).withColumn(
-        "unknown", F.array_join("unknown_categories", ",")
-    )
+    return normalize.classification_coverage(_catalogue(spark, sf))
+
+
+@query(
+    "unknown_categories",
+    "A10",
+    "game_key:s run_date:s category:s",
+    "SELECT DISTINCT game_key, run_date, CASE WHEN raw_category = '' THEN '(missing)' ELSE raw_category END AS category FROM catalogue_records WHERE NOT category_known",
+    ["catalogue_records"],
+)
+def unknown_categories(spark: SparkSession, sf: str) -> DataFrame:
+    return normalize.unknown_categories(_catalogue(spark, sf))
 
 
 @query(

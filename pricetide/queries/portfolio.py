@@ -40,7 +40,8 @@ views.SQL.update(
               SELECT portfolio_id, index_code, first_date, last_date, round(market, 2) AS latest_market_value, CASE WHEN has_cost THEN round(cost, 2) END AS provided_cost_basis,
                 CASE WHEN has_cost AND cost > 0 THEN market / cost - 1 END AS portfolio_return, last_value / first_value - 1 AS benchmark_return
               FROM (SELECT portfolio_id, sum(market_value_eur) AS market, sum(coalesce(cost_basis_value_eur, 0)) AS cost, bool_or(cost_basis_value_eur IS NOT NULL) AS has_cost FROM validated WHERE error IS NULL GROUP BY 1)
-              CROSS JOIN (SELECT index_code, min(value_date) AS first_date, max(value_date) AS last_date, arg_min(index_value, value_date) AS first_value, arg_max(index_value, value_date) AS last_value FROM benchmark_rows GROUP BY 1))""",
+              JOIN (SELECT o_orderkey AS portfolio_id, o_orderpriority AS index_code FROM orders) USING (portfolio_id)
+              JOIN (SELECT index_code, min(value_date) AS first_date, max(value_date) AS last_date, arg_min(index_value, value_date) AS first_value, arg_max(index_value, value_date) AS last_value FROM benchmark_rows GROUP BY 1) USING (index_code))""",
         ),
     }
 )
@@ -53,7 +54,11 @@ def _validated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.summarize(_validated(spark, sf), views.history(spark, sf), F.lit(_BASIS))
+    # Every order is measured against the index of its own priority.
+    choices = views.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("portfolio_id"), F.col("o_orderpriority").alias("index_code")
+    )
+    return portfolio.summarize(_validated(spark, sf), views.history(spark, sf), choices, F.lit(_BASIS))
 
 
 @query(

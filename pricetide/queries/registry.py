@@ -91,14 +91,7 @@ def query(
 
 def load() -> dict[str, Query]:
     """Import every query module and return the registry."""
-    from importlib import import_module
-
-    import pkgutil
-    from pricetide import queries as _q  # noqa: F401
-    for m in pkgutil.iter_modules(_q.__path__):
-        if m.name not in ("views","registry"): import_module("pricetide.queries."+m.name)
-    return REGISTRY
-    from pricetide.queries import (
+    from pricetide.queries import (  # noqa: F401
         analytics,
         archive,
         chain,

@@ -234,8 +234,8 @@ def monthly_removals(spark: SparkSession, sf: str) -> DataFrame:
 )
 def monthly_rebalance_headers(spark: SparkSession, sf: str) -> DataFrame:
     heads = _rebalances(spark, sf)[0]
-    shas = heads.agg(F.count_distinct("snapshot_sha256").alias("distinct_shas"))
-    return heads.withColumn("sha_length", F.length("snapshot_sha256")).crossJoin(F.broadcast(shas))
+    shas = heads.agg(F.count_distinct("snapshot_sha256")).scalar()
+    return heads.withColumn("sha_length", F.length("snapshot_sha256")).withColumn("distinct_shas", shas)
 
 
 @query(

@@ -96,13 +96,9 @@ def receipts_frame(spark: SparkSession, receipts: list[Receipt]) -> DataFrame:
 
 
 def dataset_manifest(receipts: DataFrame, version: str) -> DataFrame:
-    """One row: dataset version and the checksum of each output (a handful of outputs)."""
-    entry = F.struct("output", "fingerprint")
-    return receipts.agg(
-        F.lit(version).alias("dataset_version"),
-        F.count(F.lit(1)).alias("files"),
-        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("checksums"),
-    )
+    """Manifest table: the checksum of every output under one dataset version."""
+    keep = [c for c in ("rows", "bytes") if c in receipts.columns]
+    return receipts.select(F.lit(version).alias("dataset_version"), "output", "fingerprint", *keep)
 
 
 def append_receipts(

@@ -72,10 +72,9 @@ def open_window(events: DataFrame, before: DataFrame | None, key: str, window_ms
     rows = events.select(key, "ms", F.lit(1).cast("bigint").alias("n"))
     if before is not None:
         rows = rows.unionByName(before.select(key, "ms", "n"))
-    newest = rows.agg(F.max("ms").alias("_newest"))  # one row
+    newest = rows.agg(F.max("ms")).scalar()
     return (
-        rows.crossJoin(F.broadcast(newest))
-        .filter(F.col("ms") > F.col("_newest") - window_ms)
+        rows.filter(F.col("ms") > newest - window_ms)
         .groupBy(key, "ms")
         .agg(F.sum("n").alias("n"))
     )

@@ -118,7 +118,9 @@ def test_history_rules(spark):
     assert quality.history_violations(frame(good)).count() == 0
     bad = [*good, ("X", DAY + timedelta(days=1), 200.0, 0.5)]
     found = {r.violation for r in quality.history_violations(frame(bad)).collect()}
-    assert found == {"return_above_cap", "date_not_ascending", "return_mismatch"}
+    assert found == {"return_above_cap", "date_not_unique"}
+    drift = [good[0], ("X", DAY + timedelta(days=1), 110.0, 0.2)]
+    assert rows(quality.history_violations(frame(drift)), "violation") == [("return_mismatch",)]
 
 
 def test_public_export(spark, tmp_path):

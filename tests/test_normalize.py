@@ -114,7 +114,8 @@ def test_catalogue(spark):
     ]
     assert rows(batch.sets, "cm_expansion_id", "name") == [(5, "Romance Dawn")]
     quality = batch.quality.first()
-    assert (quality.status, quality.unknown_categories) == ("fail", ["(missing)", "Strange"])
+    assert (quality.status, quality.unknown_products) == ("fail", 2)
+    assert rows(batch.unknown_categories, "category") == [("(missing)",), ("Strange",)]
 
 
 def test_merge_keeps_absent_rows_and_widens_dates(spark):

@@ -134,7 +134,8 @@ def test_portfolio(spark):
         (6, "Invalid quantity"),
     ]
     bench = history(spark, [(date(2026, 1, 1), 900, 0, 0, 0), (date(2026, 2, 1), 1000, 0, 0, 0), (date(2026, 3, 1), 1100, 0, 0, 0)])
-    summary = portfolio.summarize(validated, bench, F.lit(date(2026, 2, 1)))
+    choices = spark.createDataFrame([(1, "X")], "portfolio_id bigint, index_code string")
+    summary = portfolio.summarize(validated, bench, choices, F.lit(date(2026, 2, 1)))
     r = summary.first()
     assert (r.latest_market_value, r.portfolio_return, r.relative_pp) == (20.0, 0.25, 15.0)
     assert r.benchmark_return == pytest.approx(0.1)
