@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.hashing import content_sha
 from pricetide.functions.ids import product_id, set_id, snapshot_key, variant_id
-from pricetide.operators import chain, membership, performance, selection
+from pricetide.operators import chain, membership, selection
 from pricetide.params import IndexDefinition, Methodology, definitions_frame, literal_table
 from pricetide.schemas import struct
 from pricetide.session import ensure_checkpoint_dir
