@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, sentencepiece_chunks, toxicity
+from pricetide.llm import decontamination, secret_scan, sentencepiece_chunks, toxicity
 from pricetide.llm.common import held_out, table
 
 #: Where the public tokenizers' package lies; the model's own path can be given instead.
@@ -40,6 +40,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = F.col("secrets")
+    base = [r.kind for r in secret_scan.BASE]
+    return secret_scan.find_secrets(docs).select(
+        "doc_id",
+        *(
+            secret_scan.count_kind(spans, kind).alias(f"n_{kind}")
+            for kind in base
+        ),
+        digest(secret_scan.joined(F.filter(spans, lambda s: s["kind"].isin(*base)))).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+    )
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.col("pieces.ids")
@@ -67,7 +82,73 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_decontamination": op7_decontamination,
 }
-ORACLES: dict[str, str] = {}
+
+def _secrets_sql() -> str:
+    """All rules' matches by the lengths of the pieces between them, joined per document."""
+    # This SQL's engine folds case beyond A-Z, so the keys spell both cases out.
+    both = "".join
+    keys = "|".join(
+        both(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")
+    )
+    found = []
+    for rank, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", f"(?:{keys})").replace("'", "''")
+        pattern = pattern.replace("((?:", "(?:", 1).replace("))[\"", ")[\"", 1) if rule.group else pattern
+        group = 1 if rule.group else 0
+        found.append(
+            f"SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least,"
+            f" string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}') AS found,"
+            f" regexp_extract_all(t, '{pattern}', {group}) AS measured"
+            " FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+        )
+    return f"""
+WITH rules AS ({" UNION ALL ".join(found)}),
+each AS (SELECT *, unnest(generate_series(1, len(found))) AS i FROM rules WHERE len(found) > 0),
+placed AS (
+  SELECT doc_id, kind, rank, len(found[i]) AS size,
+    list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS pos
+  FROM each WHERE len(measured[i]) >= least),
+spans AS (
+  SELECT doc_id, kind, rank, pos, kind || ':' || CAST(pos AS BIGINT) || ':' || CAST(pos + size AS BIGINT) AS span FROM placed),
+joined AS (
+  SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
+    count(*) FILTER (rank = 2) AS n_hex, string_agg(span, ',' ORDER BY pos, rank) FILTER (rank < 3) AS base,
+    string_agg(span, ',' ORDER BY pos, rank) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN joined USING (doc_id)"""
+
+
+DECONTAMINATION_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+starts AS (SELECT item, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[i:i + 12], ' ') AS body FROM starts),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM words, sizes WHERE len(w) >= size),
+hits AS (
+  SELECT p.doc_id, p.i, p.size, x.item FROM places p JOIN windows x
+  ON x.size = p.size AND x.body = array_to_string(p.w[p.i:p.i + p.size - 1], ' ')),
+hit_words AS (
+  SELECT doc_id, count(*) AS n_hit FROM (
+    SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS pos FROM hits) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {"op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
