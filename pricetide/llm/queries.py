@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, secret_scan, sentencepiece_chunks, toxicity
+from pricetide.llm import decontamination, quality_rules, secret_scan, sentencepiece_chunks, toxicity
 from pricetide.llm.common import held_out, table
 
 #: Where the public tokenizers' package lies; the model's own path can be given instead.
@@ -66,6 +66,12 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, model).select("doc_id", "quality.*")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
 }
 
