@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, quality_rules, secret_scan, sentencepiece_chunks, toxicity
+from pricetide.llm import decontamination, ngram_jaccard, quality_rules, secret_scan, sentencepiece_chunks, toxicity
 from pricetide.llm.common import held_out, table
 
 #: Where the public tokenizers' package lies; the model's own path can be given instead.
@@ -26,6 +26,10 @@ def digest(text: F.Column) -> F.Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(
@@ -87,6 +91,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
