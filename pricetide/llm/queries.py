@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, ngram_jaccard, quality_rules, secret_scan, sentencepiece_chunks, toxicity
+from pricetide.llm import context_mixing, decontamination, ngram_jaccard, quality_rules, secret_scan, sentencepiece_chunks, toxicity
 from pricetide.llm.common import held_out, table
 
 #: Where the public tokenizers' package lies; the model's own path can be given instead.
@@ -90,6 +90,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents"), held_out(5))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 def _secrets_sql() -> str:
