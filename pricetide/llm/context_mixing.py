@@ -242,7 +242,11 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
                     add_counts(tables, distinct, np.bincount(codes), s)
         for number, piece in enumerate(np.array_split(tables, PARTS)):
             if piece.any():
-                yield rows([(-1 - number, 2, number, None, piece.tobytes(), None, None, None)])
+                # Low bytes for all slots, the rest for the few that have more: this packs well.
+                flat = piece.reshape(-1)
+                more = np.flatnonzero(flat > 255).astype(np.int32)
+                parts = ((flat & 255).astype(np.uint8), more, flat[more] >> 8)
+                yield rows([(-1 - number, 2, number, None, *(x.tobytes() for x in parts), None)])
 
     return docs.select(doc_id, text, "held").mapInArrow(run, schema)
 
