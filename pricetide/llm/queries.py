@@ -9,7 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import context_mixing, decontamination, ngram_jaccard, quality_rules, secret_scan, sentencepiece_chunks, toxicity
+from pricetide.llm import (
+    arc_to_warc,
+    context_mixing,
+    decontamination,
+    ngram_jaccard,
+    quality_rules,
+    secret_scan,
+    sentencepiece_chunks,
+    toxicity,
+)
 from pricetide.llm.common import held_out, table
 
 #: Where the public tokenizers' package lies; the model's own path can be given instead.
@@ -94,6 +103,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score_texts(table(spark, sf_dir, "documents"), held_out(5))
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_to_warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_decontamination": op7_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_arc_to_warc": op10_arc_to_warc,
 }
 
 def _secrets_sql() -> str:
@@ -168,4 +182,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""".replace("\\\\", "\\")
 
-ORACLES: dict[str, str] = {"op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS size, sha1(body) AS digest FROM p),
+r AS (
+  SELECT *, CASE WHEN size >= 1000 THEN max(page_id) OVER (PARTITION BY digest, size) ELSE page_id END AS best FROM d)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN best <> page_id THEN best END AS refers_to, true AS body_ok
+FROM r"""
+
+ORACLES: dict[str, str] = {"op10_arc_to_warc": WARC_SQL, "op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
