@@ -135,7 +135,7 @@ def _examples(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label:
     )
     # A row that is labelled twice is good only if every label says so.
     known = known.groupBy("__id").agg(F.min("__good").alias("__good"))
-    known = known.join(docs.select(F.col(doc_id).alias("__id")).distinct(), "__id", "left_semi")
+    known = known.join(docs.select(F.col(doc_id).alias("__id")), "__id", "left_semi")
     sizes = {r["__good"]: r["count"] for r in known.groupBy("__good").count().collect()}
     chosen = [
         (r["__id"], r["__good"])
@@ -146,8 +146,9 @@ def _examples(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label:
         return []
     wanted = docs.sparkSession.createDataFrame(chosen, known.schema)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(wanted), "__id")
-    found = rows.groupBy("__id", "__good").agg(F.min("__text").alias("__text")).orderBy("__id").toLocalIterator()
-    return [(r["__text"] or "", r["__good"], sizes[r["__good"]]) for r in found]
+    # A chosen id that several rows have stands for the least of their texts.
+    found = rows.groupBy("__id", "__good").agg(F.min("__text").alias("__text")).collect()
+    return [(r["__text"] or "", r["__good"], sizes[r["__good"]]) for r in sorted(found, key=lambda r: r["__id"])]
 
 
 def fit(

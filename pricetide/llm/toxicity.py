@@ -26,13 +26,15 @@ class Settings:
 
     max_examples: labelled rows of each class that are fitted on (those of smallest hash);
     max_terms: terms kept, by chi-square against the label; min_chi: least chi-square of a term;
+    lift: least ratio between a term's shares of the two classes;
     prefixes: lengths of word beginnings that are terms besides the words;
     neighbours: nearest examples that vote; block: examples in a block of the index.
     """
 
-    max_examples: int = 4000
+    max_examples: int = 3000
     max_terms: int = 4096
     min_chi: float = 20.0
+    lift: float = 3.0
     prefixes: tuple[int, ...] = (4, 5)
     neighbours: int = 15
     block: int = 64
@@ -81,9 +83,8 @@ class Terms(dict):
         """How often each known term occurs in a text."""
         counts: Counter[int] = Counter()
         if text:
-            for found in [self[w] for w in text.encode().translate(NORMAL).split()]:
-                if found:
-                    counts.update(found)
+            for found in [f for w in text.encode().translate(NORMAL).split() if (f := self[w])]:
+                counts.update(found)
         return counts
 
 
@@ -121,26 +122,36 @@ class BlockMaxIndex:
         for term, weight in vector.items():
             a, b = self.term_blocks[term], self.term_blocks[term + 1]
             bounds[self.block_of[a:b]] += weight * self.block_max[a:b]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
         best: list[tuple[float, int]] = []
-        for number in np.argsort(-bounds, kind="stable"):
-            if bounds[number] <= 0 or (len(best) == k and bounds[number] < best[-1][0] - 1e-12):
-                break
-            scores = np.zeros(self.block)
-            for term, weight in vector.items():
-                a, b = self.term_blocks[term], self.term_blocks[term + 1]
-                i = a + np.searchsorted(self.block_of[a:b], number)
-                if i < b and self.block_of[i] == number:
-                    where = slice(self.at[i], self.at[i + 1])
-                    scores[self.rows[where] - number * self.block] += weight * self.weights[where]
-            best += [
-                (float(scores[i]), int(number * self.block + i))
-                for i in np.flatnonzero(scores)
-                if number * self.block + i != but
-            ]
+        done, step = 0, 2
+        while done < len(order) and (len(best) < k or bounds[order[done]] >= best[-1][0] - 1e-12):
+            # The next few blocks that may still hold a nearer example, twice as many each time.
+            blocks = order[done : done + step]
+            if len(best) == k:
+                blocks = blocks[bounds[blocks] >= best[-1][0] - 1e-12]
+            done, step = done + step, 2 * step
+            best += [x for x in self._scored(vector, blocks) if x[1] != but]
             best.sort(key=lambda x: (-x[0], x[1]))
             del best[k:]
         return best
 
+    def _scored(self, vector: dict[int, float], blocks: np.ndarray) -> list[tuple[float, int]]:
+        """Similarities above zero of the examples in some blocks."""
+        place = np.full(self.size // self.block + 1, -1)
+        place[blocks] = np.arange(len(blocks))
+        scores = np.zeros(len(blocks) * self.block)
+        for term, weight in vector.items():
+            rows = self.rows[self.first[term] : self.first[term + 1]]
+            at = place[rows // self.block]
+            inside = at >= 0
+            scores[at[inside] * self.block + rows[inside] % self.block] += (
+                weight * self.weights[self.first[term] : self.first[term + 1]][inside]
+            )
+        found = np.flatnonzero(scores)
+        return [(float(scores[i]), int(blocks[i // self.block] * self.block + i % self.block)) for i in found]
+
 
 @dataclass
 class Model:
@@ -182,7 +193,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text: str,
     )
     # A row that is labelled twice counts as toxic if any label says so.
     known = known.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
-    known = known.join(docs.select(F.col(doc_id).alias("__id")).distinct(), "__id", "left_semi")
+    known = known.join(docs.select(F.col(doc_id).alias("__id")), "__id", "left_semi")
     sizes = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
     chosen = [
         r
@@ -197,9 +208,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text: str,
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["__id"], r["__toxic"]) for r in chosen], known.schema)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(wanted), "__id")
-    # Texts are reduced to their distinct terms and counts on the executors' side of the join.
-    found = rows.groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).orderBy("__id").toLocalIterator()
-    return [(str(r["__id"]), r["__toxic"], r["__text"], sizes[r["__toxic"]]) for r in found]
+    # A chosen id that several rows have stands for the least of their texts.
+    found = rows.groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).collect()
+    return [(str(r["__id"]), r["__toxic"], r["__text"], sizes[r["__toxic"]]) for r in sorted(found, key=lambda r: r["__id"])]
 
 
 def _choose_terms(examples: Iterable[tuple[set[bytes], int]], settings: Settings) -> list[bytes]:
@@ -216,7 +227,8 @@ def _choose_terms(examples: Iterable[tuple[set[bytes], int]], settings: Settings
         if with_it < 3 or not without or not all(sizes):
             continue
         chi = total * (a * (sizes[0] - b) - b * (sizes[1] - a)) ** 2 / (with_it * without * sizes[0] * sizes[1])
-        if chi >= settings.min_chi:
+        share = (a + 0.5) * sizes[0] / ((b + 0.5) * sizes[1])
+        if chi >= settings.min_chi and max(share, 1 / share) >= settings.lift:
             scored.append((-chi, term))
     return [term for _, term in sorted(scored)[: settings.max_terms]]
 
