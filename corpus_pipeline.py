@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.llm import decontamination, sentencepiece_chunks, toxicity
-from pricetide.llm.common import held_out, scratch_path, table
+from pricetide.llm import decontamination, ngram_jaccard, secret_scan, sentencepiece_chunks, toxicity
+from pricetide.llm.common import held_out, scratch_path, store, table
 from pricetide.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,12 +22,40 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__toxicity.score") < 0.7).select(*docs.columns)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each group of linked documents.
+
+    Rows without an id are linked with nothing and stay. Of rows that repeat both id and text
+    one stays.
+    """
+    classes = store(ngram_jaccard.jaccard_classes(docs))
+    others = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_anti")
+    again = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the contamination rule doesn't reject."""
     marked = decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark"), result="__found")
     return marked.where(~decontamination.is_contaminated("__found")).select(*docs.columns)
 
 
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced by a mark, and their lengths counted anew."""
+    found = secret_scan.find_secrets(docs, result="__secrets")
+    changed = F.size("__secrets") > 0
+    text = F.when(changed, secret_scan.redact(F.col("text"), F.col("__secrets"))).otherwise(F.col("text"))
+    out = found.withColumn("__text", text)
+    fresh = {
+        "text": F.col("__text"),
+        "n_chars": F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars")),
+    }
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns))
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their SentencePiece ids, and whether decoding gave the text back."""
     encoded = sentencepiece_chunks.encode_and_decode(docs, piece_model(), result="__pieces")
@@ -41,7 +69,9 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", keep_one_of_each),
     ("benchmark decontamination", drop_contaminated),
+    ("secret scans", redact_secrets),
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 

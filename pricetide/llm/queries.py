@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from pricetide.llm import (
     arc_to_warc,
+    chat_preferences,
     context_mixing,
     decontamination,
     ngram_jaccard,
     quality_rules,
     secret_scan,
     sentencepiece_chunks,
+    substring_dedup,
     toxicity,
 )
 from pricetide.llm.common import held_out, table
@@ -85,6 +87,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model).select("doc_id", "quality.*")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -99,6 +105,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spans_text(spans: F.Column) -> F.Column:
+    """start:end, joined by commas."""
+    each = F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return F.array_join(each, ",")
+
+
+def op8_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = chat_preferences.swapped_replies(table(spark, sf_dir, "conversations"))
+    pairs = chat_preferences.preference_pairs(chosen, rejected)
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"),
+        "prompt_turns",
+        "prompt",
+        "chosen",
+        "rejected",
+        spans_text(F.col("chosen_mask")).alias("chosen_mask"),
+        spans_text(F.col("rejected_mask")).alias("rejected_mask"),
+    )
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score_texts(table(spark, sf_dir, "documents"), held_out(5))
 
@@ -113,7 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_preferences": op8_chat_preferences,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_arc_to_warc": op10_arc_to_warc,
 }
@@ -192,4 +220,35 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
   CASE WHEN best <> page_id THEN best END AS refers_to, true AS body_ok
 FROM r"""
 
-ORACLES: dict[str, str] = {"op10_arc_to_warc": WARC_SQL, "op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
+PREFERENCES_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+last AS (SELECT conv_id, max(turn) AS turn FROM t WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
+reply AS (
+  SELECT l.conv_id, l.turn, max(t.text) AS text FROM last l
+  JOIN t ON t.conv_id = l.conv_id AND t.turn = l.turn AND t.role = 'assistant' GROUP BY l.conv_id, l.turn),
+pairs AS (
+  SELECT a.conv_id, a.turn, a.text AS chosen, b.text AS rejected
+  FROM reply a LEFT JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+earlier AS (
+  SELECT p.conv_id, count(*) AS turns,
+    string_agg('<|' || t.role || '|>
+' || t.text || '<|end|>
+', '' ORDER BY t.turn, t.role, t.text) AS prompt
+  FROM pairs p JOIN t ON t.conv_id = p.conv_id AND t.turn < p.turn GROUP BY p.conv_id),
+sides AS (
+  SELECT p.conv_id, p.chosen, p.rejected, coalesce(turns, 0) AS turns, coalesce(prompt, '') AS prompt,
+    p.chosen IS NOT DISTINCT FROM p.rejected AS same,
+    '<|assistant|>
+' || p.chosen || '<|end|>
+' AS c, '<|assistant|>
+' || p.rejected || '<|end|>
+' AS r
+  FROM pairs p LEFT JOIN earlier USING (conv_id)
+  WHERE p.rejected IS NOT NULL OR turns > 0)
+SELECT conv_id, turns + CAST(same AS BIGINT) AS prompt_turns, CASE WHEN same THEN prompt || c ELSE prompt END AS prompt,
+  CASE WHEN same THEN '' ELSE c END AS chosen, CASE WHEN same THEN '' ELSE coalesce(r, '') END AS rejected,
+  CASE WHEN same THEN '' ELSE '14:' || CAST(len(c) AS VARCHAR) END AS chosen_mask,
+  CASE WHEN same OR r IS NULL THEN '' ELSE '14:' || CAST(len(r) AS VARCHAR) END AS rejected_mask
+FROM sides"""
+
+ORACLES: dict[str, str] = {"op8_chat_preferences": PREFERENCES_SQL, "op10_arc_to_warc": WARC_SQL, "op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
