@@ -251,4 +251,26 @@ SELECT conv_id, turns + CAST(same AS BIGINT) AS prompt_turns, CASE WHEN same THE
   CASE WHEN same OR r IS NULL THEN '' ELSE '14:' || CAST(len(r) AS VARCHAR) END AS rejected_mask
 FROM sides"""
 
-ORACLES: dict[str, str] = {"op8_chat_preferences": PREFERENCES_SQL, "op10_arc_to_warc": WARC_SQL, "op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
+JACCARD_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM texts WHERE len(w) > 0),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * k >= 75 * (a.n + b.n - k)),
+reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y),
+least AS (SELECT x, min(y) AS y FROM reached GROUP BY x),
+degrees AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(least.y, t.doc_id)) AS component_id,
+  coalesce(n_links, 0) AS n_links
+FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN least ON least.x = t.doc_id
+LEFT JOIN degrees d ON d.x = t.doc_id""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": JACCARD_SQL, "op8_chat_preferences": PREFERENCES_SQL, "op10_arc_to_warc": WARC_SQL, "op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}

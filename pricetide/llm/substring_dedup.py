@@ -146,7 +146,8 @@ def repeated_passages(
     """Passages that an earlier document has too: a row for each run of repeated chunks.
 
     Columns: `doc_id`, `start` and `end` (code points, end exclusive), `n_words`, and
-    `source_ids`, sorted: the least ids of texts that have the run's chunks. Chunks are equal if
+    `source_ids`, sorted: of the least ids of texts that have the run's chunks, those that account
+    for `least_words` of its words, or for the most. Chunks are equal if
     their 128-bit digests are. A chunk counts as repeated in all documents that have it but the
     one of least id, and only if documents of different ids have it; consecutive repeated
     chunks make a run, which is reported if it begins at least `least_words` words. The ends
@@ -185,16 +186,21 @@ def repeated_passages(
         *(F.first(c).alias(c) for c in ("start", "end", "words", "first_id"))
     )
     inside = Window.partitionBy("id", "row").orderBy("seq")
-    runs = (
+    shares = (
         matched.withColumn("run", F.col("seq") - F.row_number().over(inside))
-        .groupBy("id", "row", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.sum("words").alias("n_words"),
-            F.sort_array(F.collect_set("first_id")).alias("source_ids"),
-        )
+        .groupBy("id", "row", "run", "first_id")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
+    )
+    runs = shares.groupBy("id", "row", "run").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.sum("words").alias("n_words"),
+        F.max("words").alias("most"),
+        F.collect_list(F.struct("first_id", "words")).alias("sources"),
     )
+    # A short chunk may stand in any text; a source has a passage's words, or the most of all.
+    enough = F.least(F.col("most"), F.lit(s.least_words))
+    sources = F.filter("sources", lambda source: source["words"] >= enough)["first_id"]
     return runs.where(F.col("n_words") >= s.least_words).select(
-        F.col("id").alias(doc_id), "start", "end", "n_words", "source_ids"
+        F.col("id").alias(doc_id), "start", "end", "n_words", F.sort_array(sources).alias("source_ids")
     )
