@@ -14,14 +14,27 @@ def first_present(*candidates: Column, default: Column | None = None) -> Column:
     return F.coalesce(*options)
 
 
+# Fixed value: white space that is stripped, that of Unicode and the ASCII separators.
+_BLANKS = r"[\p{Z}\s\x1c-\x1f\x85]+"
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind around it."""
+    return F.regexp_replace(text, f"^{_BLANKS}|{_BLANKS}$", "")
+
+
 def label_key(label: Column) -> Column:
-    """Normal form under which category labels are compared."""
-    return F.lower(F.trim(label))
+    """Normal form under which category labels are compared: stripped, case folded.
+
+    Folding also takes the letters whose lower case isn't their folded form.
+    """
+    lower = F.lower(strip(label))
+    return F.translate(F.replace(lower, F.lit("ß"), F.lit("ss")), "ςſ", "σs")
 
 
 def source_date(text: Column) -> Column:
     """Trimmed source date; blank and zero dates become NULL."""
-    t = F.trim(text)
+    t = strip(text)
     return F.when((t != "") & ~t.startswith("0000-00-00"), t)
 
 

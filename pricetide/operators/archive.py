@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.dates import inclusive_days, month_start_on_or_after
 from pricetide.functions.ids import conflict_key, object_category, snapshot_key
 from pricetide.functions.prices import budget_status, ratio
 from pricetide.functions.text import missing_manifest_day
-from pricetide.operators.ranking import rank_within
 from pricetide.params import SOURCE_KINDS
 from pricetide.sources.snapshots import record_list
 
@@ -35,7 +34,7 @@ def expected_entries(days: DataFrame, inceptions: DataFrame) -> DataFrame:
     """
     kinds = F.explode(F.array(*[F.lit(k) for k in SOURCE_KINDS])).alias("kind")
     return (
-        days.join(F.broadcast(inceptions), F.col("run_date") >= F.col("inception"))
+        days.join(inceptions, F.col("run_date") >= F.col("inception"))
         .select("run_date", "game_key", kinds)
     )
 
@@ -111,23 +110,31 @@ def payload_records(body: Column, kind: Column) -> Column:
 def content_errors(
     files: DataFrame, documents: DataFrame, min_records: int = MIN_PRICEGUIDE_RECORDS
 ) -> DataFrame:
-    """Compare declared files with landed bodies (key, body): hash, size, JSON, record count."""
-    joined = files.select("run_date", "game_key", "kind", "key", "sha256", "size").join(
-        documents.select("key", "body"), "key", "left"
-    )
+    """Compare declared files with landed bodies (key, body): hash, size, JSON, record count.
+
+    Bodies are measured beside their scan; what is shuffled is five small columns.
+    """
     body = F.col("body")
-    valid_json = F.try_parse_json(body).isNotNull()
-    records = payload_records(body, F.col("kind"))
+    guide, other = (payload_records(body, F.lit(kind)) for kind in ("priceguide", "catalogue"))
+    landed = documents.filter(body.isNotNull()).select(
+        "key",
+        F.sha2(body, 256).alias("_sha"),
+        F.octet_length(body).alias("_size"),
+        F.try_parse_json(body).isNotNull().alias("_valid"),
+        F.when(guide.isNotNull(), F.size(guide)).alias("_guide"),
+        F.when(other.isNotNull(), F.size(other)).alias("_other"),
+    )
+    joined = files.select("run_date", "game_key", "kind", "key", "sha256", "size").join(landed, "key", "left")
+    is_guide = F.col("kind") == "priceguide"
+    found = F.when(is_guide, F.col("_guide")).otherwise(F.col("_other"))
+    valid = F.col("_valid")
     checks = F.array(
-        F.when(body.isNull(), F.lit("unreadable")),
-        F.when(F.sha2(body, 256) != F.col("sha256"), F.lit("sha256 mismatch")),
-        F.when(F.octet_length(body) != F.col("size"), F.lit("uncompressed size mismatch")),
-        F.when(body.isNotNull() & ~valid_json, F.lit("invalid json")),
-        F.when(valid_json & records.isNull(), F.lit("missing records")),
-        F.when(
-            valid_json & (F.col("kind") == "priceguide") & (F.size(records) < min_records),
-            F.lit(f"price guide below {min_records} records"),
-        ),
+        F.when(F.col("_sha").isNull(), F.lit("unreadable")),
+        F.when(F.col("_sha") != F.col("sha256"), F.lit("sha256 mismatch")),
+        F.when(F.col("_size") != F.col("size"), F.lit("uncompressed size mismatch")),
+        F.when(~valid, F.lit("invalid json")),
+        F.when(valid & found.isNull(), F.lit("missing records")),
+        F.when(valid & is_guide & (found < min_records), F.lit(f"price guide below {min_records} records")),
     )
     return joined.select(
         "run_date", "game_key", "kind", "key", F.explode(F.array_compact(checks)).alias("error")
@@ -216,13 +223,22 @@ def sample_size(total: Column, rate: float) -> Column:
 def sample_files(files: DataFrame, rate: float, seed: str) -> DataFrame:
     """A seeded sample of exactly min(n, max(1, ceil(n * rate))) distinct keys.
 
-    The order is a hash of seed and key, so a rerun verifies the same files.
+    The order is the SHA-256 of seed and key, so a rerun verifies the same files.
+    Keys fall evenly over the first 16 bits of it: a count of those cells (65,536 rows at
+    most) finds the cell that the sample ends in, and only that cell's keys are ranked.
     """
-    keys = files.select("key").distinct().withColumn("_order", F.xxhash64(F.lit(seed), F.col("key")))
-    ranked = rank_within(keys, [], [F.asc("_order"), F.asc("key")], "_rank")
-    total = ranked.agg(F.count(F.lit(1)).alias("n"))
-    size = total.select(sample_size(F.col("n"), rate)).scalar()
-    return ranked.filter(F.col("_rank") <= size).select("key")
+    order = F.sha2(F.concat(F.lit(seed), F.col("key")), 256)
+    keys = files.select("key").distinct().withColumn("_order", order).withColumn("_cell", F.substring("_order", 1, 4))
+    cells = keys.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    size = cells.agg(sample_size(F.coalesce(F.sum("_n"), F.lit(0)), rate).alias("n")).select("n").scalar()
+    wanted = cells.filter(F.col("_before") < size).withColumn("_left", size - F.col("_before"))
+    whole = keys.join(wanted.filter(F.col("_n") <= F.col("_left")), "_cell", "left_semi")
+    last = keys.join(wanted.filter(F.col("_n") > F.col("_left")), "_cell")
+    inside = Window.partitionBy("_cell").orderBy("_order", "key")
+    cut = last.withColumn("_rank", F.row_number().over(inside)).filter(F.col("_rank") <= F.col("_left"))
+    return whole.select("key").unionByName(cut.select("key"))
 
 
 def coverage(days: DataFrame, manifests: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def index_days(calendar: DataFrame, members: DataFrame, definitions: DataFrame)
     dates (both bounded by the calendar); days before the first rebalance drop out.
     """
     games = definitions.select("index_code", "game_key")
-    days = calendar.join(F.broadcast(games), "game_key").select(
+    days = calendar.join(games, "game_key").select(
         "index_code", "value_date", "unchanged", F.lit(None).cast("date").alias("eff"), F.lit(True).alias("is_day")
     )
     steps = members.select("index_code", "effective_date").distinct().select(
@@ -56,7 +56,7 @@ def member_panel(
     shuffled by day. Prices hold one row per variant and day; where they may not,
     `last_by` names a scalar column whose greatest value marks the row to keep.
     """
-    games = F.broadcast(definitions.select("index_code", "game_key"))
+    games = definitions.select("index_code", "game_key")
     panel = (
         index_days(calendar, members, definitions)
         .join(
@@ -182,7 +182,7 @@ def link(returns: DataFrame, definitions: DataFrame, method: Methodology) -> Dat
         .orderBy("value_date")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    base = F.broadcast(definitions.select("index_code", "base_value"))
+    base = definitions.select("index_code", "base_value")
     return (
         returns.join(base, "index_code")
         .withColumn("index_value", F.col("base_value") * F.product(1 + F.col("daily_return")).over(path))
@@ -230,7 +230,7 @@ def calculate_daily_values(
     if start_value is not None:
         definitions = definitions.withColumn("base_value", F.lit(float(start_value)))
     first = prices.groupBy("game_key").agg(F.min("value_date").alias("effective_date"))
-    games = F.broadcast(definitions.select("index_code", "game_key"))
+    games = definitions.select("index_code", "game_key")
     members = (
         constituents.select("index_code", *VARIANT, "stable_variant_id")
         .join(games, "index_code")

@@ -60,7 +60,7 @@ def score_liquidity(
     eff = effective_dates_for(F.col("value_date"), lookback_days, effective_dates)
     in_window = F.col("previous_date") >= F.date_sub(F.col("effective_date"), lookback_days)
     # Definitions are a parameter table (tens of rows).
-    rules = F.broadcast(
+    rules = (
         definitions.select("index_code", "game_key", "product_kind", "min_price", "base_date")
     )
     expanded = (

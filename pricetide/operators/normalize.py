@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.ids import product_id, set_id, variant_id
-from pricetide.functions.text import label_key, source_date
+from pricetide.functions.text import label_key, source_date, strip
 from pricetide.params import HOLO_GAMES
 
 # Fixed value: smallest share of products whose category must be known.
@@ -24,7 +24,7 @@ def classify(records: DataFrame, categories: DataFrame) -> DataFrame:
 
     The category map is a configuration file of at most a few hundred labels.
     """
-    labels = F.broadcast(
+    labels = (
         categories.select(F.col("label").alias("_label"), F.col("kind").alias("_kind"))
     )
     return (
@@ -39,7 +39,7 @@ def classify(records: DataFrame, categories: DataFrame) -> DataFrame:
 def catalogue_records(records: DataFrame, categories: DataFrame) -> DataFrame:
     """Records with trimmed category and classification; input of the tables below."""
     trimmed = records.withColumn(
-        "raw_category", F.trim(F.coalesce("raw_category", F.lit("")))
+        "raw_category", strip(F.coalesce("raw_category", F.lit("")))
     )
     return classify(trimmed, categories)
 
@@ -138,10 +138,16 @@ def unpivot_prices(records: DataFrame) -> DataFrame:
 
 
 def with_product_kind(rows: DataFrame, products: DataFrame) -> DataFrame:
-    """Look up product_kind by game and product; unknown products are `other`."""
-    kinds = products.select("game_key", "cm_product_id", F.col("product_kind").alias("_kind"))
+    """Look up product_kind by game and product; unknown products are `other`.
+
+    Where both sides have a `run_date` the day is part of the key. A product that is
+    listed more than once has the last of its kinds by name, so no row is doubled.
+    """
+    days = ["run_date"] if "run_date" in rows.columns and "run_date" in products.columns else []
+    key = ["game_key", "cm_product_id", *days]
+    kinds = products.groupBy(*key).agg(F.max("product_kind").alias("_kind"))
     return (
-        rows.join(kinds, ["game_key", "cm_product_id"], "left")
+        rows.join(kinds, key, "left")
         .withColumn("product_kind", F.coalesce("_kind", F.lit("other")))
         .drop("_kind")
     )

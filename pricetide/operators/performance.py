@@ -15,13 +15,13 @@ def _by_date() -> Window:
 
 def post_inception(history: DataFrame, definitions: DataFrame) -> DataFrame:
     """History from each index's base date on."""
-    base = F.broadcast(definitions.select("index_code", "base_date"))
+    base = definitions.select("index_code", "base_date")
     return history.join(base, "index_code").filter(F.col("value_date") >= F.col("base_date")).drop("base_date")
 
 
 def validation_rows(history: DataFrame, definitions: DataFrame) -> DataFrame:
     """Number of rows before the base date per index."""
-    base = F.broadcast(definitions.select("index_code", "base_date"))
+    base = definitions.select("index_code", "base_date")
     return (
         history.join(base, "index_code")
         .groupBy("index_code")
@@ -157,7 +157,7 @@ def history_csv_rows(history: DataFrame, definitions: DataFrame) -> DataFrame:
     """Publishable history rows as text columns; unpublished indexes have none."""
     return (
         history.join(
-            F.broadcast(definitions.filter(F.col("status") == "published").select("index_code")),
+            definitions.filter(F.col("status") == "published").select("index_code"),
             "index_code",
             "left_semi",
         )

@@ -31,7 +31,7 @@ def weekly_highlights(history: DataFrame, definitions: DataFrame) -> DataFrame:
     )
     path = Window.partitionBy("index_code").orderBy("first_day")
     start = F.coalesce(F.lag("end_value").over(path), F.col("first_value"))
-    names = F.broadcast(definitions.select("index_code", "name"))
+    names = definitions.select("index_code", "name")
     ret = F.col("end_value") / F.col("start_value") - 1
     events = F.array_compact(
         F.array(

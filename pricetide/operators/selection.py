@@ -150,7 +150,7 @@ def reachable(ranked: DataFrame, definitions: DataFrame, method: Methodology) ->
     Exact, because fills only ever reach rank N and incumbents rank ceil(1.2 N);
     it bounds the fold input to that many rows per index and month.
     """
-    limits = F.broadcast(
+    limits = (
         with_cutoffs(definitions, method).select(
             "index_code", "target_size", "retention_cutoff", "entry_cutoff"
         )
@@ -249,7 +249,7 @@ def removed_members(members: DataFrame, ranked: DataFrame, definitions: DataFram
     """Removal records with the removed incumbent's current rank, if it still has one."""
     keys = ["index_code", "effective_date", "cm_product_id", "variant_key"]
     gone = left_behind(members)
-    games = F.broadcast(definitions.select("index_code", "game_key"))
+    games = definitions.select("index_code", "game_key")
     return (
         gone.join(ranked.select(*keys, "rank"), keys, "left")
         .join(games, "index_code")
@@ -313,7 +313,7 @@ def select_constituents(
         "place",
     )
     gone = held.select(*keys).join(members.select(*keys), keys, "left_anti")
-    games = F.broadcast(definitions.select("index_code", "game_key"))
+    games = definitions.select("index_code", "game_key")
     removed = (
         gone.join(ranked.select(*keys, "rank"), keys, "left")
         .join(games, "index_code")

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pricetide.operators import merge, normalize
+from pricetide.operators.archive import (
+    MIN_PRICEGUIDE_RECORDS,
+    content_errors,
+    duplicate_entries,
+    snapshot_key,
+    structure_errors,
+)
 from pricetide.schemas import PRICE_TABLE, PRICES, PRODUCTS, SETS, VARIANTS
 from pricetide.session import cut_lineage
-from pricetide.sinks.tables import append_receipts, stored, write_if_changed, write_sorted
+from pricetide.sinks.tables import append_receipts, measure, replace_groups, stored, write_if_changed, write_sorted
 from pricetide.sources.snapshots import explode_records, typed_records
 
 
@@ -30,28 +37,27 @@ class NormalizedBatch:
     invalid: DataFrame
 
 
+def read_records(documents: DataFrame) -> DataFrame:
+    """Typed records of snapshot documents (game_key, run_date, kind, body)."""
+    return typed_records(explode_records(documents.select("game_key", "run_date", "kind", "body")))
+
+
 def normalize_documents(documents: DataFrame, categories: DataFrame) -> NormalizedBatch:
     """Normalise snapshot documents (game_key, run_date, kind, body) of any number of
     games and days in one plan; game and day are key columns."""
-    records = typed_records(explode_records(documents.select("game_key", "run_date", "kind", "body")))
+    return normalize_records(read_records(documents), categories)
+
+
+def normalize_records(records: DataFrame, categories: DataFrame) -> NormalizedBatch:
+    """Tables of typed records; the kind of a price row is that of its day's catalogue."""
     known = records.filter(F.col("cm_product_id").isNotNull())
     catalogue = normalize.catalogue_records(
         known.filter(F.col("kind") == "catalogue"), categories
     )
     guide = known.filter(F.col("kind") == "priceguide")
     products = normalize.products_table(catalogue)
-    # Kinds are those of the same day's catalogue.
     kinds = catalogue.select("game_key", "run_date", "cm_product_id", "product_kind")
-    unpivoted = normalize.prices_table(guide, _no_products(kinds)).drop("product_kind")
-    prices = (
-        unpivoted.join(
-            kinds.withColumnRenamed("run_date", "value_date"),
-            ["game_key", "value_date", "cm_product_id"],
-            "left",
-        )
-        .withColumn("product_kind", F.coalesce("product_kind", F.lit("other")))
-        .select(*[f.name for f in PRICES.fields])
-    )
+    prices = normalize.prices_table(guide, kinds).select(*[f.name for f in PRICES.fields])
     duplicates = normalize.duplicate_keys(
         records, ["game_key", "run_date", "kind", "cm_product_id"]
     )
@@ -69,47 +75,76 @@ def normalize_documents(documents: DataFrame, categories: DataFrame) -> Normaliz
     )
 
 
-def _no_products(kinds: DataFrame) -> DataFrame:
-    return kinds.sparkSession.createDataFrame(
-        [], "game_key string, cm_product_id bigint, product_kind string"
-    )
+DAY = ["game_key", "run_date"]
+
+
+def _rejected_by_manifest(files: DataFrame, documents: DataFrame, min_records: int) -> DataFrame:
+    """(game, day) pairs whose manifest entries are duplicate, malformed or don't fit the bodies."""
+    landed = documents.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
+    wrong = [structure_errors(files), content_errors(files, landed, min_records), duplicate_entries(files)]
+    days = [w.select("game_key", F.col("run_date").cast("date").alias("run_date")) for w in wrong]
+    listed = files.select("game_key", F.col("run_date").cast("date").alias("run_date"), "kind").distinct()
+    short = documents.select(*DAY, "kind").distinct().join(listed, [*DAY, "kind"], "left_anti").select(*DAY)
+    return days[0].unionByName(days[1]).unionByName(days[2]).unionByName(short).distinct()
 
 
 def run_normalize(
-    spark: SparkSession, documents: DataFrame, categories: DataFrame, root: str
+    spark: SparkSession,
+    documents: DataFrame,
+    categories: DataFrame,
+    root: str,
+    files: DataFrame | None = None,
+    min_records: int = MIN_PRICEGUIDE_RECORDS,
 ) -> DataFrame:
     """Merge a batch of landed documents into the tables below `root`.
 
-    Every (game, day) is gated on its own: a day with duplicate or missing ids, an
-    empty catalogue or too many unknown categories only leaves its quality row; the
-    other days are merged. Returns the run notes (one row per game and day).
+    Every (game, day) is judged on its own. With manifest entries (`files`), a day whose
+    entries are malformed, or don't fit what landed, is rejected before anything is read
+    from it; so is a day with duplicate or missing ids or an empty catalogue. All other
+    days are merged, whatever share of their categories is known. Only a day that
+    reaches the share gets a completion row, with the hashes of its sources and of the
+    category map. Returns the run notes (one row per game and day): ok, fail (merged
+    without completion), invalid or rejected.
+
+    Bodies are parsed once; typed records are what is stored in between.
     """
-    landed = cut_lineage(documents.select("game_key", "run_date", "kind", "body"))
-    batch = normalize_documents(landed, categories)
-    day = ["game_key", "run_date"]
-    spoiled = (
-        batch.duplicates.select(*day).unionByName(batch.invalid.select(*day)).distinct()
+    landed = documents.select("game_key", "run_date", "kind", "body")
+    present = landed.select(*DAY).distinct()
+    sources = landed.groupBy(*DAY).agg(
+        *(
+            F.max(F.when(F.col("kind") == kind, F.sha2("body", 256))).alias(f"{kind}_sha256")
+            for kind in ("catalogue", "priceguide")
+        )
     )
-    present = landed.select(*day).distinct()
+    if files is not None:
+        rejected = cut_lineage(_rejected_by_manifest(files, landed, min_records))
+        landed = landed.join(rejected, DAY, "left_anti")
+    else:
+        rejected = present.limit(0)
+    records = cut_lineage(read_records(landed))
+    first = normalize_records(records, categories)
+    spoiled = first.duplicates.select(*DAY).unionByName(first.invalid.select(*DAY)).distinct()
     quality = (
-        present.join(batch.quality, day, "left")
-        .join(spoiled.withColumn("spoiled", F.lit(True)), day, "left")
+        present.join(first.quality, DAY, "left")
+        .join(spoiled.withColumn("spoiled", F.lit(True)), DAY, "left")
+        .join(rejected.withColumn("rejected", F.lit(True)), DAY, "left")
         .select(
-            *day,
+            *DAY,
             F.coalesce("catalogue_products", F.lit(0)).alias("catalogue_products"),
             F.coalesce("classification_coverage", F.lit(0.0)).alias("classification_coverage"),
             F.coalesce("unknown_products", F.lit(0)).alias("unknown_products"),
-            F.when(F.col("spoiled"), "invalid")
-            .otherwise(F.coalesce("status", F.lit("fail")))
+            F.when(F.col("rejected"), "rejected")
+            .when(F.coalesce("spoiled", F.lit(False)) | F.col("status").isNull(), "invalid")
+            .otherwise(F.col("status"))
             .alias("status"),
         )
     )
     quality = cut_lineage(quality)
-    append_receipts(spark, f"{root}/quality", quality, day)
-    unknown = batch.unknown_categories.select(*day, "category")
-    append_receipts(spark, f"{root}/unknown_categories", unknown, [*day, "category"])
-    good = quality.filter(F.col("status") == "pass").select(*day)
-    clean = normalize_documents(landed.join(good, day, "left_semi"), categories)
+    append_receipts(spark, f"{root}/quality", quality, DAY)
+    merged = quality.filter(F.col("status").isin("pass", "fail")).select(*DAY)
+    clean = normalize_records(records.join(merged, DAY, "left_semi"), categories)
+    unknown = clean.unknown_categories.select(*DAY, "category")
+    replace_groups(spark, f"{root}/unknown_categories", unknown, merged)
 
     merge_catalogue_table(spark, f"{root}/products", clean.products, PRODUCTS, "stable_product_id")
     merge_catalogue_table(spark, f"{root}/sets", clean.sets, SETS, "stable_set_id")
@@ -120,12 +155,18 @@ def run_normalize(
         F.count(F.lit(1)).alias("price_rows"),
         F.count_distinct("stable_variant_id").alias("catalogue_variants"),
     )
-    notes = (
-        quality.join(counts, day, "left")
+    notes = cut_lineage(
+        quality.join(counts, DAY, "left")
+        .join(sources, DAY, "left")
         .fillna(0, ["price_rows", "catalogue_variants"])
         .withColumn("status", F.when(F.col("status") == "pass", "ok").otherwise(F.col("status")))
     )
-    return append_receipts(spark, f"{root}/runs", notes, day)
+    _, map_hash = measure(categories)
+    complete = notes.filter(F.col("status") == "ok").drop("status", "unknown_products")
+    append_receipts(
+        spark, f"{root}/completions", complete.withColumn("category_map_fingerprint", F.lit(map_hash)), DAY
+    )
+    return append_receipts(spark, f"{root}/runs", notes.drop("catalogue_sha256", "priceguide_sha256"), DAY)
 
 
 def merge_catalogue_table(
@@ -153,7 +194,7 @@ def merge_price_partitions(spark: SparkSession, path: str, current: DataFrame) -
         # directories; games x months then cut the rest.
         months = [r["month"] for r in touched.select("month").distinct().collect()]
         old = existing.filter(F.col("month").isin(months)).join(
-            F.broadcast(touched), ["game_key", "month"], "left_semi"
+            touched, ["game_key", "month"], "left_semi"
         )
         incoming = merge.merge_prices(old, incoming)
     else:

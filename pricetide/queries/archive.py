@@ -306,9 +306,15 @@ def sample_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("sampled", archive.sample_size(F.col("files"), 0.3))
 
 
-@query("sampled_files", "T5", "key:s")
+@query(
+    "sampled_files",
+    "T5",
+    "key:s",
+    """SELECT key FROM (SELECT key, row_number() OVER (ORDER BY sha256('weekly' || key), key) AS rn, count(*) OVER () AS n
+    FROM (SELECT DISTINCT key FROM manifest_files)) WHERE rn <= least(n, greatest(1, ceil(n * 0.05)))""",
+    ["manifest_files"],
+)
 def sampled_files(spark: SparkSession, sf: str) -> DataFrame:
-    # Which files a seed picks depends on the hash function, so there is no SQL twin.
     return archive.sample_files(views.manifest_files(spark, sf), 0.05, "weekly")
 
 

@@ -83,12 +83,15 @@ def portfolio_indexes(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "visible_definitions",
     "P16",
-    "index_code:s status:s",
-    "SELECT * FROM definitions WHERE status IN ('published', 'accumulating')",
-    ["definitions"],
+    "index_code:s status:s days:i",
+    """SELECT d.index_code, d.status, count(h.value_date) AS days FROM definitions d LEFT JOIN history h USING (index_code)
+    WHERE d.status IN ('published', 'accumulating') GROUP BY 1, 2""",
+    ["definitions", "history"],
 )
 def visible_definitions(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.visible(views.definitions(spark))
+    shown = tables.visible(views.definitions(spark)).select("index_code", "status")
+    days = views.history(spark, sf).groupBy("index_code").agg(F.count("value_date").alias("days"))
+    return shown.join(days, "index_code", "left").fillna(0, ["days"])
 
 
 @query(

@@ -46,16 +46,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise heavy work when a table has fewer files than cores.
-
-    The driver tables are single files of one row group, hence one task; a table of
-    many files is left as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for tables a query writes and reads back, in the shared checkpoint folder."""
     shared = ensure_checkpoint_dir(spark).rstrip("/")
@@ -213,10 +203,9 @@ def basket(spark: SparkSession, sf: str) -> DataFrame:
     )
     keys = ["index_code", "effective_date"]
     order = Window.partitionBy(*keys).orderBy(F.desc("revenue"), "cm_product_id", "variant_key")
-    limits = F.broadcast(definitions(spark).select("index_code", "target_size", "game_key"))
+    limits = definitions(spark).select("index_code", "target_size", "game_key")
     top = (
         sold.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= 8)
         .join(limits, "index_code")
         .filter(F.col("rank") <= F.col("target_size"))
     )
@@ -362,7 +351,7 @@ def _enveloped(key: Column, records: Column) -> Column:
 
 def price_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Price-guide documents, one per line item, with two records each."""
-    line = spread(table(spark, sf, "lineitem"))
+    line = table(spark, sf, "lineitem")
     pid = F.col("l_partkey")
     holo, untaxed = part_game(pid) == "pokemon", F.col("l_tax") == 0
     foil = F.when(F.col("l_returnflag") == "R", F.col("l_quantity") * 2)
@@ -395,7 +384,7 @@ def price_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def catalogue_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue documents, one per part (every tenth part is not listed)."""
-    part = spread(table(spark, sf, "part")).filter(F.col("p_partkey") % 10 != 3)
+    part = table(spark, sf, "part").filter(F.col("p_partkey") % 10 != 3)
     pid = F.col("p_partkey")
     record = F.to_json(
         F.struct(
@@ -421,7 +410,7 @@ def catalogue_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def holdings_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Holdings CSV files, one per line item: its holding, the same one again, and a bad line."""
-    line = spread(table(spark, sf, "lineitem"))
+    line = table(spark, sf, "lineitem")
     part = table(spark, sf, "part").select("p_partkey", brand_id(F.col("p_brand")).alias("pid"))
     rows = line.join(part, line.l_partkey == part.p_partkey)
     cost = F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice").cast("string")).otherwise("")

@@ -52,7 +52,7 @@ def visible_rows(rows: DataFrame, definitions: DataFrame) -> DataFrame:
     shown = definitions.filter(
         (F.col("status") == "published") & (F.col("history_start_kind") == "published")
     ).select("index_code")
-    return rows.join(F.broadcast(shown), "index_code", "left_semi")
+    return rows.join(shown, "index_code", "left_semi")
 
 
 def write_public_export(

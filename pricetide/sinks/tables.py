@@ -113,3 +113,15 @@ def append_receipts(
     merged = cut_lineage(merged)
     merged.write.mode("overwrite").parquet(path)
     return merged
+
+
+def replace_groups(spark: SparkSession, path: str, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Table after a run: all rows of `groups` go, `rows` come, other groups stay.
+
+    A group without any new row is left without rows.
+    """
+    existing = stored(spark, path, rows.schema)
+    kept = rows if existing is None else existing.join(groups, groups.columns, "left_anti").unionByName(rows)
+    kept = cut_lineage(kept)
+    kept.write.mode("overwrite").parquet(path)
+    return kept

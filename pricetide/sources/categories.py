@@ -44,10 +44,10 @@ def load_category_map(spark: SparkSession, path: str | Path) -> DataFrame:
     if not isinstance(raw, dict) or not all(isinstance(v, list) for v in raw.values()):
         raise ValueError("category map must be an object of label lists")
     frame = category_frame(spark, raw)
-    # The map is a configuration file, so its conflicts are a handful of rows.
-    clashes = conflicting_labels(frame).limit(5).collect()
+    # No more rows than the configuration file has labels.
+    clashes = sorted(r.label for r in conflicting_labels(frame).collect())
     if clashes:
-        raise ValueError("category labels map to two kinds: " + ", ".join(r.label for r in clashes))
+        raise ValueError("category labels map to two kinds: " + ", ".join(clashes))
     return frame
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.functions.text import positive_number
+from pricetide.functions.text import positive_number, strip
 
-# Limits of one upload and the columns it must name.
-MAX_BYTES = 1_000_000
-MAX_ROWS = 5_000
+# The limits that an upload form sets, and the columns a document must name.
+UPLOAD_BYTES = 1_000_000
+UPLOAD_ROWS = 5_000
 MAX_QUANTITY = 1_000_000.0
 REQUIRED = ("cm_product_id", "quantity")
 
@@ -22,17 +22,22 @@ def read_holdings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def _cells(line: Column) -> Column:
-    return F.transform(F.split(line, ",", -1), lambda c: F.trim(c))
+    return F.transform(F.split(line, ",", -1), strip)
 
 
-def parse_holdings(documents: DataFrame) -> DataFrame:
+def parse_holdings(
+    documents: DataFrame, max_bytes: int | None = None, max_rows: int | None = None
+) -> DataFrame:
     """Rows and line errors of CSV documents (portfolio_id, csv).
 
     Result: portfolio_id, line, error (NULL when valid), cm_product_id,
-    variant_key, quantity, cost_basis_eur. A document that breaks a limit yields
-    one error on line 1. The size limits bound what one document can expand to.
+    variant_key, quantity, cost_basis_eur. A document that breaks a rule yields one
+    error on line 1. Size limits hold only where they are given, as an upload form
+    gives UPLOAD_BYTES and UPLOAD_ROWS. A byte order mark and white space of any kind
+    around the text and its cells are left out.
     """
-    lines = F.filter(F.split(F.trim("csv"), r"\r?\n"), lambda s: s != "")
+    text = strip(F.regexp_replace("csv", "^\ufeff", ""))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda s: s != "")
     docs = documents.select(
         "portfolio_id",
         F.octet_length("csv").alias("bytes"),
@@ -40,9 +45,15 @@ def parse_holdings(documents: DataFrame) -> DataFrame:
     ).withColumn("header", _cells(F.get("lines", F.lit(0))))
     missing = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), F.col("header"))
     problem = (
-        F.when(F.col("bytes") > MAX_BYTES, "CSV exceeds the 1 MB limit")
+        F.when(
+            F.lit(max_bytes is not None) & (F.col("bytes") > F.lit(max_bytes)),
+            "CSV exceeds the 1 MB limit" if max_bytes == UPLOAD_BYTES else f"CSV exceeds the {max_bytes} byte limit",
+        )
         .when(F.size("lines") == 0, "CSV is empty")
-        .when(F.size("lines") - 1 > MAX_ROWS, f"CSV exceeds the {MAX_ROWS} holding limit")
+        .when(
+            F.lit(max_rows is not None) & (F.size("lines") - 1 > F.lit(max_rows)),
+            f"CSV exceeds the {max_rows} holding limit",
+        )
         .when(
             F.size(missing) > 0,
             F.concat(F.lit("Missing required column: "), F.array_join(missing, ", ")),
@@ -70,7 +81,7 @@ def parse_holdings(documents: DataFrame) -> DataFrame:
             F.lit(None).cast("string").alias("error"),
             *[
                 F.when(
-                    F.col(f"at_{name}") > 0, F.trim(F.get("cells", F.col(f"at_{name}") - 1))
+                    F.col(f"at_{name}") > 0, strip(F.get("cells", F.col(f"at_{name}") - 1))
                 ).alias(f"{name}_text")
                 for name in names
             ],

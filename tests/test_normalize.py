@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from pricetide.operators import merge, normalize
+from pricetide.operators import archive, merge, normalize
 from pricetide.plans import daily
 from pricetide.schemas import PRICES, PRODUCTS
 from pricetide.sources import categories, snapshots, tables
@@ -170,12 +170,56 @@ def test_daily_run_is_repeatable(spark, tmp_path):
     assert rows(seen, "first_seen", "last_seen") == [(late, DAY)]
 
 
-def test_quality_gate_blocks_the_tables(spark, tmp_path):
+def test_quality_gate_withholds_only_the_completion(spark, tmp_path):
     cats = categories.category_frame(spark, MAP)
     root = str(tmp_path / "tables")
     notes = daily.run_normalize(spark, documents(spark, *day_docs(n=20, category="Strange")), cats, root)
     assert rows(notes, "status", "classification_coverage") == [("fail", 0.0)]
-    assert tables.read_prices(spark, f"{root}/prices", DAY).count() == 0
+    assert tables.read_prices(spark, f"{root}/prices", DAY).count() == 21
+    assert spark.read.parquet(f"{root}/products").count() == 20
+    assert spark.read.parquet(f"{root}/completions").count() == 0
+    assert rows(spark.read.parquet(f"{root}/unknown_categories"), "category") == [("Strange",)]
+    # A replay that knows the label completes the day, and the label is no longer listed.
+    wider = categories.category_frame(spark, {**MAP, "other": ["strange"]})
+    notes = daily.run_normalize(spark, documents(spark, *day_docs(n=20, category="Strange")), wider, root)
+    assert rows(notes, "status") == [("ok",)]
+    assert spark.read.parquet(f"{root}/unknown_categories").count() == 0
+    done = spark.read.parquet(f"{root}/completions").first()
+    assert len(done["catalogue_sha256"]) == len(done["priceguide_sha256"]) == 64
+
+
+def test_manifest_is_checked_first(spark, tmp_path):
+    cats = categories.category_frame(spark, MAP)
+    root = str(tmp_path / "tables")
+    docs = documents(spark, *day_docs(n=5), *day_docs(n=5, day=date(2026, 8, 13)))
+    body = F.col("body")
+    files = docs.select(
+        F.col("run_date").cast("string").alias("run_date"),
+        F.lit(1).alias("schema_version"),
+        "game_key",
+        "kind",
+        archive.snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")).alias("key"),
+        F.when(F.dayofmonth("run_date") == 12, F.sha2(body, 256)).otherwise(F.sha2(F.lit("x"), 256)).alias("sha256"),
+        F.octet_length(body).cast("bigint").alias("size"),
+        F.lit("2026-08-14T00:00:00Z").alias("fetched_at"),
+    )
+    notes = daily.run_normalize(spark, docs, cats, root, files, min_records=1)
+    assert rows(notes, "run_date", "status") == [(DAY, "ok"), (date(2026, 8, 13), "rejected")]
+    assert rows(spark.read.parquet(f"{root}/prices").select("value_date").distinct(), "value_date") == [(DAY,)]
+
+
+def test_labels_of_any_white_space_and_case(spark):
+    cats = categories.category_frame(spark, {"single": ["Straße Karte"]})
+    labels = ["Straße Karte\t", "\u00a0STRASSE KARTE\n", " strasse karte ", "other"]
+    found = spark.createDataFrame([(x,) for x in labels], "raw_category string")
+    assert rows(normalize.catalogue_records(found, cats), "product_kind") == [("other",), ("single",), ("single",), ("single",)]
+
+
+def test_products_listed_twice_do_not_double_prices(spark):
+    prices = spark.createDataFrame([("g", 1, DAY)], "game_key string, cm_product_id bigint, run_date date")
+    kinds = [("g", 1, DAY, "single"), ("g", 1, DAY, "other"), ("g", 1, date(2026, 8, 1), "sealed")]
+    products = spark.createDataFrame(kinds, "game_key string, cm_product_id bigint, run_date date, product_kind string")
+    assert rows(normalize.with_product_kind(prices, products), "product_kind") == [("single",)]
 
 
 def test_duplicate_ids_spoil_only_their_day(spark, tmp_path):

@@ -1,12 +1,7 @@
-"""Registered queries against their SQL oracles at the smallest scale.
-
-By default every eighth query by name, to keep the suite short; all of them with
-ALL_QUERIES=1.
-"""
+"""Every registered query against its SQL oracle at the smallest scale."""
 
 from __future__ import annotations
 
-import os
 from pathlib import Path
 
 import duckdb
@@ -16,7 +11,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-NAMES = sorted(ORACLES)[:: 1 if os.environ.get("ALL_QUERIES") else 8]
+NAMES = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not available")
 
