@@ -56,6 +56,23 @@ def chart_range(history: DataFrame, label: str) -> DataFrame:
     )
 
 
+def chart_ranges(history: DataFrame) -> DataFrame:
+    """Every row once for each chart range that it is in, named in `range`; one pass."""
+    latest = F.max("value_date").over(Window.partitionBy("index_code"))
+    ranges = F.array(
+        *(
+            F.when(F.col("value_date") >= F.date_sub("_latest", days), F.lit(label))
+            for label, days in RANGE_DAYS.items()
+        ),
+        F.lit("Max"),
+    )
+    return (
+        history.withColumn("_latest", latest)
+        .withColumn("range", F.explode(F.array_compact(ranges)))
+        .drop("_latest")
+    )
+
+
 def last_observations(history: DataFrame, n: int) -> DataFrame:
     """The last `n` rows of each index."""
     newest = Window.partitionBy("index_code").orderBy(F.desc("value_date"))

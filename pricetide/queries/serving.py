@@ -49,12 +49,7 @@ def validation_row_counts(spark: SparkSession, sf: str) -> DataFrame:
     ["history"],
 )
 def chart_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = views.history(spark, sf)
-    out = None
-    for label in ("1M", "3M", "6M", "1Y", "Max"):
-        part = performance.chart_range(rows, label).withColumn("range", F.lit(label))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return performance.chart_ranges(views.history(spark, sf))
 
 
 @query(

@@ -19,17 +19,19 @@ CSV_COLUMNS = [
 
 
 def write_json(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """JSON lines with columns in name order and explicit nulls."""
+    """JSON lines with columns in name order and explicit nulls, rows in order of all columns.
+
+    The range covers the whole row after the partition columns, so that the rows of one
+    partition value are spread over many tasks, and a rerun writes them in the same order.
+    """
     parts = partition_by or []
-    ordered = df.select(*parts, *sorted(c for c in df.columns if c not in parts))
+    rest = sorted(c for c in df.columns if c not in parts)
+    sortable = [f.name for f in df.schema.fields if f.name in rest and f.dataType.typeName() != "map"]
+    ordered = df.select(*parts, *rest)
+    if parts or sortable:
+        ordered = ordered.repartitionByRange(*parts, *sortable).sortWithinPartitions(*parts, *sortable)
     writer = ordered.write.mode("overwrite").option("ignoreNullFields", "false")
-    if parts:
-        ordered_writer = (
-            ordered.repartitionByRange(*parts).write.mode("overwrite").option("ignoreNullFields", "false")
-        )
-        ordered_writer.partitionBy(*parts).json(path)
-    else:
-        writer.json(path)
+    (writer.partitionBy(*parts) if parts else writer).json(path)
 
 
 def write_history_csv(history: DataFrame, definitions: DataFrame, path: str) -> None:

@@ -76,17 +76,27 @@ def write_if_changed(
 ) -> Receipt:
     """Write only when the content differs from what `path` holds.
 
-    Content means rows, not bytes: Parquet files of equal rows need not be equal.
-    The frame is checkpointed, since it is measured and may then be written, and may
-    even read the table it replaces.
+    Content means rows, not bytes: Parquet files of equal rows need not be equal. What the
+    path holds is known from the receipt beside it, so the stored table isn't read again; a
+    table without one counts as changed. The receipt is taken away before the table is
+    replaced and written after it, so a run that dies in between leaves none. The frame is
+    checkpointed, since it is measured and may then be written, and may even read the table
+    it replaces.
     """
+    spark = df.sparkSession
     fixed = cut_lineage(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
     rows, fp = measure(fixed)
-    existing = stored(df.sparkSession, path, schema)
-    if existing is not None and measure(existing) == (rows, fp):
+    beside = f"{path.rstrip('/')}_receipt"
+    receipt = stored(spark, beside, RECEIPT)
+    held = receipt.first() if receipt is not None else None
+    if held is not None and (held["rows"], held["fingerprint"]) == (rows, fp):
         return Receipt(path, rows, fp, False)
+    if receipt is not None:
+        receipts_frame(spark, []).write.mode("overwrite").parquet(beside)
     write_sorted(fixed, path, schema, sort_by, partition_by)
-    return Receipt(path, rows, fp, True)
+    done = Receipt(path, rows, fp, True)
+    receipts_frame(spark, [done]).coalesce(1).write.mode("overwrite").parquet(beside)
+    return done
 
 
 def receipts_frame(spark: SparkSession, receipts: list[Receipt]) -> DataFrame:
