@@ -241,6 +241,104 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
     return packed.groupBy("bucket").applyInArrow(shared, "token long, set long, n int, pos int")
 
 
+def _band() -> F.Column:
+    """A number that sizes within a twentieth of each other mostly share."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))
+
+
+def _with_count(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that several sets have, and how many have them (`held`)."""
+    held = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    return postings.drop("held").join(held, "token")
+
+
+def _fewest(low: F.Column, high: F.Column, other_low: F.Column, other_high: F.Column, s: Settings) -> F.Column:
+    """Prefix tokens that linked sets of sizes in two ranges have in common at least.
+
+    Sets x and y need num / (num + den) of both sizes in common. What they have in common up to
+    the end of the prefix that ends first is in both prefixes; beyond it that set has fewer than
+    num / den of its members left. The difference is least for the largest of one range with
+    the smallest of the other.
+    """
+    share, rest = s.num / (s.num + s.den), s.num / s.den
+    ends = [(high, F.greatest(other_low, high * rest)), (F.greatest(low, other_high * rest), other_high)]
+    return F.least(*(share * (x + y) - rest * F.greatest(x, y) for x, y in ends)) - 1e-6
+
+
+def _linkable(postings: DataFrame, s: Settings) -> DataFrame:
+    """Postings of the sets that may be linked with any set at all.
+
+    The blocks of an index list are its postings of like size, with the least position. Blocks
+    that the size bound excludes are skipped for a posting. A set is kept if for sets of some
+    size it has as many tokens as a link takes, among them one that the position bound allows to
+    be the first in common.
+    """
+    blocks = postings.groupBy("token", _band().alias("band")).agg(
+        F.count("*").alias("sets"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.max(F.col("n") - F.col("pos")).alias("rest"),
+    )
+    n = F.col("n")
+    smaller = F.greatest(F.col("low"), n * (s.num / s.den))
+    met = postings.withColumn("own", _band()).join(blocks, "token").where(
+        ((F.col("sets") > 1) | (F.col("band") != F.col("own")))
+        & (s.den * F.col("high") >= s.num * n)
+        & (s.den * n >= s.num * F.col("low"))
+    )
+    # An overlap of num / (num + den) of both sizes must fit into what follows the first token.
+    first = (s.num + s.den) * F.least(n - F.col("pos"), F.col("rest")) >= s.num * (n + smaller) - 1e-6
+    counted = met.groupBy("set", "band").agg(
+        F.count("*").alias("tokens"),
+        F.max(first).alias("first"),
+        F.first("n").alias("n"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+    kept = counted.where(F.col("first") & (F.col("tokens") >= _fewest(n, n, F.col("low"), F.col("high"), s)))
+    return postings.join(kept.select("set").distinct(), "set", "left_semi")
+
+
+def _chunk_pairs(postings: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (one, band_one, two, band_two) of chunks whose sets of these bands may be linked.
+
+    Blocks of the index lists are a chunk's postings of like size. They are compared token by
+    token under the size bound, and the tokens of a pair are counted; the position bound must
+    allow one of them to be the first in common.
+    """
+    blocks = postings.groupBy("token", "chunk", _band().alias("band")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest")
+    )
+    several = blocks.groupBy("token").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b")
+    blocks = store(blocks.join(several.select("token"), "token"))
+    left, right = blocks.alias("l"), blocks.alias("r")
+    low, other_low = F.col("l.low"), F.col("r.low")
+    least = F.greatest(low, other_low * (s.num / s.den)) + F.greatest(other_low, low * (s.num / s.den))
+    alike = (
+        (F.col("l.chunk") < F.col("r.chunk"))
+        & (s.den * F.col("l.high") >= s.num * other_low)
+        & (s.den * F.col("r.high") >= s.num * low)
+    )
+    first = (s.num + s.den) * F.least("l.rest", "r.rest") >= s.num * least - 1e-6
+    counted = (
+        left.join(right, F.col("l.token") == F.col("r.token"))
+        .where(alike)
+        .groupBy(
+            F.col("l.chunk").alias("one"), F.col("l.band").alias("band_one"), F.col("r.chunk").alias("two"), F.col("r.band").alias("band_two")
+        )
+        .agg(
+            F.count("*").alias("tokens"),
+            F.max(first).alias("first"),
+            F.min(low).alias("low"),
+            F.max("l.high").alias("high"),
+            F.min(other_low).alias("other_low"),
+            F.max("r.high").alias("other_high"),
+        )
+    )
+    fewest = _fewest(F.col("low"), F.col("high"), F.col("other_low"), F.col("other_high"), s)
+    return counted.where(F.col("first") & (F.col("tokens") >= fewest)).select("one", "band_one", "two", "band_two")
+
+
 def _fetch_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, classes: Any, s: Settings) -> DataFrame:
     """The nodes (id, set, weight) with all their tokens, worked out again from their texts."""
     id_field = nodes.schema["id"]
@@ -433,46 +531,25 @@ def jaccard_classes(
     usable = docs.where(F.col(doc_id).isNotNull())
     postings = store(_postings(usable, text, classes, buckets, s)).distinct()
 
-    held = postings.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    useful = store(postings.join(held, "token"))
+    useful = store(_with_count(_linkable(_with_count(postings), s)))
     key = useful.groupBy("set").agg(F.max(F.struct("held", "token"))["token"].alias("key"), F.first("n").alias("n"))
     sizes = key.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("sets") / s.chunk_sets), F.ceil(F.col("grams") / s.chunk_grams))
     chunk = key.join(sizes, "key").select(
-        "set", F.xxhash64("key", F.pmod(F.xxhash64("set"), parts)).alias("chunk")
+        "set", _band().alias("band"), F.xxhash64("key", F.pmod(F.xxhash64("set"), parts)).alias("chunk")
     )
-    nodes = equal.join(chunk, "set").select("id", "set", "weight", "chunk")
-    tokens = _fetch_sets(docs, nodes.select("id", "set", "weight"), doc_id, text, classes, s)
+    chunk = store(chunk)
+    nodes = equal.join(chunk, "set").select("id", "set", "weight")
+    tokens = _fetch_sets(docs, nodes, doc_id, text, classes, s)
     members = store(tokens.join(chunk, "set"))
     inside = store(_solve_groups(members, ["chunk"], s))
 
-    # Blocks of the index lists: a chunk's postings of like size, with bounds of what may follow.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3)))
-    blocks = (
-        useful.join(chunk, "set")
-        .groupBy("token", "chunk", band.alias("band"))
-        .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    )
-    several = blocks.groupBy("token").agg(F.min("chunk").alias("one"), F.max("chunk").alias("two")).where("one < two")
-    blocks = store(blocks.join(several.select("token"), "token"))
-    left, right = blocks.alias("l"), blocks.alias("r")
-    alike = (
-        (F.col("l.chunk") < F.col("r.chunk"))
-        & (s.den * F.col("l.high") >= s.num * F.col("r.low"))
-        & (s.den * F.col("r.high") >= s.num * F.col("l.low"))
-        # An overlap of num / (num + den) of both sizes must fit into what follows the token.
-        & ((s.num + s.den) * F.least("l.rest", "r.rest") >= s.num * (F.col("l.low") + F.col("r.low")))
-    )
-    pairs = (
-        left.join(right, F.col("l.token") == F.col("r.token"))
-        .where(alike)
-        .select(F.col("l.chunk").alias("one"), F.col("r.chunk").alias("two"))
-        .distinct()
-    )
-    pairs = store(pairs)
-    sides = pairs.select("one", "two", F.explode(F.array("one", "two")).alias("chunk"))
-    across = sides.join(members, "chunk").withColumn("side", F.col("chunk") == F.col("one"))
-    between = store(_solve_groups(across.drop("chunk"), ["one", "two"], s))
+    pairs = store(_chunk_pairs(useful.join(chunk.select("set", "chunk"), "set"), s))
+    one = pairs.select("one", "two", F.col("one").alias("chunk"), F.col("band_one").alias("band"))
+    two = pairs.select("one", "two", F.col("two").alias("chunk"), F.col("band_two").alias("band"))
+    across = one.unionByName(two).distinct().join(members, ["chunk", "band"])
+    across = across.withColumn("side", F.col("chunk") == F.col("one")).drop("chunk", "band")
+    between = store(_solve_groups(across, ["one", "two"], s))
 
     linked = inside.unionByName(between)
     counts = linked.groupBy("set").agg(F.sum("links").alias("links"))
