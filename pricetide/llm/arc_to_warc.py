@@ -31,7 +31,7 @@ FIELDS = {
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 1000
 #: Records that a file holds at most; a reader has one file in memory.
-FILE_RECORDS = 2000
+FILE_RECORDS = 500
 _NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 _SPACE = re.compile(r"[\s\x00-\x20]")
 
