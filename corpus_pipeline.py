@@ -57,14 +57,18 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their SentencePiece ids, and whether decoding gave the text back."""
+    """Documents with their SentencePiece ids, and whether decoding gave the text back.
+
+    The new columns take the place of any that are called the same.
+    """
     encoded = sentencepiece_chunks.encode_and_decode(docs, piece_model(), result="__pieces")
-    return encoded.select(
-        *docs.columns,
-        F.col("__pieces.ids").alias("ids"),
-        F.size("__pieces.ids").cast("long").alias("n_tokens"),
-        (F.col("__pieces.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    fresh = {
+        "ids": F.col("__pieces.ids"),
+        "n_tokens": F.size("__pieces.ids").cast("long"),
+        "round_trip": F.col("__pieces.decoded") == F.coalesce("text", F.lit("")),
+    }
+    kept = [c for c in docs.columns if c not in fresh]
+    return encoded.select(*kept, *(c.alias(n) for n, c in fresh.items()))
 
 
 STAGES: list[tuple[str, Stage]] = [
