@@ -275,3 +275,69 @@ def schema_check(records: DataFrame) -> DataFrame:
         F.count_if(~(has("avg") | second_avg)).alias("no_price_family"),
     )
 
+
+
+# The list that a source document of a kind holds, and the fields of its records.
+SOURCE_LISTS = {"priceguide": "priceGuides", "catalogue": "products"}
+SOURCE_FIELDS = {
+    "priceguide": ("idProduct", "idCategory"),
+    "catalogue": ("idProduct", "name", "idCategory", "categoryName"),
+}
+
+
+def source_rules(documents: DataFrame) -> DataFrame:
+    """Broken rules of source documents (game_key, run_date, kind, body), how often each.
+
+    A row (game_key, run_date, kind, rule, n). A document must be an object with `createdAt` (a
+    text), `version` and its kind's list; the list's records must be objects with a whole-number
+    id and all fields of the kind; a list may not be empty.
+    """
+    parsed = F.try_parse_json("body")
+
+    def type_of(value: Column, path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+
+    created = F.get_json_object("body", "$.createdAt")
+    listed = F.coalesce(*[F.when(F.col("kind") == k, F.try_variant_get(parsed, f"$.{m}", "array<variant>")) for k, m in SOURCE_LISTS.items()])
+    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
+    docs = documents.select(
+        *DOCUMENT,
+        "kind",
+        listed.alias("list"),
+        F.array_compact(
+            F.array(
+                F.when(~is_object, "not an object"),
+                F.when(is_object & ~F.coalesce((type_of(parsed, "$.createdAt") == "STRING") & (created != ""), F.lit(False)), "no createdAt"),
+                F.when(is_object & ~F.array_contains(F.json_object_keys("body"), "version"), "no version"),
+                F.when(is_object & listed.isNull(), "no list"),
+                F.when(is_object & (F.size(listed) == 0), "empty list"),
+            )
+        ).alias("rules"),
+    )
+    of_documents = docs.select(*DOCUMENT, "kind", F.explode("rules").alias("rule"))
+    # Records of an unknown kind have no rules, and a document without a list has no records.
+    items = docs.select(*DOCUMENT, "kind", F.explode("list").alias("v")).withColumn("item", F.to_json("v"))
+    record = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    fields = F.coalesce(F.json_object_keys("item"), F.array().cast("array<string>"))
+    wanted = F.coalesce(*[F.when(F.col("kind") == k, F.array(*map(F.lit, names))) for k, names in SOURCE_FIELDS.items()])
+    missing = F.array_sort(F.array_except(wanted, fields))
+    whole = F.coalesce(type_of(F.col("v"), "$.idProduct") == "BIGINT", F.lit(False))
+    of_records = items.select(
+        *DOCUMENT,
+        "kind",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.when(~record, "record is not an object"),
+                    F.when(record & ~whole, "id is not a whole number"),
+                    F.when(record & (F.size(missing) > 0), F.concat(F.lit("record without "), F.array_join(missing, ", "))),
+                )
+            )
+        ).alias("rule"),
+    )
+    return of_documents.unionByName(of_records).groupBy(*DOCUMENT, "kind", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+def newest_source(documents: DataFrame) -> DataFrame:
+    """Per game and day the latest `createdAt` (compared as text) of all its documents."""
+    return documents.groupBy(*DOCUMENT).agg(F.max(F.get_json_object("body", "$.createdAt")).alias("source_created_at"))

@@ -369,3 +369,44 @@ def normalisation_run(spark: SparkSession, sf: str) -> DataFrame:
     notes = run_normalize(spark, landed, views.categories(spark), root)
     done = spark.read.parquet(f"{root}/completions").select("game_key", "run_date", F.lit(True).alias("complete"))
     return notes.join(done, ["game_key", "run_date"], "left").fillna(False, ["complete"])
+
+
+@query(
+    "source_rules",
+    "D12 A30",
+    "game_key:s kind:s rule:s n:i source_created_at:s",
+    """WITH d AS (
+      SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'onepiece' ELSE 'pokemon' END AS game_key,
+      CASE WHEN o_custkey % 2 = 0 THEN 'priceguide' ELSE 'catalogue' END AS kind, o_orderkey % 10 AS c FROM orders),
+    broken AS (
+      SELECT game_key, kind, CASE c WHEN 1 THEN 'not an object' WHEN 2 THEN 'no createdAt' WHEN 3 THEN 'no version' WHEN 4 THEN 'no list'
+        WHEN 5 THEN 'empty list' WHEN 6 THEN 'record is not an object' WHEN 7 THEN 'id is not a whole number'
+        WHEN 8 THEN CASE kind WHEN 'priceguide' THEN 'record without idCategory' ELSE 'record without categoryName, idCategory' END
+        WHEN 9 THEN 'no createdAt' END AS rule FROM d)
+    SELECT game_key, kind, rule, count(*) AS n, any_value(stamp) AS source_created_at FROM broken JOIN (
+      SELECT game_key, max(CASE WHEN c NOT IN (1, 2, 9) THEN '2001-01-' || lpad((k % 28 + 1)::VARCHAR, 2, '0')
+        WHEN c = 9 THEN '7' END) AS stamp FROM d GROUP BY 1) USING (game_key) WHERE rule IS NOT NULL GROUP BY 1, 2, 3""",
+)
+def source_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A source document per order; nine in ten break a rule, each another by the last digit."""
+    key = F.col("o_orderkey")
+    digit = key % 10
+    guide = F.col("o_custkey") % 2 == 0
+    stamp = F.concat(F.lit('"createdAt": "2001-01-'), F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lit('", '))
+    created = F.when(digit == 2, "").when(digit == 9, '"createdAt": 7, ').otherwise(stamp)
+    version = F.when(digit == 3, "").otherwise('"version": 1, ')
+    number = F.when(digit == 7, F.concat(F.lit('"'), key.cast("string"), F.lit('"'))).otherwise(key.cast("string"))
+    rest = F.when(digit == 8, "").otherwise(F.when(guide, ', "idCategory": 3').otherwise(', "idCategory": 3, "categoryName": "c"'))
+    name = F.when(guide, "").otherwise(', "name": "n"')
+    record = F.concat(F.lit('{"idProduct": '), number, name, rest, F.lit("}"))
+    records = F.when(digit == 5, "").when(digit == 6, "5").otherwise(record)
+    member = F.when(digit == 4, "other").when(guide, "priceGuides").otherwise("products")
+    whole = F.concat(F.lit("{"), created, version, F.lit('"'), member, F.lit('": ['), records, F.lit("]}"))
+    documents = views.table(spark, sf, "orders").select(
+        F.when(key % 2 == 0, "onepiece").otherwise("pokemon").alias("game_key"),
+        F.lit("2001-01-01").cast("date").alias("run_date"),
+        F.when(guide, "priceguide").otherwise("catalogue").alias("kind"),
+        F.when(digit == 1, F.concat(F.lit("["), record, F.lit("]"))).otherwise(whole).alias("body"),
+    )
+    rules = normalize.source_rules(documents)
+    return rules.join(normalize.newest_source(documents), ["game_key", "run_date"])
