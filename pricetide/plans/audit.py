@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricetide.functions.ids import NAMESPACE
 from pricetide.operators import archive, gates
 
 
@@ -21,6 +22,8 @@ class AuditReport:
     sampled: DataFrame
     readiness: DataFrame
     projections: DataFrame
+    summary: DataFrame
+    warnings: DataFrame
 
 
 def audit_archive(
@@ -58,15 +61,55 @@ def audit_archive(
         days, in_range.filter(~F.col("malformed")).select(F.col("path_date").alias("run_date"))
     )
     present = in_range.filter(~F.col("malformed")).select("path_date").distinct().count()
+    storage = archive.storage_totals(objects)
+    readiness = gates.audit_readiness(
+        definitions, quality, F.lit(end), F.lit(present), required_lookback_days
+    )
     return AuditReport(
         errors=errors,
         coverage=cover,
-        storage=archive.storage_totals(objects),
+        storage=storage,
         categories=archive.storage_by_category(objects),
         largest=archive.largest_objects(objects),
         sampled=sampled,
-        readiness=gates.audit_readiness(
-            definitions, quality, F.lit(end), F.lit(present), required_lookback_days
-        ),
+        readiness=readiness,
         projections=archive.projected_dates(inceptions, required_lookback_days),
+        summary=_summary(errors, entries, sampled, objects, readiness),
+        warnings=_warnings(storage),
+    )
+
+
+def _summary(
+    errors: DataFrame, entries: DataFrame, sampled: DataFrame, objects: DataFrame, readiness: DataFrame
+) -> DataFrame:
+    """One row of totals: status, files listed and verified, snapshot objects, cutover state.
+
+    A cutover may be reviewed when there is no error and every index is eligible.
+    """
+    found = errors.agg(F.count(F.lit(1)).alias("error_count"))
+    files = entries.agg(F.count_distinct("key").alias("file_count"))
+    verified = sampled.agg(F.count(F.lit(1)).alias("verified_file_count"))
+    snapshots = objects.agg(
+        F.count_if(F.col("key").startswith(f"{NAMESPACE}/")).alias("snapshot_object_count")
+    )
+    ready = readiness.agg(F.coalesce(F.bool_and(F.col("state") == gates.ELIGIBLE), F.lit(True)).alias("_ready"))
+    # Each side is one row.
+    row = found
+    for side in (files, verified, snapshots, ready):
+        row = row.withColumn("_one", F.lit(1)).join(side.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    clean = F.col("error_count") == 0
+    return row.select(
+        F.when(clean, "pass").otherwise("fail").alias("status"),
+        "error_count",
+        "file_count",
+        "verified_file_count",
+        "snapshot_object_count",
+        F.when(clean & F.col("_ready"), gates.ELIGIBLE).otherwise("accumulating").alias("cutover_state"),
+    )
+
+
+def _warnings(storage: DataFrame) -> DataFrame:
+    """A row for each budget that is not within its free part."""
+    return storage.filter(F.col("status") != "within_free_tier").select(
+        F.concat(F.lit("storage status is "), "status").alias("warning")
     )

@@ -119,6 +119,8 @@ def test_audit_with_a_gap(spark, tmp_path, one_index):
     assert rows(report.projections, *report.projections.columns) == [(date(2026, 9, 17), date(2026, 9, 18), date(2026, 10, 1))]
     readiness = report.readiness.first()
     assert (readiness.state, readiness.days_remaining) == ("accumulating", 58)
+    assert rows(report.summary, *report.summary.columns) == [("fail", 1, 4, 1, 4, "accumulating")]
+    assert report.warnings.count() == 0
 
 
 def test_audit_finds_wrong_dates_and_content(spark, tmp_path, one_index):
