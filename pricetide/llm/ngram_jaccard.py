@@ -168,7 +168,7 @@ def _classes(rows: DataFrame, s: Settings) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Settings) -> DataFrame:
-    """Prefix postings (token, set, n, pos) of tokens that several sets have.
+    """Prefix postings (token, set, n, pos, held) of tokens that several sets have.
 
     Tasks send their postings to buckets of tokens in packed rows, each set once. Postings of
     tokens that the sketch holds frequent skip the search for a second set, so that no bucket
@@ -182,7 +182,7 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
         emitted = 0
         for batch in batches:
             for part in slices(batch, text):
-                tokens, ids, sizes, places = [], [], [], []
+                tokens, names, sizes, owners, places = [], [], [], [], []
                 for grams in text_sets(part.column(text), s.width):
                     if not len(grams):
                         continue
@@ -192,13 +192,17 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
                     seen.add(name)
                     take = int(prefix_size(len(grams), s))
                     tokens.append(in_order(grams, order, s.sketch_bits)[:take])
-                    ids.append(np.full(take, name, np.int64))
-                    sizes.append(np.full(take, len(grams), np.int32))
+                    owners.append(np.full(take, len(names), np.int32))
                     places.append(np.arange(take, dtype=np.int32))
+                    names.append(name)
+                    sizes.append(len(grams))
                 if not tokens:
                     continue
                 flat = np.concatenate(tokens)
-                columns = [flat.view(np.int64), np.concatenate(ids), np.concatenate(sizes), np.concatenate(places)]
+                owner, place = np.concatenate(owners), np.concatenate(places)
+                # Sets and sizes go once a row; numbers take two bytes where they fit.
+                names, sizes = np.array(names, np.int64), np.array(sizes, np.int32)
+                small = np.uint16 if max(len(names), int(sizes.max())) < 1 << 16 else np.int32
                 bucket = (mix(flat) % np.uint64(buckets)).astype(np.int64)
                 # Frequent tokens go in rows of their own that nothing has to meet.
                 bucket[(flat >> np.uint64(64 - _CLASS_BITS)) >= hot] = -1
@@ -210,35 +214,45 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
                     number = int(bucket[where[0]])
                     if number < 0:
                         emitted += 1
-                        number = -1 - (hash((columns[1][where[0]], emitted)) & 0xFFFFFFFF)
-                    rows.append((number, *(c[where].tobytes() for c in columns)))
+                        number = -1 - (hash((int(names[owner[where[0]]]), emitted)) & 0xFFFFFFFF)
+                    used, at = np.unique(owner[where], return_inverse=True)
+                    columns = (flat[where], names[used], sizes[used], at.astype(small), place[where].astype(small))
+                    rows.append((number, *(c.tobytes() for c in columns)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64())]
-                    + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)],
-                    ["bucket", "token", "set", "n", "pos"],
+                    + [pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)],
+                    ["bucket", "token", "sets", "sizes", "owner", "pos"],
                 )
 
+    def unpack(row: dict) -> list[np.ndarray]:
+        tokens = np.frombuffer(row["token"], np.int64)
+        small = np.uint16 if len(row["pos"]) == 2 * len(tokens) else np.int32
+        owner = np.frombuffer(row["owner"], small)
+        sets, sizes = np.frombuffer(row["sets"], np.int64), np.frombuffer(row["sizes"], np.int32)
+        return [tokens, sets[owner], sizes[owner], np.frombuffer(row["pos"], small).astype(np.int32)]
+
     def shared(table: pa.Table) -> pa.Table:
-        kinds = (np.int64, np.int64, np.int32, np.int32)
-        columns = [
-            np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(at + 1)])
-            for at, kind in enumerate(kinds)
-        ]
+        columns = [np.concatenate(c) for c in zip(*map(unpack, table.to_pylist()), strict=True)]
+        held = None
         if table.column(0)[0].as_py() >= 0:
             by = np.lexsort((columns[1], columns[0]))
             columns = [c[by] for c in columns]
             fresh = np.ones(len(by), bool)
             fresh[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
             columns = [c[fresh] for c in columns]
-            same = columns[0][1:] == columns[0][:-1]
-            several = np.zeros(len(columns[0]), bool)
-            several[1:] |= same
-            several[:-1] |= same
-            columns = [c[several] for c in columns]
-        return pa.table(columns, names=["token", "set", "n", "pos"])
-
-    packed = docs.select(text).mapInArrow(pack, "bucket long, token binary, set binary, n binary, pos binary")
-    return packed.groupBy("bucket").applyInArrow(shared, "token long, set long, n int, pos int")
+            _, number, count = np.unique(columns[0], return_inverse=True, return_counts=True)
+            several = count[number] > 1
+            columns, held = [c[several] for c in columns], count[number][several]
+        held = pa.nulls(len(columns[0]), pa.int64()) if held is None else pa.array(held, pa.int64())
+        return pa.table([*map(pa.array, columns), held], names=["token", "set", "n", "pos", "held"])
+
+    packed = docs.select(text).mapInArrow(
+        pack, "bucket long, token binary, sets binary, sizes binary, owner binary, pos binary"
+    )
+    found = store(packed.groupBy("bucket").applyInArrow(shared, "token long, set long, n int, pos int, held long"))
+    # Postings that no bucket gathered may repeat, once for each task that has the set.
+    frequent = found.where("held IS NULL").drop("held").distinct()
+    return found.where("held IS NOT NULL").unionByName(_with_count(frequent))
 
 
 def _band() -> F.Column:
@@ -529,9 +543,9 @@ def jaccard_classes(
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-int(total) // s.bucket_rows))
     usable = docs.where(F.col(doc_id).isNotNull())
-    postings = store(_postings(usable, text, classes, buckets, s)).distinct()
+    postings = _postings(usable, text, classes, buckets, s)
 
-    useful = store(_with_count(_linkable(_with_count(postings), s)))
+    useful = store(_with_count(_linkable(postings, s)))
     key = useful.groupBy("set").agg(F.max(F.struct("held", "token"))["token"].alias("key"), F.first("n").alias("n"))
     sizes = key.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("sets") / s.chunk_sets), F.ceil(F.col("grams") / s.chunk_grams))
