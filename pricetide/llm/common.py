@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pricetide.session import ensure_checkpoint_dir
 
 #: Bytes of text that numpy code handles at a time; a longer text is handled alone and whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1_000_000
 
 #: The separators of words, and the lower-casing of A-Z.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
@@ -123,6 +123,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
+        n = 1 << (n - 1).bit_length()
         for at, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -134,7 +135,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each word from its bytes: a polynomial over all bytes, sums taken apart."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(max(len(data) + 1, SLICE_BYTES))
+    up, down = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
     value = (sums[ends] - sums[starts]) * down[starts]
@@ -152,6 +153,17 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 11) -> np.ndarray:
     return mix(total)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python 1,000 rows at a time, unless the session asks for its own number.
+
+    Spark's default of 10,000 rows is meant for short ones; it costs each Python worker
+    several copies of the texts of a whole batch.
+    """
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, "1000")
+
+
 def with_result(
     docs: DataFrame,
     name: str,
@@ -163,6 +175,7 @@ def with_result(
     `make()` runs once in each task and returns the function that gets each Arrow batch.
     A column of `docs` that is called `name` already is replaced.
     """
+    small_batches(docs.sparkSession)
     kept = docs.drop(name)
     schema = T.StructType([*kept.schema.fields, T.StructField(name, kind)])
 

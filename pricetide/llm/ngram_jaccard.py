@@ -29,6 +29,7 @@ from pricetide.llm.common import (
     IS_SPACE,
     mix,
     slices,
+    small_batches,
     store,
     utf8,
     window_hashes,
@@ -49,9 +50,9 @@ class Settings:
     den: int = 100
     sketch_bits: int = 20
     hot: int = 4096
-    bucket_rows: int = 2_000_000
+    bucket_rows: int = 1_000_000
     chunk_sets: int = 1024
-    chunk_grams: int = 1 << 20
+    chunk_grams: int = 1 << 19
 
 
 SKETCH_PARTS = 64
@@ -530,6 +531,7 @@ def jaccard_classes(
     """
     s = settings or Settings()
     spark = docs.sparkSession
+    small_batches(spark)
     rows = store(_read_sets(docs, doc_id, text, s))
     classes = spark.sparkContext.broadcast(_classes(rows, s))
     sized = rows.where("part IS NULL").drop("part", "counts")

@@ -17,7 +17,7 @@ MARK = "▁"
 #: A marked word: a run of markers and what follows up to the next marker.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Distinct chunks that a task's table holds before it starts anew.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 200_000
 
 RESULT = T.StructType(
     [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -28,19 +28,28 @@ class CrossingPieces(ValueError):
     """The model has pieces that cross a marker, so words can't be segmented one by one."""
 
 
+_models: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+def _model(path: str) -> sentencepiece.SentencePieceProcessor:
+    """The model, read and examined once in each Python worker."""
+    if path not in _models:
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+            raise CrossingPieces(path)
+        # The library puts one marker before every text, so a chunk is given without its first.
+        if not model.encode("a", out_type=str)[0].startswith(MARK):
+            raise CrossingPieces(f"{path} adds no marker before a text")
+        _models[path] = model
+    return _models[path]
+
+
 class ChunkTable:
     """Ids and decoded bytes of distinct chunks, each segmented once by the library."""
 
     def __init__(self, model: str) -> None:
-        self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
-            raise CrossingPieces(model)
-        # The library puts one marker before every text, so a chunk is given without its first.
-        if self.model.encode("a")[:1] != self.model.encode("a b")[:1] or not self.model.encode("a", out_type=str)[
-            0
-        ].startswith(MARK):
-            raise CrossingPieces(f"{model} adds no marker before a text")
+        self.model = _model(model)
         self.mark_id = self.model.piece_to_id(MARK)
         self.clear()
 
@@ -96,9 +105,6 @@ class ChunkTable:
         return ids, offsets, decoded
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
 def encode_and_decode(
     docs: DataFrame, model: str, text: str = "text", result: str = "pieces"
 ) -> DataFrame:
@@ -116,7 +122,7 @@ def encode_and_decode(
     """
 
     def make():  # noqa: ANN202
-        chunks = _tables.setdefault(model, ChunkTable(model)) if model not in _tables else _tables[model]
+        chunks = ChunkTable(model)
 
         def parts(batch: pa.RecordBatch) -> Iterator[pa.Array]:
             for part in slices(batch, text, SLICE_BYTES):

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import IS_SPACE, mix, odd_constants, slices, store, utf8, word_places
+from pricetide.llm.common import IS_SPACE, mix, odd_constants, slices, small_batches, store, utf8, word_places
 
 _GEAR = (odd_constants(256, 29) >> np.uint64(32)).astype(np.uint32)
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
@@ -160,6 +160,7 @@ def repeated_passages(
     s = settings or Settings()
     id_type = docs.schema[doc_id].dataType
     usable = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text)
+    small_batches(docs.sparkSession)
     repeated = store(_repeated(usable, doc_id, text, s))
     table = usable.sparkSession.sparkContext.broadcast(_filter_table(repeated, s))
 

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.llm.common import fit_platt, sigmoid, with_result
+from pricetide.llm.common import fit_platt, sigmoid, small_batches, with_result
 from pricetide.llm.decontamination import NORMAL
 
 #: Distinct words whose terms a task remembers before it starts anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -236,6 +236,8 @@ def _choose_terms(examples: Iterable[tuple[set[bytes], int]], settings: Settings
 def document_frequencies(docs: DataFrame, text: str, numbers: dict[bytes, int], settings: Settings) -> tuple[int, np.ndarray]:
     """The number of rows, and of rows with each term, over all of `docs`."""
 
+    small_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, held, rows = Terms(numbers, settings.prefixes), Counter(), 0
         for batch in batches:
