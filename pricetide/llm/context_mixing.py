@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pricetide.llm.common import FOLD, IS_SPACE, mix, sigmoid, slices, store, utf8, word_hashes, word_places
+from pricetide.llm.common import FOLD, IS_SPACE, mix, sigmoid, slices, small_batches, store, utf8, word_hashes, word_places
 
 #: A byte that UTF-8 never has: it ends each text.
 END = 0xFF
 PARTS = 64
+#: Bytes of text, and of these distinct grams, that are worked on at a time: they bound memory.
+TEXT_BYTES = 4_000_000
+GRAM_BLOCK = 1 << 16
 #: Added to both counts of a slot.
 DELTA = 0.05
 #: Gates tell apart counts of 1, 2 to 3, and more of the highest order that has seen the context.
@@ -111,12 +114,23 @@ def by_order(grams: np.ndarray, orders: int) -> Iterator[tuple[int, np.ndarray,
         yield order, distinct, codes
 
 
+def gram_blocks(grams: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of at most GRAM_BLOCK grams each; grams with the same last bytes are together.
+
+    So a block has few distinct grams of the lower orders.
+    """
+    by = np.argsort(grams.byteswap())
+    for first in range(0, len(by), GRAM_BLOCK):
+        yield by[first : first + GRAM_BLOCK]
+
+
 def add_counts(tables: np.ndarray, grams: np.ndarray, counts: np.ndarray, s: Settings) -> None:
     """Add the bits of distinct grams to the counts (slot, bit) of all orders."""
-    for order, distinct, codes in by_order(grams, s.orders):
-        weight = np.bincount(codes, counts, len(distinct)).astype(tables.dtype)
-        at = slots(distinct, order, s.table_bits[order - 1]) + s.starts[order - 1]
-        np.add.at(tables.reshape(-1), 2 * at + bits_of(distinct), np.broadcast_to(weight[:, None], at.shape))
+    for block in gram_blocks(grams):
+        for order, distinct, codes in by_order(grams[block], s.orders):
+            weight = np.bincount(codes, counts[block], len(distinct)).astype(tables.dtype)
+            at = slots(distinct, order, s.table_bits[order - 1]) + s.starts[order - 1]
+            np.add.at(tables.reshape(-1), 2 * at + bits_of(distinct), np.broadcast_to(weight[:, None], at.shape))
 
 
 @dataclass
@@ -181,9 +195,12 @@ class Model:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's last byte after the bytes before it."""
-        inputs, gates = self.inputs(grams)
-        final, _, _ = self.refine(self.mixed(inputs, gates), gates)
-        return np.log10(np.where(bits_of(grams) == 1, final, 1 - final)).sum(1)
+        out = np.zeros(len(grams))
+        for block in gram_blocks(grams):
+            inputs, gates = self.inputs(grams[block])
+            final, _, _ = self.refine(self.mixed(inputs, gates), gates)
+            out[block] = np.log10(np.where(bits_of(grams[block]) == 1, final, 1 - final)).sum(1)
+        return out
 
     def learn(self, text: np.ndarray) -> None:
         """One online step: predict a text without its own counts, then move towards its bits."""
@@ -229,7 +246,7 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
         tables = np.zeros((s.starts[-1], 2), np.int32)
         unit = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TEXT_BYTES):
                 unit += 1
                 trained = ~np.array(part.column("held").to_pylist(), bool)
                 data, offsets = utf8(part.column(text))
@@ -420,6 +437,7 @@ def score_texts(
     """
     s = settings or Settings()
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(doc_id, text, held.alias("held"))
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.sum((~F.col("held")).cast("long")).alias("texts")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // s.shard_bytes))
@@ -455,7 +473,7 @@ def score_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TEXT_BYTES):
                 data, offsets = utf8(part.column(text))
                 grams, places = byte_grams(data, offsets, s.orders)
                 codes, distinct_grams = pd.factorize(grams)
