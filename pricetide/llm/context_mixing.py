@@ -5,12 +5,14 @@ each task sends the words of its texts, with the texts they occur in, to shards
 shard adds up a word's count over the corpus and returns each text's share of the sum. Bit
 counts of byte contexts go into hashed tables of a fixed size, which each task sums for its
 texts and which are then added up part by part. Mixing weights and the refinement of the mixed
-probability are learnt online from a bounded sample, each text left out of the counts that
-predict it. A second pass scores all texts with the fixed model.
+probability are learnt from all training texts, each left out of the counts that predict it:
+in each round every task learns online from its texts, and what the tasks have learnt is
+averaged by the bits it was learnt from. A last pass scores all texts with the fixed model.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -38,13 +40,16 @@ GRAM_BLOCK = 1 << 16
 DELTA = 0.05
 #: Gates tell apart counts of 1, 2 to 3, and more of the highest order that has seen the context.
 LEVELS = 3
+#: Entries of a gate's refinement; parts of a bit, and of one, in which tasks' sums are added up.
+STEPS = 33
+HEFT_PARTS, VALUE_PARTS = 1 << 8, 1 << 16
 
 
 @dataclass(frozen=True)
 class Settings:
     """table_bits: size of the hashed table of each order (of 1, 2, ... bytes of context);
-    sample: texts that the mixer learns from (those of smallest hash among the training texts);
-    rounds and rate: of its learning; shard_bytes: bytes of text whose words one shard gets."""
+    sample: without effect, as the mixer learns from all training texts; rounds and rate: of its
+    learning; shard_bytes: bytes of text whose words one shard gets."""
 
     table_bits: tuple[int, ...] = (16, 20, 21, 22, 22)
     sample: int = 300
@@ -146,13 +151,17 @@ class Model:
     def __post_init__(self) -> None:
         gates = 8 * (self.settings.orders + 1) * LEVELS
         self.weights = np.full((gates, self.settings.orders), 0.4)
-        self.refined = np.tile(sigmoid(np.linspace(-8, 8, 33)), (gates, 1))
+        self.refined = np.tile(sigmoid(np.linspace(-8, 8, STEPS)), (gates, 1))
 
-    def inputs(self, grams: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(
+        self, grams: np.ndarray, own: np.ndarray | None = None, tables: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (order, gram, bit), and the gate of each (gram, bit).
 
-        `own` are counts of the grams to be taken off, of the text that is predicted. The gate
-        is the bit's place, the highest order that has seen its context, and how often it has.
+        `own` are counts of the grams to be taken off, of the text that is predicted; if these
+        are not all grams of the text, `tables` has the text's counts (slot, bit) of all orders.
+        The gate is the bit's place, the highest order that has seen its context, and how often
+        it has.
         """
         s = self.settings
         out = np.zeros((s.orders, len(grams), 8), np.float32)
@@ -163,12 +172,14 @@ class Model:
             n = self.seen[where].astype(np.float32)
             ones = self.ones[where].astype(np.float32) / 65535 * n
             if own is not None:
-                weight = np.bincount(codes, own, len(distinct))
-                _, same = np.unique(at, return_inverse=True)
-                same = same.reshape(at.shape)
-                each = np.broadcast_to(weight[:, None], at.shape)
-                mine = np.bincount(same.ravel(), each.ravel())[same]
-                mine_ones = np.bincount(same.ravel(), (each * bits_of(distinct)).ravel())[same]
+                if tables is not None:
+                    mine, mine_ones = tables[where].sum(-1), tables[where, 1]
+                else:
+                    weight = np.bincount(codes, own, len(distinct))
+                    same = pd.factorize(at.ravel())[0].reshape(at.shape)
+                    each = np.broadcast_to(weight[:, None], at.shape)
+                    mine = np.bincount(same.ravel(), each.ravel())[same]
+                    mine_ones = np.bincount(same.ravel(), (each * bits_of(distinct)).ravel())[same]
                 full = n >= 255  # the rest of such a count is more than the text's own
                 n = np.where(full, n, np.maximum(0, n - mine)).astype(np.float32)
                 ones = np.where(full, ones, np.clip(ones - mine_ones, 0, n)).astype(np.float32)
@@ -202,28 +213,42 @@ class Model:
             out[block] = np.log10(np.where(bits_of(grams[block]) == 1, final, 1 - final)).sum(1)
         return out
 
-    def learn(self, text: np.ndarray) -> None:
-        """One online step: predict a text without its own counts, then move towards its bits."""
-        grams, _ = byte_grams(text, np.array([0, len(text)]), self.settings.orders)
+    def learn(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One online step: predict a text without its own counts, then move towards its bits.
+
+        Returns the bits that each gate, and each entry of its refinement, has learnt from.
+        """
+        s = self.settings
+        grams, _ = byte_grams(text, np.array([0, len(text)]), s.orders)
         codes, distinct = pd.factorize(grams)
         counts = np.bincount(codes).astype(float)
-        inputs, gates = self.inputs(distinct, own=counts)
-        mixed = self.mixed(inputs, gates)
-        bits = bits_of(distinct)
-        _, low, part = self.refine(mixed, gates)
-        miss = (bits - sigmoid(mixed)) * counts[:, None]
+        tables = None
+        if len(distinct) > GRAM_BLOCK:
+            tables = np.zeros((s.starts[-1], 2), np.int32)
+            add_counts(tables, distinct, counts, s)
         size = len(self.weights)
-        flat = gates.ravel()
-        weight = np.broadcast_to(counts[:, None], gates.shape).ravel()
-        for order in range(self.settings.orders):
-            step = np.bincount(flat, (miss * inputs[order]).ravel(), size)
-            self.weights[:, order] += self.settings.rate * step / (np.bincount(flat, weight, size) + 50)
-        for side, share in ((low, 1 - part), (low + 1, part)):
-            cell = flat * 33 + side.ravel()
-            heft = np.bincount(cell, weight * share.ravel(), size * 33).reshape(size, 33)
-            ones = np.bincount(cell, weight * share.ravel() * bits.ravel(), size * 33).reshape(size, 33)
-            target = np.divide(ones, heft, out=self.refined.copy(), where=heft > 0)
-            self.refined += (target - self.refined) * (heft / (heft + 200))
+        steps, hefts = np.zeros((size, s.orders)), np.zeros(size)
+        cells, cell_ones = np.zeros((size, STEPS)), np.zeros((size, STEPS))
+        for block in gram_blocks(distinct):
+            inputs, gates = self.inputs(distinct[block], counts[block], tables)
+            mixed = self.mixed(inputs, gates)
+            bits = bits_of(distinct[block])
+            _, low, part = self.refine(mixed, gates)
+            miss = (bits - sigmoid(mixed)) * counts[block, None]
+            flat = gates.ravel()
+            weight = np.broadcast_to(counts[block, None], gates.shape).ravel()
+            hefts += np.bincount(flat, weight, size)
+            for order in range(s.orders):
+                steps[:, order] += np.bincount(flat, (miss * inputs[order]).ravel(), size)
+            for side, share in ((low, 1 - part), (low + 1, part)):
+                cell = flat * STEPS + side.ravel()
+                heft = weight * share.ravel()
+                cells += np.bincount(cell, heft, size * STEPS).reshape(size, STEPS)
+                cell_ones += np.bincount(cell, heft * bits.ravel(), size * STEPS).reshape(size, STEPS)
+        self.weights += s.rate * steps / (hefts + 50)[:, None]
+        target = np.divide(cell_ones, cells, out=self.refined.copy(), where=cells > 0)
+        self.refined += (target - self.refined) * (cells / (cells + 200))
+        return hefts, cells
 
 
 _PACKED = "shard long, kind int, unit long, ids {ids}, a binary, b binary, c binary, d binary"
@@ -406,19 +431,45 @@ def _per_text(combined: DataFrame, id_type: T.DataType) -> DataFrame:
     return combined.where("kind IN (0, 1)").groupBy("unit").applyInArrow(run, schema)
 
 
-def _fit_mixer(model: Model, docs: DataFrame, doc_id: str, text: str) -> None:
+def _fit_mixer(model: Model, shared: Any, docs: DataFrame, text: str) -> None:
+    """Learn weights and refinement from all rows that are not held out, in `rounds` passes.
+
+    `shared` is the broadcast model, of which tasks use the counts. In a round each task starts
+    from the same weights, learns online from its texts one after the other, and returns a row
+    for each number that it has moved; these are averaged by the bits they were learnt from.
+    """
     s = model.settings
-    chosen = docs.where("NOT held").select(F.col(doc_id).alias("__id")).distinct()
-    wanted = chosen.orderBy(F.xxhash64("__id"), "__id").limit(s.sample).collect()
-    if not wanted:
-        return
-    few = docs.sparkSession.createDataFrame([(r["__id"],) for r in wanted], chosen.schema)
-    rows = docs.where("NOT held").select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    texts = rows.join(F.broadcast(few), rows["__id"].eqNullSafe(few["__id"]), "left_semi")
-    found = [r["__text"] or "" for r in texts.orderBy(F.xxhash64("__id"), "__id", "__text").toLocalIterator()]
+    trained = docs.where("NOT held").select(text)
+
+    def one_round(weights: np.ndarray, refined: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = copy.copy(shared.value)
+            mine.weights, mine.refined = weights.copy(), refined.copy()
+            gates, cells = np.zeros(len(weights)), np.zeros(refined.shape)
+            for batch in batches:
+                for part in slices(batch, text, TEXT_BYTES):
+                    data, offsets = utf8(part.column(text))
+                    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                        more_gates, more_cells = mine.learn(data[a:b])
+                        gates += more_gates
+                        cells += more_cells
+            values = np.concatenate([mine.weights, mine.refined], 1).ravel()
+            hefts = np.concatenate([np.repeat(gates[:, None], s.orders, 1), cells], 1).ravel()
+            # Whole numbers, so that sums don't depend on the order of adding.
+            hefts = np.rint(hefts * HEFT_PARTS).astype(np.int64)
+            at = np.flatnonzero(hefts)
+            totals = np.rint(values[at] * VALUE_PARTS * hefts[at]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals), pa.array(hefts[at])], ["at", "total", "heft"])
+
+        moved = trained.mapInArrow(run, "at long, total long, heft long")
+        return moved.groupBy("at").agg(*(F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ("total", "heft")))
+
     for _ in range(s.rounds):
-        for value in found:
-            model.learn(np.frombuffer(value.encode(), np.uint8))
+        values = np.concatenate([model.weights, model.refined], 1)
+        flat = values.reshape(-1)
+        for row in one_round(model.weights, model.refined).collect():  # a row for each number at most
+            flat[row["at"]] = float(row["total"] / row["heft"]) / VALUE_PARTS
+        model.weights, model.refined = values[:, : s.orders].copy(), values[:, s.orders :].copy()
 
 
 def score_texts(
@@ -432,8 +483,10 @@ def score_texts(
     `score` (context mixing of the bytes of the text and its end), and `bits_per_byte`.
 
     Null and empty texts have the end only. Rows that repeat an id, and null ids, are rows of
-    their own. Without any training text the counts are nought and every bit costs one. Words
-    are counted by 64-bit hashes. Other columns of `docs` play no part.
+    their own. Without any training text the counts are nought and every bit costs one. The mixer
+    learns in the order in which the partitions of `docs` have their rows, so `score` depends
+    slightly on how the rows are dealt to partitions; no other column does. Words are
+    counted by 64-bit hashes. Other columns of `docs` play no part.
     """
     s = settings or Settings()
     spark = docs.sparkSession
@@ -449,8 +502,9 @@ def score_texts(
         where = slice(edges[row["unit"]], edges[row["unit"] + 1])
         ones[where], seen[where] = np.frombuffer(row["a"], np.uint16), np.frombuffer(row["b"], np.uint8)
     model = Model(s, ones, seen)
-    _fit_mixer(model, docs, doc_id, text)
     shared = spark.sparkContext.broadcast(model)
+    _fit_mixer(model, shared, docs, text)
+    weights, refined = model.weights, model.refined
 
     texts = _per_text(combined, docs.schema[doc_id].dataType)
     base = store(texts)
@@ -472,12 +526,14 @@ def score_texts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = copy.copy(shared.value)
+        fitted.weights, fitted.refined = weights, refined
         for batch in batches:
             for part in slices(batch, text, TEXT_BYTES):
                 data, offsets = utf8(part.column(text))
                 grams, places = byte_grams(data, offsets, s.orders)
                 codes, distinct_grams = pd.factorize(grams)
-                values = shared.value.log10(distinct_grams)[codes]
+                values = fitted.log10(distinct_grams)[codes]
                 scores = np.add.reduceat(values, places[:-1])
                 body = data.tobytes()
                 digests = [text_digest(body[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -8,8 +8,11 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from pricetide.llm import context_mixing
 from pricetide.llm.common import held_out
-from pricetide.llm.context_mixing import END, Model, Settings, add_counts, byte_grams, score_texts
+from pricetide.llm.context_mixing import END, Model, Settings, _fit_mixer, add_counts, byte_grams, score_texts
 from tests.llm.helpers import awkward_texts, documents, sentence, words
 
 SMALL = Settings(table_bits=(16, 14, 14, 15), sample=10, shard_bytes=20_000)
@@ -91,3 +94,51 @@ def test_byte_grams_keep_texts_apart():
     grams, places = byte_grams(data, np.array([0, 2, 2, 5]), 2)
     want = [0x61, 0x6162, 0x616200 | END, END, 0x78, 0x7879, 0x78797A, 0x797A00 | END]
     assert grams.tolist() == want and places.tolist() == [0, 3, 4, 8]
+
+
+def test_mixer_learns_from_every_training_text_in_every_partition(spark):
+    rng = random.Random(9)
+    # More texts than `sample`, the last of them in bytes that the others don't have.
+    texts = [sentence(rng, 20) for _ in range(30)] + [f"{n} 0123 4567 {n * n}" for n in range(30)]
+    frame = documents(spark, texts).withColumn("held", F.col("doc_id") % 7 == 3).repartitionByRange(3, "doc_id")
+    parts = frame.where("NOT held").select("text").rdd.map(lambda r: r["text"]).glom().collect()
+    assert len([p for p in parts if p]) == 3
+    trained = [t for i, t in enumerate(texts) if i % 7 != 3]
+    model, want = grown(trained), grown(trained)
+    _fit_mixer(model, spark.sparkContext.broadcast(model), frame, "text")
+    for _ in range(SMALL.rounds):
+        found = []
+        for part in filter(None, parts):
+            mine = Model(SMALL, want.ones, want.seen)
+            mine.weights, mine.refined = want.weights.copy(), want.refined.copy()
+            hefts = [mine.learn(np.frombuffer(t.encode(), np.uint8)) for t in part]
+            found.append((mine, sum(h[0] for h in hefts)[:, None], sum(h[1] for h in hefts)))
+        assert sum(f[1].sum() for f in found) == 8 * sum(len(t.encode()) + 1 for t in trained)
+        for name, place in (("weights", 1), ("refined", 2)):
+            heft = sum(f[place] for f in found)
+            total = sum(getattr(f[0], name) * f[place] for f in found)
+            setattr(want, name, np.where(heft > 0, total / np.where(heft > 0, heft, 1), getattr(want, name)))
+    assert np.allclose(model.weights, want.weights, atol=1e-4) and np.allclose(model.refined, want.refined, atol=1e-4)
+    assert (model.weights != 0.4).any()
+
+
+def test_scores_do_not_depend_on_a_sample(spark):
+    rng = random.Random(3)
+    frame = documents(spark, [sentence(rng, 15) for _ in range(25)]).coalesce(1)
+    found = []
+    for n in (1, 25):
+        s = Settings(table_bits=SMALL.table_bits, sample=n, shard_bytes=SMALL.shard_bytes)
+        found.append(sorted((r["doc_id"], r["score"]) for r in score_texts(frame, held_out(5), settings=s).collect()))
+    assert found[0] == found[1]
+
+
+def test_long_texts_are_learnt_in_blocks(monkeypatch):
+    rng = random.Random(8)
+    texts = [sentence(rng, 60) for _ in range(5)]
+    whole, blocks = grown(texts), grown(texts)
+    raw = np.frombuffer(texts[2].encode(), np.uint8)
+    a = whole.learn(raw)
+    monkeypatch.setattr(context_mixing, "GRAM_BLOCK", 64)
+    b = blocks.learn(raw)
+    assert np.allclose(whole.weights, blocks.weights) and np.allclose(whole.refined, blocks.refined, atol=1e-6)
+    assert np.allclose(a[0], b[0]) and np.allclose(a[1], b[1], atol=1e-3)
