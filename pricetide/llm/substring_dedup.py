@@ -1,8 +1,10 @@
 """Substring dedup: content-defined chunks, compared by digest across documents.
 
 A gear hash of the last 32 bytes decides where chunks end, so what is inserted or cut before a
-passage moves no boundary inside it. Chunks of texts with other ids are found by one aggregation
-over digests; runs of such chunks that are long enough are repeated passages.
+passage moves no boundary inside it. The bytes that decided on a chunk's end are its seed; seeds
+that texts with other ids have are found by one aggregation over digests. Each is extended to
+both sides as far as the text is that of the source; what is covered and long enough is a
+repeated passage.
 """
 
 from __future__ import annotations
@@ -25,13 +27,18 @@ from pricetide.llm.common import IS_SPACE, mix, odd_constants, slices, small_bat
 _GEAR = (odd_constants(256, 29) >> np.uint64(32)).astype(np.uint32)
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
 FILTER_PARTS = 16
+#: Bytes of a seed, and bytes before its end within which no other chunk may end.
+SEED, APART = 32, 3
+#: Bytes beside a seed that are compared at least; they always reach the neighbouring seeds.
+BESIDE = 128
+_INNER_BYTES = bytes(range(0x80, 0xC0))
 
 
 @dataclass(frozen=True)
 class Settings:
     """boundary_bits: a chunk has 2 ** boundary_bits bytes on average; least_words: words that a
-    run of repeated chunks needs to be a passage; filter_bits: bits of the table by which chunks
-    that occur once are left out of the join (it holds any number, it then only filters less)."""
+    repeated passage begins at least; filter_bits: bits of the table by which seeds that occur
+    once are left out of the join (it holds any number, it then only filters less)."""
 
     boundary_bits: int = 5
     least_words: int = 20
@@ -59,48 +66,88 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     return np.flatnonzero(cut) + 1
 
 
-def _chunks(part: pa.RecordBatch, text: str, s: Settings) -> dict[str, Any]:
-    """All chunks of some texts: text number, place in the text, digest, code points, words."""
-    data, offsets = utf8(part.column(text))
+def _seeds(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """Ends of all seeds, the number of each one's text, and both halves of its digest.
+
+    Chunk ends close behind another one are none, so that a run of one byte has a single seed.
+    """
     ends = chunk_ends(data, offsets, s.boundary_bits)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    text_of = np.searchsorted(offsets, starts, side="right") - 1
+    text_of = np.searchsorted(offsets, ends, side="left") - 1
+    last = ends == offsets[text_of + 1]
+    close = np.zeros(len(ends), bool)
+    close[1:] = (np.diff(ends) <= APART) & (text_of[1:] == text_of[:-1]) & ~last[1:]
+    keep = ~close & (ends - offsets[text_of] >= SEED)
+    ends, text_of = ends[keep], text_of[keep]
     body = data.tobytes()
-    raw = b"".join([xxhash.xxh3_128_digest(body[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    raw = b"".join([xxhash.xxh3_128_digest(body[e - SEED : e]) for e in ends.tolist()])
     digests = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
+    return ends, text_of, digests[:, 0].view(np.int64), digests[:, 1].view(np.int64)
+
+
+def _surroundings(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, text_of: np.ndarray, keep: np.ndarray) -> dict[str, Any]:
+    """What stands around some of the seeds, and where in its text: `at` and `place` count bytes
+    (from the text's start to `around`, from there to the seed's end), `points` code points and
+    `words` words before `around`; the word in which it begins is one of these."""
+    first, end = offsets[text_of], offsets[text_of + 1]
+    same = text_of[1:] == text_of[:-1]
+    before, after = first.copy(), end.copy()
+    before[1:][same] = ends[:-1][same] - SEED - APART
+    after[:-1][same] = ends[1:][same]
+    left = np.maximum(first, np.minimum(before, ends - SEED - BESIDE))[keep]
+    right = np.minimum(end, np.maximum(after, ends + BESIDE))[keep]
     begins = np.zeros(len(data), bool)
     begins[word_places(~IS_SPACE[data], offsets)[0]] = True
     points = np.concatenate([[0], np.cumsum(_IS_LEAD[data])])
     words = np.concatenate([[0], np.cumsum(begins)])
-    first_chunk = np.searchsorted(text_of, np.arange(len(offsets) - 1))
+    # Where a word goes on, splitting `around` finds its rest as a word that began before.
+    inside = (~IS_SPACE[data] & ~begins)[left] if len(left) else np.zeros(0, bool)
+    body, start = data.tobytes(), first[keep]
     return {
-        "text": text_of,
-        "seq": np.arange(len(ends)) - first_chunk[text_of] if len(ends) else np.zeros(0, np.int64),
-        "h1": digests[:, 0].view(np.int64),
-        "h2": digests[:, 1].view(np.int64),
-        "start": points[starts] - points[offsets[text_of]] if len(ends) else starts,
-        "end": points[ends] - points[offsets[text_of]] if len(ends) else ends,
-        "words": words[ends] - words[starts],
+        "at": left - start,
+        "place": ends[keep] - left,
+        "points": points[left] - points[start],
+        "words": words[left] - words[start] - inside,
+        "around": [body[a:b] for a, b in zip(left.tolist(), right.tolist(), strict=True)],
     }
 
 
+def _alike(a: bytes, b: bytes, order: str) -> int:
+    """Bytes in which two equally long ones agree at their starts ("big") or ends ("little")."""
+    differ = int.from_bytes(a, order) ^ int.from_bytes(b, order)
+    return len(a) - (differ.bit_length() + 7) // 8
+
+
+def extended(around: bytes, place: int, source: bytes, source_place: int) -> tuple[int, int]:
+    """Start and end in `around` of what it shares with `source` if both places are aligned.
+
+    No character is cut.
+    """
+    n = min(place, source_place)
+    start = place - _alike(around[place - n : place], source[source_place - n : source_place], "little")
+    n = min(len(around) - place, len(source) - source_place)
+    end = place + _alike(around[place : place + n], source[source_place : source_place + n], "big")
+    while start < place and around[start] & 0xC0 == 0x80:
+        start += 1
+    while end < len(around) and around[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, max(start, end)
+
+
 def _repeated(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Digests (h1, h2) of chunks that several ids have, and the least of these (first_id)."""
+    """Digests (h1, h2) of seeds that several ids have, and the least of these (first_id)."""
     id_type = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                found = _chunks(part, text, s)
-                ids = part.column(doc_id).take(pa.array(found["text"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["h1"]), pa.array(found["h2"]), ids], ["h1", "h2", "id"]
-                )
+                _, text_of, h1, h2 = _seeds(*utf8(part.column(text)), s)
+                ids = part.column(doc_id).take(pa.array(text_of))
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids], ["h1", "h2", "id"])
 
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", id_type)])
-    chunks = docs.select(doc_id, text).mapInArrow(run, schema)
-    # One row for each digest and task reaches the shuffle, so a chunk of a third of all texts is light.
-    ranges = chunks.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    seeds = docs.select(doc_id, text).mapInArrow(run, schema)
+    # One row for each digest and task reaches the shuffle, so a seed of a third of all texts is light.
+    ranges = seeds.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     return ranges.where("first_id < last_id").drop("last_id")
 
 
@@ -143,65 +190,122 @@ def _filter_table(repeated: DataFrame, s: Settings) -> np.ndarray:
 def repeated_passages(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings | None = None
 ) -> DataFrame:
-    """Passages that an earlier document has too: a row for each run of repeated chunks.
+    """Passages that an earlier document has too: a row for each stretch of repeated text.
 
     Columns: `doc_id`, `start` and `end` (code points, end exclusive), `n_words`, and
-    `source_ids`, sorted: of the least ids of texts that have the run's chunks, those that account
-    for `least_words` of its words, or for the most. Chunks are equal if
-    their 128-bit digests are. A chunk counts as repeated in all documents that have it but the
-    one of least id, and only if documents of different ids have it; consecutive repeated
-    chunks make a run, which is reported if it begins at least `least_words` words. The ends
-    of a passage up to its first and from its last chunk boundary are not part of the run.
-
-    Null and empty texts have no chunks; rows without an id are left out, as they can neither
-    be named nor kept; rows that repeat an id are one document here, and their runs are those
-    of each row. Other columns of `docs` play no part.
+    `source_ids`, sorted: of the least ids of texts that have the stretch's seeds, those that
+    account for `least_words` of its words, or for the most; a word that several of these have
+    counts for the smallest. Seeds are equal if their 128-bit
+    digests are. A seed counts as repeated in all documents that have it but the one of least
+    id, and only if documents of different ids have it. From there the text is compared byte by
+    byte with that document's (where it has the seed more than once: at its first place), to
+    both sides over `BESIDE` bytes and at least to the next seed, which is compared in its turn.
+    What is equal, joined where it overlaps or touches, is a row if `least_words` words begin in
+    it. So a passage is reported to its true ends; one in which no chunk ends from its 35th
+    byte on has no seed and isn't found, and the ends can fall short where the only seeds near
+    them belong to other documents of smaller ids.
+
+    Null and empty texts, and those of less than 32 bytes, have no seeds; rows without an id are
+    left out, as they can neither be named nor kept; rows that repeat an id are one document
+    here, and their stretches are those of each row. Other columns of `docs` play no part.
     """
     s = settings or Settings()
     id_type = docs.schema[doc_id].dataType
+    arrow_id = to_arrow_type(id_type)
     usable = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text)
     small_batches(docs.sparkSession)
     repeated = store(_repeated(usable, doc_id, text, s))
     table = usable.sparkSession.sparkContext.broadcast(_filter_table(repeated, s))
+    numbers = ["at", "place", "points", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
             for part in slices(batch, text):
-                found = _chunks(part, text, s)
-                slot = _slot(found["h1"], s.filter_bits)
+                data, offsets = utf8(part.column(text))
+                ends, text_of, h1, h2 = _seeds(data, offsets, s)
+                slot = _slot(h1, s.filter_bits)
                 keep = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-                ids = part.column(doc_id).cast(to_arrow_type(id_type)).take(pa.array(found["text"][keep]))
+                found = _surroundings(data, offsets, ends, text_of, keep)
+                ids = part.column(doc_id).cast(arrow_id).take(pa.array(text_of[keep]))
                 digest = [xxhash.xxh3_64_intdigest((v.as_py() or "").encode()) >> 1 for v in part.column(text)]
-                which = np.array(digest, np.int64)[found["text"][keep]]
+                which = np.array(digest, np.int64)[text_of[keep]]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(which), *(pa.array(found[c][keep].astype(np.int64)) for c in ("h1", "h2", "seq", "start", "end", "words"))],
-                    ["id", "row", "h1", "h2", "seq", "start", "end", "words"],
+                    [ids, *(pa.array(x) for x in (which, h1[keep], h2[keep])), *(pa.array(found[c].astype(np.int64)) for c in numbers), pa.array(found["around"], pa.binary())],
+                    ["id", "row", "h1", "h2", *numbers, "around"],
                 )
 
-    longs = [T.StructField(c, T.LongType()) for c in ("row", "h1", "h2", "seq", "start", "end", "words")]
-    occurrences = usable.mapInArrow(run, T.StructType([T.StructField("id", id_type), *longs]))
-    matched = occurrences.join(repeated, ["h1", "h2"]).where("first_id < id")
-    # Rows that repeat both id and text have the same chunks; once is enough.
-    matched = matched.groupBy("id", "row", "seq").agg(
-        *(F.first(c).alias(c) for c in ("start", "end", "words", "first_id"))
-    )
-    inside = Window.partitionBy("id", "row").orderBy("seq")
-    shares = (
-        matched.withColumn("run", F.col("seq") - F.row_number().over(inside))
-        .groupBy("id", "row", "run", "first_id")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"))
-    )
-    runs = shares.groupBy("id", "row", "run").agg(
-        F.min("start").alias("start"),
-        F.max("end").alias("end"),
-        F.sum("words").alias("n_words"),
-        F.max("words").alias("most"),
-        F.collect_list(F.struct("first_id", "words")).alias("sources"),
-    )
-    # A short chunk may stand in any text; a source has a passage's words, or the most of all.
-    enough = F.least(F.col("most"), F.lit(s.least_words))
-    sources = F.filter("sources", lambda source: source["words"] >= enough)["first_id"]
-    return runs.where(F.col("n_words") >= s.least_words).select(
-        F.col("id").alias(doc_id), "start", "end", "n_words", F.sort_array(sources).alias("source_ids")
+    longs = [T.StructField(c, T.LongType()) for c in ("row", "h1", "h2", *numbers)]
+    schema = T.StructType([T.StructField("id", id_type), *longs, T.StructField("around", T.BinaryType())])
+    matched = store(usable.mapInArrow(run, schema).join(repeated, ["h1", "h2"]))
+    sources = (
+        matched.where("id = first_id")
+        .groupBy("h1", "h2")
+        .agg(F.min(F.struct("row", "at", "place", "around")).alias("source"))
+        .select("h1", "h2", F.col("source.place").alias("source_place"), F.col("source.around").alias("source_around"))
     )
+    pairs = matched.where("first_id < id").join(sources, ["h1", "h2"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = (batch.column(c).to_pylist() for c in ("around", "place", "source_around", "source_place", "points", "words"))
+            for around, place, source, source_place, points, words in zip(*columns, strict=True):
+                start, end = extended(around, place, source, source_place)
+                ends = []
+                for to in (start, end):
+                    # A word that starts at `to` is not before it; one that goes on there is.
+                    ends += [points + len(around[:to].translate(None, _INNER_BYTES)), words + len(around[:to].split())]
+                out.append(ends)
+            found = np.array(out, np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("row"), batch.column("first_id"), *(pa.array(found[i]) for i in (0, 2, 1, 3))],
+                ["id", "row", "first_id", "start", "end", "before", "up_to"],
+            )
+
+    longs = [T.StructField(c, T.LongType()) for c in ("start", "end", "before", "up_to")]
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("row", T.LongType()), T.StructField("first_id", id_type), *longs])
+    stretches = pairs.mapInArrow(extend, schema)
+    # A source's stretches are joined first, so that no word counts twice for it.
+    shares = _joined(stretches, ["id", "row", "first_id"]).groupBy("id", "row", "first_id", "run").agg(*_hull())
+    piece = F.struct("first_id", "before", "up_to")
+    runs = _joined(shares.drop("run"), ["id", "row"]).groupBy("id", "row", "run").agg(*_hull(), F.collect_list(piece).alias("pieces"))
+    n_words = F.col("up_to") - F.col("before")
+    runs = runs.where(n_words >= s.least_words).select("id", "start", "end", n_words.alias("n_words"), "before", F.sort_array("pieces").alias("pieces"))
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("pieces", "before", "n_words"))
+            named = [named_sources(*row, s.least_words) for row in zip(*columns, strict=True)]
+            kept = [batch.column(c) for c in ("id", "start", "end", "n_words")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(named, pa.list_(arrow_id))], [doc_id, "start", "end", "n_words", "source_ids"])
+
+    longs = [T.StructField(c, T.LongType()) for c in ("start", "end", "n_words")]
+    return runs.mapInArrow(name, T.StructType([T.StructField(doc_id, id_type), *longs, T.StructField("source_ids", T.ArrayType(id_type))]))
+
+
+def named_sources(pieces: list[dict], first: int, n_words: int, least: int) -> list:
+    """Of sorted pieces' documents those that account for `least` words, or for the most.
+
+    A word is accounted for by the document of smallest id that has it.
+    """
+    taken, words = bytearray(n_words), {}
+    for piece in pieces:
+        a, b = piece["before"] - first, piece["up_to"] - first
+        words[piece["first_id"]] = words.get(piece["first_id"], 0) + taken.count(0, a, b)
+        taken[a:b] = b"\1" * (b - a)
+    enough = min(max(words.values()), least)
+    return [name for name, n in words.items() if n >= enough]
+
+
+def _hull() -> list[F.Column]:
+    return [F.min("start").alias("start"), F.max("end").alias("end"), F.min("before").alias("before"), F.max("up_to").alias("up_to")]
+
+
+def _joined(stretches: DataFrame, keys: list[str]) -> DataFrame:
+    """`stretches` with a number `run`, the same for those of a key that overlap or touch."""
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("start") > reached, 1).otherwise(0)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stretches.withColumn("new", new).withColumn("run", F.sum("new").over(so_far)).drop("new")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from pricetide.llm.substring_dedup import Settings, chunk_ends, repeated_passages
+from pricetide.llm.substring_dedup import Settings, chunk_ends, extended, repeated_passages
 from tests.llm.helpers import awkward_texts, documents, sentence
 
 
@@ -55,3 +55,34 @@ def test_result_does_not_depend_on_the_filter(spark):
     want = sorted(map(tuple, repeated_passages(documents(spark, texts)).collect()))
     found = repeated_passages(documents(spark, texts), settings=Settings(filter_bits=8))
     assert sorted(map(tuple, found.collect())) == want and want
+
+
+def test_short_passages_are_found_to_their_ends(spark):
+    rng = random.Random(31)
+    texts, planted = [], []
+    for n in range(300):
+        passage = sentence(rng, rng.randint(51, 60))
+        # "#" and "%" stand around the passages and nowhere else.
+        texts.append(f"{sentence(rng, 30)} # {passage} # {sentence(rng, 30)}")
+        planted.append((n, f"{sentence(rng, rng.randint(0, 40))} % {passage} % {sentence(rng, rng.randint(0, 40))}", passage))
+    docs = documents(spark, texts + [t for _, t, _ in planted])
+    rows = {r["doc_id"]: r for r in repeated_passages(docs).collect()}
+    assert set(rows) == {300 + n for n, _, _ in planted}
+    for n, text, passage in planted:
+        row = rows[300 + n]
+        assert text[row["start"] : row["end"]] == f" {passage} " and row["source_ids"] == [n]
+        assert row["n_words"] == len(passage.split())
+
+
+def test_extension_cuts_no_character():
+    a, b = "xé middle è".encode(), "yè middle é".encode()
+    at = a.index(b"dd")
+    start, end = extended(a, at, b, at)
+    assert a[start:end].decode() == " middle "
+    assert extended(b"abc", 2, b"bc", 1) == (1, 3) and extended(b"ab", 1, b"xy", 1) == (1, 1)
+
+
+def test_runs_of_one_byte_and_periods(spark):
+    texts = [c * 20_000 for c in "abcdefghijklmnopqrstuvwxyz"] * 2 + ["ab cde " * 3_000] * 2
+    rows = repeated_passages(documents(spark, texts)).collect()
+    assert [(r["doc_id"], r["start"], r["end"], r["n_words"]) for r in rows] == [(53, 0, 21_000, 6_000)]
