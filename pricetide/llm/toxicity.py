@@ -31,7 +31,7 @@ class Settings:
     neighbours: nearest examples that vote; block: examples in a block of the index.
     """
 
-    max_examples: int = 3000
+    max_examples: int = 4000
     max_terms: int = 4096
     min_chi: float = 20.0
     lift: float = 3.0
@@ -265,8 +265,9 @@ def fit(
 ) -> Model:
     """Fit on the rows of `docs` that `labels` covers.
 
-    Document frequencies come from all rows of `corpus` (by default `docs`), which is read
-    once for that. The vote is calibrated on the examples themselves, each scored without
+    Vectors have the chosen terms only (`Settings`): the cosine is that of the texts cut to
+    these, and a text without any of them has no neighbours. Document frequencies come from all
+    rows of `corpus` (by default `docs`), which is read once for that. The vote is calibrated on the examples themselves, each scored without
     itself, and weighted so that both classes have their share among all labelled rows.
     """
     settings = settings or Settings()

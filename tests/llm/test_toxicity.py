@@ -68,3 +68,10 @@ def test_without_labels_or_rows(spark):
     assert toxicity.score(documents(spark, []), model).collect() == []
     odd = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     assert toxicity.fit(documents(spark, ["a b", "c"]), odd).toxic.tolist() == [1]
+
+
+def test_examples_up_to_four_thousand_a_class_are_indexed(spark):
+    rows = [(i, f"{BAD[i % 4]} w{i % 50}" if i % 2 else f"v{i % 40} w{i % 50}") for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, labels).names) == 7000
