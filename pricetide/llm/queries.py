@@ -14,10 +14,13 @@ from pricetide.llm import (
     chat_preferences,
     context_mixing,
     decontamination,
+    filter_audit,
     ngram_jaccard,
     quality_rules,
     secret_scan,
     sentencepiece_chunks,
+    simhash,
+    source_divergence,
     substring_dedup,
     toxicity,
 )
@@ -133,6 +136,19 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_to_warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.simhash_classes(table(spark, sf_dir, "documents"))
+    return classes.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -144,6 +160,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_preferences": op8_chat_preferences,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_arc_to_warc": op10_arc_to_warc,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_simhash": op12_simhash,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 def _secrets_sql() -> str:
@@ -273,4 +292,87 @@ SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(least.y,
 FROM texts t LEFT JOIN sizes s ON s.doc_id = t.doc_id LEFT JOIN least ON least.x = t.doc_id
 LEFT JOIN degrees d ON d.x = t.doc_id""".replace("\\\\", "\\")
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": JACCARD_SQL, "op8_chat_preferences": PREFERENCES_SQL, "op10_arc_to_warc": WARC_SQL, "op3_secret_scan": _secrets_sql(), "op7_decontamination": DECONTAMINATION_SQL}
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM places GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+held AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM places JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM held GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(h.n, 0) + 1) // (coalesce(t.total, 0) + s.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 1) // (s.total + s.v) AS q
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN sizes s ON s.lang = g.lang
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200""".replace("\\\\", "\\")
+
+FILTER_AUDIT_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+  FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CAST(len(w) < 200 AS INT)
+    + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+    + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(w.doc_id > first, false) AS INT) AS mask
+  FROM w LEFT JOIN marks ON marks.doc_id = w.doc_id),
+g AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT '' AS filter_order, 0 AS used
+  UNION ALL SELECT filter_order || letter, used + bit FROM orders, letters WHERE used & bit = 0),
+steps AS (
+  SELECT filter_order, step, letter, bit,
+    (SELECT coalesce(sum(x.bit), 0) FROM letters x WHERE position(x.letter IN left(filter_order, step - 1)) > 0)::INT AS before
+  FROM (SELECT filter_order, unnest(generate_series(1, 5)) AS step FROM orders WHERE used = 31) o
+  JOIN letters ON letter = substr(filter_order, step, 1)),
+sums AS (
+  SELECT part, filter_order, step, letter,
+    sum(n) FILTER (mask & (before + bit) = 0) AS kept,
+    sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+    sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant,
+    sum(n) FILTER (mask = bit) AS unique_fails,
+    sum(good) FILTER (mask & before = 0 AND mask & bit > 0) AS good_lost,
+    sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0) AS toxic_lost
+  FROM g, steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM sums""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": JACCARD_SQL,
+    "op3_secret_scan": _secrets_sql(),
+    "op7_decontamination": DECONTAMINATION_SQL,
+    "op8_chat_preferences": PREFERENCES_SQL,
+    "op10_arc_to_warc": WARC_SQL,
+    "op11_source_divergence": DIVERGENCE_SQL,
+    "op13_filter_audit": FILTER_AUDIT_SQL,
+}
