@@ -18,8 +18,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,29 +78,27 @@ class Block:
 
     def run(self) -> Iterator[pa.RecordBatch]:
         """The block as one run in order of term; a row without a term names each group."""
-        rows = sorted(
-            (term, lang, source, n, holders[term])
-            for (lang, source), (occurrences, holders) in self.groups.items()
-            for term, n in occurrences.items()
+        groups, self.groups, self.size = self.groups, {}, 0
+        if not groups:
+            return
+        names = [pa.array(x, pa.string()) for x in zip(*groups, strict=True)]
+        nothing = [pa.nulls(len(groups), k) for k in (pa.string(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*names, *nothing], names=_RUN.names)
+        sizes = [len(occurrences) for occurrences, _ in groups.values()]
+        terms, counts, docs = [], [], []
+        for occurrences, holders in groups.values():
+            terms.append(pa.array(occurrences, pa.binary(), size=len(occurrences)))
+            counts.append(np.fromiter(occurrences.values(), np.int64, len(occurrences)))
+            docs.append(np.fromiter(map(holders.__getitem__, occurrences), np.int64, len(occurrences)))
+        places = np.repeat(np.arange(len(groups)), sizes)
+        rows = pa.table(
+            [names[0].take(pa.array(places)), names[1].take(pa.array(places)), pa.concat_arrays(terms)]
+            + [pa.array(np.concatenate(x)) for x in (counts, docs)],
+            names=_RUN.names,
         )
-        groups = sorted(self.groups)
-        self.__init__()
-        if groups:
-            langs, sources = zip(*groups, strict=True)
-            nothing = [pa.nulls(len(groups), k) for k in (pa.string(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()), *nothing], names=_RUN.names)
-        for at in range(0, len(rows), RUN_ROWS):
-            term, lang, source, n, docs = zip(*rows[at : at + RUN_ROWS], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(lang, pa.string()),
-                    pa.array(source, pa.string()),
-                    pa.array(term, pa.binary()).cast(pa.string()),
-                    pa.array(n, pa.int64()),
-                    pa.array(docs, pa.int64()),
-                ],
-                names=_RUN.names,
-            )
+        rows = rows.take(pc.sort_indices(rows.column("term")))
+        rows = rows.set_column(2, "term", rows.column("term").cast(pa.string()))
+        yield from rows.to_batches(RUN_ROWS)
 
 
 def index_runs(docs: DataFrame, text: str, lang: str, source: str, block_terms: int) -> DataFrame:
@@ -154,6 +152,16 @@ def divergence(p: F.Column, q: F.Column) -> F.Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _starts(rows: pa.Table) -> np.ndarray:
+    """True where a row's (lang, term) differs from the row's before it."""
+    differs = np.ones(rows.num_rows, bool)
+    if rows.num_rows > 1:
+        here, before = rows.slice(1), rows.slice(0, rows.num_rows - 1)
+        changed = [pc.not_equal(here.column(c).combine_chunks(), before.column(c).combine_chunks()) for c in ("lang", "term")]
+        differs[1:] = pc.or_(*changed).to_numpy(zero_copy_only=False)
+    return differs
+
+
 def _corrections(shares: DataFrame) -> DataFrame:
     """Rows (lang, source, item, value): for each pair of sources, what the terms they share change.
 
@@ -170,17 +178,22 @@ def _corrections(shares: DataFrame) -> DataFrame:
     def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (p - q) * (p - q) // q
 
-    def add(rows: pd.DataFrame, held: dict[tuple[str, str, str], int]) -> Iterator[pa.RecordBatch]:
+    def add(rows: pa.Table, held: dict[tuple[str, str, str], int]) -> Iterator[pa.RecordBatch]:
         """Add the pairs of all whole terms in `rows`."""
-        terms = (rows["lang"].ne(rows["lang"].shift()) | rows["term"].ne(rows["term"].shift())).cumsum().to_numpy() - 1
+        rows = rows.combine_chunks()
+        coded = [pc.dictionary_encode(rows.column(c)).combine_chunks() for c in ("lang", "source")]
+        (langs, lang_names), (sources, source_names) = (
+            (x.indices.to_numpy().astype(np.int64), x.dictionary.to_pylist()) for x in coded
+        )
+        terms = np.cumsum(_starts(rows)) - 1
         sizes = np.bincount(terms)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        groups, names = pd.factorize(pd.MultiIndex.from_frame(rows[["lang", "source"]]))
-        p, p0 = rows["p"].to_numpy(), rows["p0"].to_numpy()
+        p, p0 = rows.column("p").to_numpy(), rows.column("p0").to_numpy()
         mates = sizes[terms]
         ends = np.cumsum(mates)
+        n = len(source_names)
         at = 0
-        while at < len(rows):
+        while at < len(terms):
             base = ends[at - 1] if at else 0
             last = max(at + 1, int(np.searchsorted(ends, base + PAIR_ROWS, side="right")))
             one = np.repeat(np.arange(at, last), mates[at:last])
@@ -188,12 +201,12 @@ def _corrections(shares: DataFrame) -> DataFrame:
             differ = one != two
             one, two = one[differ], two[differ]
             change = f(p[one], p[two]) - f(p[one], p0[two]) - f(p0[one], p[two]) + f(p0[one], p0[two])
-            pairs, inverse = np.unique(groups[one].astype(np.int64) * len(names) + groups[two], return_inverse=True)
+            pairs, inverse = np.unique((langs[one] * n + sources[one]) * n + sources[two], return_inverse=True)
             sums = np.zeros(len(pairs), np.int64)
             np.add.at(sums, inverse, change)
             for pair, value in zip(pairs.tolist(), sums.tolist(), strict=True):
-                (lang, source), (_, item) = names[pair // len(names)], names[pair % len(names)]
-                held[lang, source, item] = held.get((lang, source, item), 0) + value
+                key = (lang_names[pair // (n * n)], source_names[pair // n % n], source_names[pair % n])
+                held[key] = held.get(key, 0) + value
             if len(held) >= HELD_PAIRS:
                 yield out(held)
                 held.clear()
@@ -201,17 +214,18 @@ def _corrections(shares: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, str], int] = {}
-        rest = None
+        waiting: list[pa.RecordBatch] = []
         for batch in batches:
-            rows = batch.to_pandas()
-            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            waiting.append(batch)
+            if sum(x.num_rows for x in waiting) < RUN_ROWS:
+                continue
+            rows = pa.Table.from_batches(waiting)
             # The last term may go on in the next batch.
-            same = ((rows["lang"] == rows["lang"].iloc[-1]) & (rows["term"] == rows["term"].iloc[-1])).to_numpy()
-            rest = rows[same].reset_index(drop=True)
-            if not same.all():
-                yield from add(rows[~same].reset_index(drop=True), held)
-        if rest is not None and len(rest):
-            yield from add(rest, held)
+            whole = int(np.flatnonzero(_starts(rows))[-1])
+            yield from add(rows.slice(0, whole), held) if whole else ()
+            waiting = rows.slice(whole).to_batches()
+        if waiting:
+            yield from add(pa.Table.from_batches(waiting), held)
         if held:
             yield out(held)
 
