@@ -153,6 +153,23 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 11) -> np.ndarray:
     return mix(total)
 
 
+#: Keys that hold more than this share of the rows are joined by a broadcast; they are fewer than that.
+HOT_KEYS = 10_000
+
+
+def attach(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """`rows` left-joined to `found`: one row a key, and in `copies` how many rows hold that key.
+
+    Keys of many rows go by a broadcast of fewer than HOT_KEYS rows, so they are not gathered in a
+    task. Both frames are read several times and should be stored; a null key finds nothing.
+    """
+    total = rows.count()
+    often = F.broadcast(found.where(F.col("copies") * HOT_KEYS > total).drop("copies"))
+    seldom = found.where(F.col("copies") * HOT_KEYS <= total).drop("copies")
+    rest = rows.join(often.select(key), key, "left_anti").join(seldom, key, "left")
+    return rows.join(often, key).unionByName(rest)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send texts to Python 1,000 rows at a time, unless the session asks for its own number.
 

@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import small_batches, store
+from pricetide.llm.common import attach, small_batches, store
 
-#: A text stored this many times in so many rows is joined by a broadcast; such texts are fewer than that.
-HOT_TEXTS = 10_000
 #: Bytes of text whose words are split at a time.
 SPLIT_BYTES = 1 << 20
 SYMBOL = re.compile(rb"[#$%&*|]")
@@ -215,15 +213,8 @@ def read_flags(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", part
 
 def with_copies(flags: DataFrame) -> DataFrame:
     """`flags` (stored) and a column E: a smaller id has the same text. False without an id."""
-    rows = flags.count()
     digests = flags.where("id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    digests = store(digests.where("copies > 1"))
-    # Fewer than HOT_TEXTS digests can have more than that share of the rows.
-    hot = digests.where(F.col("copies") * HOT_TEXTS > rows).drop("copies")
-    rare = digests.where(F.col("copies") * HOT_TEXTS <= rows).drop("copies")
-    often = flags.join(F.broadcast(hot), "digest")
-    others = flags.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(rare, "digest", "left")
-    found = often.unionByName(others)
+    found = attach(flags, store(digests.where("copies > 1")), "digest")
     return found.withColumn("E", F.coalesce(F.col("id") > F.col("first"), F.lit(False))).drop("first", "digest")
 
 

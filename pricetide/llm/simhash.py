@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricetide.llm.common import small_batches, store
+from pricetide.llm.common import attach, small_batches, store
 from pricetide.llm.ngram_jaccard import components
 
 BITS = 64
@@ -186,14 +186,14 @@ def simhash_classes(
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made.view(np.int64))], names=["id", "fp"])
 
     rows = store(taken.mapInArrow(run, schema))
-    nodes = store(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("first")))
+    named = rows.where("id IS NOT NULL").groupBy("fp")
+    nodes = store(named.agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     found = components(near_links(nodes, radius, bucket)).withColumnRenamed("id", "fp")
-    linked = nodes.join(found, "fp")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    classes = nodes.join(linked.select("fp", "component").join(least, "component"), "fp", "left").select(
-        "fp", F.coalesce("least", "first").alias("class")
-    )
-    return rows.join(classes, "fp", "left").select(
+    linked = store(nodes.join(found, "fp"))
+    heads = linked.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("copies"))
+    named = attach(linked.select("fp", "component"), store(heads), "component").select("fp", "least")
+    classes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("class"), "copies")
+    return attach(rows, store(classes), "fp").select(
         F.col("id").alias(doc_id),
         F.col("fp").alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("class")).alias("component_id"),
