@@ -14,13 +14,16 @@ def first_present(*candidates: Column, default: Column | None = None) -> Column:
     return F.coalesce(*options)
 
 
-# Fixed value: white space that is stripped, that of Unicode and the ASCII separators.
-_BLANKS = r"[\p{Z}\s\x1c-\x1f\x85]+"
+# Fixed value: white space that is stripped, the ASCII one and separators, then that of Unicode.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20"
+    "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
     """Text without white space of any kind around it."""
-    return F.regexp_replace(text, f"^{_BLANKS}|{_BLANKS}$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def label_key(label: Column) -> Column:
@@ -38,6 +41,7 @@ def source_date(text: Column) -> Column:
     return F.when((t != "") & ~t.startswith("0000-00-00"), t)
 
 
+# The patterns of dates, weeks, tokens and gap messages below.
 def is_iso_date(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d{2}-\d{2}$")
 

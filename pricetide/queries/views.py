@@ -46,6 +46,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by a hash of `keys` to the session's number of shuffle partitions.
+
+    A given table may be one row group, so one task; texts are built and parsed behind this.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for tables a query writes and reads back, in the shared checkpoint folder."""
     shared = ensure_checkpoint_dir(spark).rstrip("/")
@@ -351,7 +359,7 @@ def _enveloped(key: Column, records: Column) -> Column:
 
 def price_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Price-guide documents, one per line item, with two records each."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"), "l_orderkey")
     pid = F.col("l_partkey")
     holo, untaxed = part_game(pid) == "pokemon", F.col("l_tax") == 0
     foil = F.when(F.col("l_returnflag") == "R", F.col("l_quantity") * 2)
@@ -384,7 +392,7 @@ def price_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def catalogue_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue documents, one per part (every tenth part is not listed)."""
-    part = table(spark, sf, "part").filter(F.col("p_partkey") % 10 != 3)
+    part = spread(table(spark, sf, "part"), "p_partkey").filter(F.col("p_partkey") % 10 != 3)
     pid = F.col("p_partkey")
     record = F.to_json(
         F.struct(
@@ -410,7 +418,7 @@ def catalogue_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def holdings_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Holdings CSV files, one per line item: its holding, the same one again, and a bad line."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"), "l_orderkey")
     part = table(spark, sf, "part").select("p_partkey", brand_id(F.col("p_brand")).alias("pid"))
     rows = line.join(part, line.l_partkey == part.p_partkey)
     cost = F.when(F.col("l_discount") > 0.02, F.col("l_extendedprice").cast("string")).otherwise("")

@@ -64,31 +64,31 @@ def parse_holdings(
     # Column positions are looked up once per document, cells split once per line.
     for name in names:
         docs = docs.withColumn(f"at_{name}", F.array_position("header", name).cast("int"))
-    broken = docs.filter(F.col("problem").isNotNull()).select(
-        "portfolio_id",
-        F.lit(1).alias("line"),
-        F.col("problem").alias("error"),
-        *[F.lit(None).cast("string").alias(f"{name}_text") for name in names],
-    )
+    # A document is read once: it yields its one problem, or its lines.
+    valid = F.col("problem").isNull()
     rows = (
-        docs.filter(F.col("problem").isNull())
-        .select("portfolio_id", *[f"at_{name}" for name in names], F.posexplode("lines").alias("pos", "text"))
-        .filter(F.col("pos") > 0)
+        docs.select(
+            "portfolio_id",
+            "problem",
+            *[f"at_{name}" for name in names],
+            F.posexplode(F.when(valid, F.col("lines")).otherwise(F.array(F.lit("")))).alias("pos", "text"),
+        )
+        .filter(~valid | (F.col("pos") > 0))
         .withColumn("cells", F.split("text", ",", -1))
         .select(
             "portfolio_id",
             (F.col("pos") + 1).cast("int").alias("line"),
-            F.lit(None).cast("string").alias("error"),
+            F.col("problem").alias("error"),
             *[
                 F.when(
-                    F.col(f"at_{name}") > 0, strip(F.get("cells", F.col(f"at_{name}") - 1))
+                    valid & (F.col(f"at_{name}") > 0), strip(F.get("cells", F.col(f"at_{name}") - 1))
                 ).alias(f"{name}_text")
                 for name in names
             ],
         )
     )
     pid_number = F.col("cm_product_id_text").try_cast("double")
-    typed = broken.unionByName(rows).select(
+    typed = rows.select(
         "portfolio_id",
         "line",
         "error",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetide.functions import dates, ids, text
 from pricetide.operators import performance, portfolio, reports
 from pricetide.schemas import HISTORY
-from pricetide.sources.holdings import parse_holdings
+from pricetide.sources.holdings import UPLOAD_BYTES, UPLOAD_ROWS, parse_holdings
 from tests.conftest import rows
 
 
@@ -151,13 +151,23 @@ def test_holdings_limits(spark):
         [(1, "   "), (2, "cm_product_id,cost\n1,2"), (3, header + "1,foil,1\n" * 5001), (4, header + "1,foil," + "1" * 1_000_001), (5, header + "1,foil,1")],
         "portfolio_id bigint, csv string",
     )
-    assert rows(parse_holdings(docs).fillna({"error": ""}), "portfolio_id", "line", "error") == [
+    limits = {"max_bytes": UPLOAD_BYTES, "max_rows": UPLOAD_ROWS}
+    assert rows(parse_holdings(docs, **limits).fillna({"error": ""}), "portfolio_id", "line", "error") == [
         (1, 1, "CSV is empty"),
         (2, 1, "Missing required column: quantity"),
         (3, 1, "CSV exceeds the 5000 holding limit"),
         (4, 1, "CSV exceeds the 1 MB limit"),
         (5, 2, ""),
     ]
+    unbounded = parse_holdings(docs).filter("portfolio_id IN (3, 4)")
+    assert {r["portfolio_id"]: r["n"] for r in unbounded.groupBy("portfolio_id").agg(F.count("*").alias("n")).collect()} == {3: 5001, 4: 1}
+    assert unbounded.filter("line = 1").count() == 0
+
+
+def test_strip_is_linear(spark):
+    inner = "a" + " " * 1_000_000 + "b"
+    frame = spark.createDataFrame([(f"\t\x1c {inner}\x85\u3000",), ("   ",), (None,)], "t string")
+    assert [r[0] for r in frame.select(text.strip(F.col("t"))).collect()] == [inner, "", None]
 
 
 def test_text_helpers(spark):
