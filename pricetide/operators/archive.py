@@ -107,22 +107,46 @@ def payload_records(body: Column, kind: Column) -> Column:
     return F.from_json(chosen, "array<string>")
 
 
-def content_errors(
-    files: DataFrame, documents: DataFrame, min_records: int = MIN_PRICEGUIDE_RECORDS
-) -> DataFrame:
-    """Compare declared files with landed bodies (key, body): hash, size, JSON, record count.
+def measure_bodies(documents: DataFrame) -> DataFrame:
+    """Measures of landed bodies (key, body): size, hash, whether JSON, and both record counts.
 
-    Bodies are measured beside their scan; what is shuffled is five small columns.
+    Bodies are measured beside their scan; what is shuffled later is these small columns.
     """
     body = F.col("body")
     guide, other = (payload_records(body, F.lit(kind)) for kind in ("priceguide", "catalogue"))
-    landed = documents.filter(body.isNotNull()).select(
+    return documents.filter(body.isNotNull()).select(
+        "key",
+        F.sha2(body, 256).alias("sha256"),
+        F.octet_length(body).cast("bigint").alias("size"),
+        F.try_parse_json(body).isNotNull().alias("valid"),
+        F.when(guide.isNotNull(), F.size(guide)).cast("bigint").alias("guide_records"),
+        F.when(other.isNotNull(), F.size(other)).cast("bigint").alias("other_records"),
+    )
+
+
+def measured_files(measures: DataFrame) -> DataFrame:
+    """The same columns from the measures of snapshot files; files that can't be read have none."""
+    return measures.filter(F.col("sha256").isNotNull()).select(
+        "key",
+        "sha256",
+        "size",
+        "valid",
+        F.coalesce("bare", "priceGuides", "data").alias("guide_records"),
+        F.coalesce("bare", "products").alias("other_records"),
+    )
+
+
+def compare_content(
+    files: DataFrame, measured: DataFrame, min_records: int = MIN_PRICEGUIDE_RECORDS
+) -> DataFrame:
+    """Errors of declared files against the measures of what landed: hash, size, JSON, record count."""
+    landed = measured.select(
         "key",
-        F.sha2(body, 256).alias("_sha"),
-        F.octet_length(body).alias("_size"),
-        F.try_parse_json(body).isNotNull().alias("_valid"),
-        F.when(guide.isNotNull(), F.size(guide)).alias("_guide"),
-        F.when(other.isNotNull(), F.size(other)).alias("_other"),
+        F.col("sha256").alias("_sha"),
+        F.col("size").alias("_size"),
+        F.col("valid").alias("_valid"),
+        F.col("guide_records").alias("_guide"),
+        F.col("other_records").alias("_other"),
     )
     joined = files.select("run_date", "game_key", "kind", "key", "sha256", "size").join(landed, "key", "left")
     is_guide = F.col("kind") == "priceguide"
@@ -141,6 +165,13 @@ def content_errors(
     )
 
 
+def content_errors(
+    files: DataFrame, documents: DataFrame, min_records: int = MIN_PRICEGUIDE_RECORDS
+) -> DataFrame:
+    """Compare declared files with landed bodies (key, body)."""
+    return compare_content(files, measure_bodies(documents), min_records)
+
+
 def source_metadata(documents: DataFrame, min_records: int = MIN_PRICEGUIDE_RECORDS) -> DataFrame:
     """Record count and creation time per landed document, with the size rule's verdict."""
     records = record_list(F.col("body"))
@@ -220,6 +251,22 @@ def sample_size(total: Column, rate: float) -> Column:
     return F.when(total > 0, F.least(total, wanted)).otherwise(F.lit(0)).cast("bigint")
 
 
+def sample_order(seed: str) -> Column:
+    """The order in which a seeded sample takes keys."""
+    return F.sha2(F.concat(F.lit(seed), F.col("key")), 256)
+
+
+def sampled_bodies(documents: DataFrame, sampled: DataFrame, seed: str) -> DataFrame:
+    """The documents of sampled keys; others are left out beside the scan, before their body is used.
+
+    A sample holds the first keys in its order, so the last of them is a scalar that each
+    document's key is compared with. The semi join after it drops keys that no file names.
+    """
+    order = sample_order(seed)
+    last = sampled.agg(F.max(order)).scalar()
+    return documents.filter(order <= last).join(sampled.select("key"), "key", "left_semi")
+
+
 def sample_files(files: DataFrame, rate: float, seed: str) -> DataFrame:
     """A seeded sample of exactly min(n, max(1, ceil(n * rate))) distinct keys.
 
@@ -227,8 +274,7 @@ def sample_files(files: DataFrame, rate: float, seed: str) -> DataFrame:
     Keys fall evenly over the first 16 bits of it: a count of those cells (65,536 rows at
     most) finds the cell that the sample ends in, and only that cell's keys are ranked.
     """
-    order = F.sha2(F.concat(F.lit(seed), F.col("key")), 256)
-    keys = files.select("key").distinct().withColumn("_order", order).withColumn("_cell", F.substring("_order", 1, 4))
+    keys = files.select("key").distinct().withColumn("_order", sample_order(seed)).withColumn("_cell", F.substring("_order", 1, 4))
     cells = keys.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pricetide.functions.ids import NAMESPACE
 from pricetide.operators import archive, gates
+from pricetide.session import cut_lineage
+from pricetide.sources.snapshot_files import measure_keys
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,7 @@ class AuditReport:
     categories: DataFrame
     largest: DataFrame
     sampled: DataFrame
+    measured: DataFrame
     readiness: DataFrame
     projections: DataFrame
     summary: DataFrame
@@ -30,7 +33,7 @@ def audit_archive(
     spark: SparkSession,
     manifests: DataFrame,
     files: DataFrame,
-    documents: DataFrame,
+    documents: DataFrame | str,
     objects: DataFrame,
     definitions: DataFrame,
     quality: DataFrame,
@@ -40,11 +43,14 @@ def audit_archive(
     sample_rate: float,
     seed: str,
     required_lookback_days: int = 60,
+    min_records: int = archive.MIN_PRICEGUIDE_RECORDS,
 ) -> AuditReport:
     """Audit the manifests of [start, end].
 
-    `manifests`/`files` come from `sources.manifests`; `documents` holds landed
-    bodies (key, body) and is only read for the sampled keys.
+    `manifests`/`files` come from `sources.manifests`. `documents` is the archive's folder, of
+    which only the sampled keys' files are opened, or a table of landed bodies (key, body), of
+    which only the sampled keys' rows are used. Errors and the sample's measures are stored, as
+    several parts of the report are made from them.
     """
     if required_lookback_days < 1:
         raise ValueError("required_lookback_days must be positive")
@@ -53,17 +59,22 @@ def audit_archive(
     entries = files.filter(F.col("path_date").between(F.lit(start), F.lit(end))).withColumn(
         "run_date", F.col("run_date").try_cast("date")
     )
-    sampled = archive.sample_files(entries, sample_rate, seed)
+    sampled = cut_lineage(archive.sample_files(entries, sample_rate, seed))
     chosen = entries.join(sampled, "key", "left_semi")
-    content = archive.content_errors(chosen, documents)
-    errors = archive.audit_errors(days, in_range, entries, inceptions, content)
+    if isinstance(documents, str):
+        measured = archive.measured_files(measure_keys(sampled, documents))
+    else:
+        measured = archive.measure_bodies(archive.sampled_bodies(documents, sampled, seed))
+    measured = cut_lineage(measured)
+    content = archive.compare_content(chosen, measured, min_records)
+    errors = cut_lineage(archive.audit_errors(days, in_range, entries, inceptions, content))
     cover = archive.coverage(
         days, in_range.filter(~F.col("malformed")).select(F.col("path_date").alias("run_date"))
     )
-    present = in_range.filter(~F.col("malformed")).select("path_date").distinct().count()
+    days_present = in_range.filter(~F.col("malformed")).agg(F.count_distinct("path_date")).scalar()
     storage = archive.storage_totals(objects)
     readiness = gates.audit_readiness(
-        definitions, quality, F.lit(end), F.lit(present), required_lookback_days
+        definitions, quality, F.lit(end), days_present, required_lookback_days
     )
     return AuditReport(
         errors=errors,
@@ -72,6 +83,7 @@ def audit_archive(
         categories=archive.storage_by_category(objects),
         largest=archive.largest_objects(objects),
         sampled=sampled,
+        measured=measured,
         readiness=readiness,
         projections=archive.projected_dates(inceptions, required_lookback_days),
         summary=_summary(errors, entries, sampled, objects, readiness),

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pricetide.operators import merge, normalize
 from pricetide.operators.archive import (
     MIN_PRICEGUIDE_RECORDS,
-    content_errors,
+    compare_content,
     duplicate_entries,
+    measure_bodies,
+    measured_files,
     snapshot_key,
     structure_errors,
 )
-from pricetide.schemas import PRICE_TABLE, PRICES, PRODUCTS, SETS, VARIANTS
+from pricetide.params import SOURCE_KINDS
+from pricetide.schemas import PRICE_TABLE, PRICES, PRODUCTS, SETS, VARIANTS, struct
 from pricetide.session import cut_lineage
-from pricetide.sinks.tables import append_receipts, measure, replace_groups, stored, write_if_changed, write_sorted
+from pricetide.sinks.tables import append_receipts, measure, read_stored, replace_groups, stored
+from pricetide.sinks.versions import VersionedTable
+from pricetide.sources.manifests import manifest_files, stream_manifests
+from pricetide.sources.snapshot_files import key_records, measure_keys
 from pricetide.sources.snapshots import explode_records, typed_records
 
 
@@ -78,50 +86,87 @@ def normalize_records(records: DataFrame, categories: DataFrame) -> NormalizedBa
 DAY = ["game_key", "run_date"]
 
 
+@dataclass(frozen=True)
+class Landed:
+    """Documents of some days: what was measured of each, and how to read the records of some.
+
+    `documents` has game_key, run_date, kind, key, sha256, size, valid, guide_records and
+    other_records; `read` gives the typed records of the rows of it that it gets.
+    """
+
+    documents: DataFrame
+    read: Callable[[DataFrame], DataFrame]
+
+
+def landed_bodies(bodies: DataFrame) -> Landed:
+    """Landed documents from a table of bodies (game_key, run_date, kind, body)."""
+    keyed = bodies.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
+    names = keyed.select("key", *DAY, "kind").distinct()
+
+    def read(wanted: DataFrame) -> DataFrame:
+        return read_records(keyed.join(wanted.select("key"), "key", "left_semi"))
+
+    return Landed(measure_bodies(keyed).join(names, "key"), read)
+
+
+def landed_files(files: DataFrame, root: str) -> Landed:
+    """Landed documents that manifest entries (`files`) name below an archive's folder.
+
+    No document becomes a value: files are measured and read as streams by the tasks.
+    """
+    listed = files.select("key", "game_key", F.col("run_date").cast("date").alias("run_date"), "kind").distinct()
+
+    def read(wanted: DataFrame) -> DataFrame:
+        records = key_records(wanted.select("key", *DAY, "kind"), root)
+        return typed_records(records.drop("key"))
+
+    return Landed(measured_files(measure_keys(listed, root)).join(listed, "key"), read)
+
+
 def _rejected_by_manifest(files: DataFrame, documents: DataFrame, min_records: int) -> DataFrame:
-    """(game, day) pairs whose manifest entries are duplicate, malformed or don't fit the bodies."""
-    landed = documents.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
-    wrong = [structure_errors(files), content_errors(files, landed, min_records), duplicate_entries(files)]
+    """(game, day) pairs whose manifest entries are duplicate, malformed, missing or don't fit what landed."""
+    wrong = [structure_errors(files), compare_content(files, documents, min_records), duplicate_entries(files)]
     days = [w.select("game_key", F.col("run_date").cast("date").alias("run_date")) for w in wrong]
     listed = files.select("game_key", F.col("run_date").cast("date").alias("run_date"), "kind").distinct()
-    short = documents.select(*DAY, "kind").distinct().join(listed, [*DAY, "kind"], "left_anti").select(*DAY)
-    return days[0].unionByName(days[1]).unionByName(days[2]).unionByName(short).distinct()
+    unlisted = documents.select(*DAY, "kind").distinct().join(listed, [*DAY, "kind"], "left_anti").select(*DAY)
+    kinds = listed.groupBy(*DAY).agg(F.count_distinct("kind").alias("kinds"))
+    short = kinds.filter(F.col("kinds") < len(SOURCE_KINDS)).select(*DAY)
+    out = unlisted.unionByName(short)
+    for each in days:
+        out = out.unionByName(each)
+    return out.distinct()
 
 
 def run_normalize(
     spark: SparkSession,
-    documents: DataFrame,
+    landed: Landed,
     categories: DataFrame,
     root: str,
-    files: DataFrame | None = None,
+    files: DataFrame,
     min_records: int = MIN_PRICEGUIDE_RECORDS,
 ) -> DataFrame:
     """Merge a batch of landed documents into the tables below `root`.
 
-    Every (game, day) is judged on its own. With manifest entries (`files`), a day whose
-    entries are malformed, or don't fit what landed, is rejected before anything is read
-    from it; so is a day with duplicate or missing ids or an empty catalogue. All other
-    days are merged, whatever share of their categories is known. Only a day that
-    reaches the share gets a completion row, with the hashes of its sources and of the
-    category map. Returns the run notes (one row per game and day): ok, fail (merged
-    without completion), invalid or rejected.
-
-    Bodies are parsed once; typed records are what is stored in between.
+    Every (game, day) is judged on its own. A day whose manifest entries (`files`) are
+    malformed, incomplete or don't fit what landed is rejected before a record is read
+    from it; a day with duplicate or missing ids or an empty catalogue is invalid. All
+    other days are merged, whatever share of their categories is known. Only a day that
+    reaches the share gets a completion row: the hashes of its sources and of the category
+    map, its unknown categories, and rows and hash of every output that holds the day.
+    Returns the run notes (one row per game and day): ok, fail (merged without completion),
+    invalid or rejected; a completed day's note has its completion's fingerprint.
+
+    Documents are parsed once; typed records are what is stored in between. Tables change by
+    version, so a run that dies leaves each as it was, and can be repeated.
     """
-    landed = documents.select("game_key", "run_date", "kind", "body")
-    present = landed.select(*DAY).distinct()
-    sources = landed.groupBy(*DAY).agg(
-        *(
-            F.max(F.when(F.col("kind") == kind, F.sha2("body", 256))).alias(f"{kind}_sha256")
-            for kind in ("catalogue", "priceguide")
-        )
+    documents = cut_lineage(landed.documents)
+    entries = files.withColumn("run_date", F.col("run_date").cast("date"))
+    present = documents.select(*DAY).unionByName(entries.select(*DAY)).distinct()
+    sources = documents.groupBy(*DAY).agg(
+        *(F.max(F.when(F.col("kind") == kind, F.col("sha256"))).alias(f"{kind}_sha256") for kind in SOURCE_KINDS)
     )
-    if files is not None:
-        rejected = cut_lineage(_rejected_by_manifest(files, landed, min_records))
-        landed = landed.join(rejected, DAY, "left_anti")
-    else:
-        rejected = present.limit(0)
-    records = cut_lineage(read_records(landed))
+    rejected = cut_lineage(_rejected_by_manifest(files, documents, min_records))
+    records = cut_lineage(landed.read(documents.join(rejected, DAY, "left_anti")))
     first = normalize_records(records, categories)
     spoiled = first.duplicates.select(*DAY).unionByName(first.invalid.select(*DAY)).distinct()
     quality = (
@@ -143,95 +188,160 @@ def run_normalize(
     append_receipts(spark, f"{root}/quality", quality, DAY)
     merged = quality.filter(F.col("status").isin("pass", "fail")).select(*DAY)
     clean = normalize_records(records.join(merged, DAY, "left_semi"), categories)
-    unknown = clean.unknown_categories.select(*DAY, "category")
+    unknown = cut_lineage(clean.unknown_categories.select(*DAY, "category"))
     replace_groups(spark, f"{root}/unknown_categories", unknown, merged)
 
-    merge_catalogue_table(spark, f"{root}/products", clean.products, PRODUCTS, "stable_product_id")
-    merge_catalogue_table(spark, f"{root}/sets", clean.sets, SETS, "stable_set_id")
-    merge_catalogue_table(spark, f"{root}/variants", clean.variants, VARIANTS, "stable_variant_id")
-    merge_price_partitions(spark, f"{root}/prices", clean.prices)
-
+    tables = {
+        "products": merge_catalogue_table(spark, f"{root}/products", clean.products, PRODUCTS, "stable_product_id"),
+        "sets": merge_catalogue_table(spark, f"{root}/sets", clean.sets, SETS, "stable_set_id"),
+        "variants": merge_catalogue_table(spark, f"{root}/variants", clean.variants, VARIANTS, "stable_variant_id"),
+        "prices": merge_price_partitions(spark, f"{root}/prices", clean.prices),
+    }
     counts = clean.prices.groupBy("game_key", F.col("value_date").alias("run_date")).agg(
         F.count(F.lit(1)).alias("price_rows"),
         F.count_distinct("stable_variant_id").alias("catalogue_variants"),
     )
-    notes = cut_lineage(
+    notes = (
         quality.join(counts, DAY, "left")
         .join(sources, DAY, "left")
         .fillna(0, ["price_rows", "catalogue_variants"])
         .withColumn("status", F.when(F.col("status") == "pass", "ok").otherwise(F.col("status")))
     )
     _, map_hash = measure(categories)
-    complete = notes.filter(F.col("status") == "ok").drop("status", "unknown_products")
-    append_receipts(
-        spark, f"{root}/completions", complete.withColumn("category_map_fingerprint", F.lit(map_hash)), DAY
+    labels = unknown.groupBy(*DAY).agg(F.sort_array(F.collect_set("category")).alias("unknown_categories"))
+    complete = (
+        notes.filter(F.col("status") == "ok")
+        .drop("status", "unknown_products")
+        .withColumn("category_map_fingerprint", F.lit(map_hash))
+        .join(labels, DAY, "left")
+        .withColumn("unknown_categories", F.coalesce("unknown_categories", F.array().cast("array<string>")))
+        .join(_outputs(spark, tables, merged), DAY)
     )
-    return append_receipts(spark, f"{root}/runs", notes.drop("catalogue_sha256", "priceguide_sha256"), DAY)
+    complete = cut_lineage(complete)
+    append_receipts(spark, f"{root}/completions", complete, DAY)
+    prints = complete.select(*DAY, F.sha2(F.to_json(F.struct(*complete.columns)), 256).alias("completion_fingerprint"))
+    stated = notes.drop(*(f"{kind}_sha256" for kind in SOURCE_KINDS)).join(prints, DAY, "left")
+    return append_receipts(spark, f"{root}/runs", cut_lineage(stated), DAY)
+
+
+def _outputs(spark: SparkSession, tables: dict[str, VersionedTable], days: DataFrame) -> DataFrame:
+    """(game, day, outputs): each table's partitions that hold a day, with rows and additive hash.
+
+    They come from the tables' versions; one row a partition, no data is read.
+    """
+    rows = [
+        (values["game_key"], values.get("month"), f"{name}/{part.place}".rstrip("/"), part.rows, str(part.hash))
+        for name, table in tables.items()
+        for part in table.parts() or []
+        for values in [table.values(part)]
+    ]
+    known = spark.createDataFrame(rows, struct("game_key string, month string, output string, rows bigint, hash string"))
+    held = F.col("month").isNull() | (F.col("month") == F.date_format("run_date", "yyyy-MM"))
+    listed = days.join(known, "game_key").filter(held)
+    return listed.groupBy(*DAY).agg(F.sort_array(F.collect_list(F.struct("output", "rows", "hash"))).alias("outputs"))
 
 
 def merge_catalogue_table(
     spark: SparkSession, path: str, current: DataFrame, schema: StructType, key: str
-) -> None:
-    """Merge a batch (possibly several days) into a stored catalogue table."""
-    latest = normalize.latest_catalogue(current, key)
-    existing = stored(spark, path, schema)
+) -> VersionedTable:
+    """Merge a batch (possibly several days) into a stored catalogue table, game by game."""
+    latest = cut_lineage(normalize.latest_catalogue(current, key))
+    table = VersionedTable(spark, path, schema, ["game_key"], [key])
+    # The games of a batch, as configured.
+    games = [{"game_key": r["game_key"]} for r in latest.select("game_key").distinct().collect()]
+    existing = table.read_partitions(games)
     if existing is not None:
         latest = merge.merge_catalogue(existing.select(*latest.columns), latest, key)
-    write_if_changed(latest, path, schema, [key])
+    table.replace_partitions(latest)
+    return table
 
 
-def merge_price_partitions(spark: SparkSession, path: str, current: DataFrame) -> None:
+def merge_price_partitions(spark: SparkSession, path: str, current: DataFrame) -> VersionedTable:
     """Replace the touched (game, month) partitions by their merged rows.
 
-    Only the months present in the batch are read and rewritten.
+    Only the months present in the batch are read and written anew.
     """
-    month = F.date_format("value_date", "yyyy-MM")
-    incoming = current.withColumn("month", month)
-    existing = stored(spark, path, PRICE_TABLE)
-    if existing is not None:
-        touched = incoming.select("game_key", "month").distinct()
-        # The month names of a batch (a calendar's worth at most) prune the table's
-        # directories; games x months then cut the rest.
-        months = [r["month"] for r in touched.select("month").distinct().collect()]
-        old = existing.filter(F.col("month").isin(months)).join(
-            touched, ["game_key", "month"], "left_semi"
-        )
-        incoming = merge.merge_prices(old, incoming)
-    else:
-        incoming = merge.merge_prices(incoming.limit(0), incoming)
-    # The result replaces partitions it was read from, so it is materialised first.
-    merged = cut_lineage(incoming)
-    write_sorted(
-        merged,
-        path,
-        PRICE_TABLE,
-        ["cm_product_id", "variant_key", "value_date"],
-        ["game_key", "month"],
-        dynamic=True,
-    )
+    incoming = current.withColumn("month", F.date_format("value_date", "yyyy-MM"))
+    table = VersionedTable(spark, path, PRICE_TABLE, ["game_key", "month"], ["cm_product_id", "variant_key", "value_date"])
+    # Games x months of a batch: a calendar's worth at most.
+    touched = [r.asDict() for r in incoming.select("game_key", "month").distinct().collect()]
+    old = table.read_partitions(touched)
+    table.replace_partitions(merge.merge_prices(incoming.limit(0) if old is None else old, incoming))
+    return table
 
 
 def backfill(
     spark: SparkSession,
-    documents: DataFrame,
+    landed: Landed,
+    files: DataFrame,
     categories: DataFrame,
     root: str,
     start: date,
     end: date,
+    min_records: int = MIN_PRICEGUIDE_RECORDS,
 ) -> DataFrame:
     """Normalise all landed days of a range in one batch; status per calendar day.
 
-    Days without documents and days that fail a gate are reported and do not stop
+    Days without a manifest and days that fail a gate are reported and do not stop
     the others.
     """
     if end < start:
         raise ValueError("end date must be on or after start date")
+    inside = F.col("run_date").cast("date").between(F.lit(start), F.lit(end))
+    cut = Landed(landed.documents.filter(inside), landed.read)
+    run_normalize(spark, cut, categories, root, files.filter(inside), min_records)
+    return backfill_status(spark, root, start, end)
+
+
+def backfill_status(spark: SparkSession, root: str, start: date, end: date) -> DataFrame:
+    """Status of each calendar day of a range, from the stored run notes."""
     from pricetide.operators.archive import backfill_summary, calendar_days
 
-    notes = run_normalize(
-        spark, documents.filter(F.col("run_date").between(F.lit(start), F.lit(end))), categories, root
-    )
     days = calendar_days(spark.range(1), F.lit(start), F.lit(end))
+    notes = read_stored(spark, f"{root}/runs").filter(F.col("run_date").between(F.lit(start), F.lit(end)))
     runs = notes.filter(F.col("status") == "ok").select("run_date")
     failed = notes.filter(F.col("status") != "ok").select("run_date")
     return backfill_summary(days, runs, failed)
+
+
+def start_backfill(
+    spark: SparkSession,
+    archive_root: str,
+    categories: DataFrame,
+    root: str,
+    checkpoint: str,
+    start: date,
+    end: date,
+    days_per_batch: int = 31,
+    min_records: int = MIN_PRICEGUIDE_RECORDS,
+) -> StreamingQuery:
+    """Backfill as a stream over the archive's manifests, which goes on where it stopped.
+
+    Each micro-batch takes the next manifests of the range and merges their days; the stream's
+    checkpoint knows which were taken. A batch that died is taken again, but leaves out days
+    whose completion names the sources that their manifest names. Ends when no manifest is left.
+    """
+    if end < start:
+        raise ValueError("end date must be on or after start date")
+
+    def merge_batch(manifests: DataFrame, _: int) -> None:
+        inside = manifests.filter(F.col("path_date").between(F.lit(start), F.lit(end)))
+        files = cut_lineage(manifest_files(inside))
+        done = stored(spark, f"{root}/completions")
+        if done is not None:
+            named = files.groupBy("game_key", F.col("run_date").try_cast("date").alias("run_date")).agg(
+                *(F.max(F.when(F.col("kind") == k, F.col("sha256"))).alias(f"{k}_sha256") for k in SOURCE_KINDS)
+            )
+            same = cut_lineage(named.join(done.select(*named.columns), named.columns, "left_semi").select(*DAY))
+            files = files.withColumn("_day", F.col("run_date").try_cast("date"))
+            files = files.join(same.withColumnRenamed("run_date", "_day"), ["game_key", "_day"], "left_anti").drop("_day")
+        if not files.isEmpty():
+            run_normalize(spark, landed_files(files, archive_root), categories, root, files, min_records)
+
+    return (
+        stream_manifests(spark, f"{archive_root.rstrip('/')}/manifests", days_per_batch)
+        .writeStream.foreachBatch(merge_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -13,7 +13,7 @@ from pricetide.params import Methodology, definitions_frame
 from pricetide.schemas import CONTRIBUTIONS, DAILY_VALUES, MEMBER, REBALANCE
 from pricetide.session import cut_lineage
 from pricetide.sinks.exports import write_json
-from pricetide.sinks.tables import Receipt, append_receipts, receipts_frame, write_if_changed
+from pricetide.sinks.tables import Receipt, append_receipts, receipts_frame, stored, write_if_changed
 
 
 @dataclass(frozen=True)
@@ -73,8 +73,8 @@ def run_calc(
             t.contributions, f"{root}/contributions", CONTRIBUTIONS, ["index_code", "value_date", "stable_variant_id"]
         ),
     ]
-    values = spark.read.schema(DAILY_VALUES).parquet(f"{root}/daily_values")
-    contributions = spark.read.schema(CONTRIBUTIONS).parquet(f"{root}/contributions")
+    values = stored(spark, f"{root}/daily_values", DAILY_VALUES)
+    contributions = stored(spark, f"{root}/contributions", CONTRIBUTIONS)
     daily, window_rows, ranked = analytics.calculate_analytics(
         values, contributions, products, definitions
     )

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pricetide.functions.hashing import table_fingerprint
 from pricetide.schemas import RECEIPT
-from pricetide.session import cut_lineage
-
-
-@dataclass(frozen=True)
-class Receipt:
-    output: str
-    rows: int
-    fingerprint: str
-    changed: bool
+from pricetide.sinks.versions import Receipt, VersionedTable, open_table
 
 
 def measure(df: DataFrame) -> tuple[int, str]:
@@ -57,14 +46,18 @@ def write_sorted(
     writer.parquet(path)
 
 
-def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    """A stored table, or None when it does not exist."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in (exc.getCondition() or ""):
-            return None
-        raise
+def stored(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+    """The newest version of a stored table, or None when it does not exist."""
+    table = open_table(spark, path, schema)
+    return None if table is None else table.read()
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a stored table; an error when it does not exist."""
+    found = stored(spark, path)
+    if found is None:
+        raise RuntimeError(f"missing table {path}")
+    return found
 
 
 def write_if_changed(
@@ -74,29 +67,12 @@ def write_if_changed(
     sort_by: list[str],
     partition_by: list[str] | None = None,
 ) -> Receipt:
-    """Write only when the content differs from what `path` holds.
-
-    Content means rows, not bytes: Parquet files of equal rows need not be equal. What the
-    path holds is known from the receipt beside it, so the stored table isn't read again; a
-    table without one counts as changed. The receipt is taken away before the table is
-    replaced and written after it, so a run that dies in between leaves none. The frame is
-    checkpointed, since it is measured and may then be written, and may even read the table
-    it replaces.
+    """Make `df` the content of a versioned table, as a new version only where it differs.
+
+    Content means rows, not bytes: Parquet files of equal rows need not be equal. The frame is
+    written beside the versions that readers see, and may read the one it replaces.
     """
-    spark = df.sparkSession
-    fixed = cut_lineage(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]))
-    rows, fp = measure(fixed)
-    beside = f"{path.rstrip('/')}_receipt"
-    receipt = stored(spark, beside, RECEIPT)
-    held = receipt.first() if receipt is not None else None
-    if held is not None and (held["rows"], held["fingerprint"]) == (rows, fp):
-        return Receipt(path, rows, fp, False)
-    if receipt is not None:
-        receipts_frame(spark, []).write.mode("overwrite").parquet(beside)
-    write_sorted(fixed, path, schema, sort_by, partition_by)
-    done = Receipt(path, rows, fp, True)
-    receipts_frame(spark, [done]).coalesce(1).write.mode("overwrite").parquet(beside)
-    return done
+    return VersionedTable(df.sparkSession, path, schema, partition_by, sort_by).replace(df)
 
 
 def receipts_frame(spark: SparkSession, receipts: list[Receipt]) -> DataFrame:
@@ -111,27 +87,47 @@ def dataset_manifest(receipts: DataFrame, version: str) -> DataFrame:
     return receipts.select(F.lit(version).alias("dataset_version"), "output", "fingerprint", *keep)
 
 
+def _by_month(rows: DataFrame) -> DataFrame:
+    """`rows` with the month that dated receipts are stored by; undated ones have one."""
+    dated = "run_date" in rows.columns
+    return rows.withColumn("month", F.date_format("run_date", "yyyy-MM") if dated else F.lit("all"))
+
+
+def _months(rows: DataFrame) -> list[dict[str, str]]:
+    """The months of a batch of receipts: a calendar's worth at most."""
+    return [{"month": r["month"]} for r in rows.select("month").distinct().collect()]
+
+
+def _receipts_table(rows: DataFrame, path: str) -> VersionedTable:
+    shape = StructType([*rows.schema.fields, StructField("month", StringType())])
+    return VersionedTable(rows.sparkSession, path, shape, ["month"], [])
+
+
 def append_receipts(
     spark: SparkSession, path: str, run_notes: DataFrame, keys: list[str]
 ) -> DataFrame:
-    """Receipts table after a run: notes of the same key are replaced, others kept."""
+    """Receipts table after a run: notes of the same key are replaced, others kept.
+
+    Only the months of the notes are read and written anew.
+    """
     from pricetide.operators.merge import upsert
 
-    existing = stored(spark, path, run_notes.schema)
-    merged = run_notes if existing is None else upsert(existing, run_notes, keys)
-    # The receipts table is read and replaced, so its new content is cut loose first.
-    merged = cut_lineage(merged)
-    merged.write.mode("overwrite").parquet(path)
-    return merged
+    table, notes = _receipts_table(run_notes, path), _by_month(run_notes)
+    touched = _months(notes)
+    held = table.read_partitions(touched)
+    table.replace_partitions(notes if held is None else upsert(held, notes, keys))
+    return table.read().drop("month")
 
 
 def replace_groups(spark: SparkSession, path: str, rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Table after a run: all rows of `groups` go, `rows` come, other groups stay.
 
-    A group without any new row is left without rows.
+    A group without any new row is left without rows. Only the months of the groups are read
+    and written anew.
     """
-    existing = stored(spark, path, rows.schema)
-    kept = rows if existing is None else existing.join(groups, groups.columns, "left_anti").unionByName(rows)
-    kept = cut_lineage(kept)
-    kept.write.mode("overwrite").parquet(path)
-    return kept
+    table, new = _receipts_table(rows, path), _by_month(rows)
+    touched = _months(_by_month(groups))
+    held = table.read_partitions(touched)
+    kept = new if held is None else held.join(groups, groups.columns, "left_anti").unionByName(new)
+    table.replace_partitions(kept, emptied=touched)
+    return table.read().drop("month")

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 
 from pricetide.schemas import MANIFEST
 
 
+def _json(reader: DataFrameReader | DataStreamReader) -> DataFrameReader | DataStreamReader:
+    return reader.schema(MANIFEST).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+
+
 def read_manifests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """All manifests, malformed files included (flagged in `malformed`).
 
     `path_date` is the day named by the file, which a valid manifest repeats in
     `run_date`.
     """
+    return _dated(_json(spark.read).json(paths, multiLine=True))
+
+
+def stream_manifests(spark: SparkSession, path: str, per_batch: int) -> DataFrame:
+    """The same as a stream that takes `per_batch` new manifests at a time, in order of time."""
+    reader = _json(spark.readStream).option("maxFilesPerTrigger", str(per_batch))
+    return _dated(reader.json(path, multiLine=True))
+
+
+def _dated(manifests: DataFrame) -> DataFrame:
     return (
-        spark.read.schema(MANIFEST)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(paths, multiLine=True)
-        .select(
+        manifests.select(
             F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2}-\d{2})\.json", 1)
             .try_cast("date")
             .alias("path_date"),

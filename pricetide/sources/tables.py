@@ -10,28 +10,34 @@ from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
 from pricetide.schemas import PRICE_TABLE, PRICES
+from pricetide.sinks.versions import open_table
 
 
 def read_prices(spark: SparkSession, root: str, run_date: date) -> DataFrame:
     """Price history up to a day from the (game_key, month) partitioned table.
 
-    The month predicate prunes directories; the day predicate reaches the scan. The
+    Folders of later months aren't listed; the day predicate reaches the scan. The
     schema is given, so files that lack a column read as NULL there and no footers
     are merged.
     """
     month = run_date.strftime("%Y-%m")
-    return (
-        spark.read.schema(PRICE_TABLE)
-        .parquet(root)
-        .filter((F.col("month") <= month) & (F.col("value_date") <= F.lit(run_date)))
-        .select(*PRICES.names)
-    )
+    table = open_table(spark, root, PRICE_TABLE)
+    if table is None:
+        raise RuntimeError(f"missing price table {root}")
+    held = table.read(keep=lambda values: values["month"] <= month)
+    return held.filter(F.col("value_date") <= F.lit(run_date)).select(*PRICES.names)
 
 
 def read_catalogue(
     spark: SparkSession, path: str, schema: StructType, required: bool = False
 ) -> DataFrame:
-    """A catalogue table; when it does not exist yet, empty or (if required) an error."""
+    """A catalogue table; when it does not exist yet, empty or (if required) an error.
+
+    Both versioned tables and plain Parquet folders are read.
+    """
+    table = open_table(spark, path, schema)
+    if table is not None:
+        return table.read()
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as exc:
@@ -51,16 +57,6 @@ def read_static_json(spark: SparkSession, paths: str | list[str], schema: Struct
     )
 
 
-def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Key and size of every object below `root`; no body is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(F.col("path").alias("key"), F.col("length").alias("size"), "modificationTime")
-    )
-
-
 def visible(definitions: DataFrame) -> DataFrame:
     """Definitions readers may see."""
     return definitions.filter(F.col("status").isin("published", "accumulating"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 from datetime import date, timedelta
@@ -12,7 +13,7 @@ from pricetide.params import definitions_frame
 from pricetide.plans.audit import audit_archive
 from pricetide.schemas import QUALITY
 from pricetide.sources import manifests as source
-from pricetide.sources import tables
+from pricetide.sources.object_files import list_objects, write_objects
 from tests.conftest import rows
 
 FILE = "run_date date, game_key string, kind string, sha256 string"
@@ -156,10 +157,50 @@ def test_structure_errors(spark, tmp_path):
 def test_object_listing_reads_no_bodies(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.bin").write_bytes(b"12345")
-    listed = tables.list_objects(spark, str(tmp_path))
-    assert [r[0] for r in rows(listed, "size")] == [5]
-    # The listing columns come from file metadata; the content column is not read.
-    assert "content" not in listed._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    (tmp_path / "a" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "a" / "deep" / "er" / "y.bin").write_bytes(b"1")
+    (tmp_path / "top.bin").write_bytes(b"")
+    listed = list_objects(spark, str(tmp_path))
+    assert rows(listed, "key", "size") == [("a/deep/er/y.bin", 1), ("a/x.bin", 5), ("top.bin", 0)]
+    before = dict(rows(listed, "key", "etag"))
+    (tmp_path / "a" / "x.bin").write_bytes(b"123456")
+    after = dict(rows(list_objects(spark, str(tmp_path), depth=2), "key", "etag"))
+    assert {k for k in before if before[k] != after[k]} == {"a/x.bin"}
+
+
+def test_objects_are_written_once(spark, tmp_path):
+    lines = spark.createDataFrame([("b/two.json.gz", 1, "]"), ("b/two.json.gz", 0, "["), ("one", 0, "é")], "key string, pos int, text string")
+    first = rows(write_objects(lines, str(tmp_path)), "key", "size", "sha256", "status")
+    assert [(k, n, s) for k, n, _, s in first] == [("b/two.json.gz", 4, "created"), ("one", 3, "created")]
+    assert gzip.decompress((tmp_path / "b" / "two.json.gz").read_bytes()) == b"[\n]\n"
+    assert first[1][2] == hashlib.sha256("é\n".encode()).hexdigest()
+    again = write_objects(lines.withColumn("text", F.replace("text", F.lit("é"), F.lit("e"))), str(tmp_path))
+    assert rows(again, "key", "status") == [("b/two.json.gz", "existing"), ("one", "conflict")]
+    assert (tmp_path / "one").read_text() == "é\n"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["one", "two.json.gz"]
+
+
+def test_audit_opens_only_sampled_files(spark, tmp_path, one_index):
+    guide = json.dumps({"priceGuides": [{"idProduct": i} for i in range(1000)], "products": [{}]})
+    for offset in range(3):
+        write_day(tmp_path, D + timedelta(days=offset), body=guide)
+    found, files = read(spark, tmp_path)
+    keys = [r["key"] for r in files.select("key").collect()]
+    sampled = {r[0] for r in archive.sample_files(files, 0.3, "seed").collect()}
+    store = tmp_path / "store"
+    for key in keys:
+        (store / key).parent.mkdir(parents=True, exist_ok=True)
+        # Files outside the sample are broken: who opens them reports it.
+        (store / key).write_bytes(gzip.compress(guide.encode()) if key in sampled else b"broken")
+    report = audit_archive(
+        spark, found, files, str(store), files.select("key", "size"), definitions_frame(spark, one_index),
+        spark.createDataFrame([], QUALITY), spark.createDataFrame([("onepiece", D)], "game_key string, inception date"),
+        D, D + timedelta(days=2), 0.3, "seed",
+    )
+    assert report.errors.count() == 0
+    assert {r[0] for r in rows(report.measured, "key")} == sampled and len(sampled) == 2
+    documents = files.select("key", F.lit(guide).alias("body"))
+    assert {r[0] for r in rows(archive.sampled_bodies(documents, archive.sample_files(files, 0.3, "seed"), "seed"), "key")} == sampled
 
 
 def test_sample_is_stable_and_sized(spark):

@@ -71,11 +71,11 @@ def test_run_calc_writes_once(spark, tmp_path):
     assert first.filter("changed").count() == first.count() == 7
     again = run_calc(spark, prices, products, price_calendar(prices), method, run, root)
     assert again.filter("changed").count() == 0
-    q = spark.read.parquet(f"{root}/quality").first()
+    q = tables.read_stored(spark, f"{root}/quality").first()
     assert (q.status, q.selected_constituents, q.available_archive_days) == ("ready", 2, 66)
-    members = spark.read.parquet(f"{root}/members")
+    members = tables.read_stored(spark, f"{root}/members")
     assert rows(members.groupBy("effective_date").count(), "effective_date", "count") == [(date(2026, 7, 1), 2), (DAY, 2)]
-    values = spark.read.parquet(f"{root}/daily_values")
+    values = tables.read_stored(spark, f"{root}/daily_values")
     assert values.agg(F.min("value_date"), F.max("value_date")).first() == (date(2026, 7, 1), run)
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 from datetime import date
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pricetide.operators import archive, merge, normalize
 from pricetide.plans import daily
 from pricetide.schemas import PRICES, PRODUCTS
+from pricetide.sinks import tables as sinks
+from pricetide.sinks.versions import VersionedTable
 from pricetide.sources import categories, snapshots, tables
 from tests.conftest import rows
 
@@ -140,72 +143,164 @@ def day_docs(n=1000, day=DAY, foil=1, category="One Piece Single", price=1.0):
     return [("onepiece", day, "priceguide", {"priceGuides": guide}), catalogue_doc(products, day)]
 
 
+def entries(docs):
+    """Manifest entries that fit the documents."""
+    body = F.col("body")
+    return docs.select(
+        F.col("run_date").cast("string").alias("run_date"),
+        F.lit(1).alias("schema_version"),
+        "game_key",
+        "kind",
+        archive.snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")).alias("key"),
+        F.sha2(body, 256).alias("sha256"),
+        F.octet_length(body).cast("bigint").alias("size"),
+        F.lit("2026-08-14T00:00:00Z").alias("fetched_at"),
+    )
+
+
+def run_day(spark, docs, cats, root):
+    return daily.run_normalize(spark, daily.landed_bodies(docs), cats, root, entries(docs), min_records=1)
+
+
 def test_daily_run_is_repeatable(spark, tmp_path):
     cats = categories.category_frame(spark, MAP)
     root = str(tmp_path / "tables")
     docs = documents(spark, *day_docs())
-    notes = daily.run_normalize(spark, docs, cats, root)
+    notes = run_day(spark, docs, cats, root)
     assert rows(notes, "status", "catalogue_products", "catalogue_variants", "price_rows") == [("ok", 1000, 1001, 1001)]
 
     def state():
         return {
-            name: sorted(map(str, spark.read.parquet(f"{root}/{name}").collect()))
+            name: sorted(map(str, sinks.read_stored(spark, f"{root}/{name}").collect()))
             for name in ("products", "sets", "variants", "prices")
         }
 
     first = state()
-    daily.run_normalize(spark, docs, cats, root)
+    run_day(spark, docs, cats, root)
     assert state() == first
 
     # Another price on the same day replaces it; a late day goes to its own month.
     late = date(2026, 7, 30)
     more = documents(spark, *day_docs(price=2.0), *day_docs(n=10, day=late, foil=0))
-    daily.run_normalize(spark, more, cats, root)
+    run_day(spark, more, cats, root)
     stored = tables.read_prices(spark, f"{root}/prices", DAY)
     assert [f.name for f in PRICES.fields] == stored.columns
     assert rows(stored.groupBy("value_date").count(), "value_date", "count") == [(late, 10), (DAY, 1001)]
     assert rows(stored.filter("cm_product_id = 5 and value_date = '2026-08-12'"), "price_avg") == [(2.0,)]
     assert tables.read_prices(spark, f"{root}/prices", late).count() == 10
-    seen = spark.read.parquet(f"{root}/products").filter("cm_product_id = 5")
+    seen = sinks.read_stored(spark, f"{root}/products").filter("cm_product_id = 5")
     assert rows(seen, "first_seen", "last_seen") == [(late, DAY)]
 
 
 def test_quality_gate_withholds_only_the_completion(spark, tmp_path):
     cats = categories.category_frame(spark, MAP)
     root = str(tmp_path / "tables")
-    notes = daily.run_normalize(spark, documents(spark, *day_docs(n=20, category="Strange")), cats, root)
+    notes = run_day(spark, documents(spark, *day_docs(n=20, category="Strange")), cats, root)
     assert rows(notes, "status", "classification_coverage") == [("fail", 0.0)]
     assert tables.read_prices(spark, f"{root}/prices", DAY).count() == 21
-    assert spark.read.parquet(f"{root}/products").count() == 20
-    assert spark.read.parquet(f"{root}/completions").count() == 0
-    assert rows(spark.read.parquet(f"{root}/unknown_categories"), "category") == [("Strange",)]
+    assert sinks.read_stored(spark, f"{root}/products").count() == 20
+    assert sinks.read_stored(spark, f"{root}/completions").count() == 0
+    assert rows(sinks.read_stored(spark, f"{root}/unknown_categories"), "category") == [("Strange",)]
     # A replay that knows the label completes the day, and the label is no longer listed.
     wider = categories.category_frame(spark, {**MAP, "other": ["strange"]})
-    notes = daily.run_normalize(spark, documents(spark, *day_docs(n=20, category="Strange")), wider, root)
+    notes = run_day(spark, documents(spark, *day_docs(n=20, category="Strange")), wider, root)
     assert rows(notes, "status") == [("ok",)]
-    assert spark.read.parquet(f"{root}/unknown_categories").count() == 0
-    done = spark.read.parquet(f"{root}/completions").first()
+    assert sinks.read_stored(spark, f"{root}/unknown_categories").count() == 0
+    done = sinks.read_stored(spark, f"{root}/completions").first()
     assert len(done["catalogue_sha256"]) == len(done["priceguide_sha256"]) == 64
+    # The completion lists every output that holds the day, with the rows it has.
+    assert [(o["output"], o["rows"]) for o in done["outputs"]] == [
+        ("prices/game_key=onepiece/month=2026-08", 21),
+        ("products/game_key=onepiece", 20),
+        ("sets/game_key=onepiece", 3),
+        ("variants/game_key=onepiece", 21),
+    ]
+    assert len(notes.first()["completion_fingerprint"]) == 64
+
+
+def test_a_run_that_dies_can_be_repeated(spark, tmp_path, monkeypatch):
+    cats = categories.category_frame(spark, MAP)
+    root = str(tmp_path / "tables")
+    run_day(spark, documents(spark, *day_docs(n=5)), cats, root)
+    before = rows(sinks.read_stored(spark, f"{root}/prices"), "cm_product_id", "price_avg")
+    commit = VersionedTable._commit
+
+    def dies(self, *args):
+        if self.root.endswith("/prices"):
+            raise RuntimeError("lost")
+        return commit(self, *args)
+
+    monkeypatch.setattr(VersionedTable, "_commit", dies)
+    again = documents(spark, *day_docs(n=5, price=7.0))
+    with pytest.raises(RuntimeError, match="lost"):
+        run_day(spark, again, cats, root)
+    assert rows(sinks.read_stored(spark, f"{root}/prices"), "cm_product_id", "price_avg") == before
+    monkeypatch.undo()
+    run_day(spark, again, cats, root)
+    prices = sinks.read_stored(spark, f"{root}/prices").filter("variant_key = 'nonfoil'")
+    assert rows(prices.select("price_avg").distinct(), "price_avg") == [(7.0,)]
+
+
+def archive_of(spark, root, *docs):
+    """Write documents and their manifests as files; returns the archive's folder."""
+    by_day = {}
+    for game, day, kind, body in docs:
+        text = json.dumps(body) + "\n"
+        key = f"cardmarket/{kind}/{game}/{day:%Y}/{day:%m}/{day}.json.gz"
+        (root / key).parent.mkdir(parents=True, exist_ok=True)
+        (root / key).write_bytes(gzip.compress(text.encode()))
+        entry = {"game": game, "kind": kind, "key": key, "sha256_uncompressed": hashlib.sha256(text.encode()).hexdigest()}
+        by_day.setdefault(day, []).append(entry | {"size_uncompressed": len(text.encode()), "fetched_at": f"{day}T05:00:00Z"})
+    (root / "manifests").mkdir(exist_ok=True)
+    for day, files in by_day.items():
+        manifest = {"run_date": str(day), "schema_version": 1, "files": files}
+        (root / "manifests" / f"{day}.json").write_text(json.dumps(manifest))
+    return str(root)
+
+
+def test_backfill_stream_goes_on_where_it_died(spark, tmp_path, monkeypatch):
+    cats = categories.category_frame(spark, MAP)
+    days = [date(2026, 8, d) for d in (10, 11, 12, 13)]
+    docs = [d for day in days for d in day_docs(n=4, day=day, category="Strange" if day.day == 12 else "One Piece Single")]
+    root, first, last = archive_of(spark, tmp_path / "a", *docs), days[0], days[-1]
+
+    def run(out):
+        query = daily.start_backfill(spark, root, cats, str(tmp_path / out), str(tmp_path / f"{out}-ck"), first, last, 1, 1)
+        query.awaitTermination()
+
+    run("whole")
+    calls = []
+    original = daily.run_normalize
+
+    def dies(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return original(*args)
+
+    monkeypatch.setattr(daily, "run_normalize", dies)
+    with pytest.raises(Exception, match="lost"):
+        run("parts")
+    monkeypatch.undo()
+    run("parts")
+    for name in ("products", "prices", "unknown_categories", "runs"):
+        one, two = (sinks.read_stored(spark, str(tmp_path / out / name)) for out in ("whole", "parts"))
+        assert rows(one.drop("completion_fingerprint"), *one.drop("completion_fingerprint").columns) == rows(
+            two, *one.drop("completion_fingerprint").columns
+        )
+    status = daily.backfill_status(spark, str(tmp_path / "parts"), first, last)
+    assert [r[1] for r in rows(status, "run_date", "status")] == ["pass", "pass", "fail", "pass"]
 
 
 def test_manifest_is_checked_first(spark, tmp_path):
     cats = categories.category_frame(spark, MAP)
     root = str(tmp_path / "tables")
     docs = documents(spark, *day_docs(n=5), *day_docs(n=5, day=date(2026, 8, 13)))
-    body = F.col("body")
-    files = docs.select(
-        F.col("run_date").cast("string").alias("run_date"),
-        F.lit(1).alias("schema_version"),
-        "game_key",
-        "kind",
-        archive.snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")).alias("key"),
-        F.when(F.dayofmonth("run_date") == 12, F.sha2(body, 256)).otherwise(F.sha2(F.lit("x"), 256)).alias("sha256"),
-        F.octet_length(body).cast("bigint").alias("size"),
-        F.lit("2026-08-14T00:00:00Z").alias("fetched_at"),
-    )
-    notes = daily.run_normalize(spark, docs, cats, root, files, min_records=1)
+    wrong = F.when(F.dayofmonth("run_date") == 12, F.col("sha256")).otherwise(F.sha2(F.lit("x"), 256))
+    files = entries(docs).withColumn("sha256", wrong)
+    notes = daily.run_normalize(spark, daily.landed_bodies(docs), cats, root, files, min_records=1)
     assert rows(notes, "run_date", "status") == [(DAY, "ok"), (date(2026, 8, 13), "rejected")]
-    assert rows(spark.read.parquet(f"{root}/prices").select("value_date").distinct(), "value_date") == [(DAY,)]
+    assert rows(sinks.read_stored(spark, f"{root}/prices").select("value_date").distinct(), "value_date") == [(DAY,)]
 
 
 def test_labels_of_any_white_space_and_case(spark):
@@ -226,21 +321,22 @@ def test_duplicate_ids_spoil_only_their_day(spark, tmp_path):
     cats = categories.category_frame(spark, MAP)
     bad = day_docs(n=5, day=date(2026, 8, 11))
     bad[0][3]["priceGuides"].append({"idProduct": 1, "avg": 9.0})
-    notes = daily.run_normalize(spark, documents(spark, *bad, *day_docs(n=5)), cats, str(tmp_path / "t"))
+    notes = run_day(spark, documents(spark, *bad, *day_docs(n=5)), cats, str(tmp_path / "t"))
     assert rows(notes, "run_date", "status") == [(date(2026, 8, 11), "invalid"), (DAY, "ok")]
 
 
 def test_backfill_reports_every_day(spark, tmp_path):
     cats = categories.category_frame(spark, MAP)
     docs = documents(spark, *day_docs(n=5), *day_docs(n=5, day=date(2026, 8, 14), category="Strange"))
-    status = daily.backfill(spark, docs, cats, str(tmp_path / "t"), DAY, date(2026, 8, 14))
+    landed = daily.landed_bodies(docs)
+    status = daily.backfill(spark, landed, entries(docs), cats, str(tmp_path / "t"), DAY, date(2026, 8, 14), 1)
     assert rows(status, "run_date", "status") == [
         (DAY, "pass"),
         (date(2026, 8, 13), "fail"),
         (date(2026, 8, 14), "fail"),
     ]
     with pytest.raises(ValueError):
-        daily.backfill(spark, docs, cats, str(tmp_path / "t"), DAY, date(2026, 8, 1))
+        daily.backfill(spark, landed, entries(docs), cats, str(tmp_path / "t"), DAY, date(2026, 8, 1))
 
 
 def test_source_check(spark):
