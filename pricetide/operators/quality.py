@@ -232,14 +232,19 @@ def build_size_stats(files: DataFrame) -> DataFrame:
     )
 
 
-def status_violations(status: DataFrame, expected: DataFrame) -> DataFrame:
-    """A one-row status against the recomputed one: gaps, version and latest dates."""
-    target = expected.select(F.struct(*expected.columns)).scalar()
-    return row_violations(
-        status.withColumn("_expected", target),
-        [],
-        {c: F.col(c).eqNullSafe(F.col(f"_expected.{c}")) for c in expected.columns if c in status.columns},
-    )
+def status_violations(status: DataFrame, expected: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Stated status rows against the recomputed ones: gaps, version and latest dates.
+
+    Both sides hold one row, or one for each of `keys`; a key that one side lacks differs in all.
+    """
+    keys = keys or []
+    facts = [c for c in expected.columns if c in status.columns and c not in keys]
+    if keys:
+        target = expected.select(*keys, F.struct(*facts).alias("_expected"))
+        both = status.join(target, keys, "full_outer")
+    else:
+        both = status.withColumn("_expected", expected.select(F.struct(*facts)).scalar())
+    return row_violations(both, keys, {c: F.col(c).eqNullSafe(F.col(f"_expected.{c}")) for c in facts})
 
 
 def health_violations(health: DataFrame) -> DataFrame:

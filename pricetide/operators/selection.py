@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.dates import lenient_date
-from pricetide.functions.hashing import row_sum
 from pricetide.functions.ids import variant_id
 from pricetide.operators.liquidity import score_liquidity
 from pricetide.operators.ranking import rank_within
@@ -89,23 +88,20 @@ def snapshot_fingerprints(ranked: DataFrame) -> DataFrame:
     """Eligible count and content hash of each ranked list.
 
     The rank is part of every row's hash, so an order-free sum identifies the
-    ordered list without gathering it.
+    ordered list without gathering it. A row's hash is 60 bits of the SHA-256 of its rank,
+    id, and score and price in whole billionths and hundred-millionths.
     """
-    row = (
-        F.col("rank"),
-        F.col("stable_variant_id"),
-        F.round("liquidity_score", 12),
-        F.round("avg30", 8),
-    )
-    return ranked.groupBy("index_code", "effective_date").agg(
-        F.count(F.lit(1)).alias("eligible_count"),
-        F.sha2(
-            F.concat_ws(
-                "|", F.first("index_code"), F.count(F.lit(1)).cast("string"), row_sum(*row).cast("string")
-            ),
-            256,
-        ).alias("snapshot_sha256"),
+
+    def whole(name: str, scale: float) -> Column:
+        return F.coalesce(F.round(F.col(name) * scale).cast("bigint").cast("string"), F.lit(""))
+
+    text = F.concat_ws("|", F.col("rank").cast("string"), "stable_variant_id", whole("liquidity_score", 1e9), whole("avg30", 1e8))
+    row = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    listed = ranked.groupBy("index_code", "effective_date").agg(
+        F.count(F.lit(1)).alias("eligible_count"), F.sum(row).alias("_sum")
     )
+    content = F.concat_ws("|", "index_code", F.col("eligible_count").cast("string"), F.col("_sum").cast("string"))
+    return listed.withColumn("snapshot_sha256", F.sha2(content, 256)).drop("_sum")
 
 
 _PICKED = (

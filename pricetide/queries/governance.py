@@ -218,6 +218,7 @@ def output_verification(spark: SparkSession, sf: str) -> DataFrame:
     "index_code:s state:s available_archive_days:i selected_constituents:i target_size:i blockers:s",
     f"""SELECT *, CASE WHEN blockers = '' THEN 'eligible_for_human_review' ELSE 'blocked' END AS state FROM (
       SELECT c.index_code, q.available_archive_days, q.selected_constituents, coalesce(q.target_size, c.target_size) AS target_size, concat_ws(',',
+        CASE WHEN c.c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'archive_audit_passed' END,
         CASE WHEN NOT coalesce(c.c_custkey % 9 <> 0, false) THEN 'audit_index_ready' END, CASE WHEN q.index_code IS NULL THEN 'quality_receipt_available' END,
         CASE WHEN NOT coalesce(q.status = 'ready', false) THEN 'quality_status_ready' END, CASE WHEN NOT coalesce(q.available_archive_days >= q.required_lookback_days, false) THEN 'lookback_complete' END,
         CASE WHEN NOT coalesce(q.selected_constituents = q.target_size, false) THEN 'target_size_filled' END,
@@ -229,7 +230,10 @@ def output_verification(spark: SparkSession, sf: str) -> DataFrame:
     ["customer_indexes", "quality_receipts", "receipts", "verified"],
 )
 def cutover_gates(spark: SparkSession, sf: str) -> DataFrame:
-    codes = _customer_indexes(spark, sf)
+    # The audit of an index fails while one of its customer's orders is pending.
+    open_orders = views.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P")
+    pending = open_orders.select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("pending")).distinct()
+    codes = _customer_indexes(spark, sf).join(pending, "c_custkey", "left")
     manifests = _receipts(spark, sf).select(
         "index_code",
         F.lit(_RUN).alias("generated_for"),
@@ -245,7 +249,7 @@ def cutover_gates(spark: SparkSession, sf: str) -> DataFrame:
         manifests,
         audited,
         gates.outputs_verified(*_declared(spark, sf)),
-        F.lit(True),
+        ~F.coalesce(F.col("pending"), F.lit(False)),
         _RUN,
         views.METHOD,
     )
@@ -432,18 +436,31 @@ def build_size_stats(spark: SparkSession, sf: str) -> DataFrame:
     "status_violations",
     "Q7",
     "violation:s",
-    """SELECT unnest(CASE WHEN count(*) + 1 <> count(*) AND max(value_date) IS NOT NULL THEN ['gap_count', 'last_calc_date']
-    ELSE ['gap_count'] END) AS violation FROM history""",
+    """WITH days AS (SELECT index_code, value_date, lag(value_date) OVER (PARTITION BY index_code ORDER BY value_date) AS before FROM history),
+    found AS (SELECT index_code, coalesce(sum(value_date - before - 1), 0) AS gap_count, max(value_date) AS last_calc_date, count(*) AS version FROM days GROUP BY 1),
+    stated AS (SELECT o_orderpriority AS index_code, max(CAST(o_orderdate AS DATE)) FILTER (o_orderstatus = 'F') AS last_calc_date,
+      count(DISTINCT CAST(o_orderdate AS DATE)) AS version, max(CAST(o_orderdate AS DATE)) - min(CAST(o_orderdate AS DATE)) + 1 - count(DISTINCT CAST(o_orderdate AS DATE)) AS gap_count FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1)
+    SELECT f.index_code || ':' || name AS violation FROM found f JOIN stated s USING (index_code),
+    (VALUES ('gap_count'), ('last_calc_date'), ('dataset_version')) c(name)
+    WHERE CASE name WHEN 'gap_count' THEN f.gap_count IS DISTINCT FROM s.gap_count WHEN 'last_calc_date' THEN f.last_calc_date IS DISTINCT FROM s.last_calc_date ELSE f.version IS DISTINCT FROM s.version END""",
     ["history"],
 )
 def status_violations(spark: SparkSession, sf: str) -> DataFrame:
-    expected = views.history(spark, sf).agg(
-        F.count(F.lit(1)).alias("gap_count"),
-        F.max("value_date").alias("last_calc_date"),
-        F.max(F.lit("v1")).alias("dataset_version"),
-    )
-    status = expected.withColumn("gap_count", F.col("gap_count") + 1).withColumn("last_calc_date", F.lit(None).cast("date"))
-    return quality.status_violations(status, expected)
+    # Each index states what the orders of some customers say; its history says otherwise.
+    def facts(days: DataFrame, last: F.Column) -> DataFrame:
+        span = F.date_diff(F.max("value_date"), F.min("value_date")) + 1
+        return days.groupBy("index_code").agg(
+            (span - F.count_distinct("value_date")).cast("bigint").alias("gap_count"),
+            last.alias("last_calc_date"),
+            F.count_distinct("value_date").cast("string").alias("dataset_version"),
+        )
+
+    expected = facts(views.history(spark, sf), F.max("value_date"))
+    some = views.table(spark, sf, "orders").filter(F.col("o_custkey") % 7 != 0)
+    orders = some.select(F.col("o_orderpriority").alias("index_code"), F.to_date("o_orderdate").alias("value_date"), "o_orderstatus")
+    stated = facts(orders, F.max(F.when(F.col("o_orderstatus") == "F", F.col("value_date"))))
+    found = quality.status_violations(stated, expected, ["index_code"])
+    return found.select(F.concat_ws(":", "index_code", "violation").alias("violation"))
 
 
 @query(
@@ -623,11 +640,22 @@ def rebalance_order_violations(spark: SparkSession, sf: str) -> DataFrame:
     "contribution_invariants",
     "D3 A3",
     "index_code:s value_date:s violation:s",
-    "SELECT index_code, value_date, 'none' AS violation FROM daily_values WHERE false",
-    ["daily_values"],
+    """WITH c AS (SELECT *, CASE WHEN day(value_date) = 5 THEN contribution + 0.5 ELSE contribution END AS wrong, CASE WHEN day(value_date) = 6 THEN used_return + 9 ELSE used_return END AS beyond
+      FROM contributions WHERE NOT (day(value_date) = 7 AND cm_product_id % 2 = 0)),
+    s AS (SELECT index_code, value_date, sum(wrong) AS total, max(abs(beyond)) AS largest, count(*) AS n FROM c GROUP BY 1, 2)
+    SELECT v.index_code, v.value_date, name AS violation FROM daily_values v LEFT JOIN s USING (index_code, value_date), (VALUES ('sum_of_contributions'), ('cap'), ('active_rows')) k(name)
+    WHERE NOT coalesce(CASE name WHEN 'sum_of_contributions' THEN abs(total - daily_return) <= 1e-12 WHEN 'cap' THEN largest <= 0.25 ELSE n = n_constituents_active END, false)""",
+    ["daily_values", "contributions"],
 )
 def contribution_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    # On three days of each month the contributions are spoiled, each in another way.
     values, contributions = views.chain_tables(spark, sf)
+    day = F.dayofmonth("value_date")
+    contributions = (
+        contributions.filter(~((day == 7) & (F.col("cm_product_id") % 2 == 0)))
+        .withColumn("contribution", F.when(day == 5, F.col("contribution") + 0.5).otherwise(F.col("contribution")))
+        .withColumn("used_return", F.when(day == 6, F.col("used_return") + 9).otherwise(F.col("used_return")))
+    )
     return quality.contribution_invariants(values, contributions, views.METHOD.daily_return_cap)
 
 
@@ -686,14 +714,61 @@ def write_receipts(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT o_orderkey + 1000000000, o_totalprice * 2, 'U' FROM orders WHERE o_orderkey % 3 = 1""",
 )
 def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    from pricetide.sinks.versions import VersionedTable, upsert_keys
+
     k = F.col("o_orderkey")
+    shape = struct("o_orderkey bigint, o_totalprice double, o_orderstatus string, bucket int")
+    table = VersionedTable(spark, views.scratch(spark), shape, ["bucket"], ["o_orderkey"])
     old = views.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    upsert_keys(table, old, ["o_orderkey"], 16)
     incoming = old.filter(k % 3 != 2).select(
         F.when(k % 3 == 1, k + 1000000000).otherwise(k).alias("o_orderkey"),
         (F.col("o_totalprice") * 2).alias("o_totalprice"),
         F.lit("U").alias("o_orderstatus"),
     )
-    return merge.upsert(old, incoming, ["o_orderkey"])
+    upsert_keys(table, incoming, ["o_orderkey"], 16)
+    return table.read()
+
+
+@query(
+    "interrupted_write",
+    "K1 K2 ST2",
+    "state:s game_key:s rows:i total:f2",
+    """SELECT 'during' AS state, game_key, count(*) AS rows, sum(price_low) AS total FROM price_panel GROUP BY 2
+    UNION ALL SELECT 'after', game_key, count(*), sum(CASE WHEN year(value_date) = 1999 THEN price_low * 2 ELSE price_low END) FROM price_panel GROUP BY 2""",
+    ["price_panel"],
+)
+def interrupted_write(spark: SparkSession, sf: str) -> DataFrame:
+    """A merge that dies between writing and the switch leaves the old rows; its repetition gives the new."""
+    from pricetide.plans.daily import merge_price_partitions
+    from pricetide.schemas import PRICE_TABLE
+    from pricetide.session import cut_lineage
+    from pricetide.sinks.versions import VersionedTable
+
+    class Lost(Exception):
+        pass
+
+    class Dying(VersionedTable):
+        def _commit(self, *_: object) -> None:
+            raise Lost
+
+    path = views.scratch(spark)
+    panel = stream_prices.price_rows(views.price_panel(spark, sf))
+    merge_price_partitions(spark, path, panel)
+    replay = panel.filter(F.year("value_date") == 1999).withColumn("price_low", F.col("price_low") * 2)
+    try:
+        month = F.date_format("value_date", "yyyy-MM")
+        Dying(spark, path, PRICE_TABLE, ["game_key", "month"], ["value_date"]).replace_partitions(replay.withColumn("month", month))
+    except Lost:
+        pass
+
+    def totals(state: str) -> DataFrame:
+        rows = tables.read_stored(spark, path).groupBy("game_key").agg(F.count(F.lit(1)).alias("rows"), F.sum("price_low").alias("total"))
+        return rows.withColumn("state", F.lit(state))
+
+    during = cut_lineage(totals("during"))
+    merge_price_partitions(spark, path, replay)
+    return during.unionByName(totals("after"))
 
 
 @query(
@@ -758,26 +833,60 @@ def dataset_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "cutover_bundle",
     "K11 D15",
-    "attempt:s written:b history_rows:i",
-    """SELECT 'blocked' AS attempt, false AS written, 0 AS history_rows UNION ALL SELECT 'eligible', true, count(*) FROM history""",
-    ["history"],
+    "attempt:s written:b bundle:s index_code:s rows:i total:f2 open_gates:i",
+    """WITH bundle AS (
+      SELECT 'history' AS bundle, index_code, count(*) AS rows, sum(index_value) AS total FROM daily_values GROUP BY 2
+      UNION ALL SELECT 'constituents', index_code, count(*), sum(ref_price) FROM intervals GROUP BY 2
+      UNION ALL SELECT 'rebalances', index_code, count(*), sum(members) FROM (SELECT index_code, effective_date, count(*) AS members FROM basket GROUP BY 1, 2) GROUP BY 2
+      UNION ALL SELECT 'analytics', index_code, count(*), sum(index_value) FROM daily_values WHERE day(value_date) = 1 GROUP BY 2
+      UNION ALL SELECT 'metadata', index_code, 1, target_size FROM definitions)
+    SELECT 'blocked' AS attempt, false AS written, 'review' AS bundle, index_code, 1 AS rows, NULL AS total, CASE WHEN status = 'published' THEN 0 ELSE 1 END AS open_gates FROM definitions
+    UNION ALL SELECT 'eligible', true, bundle, index_code, rows, total, 0 FROM bundle WHERE index_code IN (SELECT index_code FROM definitions WHERE status = 'published')""",
+    ["daily_values", "intervals", "basket", "definitions"],
 )
 def cutover_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    from pricetide.params import literal_table
+    """The bundle of all indexes, of which some are unpublished, is held back; that of the published ones is written."""
     from pricetide.plans.indexes import write_candidate
     from pricetide.session import cut_lineage
 
-    history = cut_lineage(views.history(spark, sf))
-    codes = history.select("index_code").distinct()
-    rows = []
-    for attempt, state in (("blocked", F.when(F.col("index_code") < "3", gates.ELIGIBLE).otherwise("blocked")), ("eligible", F.lit(gates.ELIGIBLE))):
-        path = views.scratch(spark)
-        review = codes.select("index_code", state.alias("state"), F.create_map(F.lit("audit"), F.lit(True)).alias("gates"))
-        empty = codes.withColumn("n", F.lit(0))
-        written = write_candidate(review, history, empty, empty, empty, empty, path)
-        count = spark.read.json(f"{path}/candidate/history").count() if written else 0
-        rows.append((attempt, written, count))
-    return literal_table(spark, rows, struct("attempt string, written boolean, history_rows bigint"))
+    definitions = views.definitions(spark)
+    values = cut_lineage(views.chain_tables(spark, sf)[0])
+    members = views.basket(spark, sf).groupBy("index_code", "effective_date").agg(F.count(F.lit(1)).alias("total"))
+    tables_ = {
+        "history": values.withColumn("total", F.col("index_value")),
+        "constituents": views.intervals(spark, sf).withColumn("total", F.col("ref_price")),
+        "rebalances": members,
+        "analytics": values.filter(F.dayofmonth("value_date") == 1).withColumn("total", F.col("index_value")),
+        "metadata": definitions.withColumn("total", F.col("target_size")),
+    }
+    published = F.col("status") == "published"
+    gate = F.create_map(F.lit("published"), published).alias("gates")
+    review = definitions.select("index_code", F.when(published, gates.ELIGIBLE).otherwise("blocked").alias("state"), gate)
+    held, done = views.scratch(spark), views.scratch(spark)
+    flags = {
+        "blocked": write_candidate(review, *tables_.values(), held),
+        "eligible": write_candidate(
+            review.join(definitions.filter(published), "index_code", "left_semi"),
+            *(t.join(definitions.filter(published).select("index_code"), "index_code", "left_semi") for t in tables_.values()),
+            done,
+        ),
+    }
+    seen = F.from_json("gates", "map<string,boolean>")
+    out = spark.read.json(f"{held}/review").select(
+        F.lit("review").alias("bundle"),
+        "index_code",
+        F.lit(1).alias("rows"),
+        F.lit(None).cast("double").alias("total"),
+        F.size(F.filter(F.map_values(seen), lambda ok: ~ok)).alias("open_gates"),
+        F.lit("blocked").alias("attempt"),
+    )
+    for name in tables_:
+        stored = spark.read.json(f"{done}/candidate/{name}")
+        rows = stored.groupBy("index_code").agg(F.count(F.lit(1)).alias("rows"), F.sum("total").cast("double").alias("total"))
+        out = out.unionByName(
+            rows.withColumns({"bundle": F.lit(name), "open_gates": F.lit(0), "attempt": F.lit("eligible")})
+        )
+    return out.withColumn("written", F.when(F.col("attempt") == "blocked", F.lit(flags["blocked"])).otherwise(F.lit(flags["eligible"])))
 
 
 # --- incremental forms ---------------------------------------------------------------
@@ -859,4 +968,4 @@ def price_merge_stream(spark: SparkSession, sf: str) -> DataFrame:
     replay.write.parquet(source)
     stream = spark.readStream.schema(PRICES).parquet(source)
     stream_prices.start_price_merge(spark, stream, path, checkpoint).awaitTermination()
-    return spark.read.schema(PRICE_TABLE).parquet(path)
+    return tables.stored(spark, path, PRICE_TABLE)

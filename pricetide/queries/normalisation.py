@@ -332,7 +332,7 @@ def landed_record_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "normalisation_run",
     "D6 A9 A14 K10",
-    "game_key:s run_date:s status:s catalogue_products:i unknown_products:i price_rows:i complete:b",
+    "game_key:s run_date:s status:s catalogue_products:i unknown_products:i price_rows:i complete:b outputs:i month_rows:i",
     """WITH listed AS (
       SELECT CASE WHEN p_partkey % 2 = 0 THEN 'onepiece' ELSE 'pokemon' END AS game_key, DATE '2001-01-01' + (p_size % 3) AS run_date,
       p_size % 3 > 0 AND p_partkey % 9 = 0 AS unknown FROM part),
@@ -341,33 +341,38 @@ def landed_record_counts(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN game_key = 'pokemon' AND run_date = DATE '2001-01-03' THEN 'invalid'
         WHEN count(*) FILTER (NOT unknown) >= 0.99 * count(*) THEN 'ok' ELSE 'fail' END AS status FROM listed GROUP BY 1, 2)
     SELECT game_key, run_date, status, products + (status = 'invalid')::INT AS catalogue_products, unknowns AS unknown_products,
-    CASE WHEN status = 'invalid' THEN 0 ELSE products END AS price_rows, status = 'ok' AS complete FROM days""",
+    CASE WHEN status = 'invalid' THEN 0 ELSE products END AS price_rows, status = 'ok' AS complete, CASE WHEN status = 'ok' THEN 3 END AS outputs,
+    CASE WHEN status = 'ok' THEN sum(CASE WHEN status <> 'invalid' THEN products ELSE 0 END) OVER (PARTITION BY game_key) END AS month_rows FROM days""",
 )
 def normalisation_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The daily job over one document per part: a day that passes, days that fail, a day with an id twice."""
-    from pricetide.plans.daily import run_normalize
+    """The daily job over files and their manifests: a day that passes, days that fail, a day with an id twice."""
+    from pricetide.plans.daily import landed_files, run_normalize
+    from pricetide.sinks.tables import read_stored
+    from pricetide.sources.manifests import manifest_files, read_manifests
 
     part, pid = views.table(spark, sf, "part"), F.col("p_partkey")
     day = F.date_add(F.lit("2001-01-01").cast("date"), (F.col("p_size") % 3).cast("int"))
     game = views.part_game(pid)
     label = F.when((F.col("p_size") % 3 > 0) & (pid % 9 == 0), "Strange").otherwise("Small\t")
 
-    def documents(rows: DataFrame, kind: str, member: str, record: F.Column) -> DataFrame:
-        body = F.concat(F.lit(f'{{"{member}": ['), F.to_json(record), F.lit("]}"))
-        return rows.select(game.alias("game_key"), day.alias("run_date"), F.lit(kind).alias("kind"), body.alias("body"))
+    def records(rows: DataFrame, kind: str, record: F.Column) -> DataFrame:
+        return rows.select(game.alias("game_key"), day.alias("run_date"), F.lit(kind).alias("kind"), pid.alias("n"), F.to_json(record).alias("text"))
 
     listed = F.struct(pid.alias("idProduct"), F.col("p_name").alias("name"), label.alias("categoryName"))
     priced = F.struct(pid.alias("idProduct"), F.col("p_retailprice").alias("avg"))
     spoiled = part.filter((pid % 2 == 1) & (F.col("p_size") % 3 == 2))
     again = spoiled.join(spoiled.agg(F.min(pid).alias("p_partkey")), "p_partkey", "left_semi")
     landed = (
-        documents(part, "catalogue", "products", listed)
-        .unionByName(documents(again, "catalogue", "products", listed))
-        .unionByName(documents(part, "priceguide", "priceGuides", priced))
+        records(part, "catalogue", listed)
+        .unionByName(records(again, "catalogue", listed))
+        .unionByName(records(part, "priceguide", priced))
+    )
+    archive, root = views.write_archive(spark, landed), views.scratch(spark)
+    files = manifest_files(read_manifests(spark, f"{archive}/manifests"))
+    notes = run_normalize(spark, landed_files(files, archive), views.categories(spark), root, files, min_records=1)
+    done = read_stored(spark, f"{root}/completions").select(
+        "game_key", "run_date", F.lit(True).alias("complete"), F.size("outputs").alias("outputs"), F.aggregate("outputs", F.lit(0).cast("bigint"), lambda n, o: n + F.when(o["output"].startswith("prices/"), o["rows"]).otherwise(0)).alias("month_rows")
     )
-    root = views.scratch(spark)
-    notes = run_normalize(spark, landed, views.categories(spark), root)
-    done = spark.read.parquet(f"{root}/completions").select("game_key", "run_date", F.lit(True).alias("complete"))
     return notes.join(done, ["game_key", "run_date"], "left").fillna(False, ["complete"])
 
 

@@ -98,6 +98,7 @@ def load() -> dict[str, Query]:
         composition,
         expressions,
         governance,
+        jobs,
         normalisation,
         portfolio,
         selection,

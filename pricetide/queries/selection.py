@@ -224,32 +224,37 @@ def monthly_removals(spark: SparkSession, sf: str) -> DataFrame:
     return _rebalances(spark, sf)[2]
 
 
+# The fingerprint adds up hashes of the rows' text, so SQL can say it too.
+_SNAPSHOT = (
+    "sha256(index_code || '|' || count(*) || '|' || sum(('0x' || substr(sha256(rank || '|' || stable_variant_id || '|' ||"
+    " coalesce(CAST(round(liquidity_score * 1e9) AS BIGINT)::VARCHAR, '') || '|' ||"
+    " coalesce(CAST(round(avg30 * 1e8) AS BIGINT)::VARCHAR, '')), 1, 15))::BIGINT::HUGEINT))"
+)
+
+
 @query(
     "monthly_rebalance_headers",
     "D2 A27",
-    "index_code:s effective_date:s eligible_count:i methodology_version:s sha_length:i distinct_shas:i",
-    """SELECT index_code, effective_date, count(*) AS eligible_count, '1.3.0' AS methodology_version, 64 AS sha_length,
-    (SELECT count(*) FROM qualified) AS distinct_shas FROM ranked JOIN qualified USING (index_code, effective_date) GROUP BY 1, 2""",
+    "index_code:s effective_date:s eligible_count:i methodology_version:s snapshot:s",
+    f"""SELECT index_code, effective_date, count(*) AS eligible_count, '1.3.0' AS methodology_version, {_SNAPSHOT} AS snapshot FROM ranked JOIN qualified USING (index_code, effective_date) GROUP BY 1, 2""",
     ["ranked", "qualified"],
 )
 def monthly_rebalance_headers(spark: SparkSession, sf: str) -> DataFrame:
-    heads = _rebalances(spark, sf)[0]
-    shas = heads.agg(F.count_distinct("snapshot_sha256")).scalar()
-    return heads.withColumn("sha_length", F.length("snapshot_sha256")).withColumn("distinct_shas", shas)
+    return _rebalances(spark, sf)[0].withColumnRenamed("snapshot_sha256", "snapshot")
 
 
 @query(
     "selection_snapshot",
     "A27 F15",
-    "index_code:s effective_date:s eligible_count:i sha_length:i",
-    "SELECT index_code, effective_date, count(*) AS eligible_count, 64 AS sha_length FROM ranked GROUP BY 1, 2",
+    "index_code:s effective_date:s eligible_count:i snapshot:s",
+    f"SELECT index_code, effective_date, count(*) AS eligible_count, {_SNAPSHOT} AS snapshot FROM ranked GROUP BY 1, 2",
     ["ranked"],
 )
 def selection_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     ranked = selection.ranked_candidates(
         views.price_panel(spark, sf), views.products(spark, sf), views.definitions(spark), views.METHOD
     )
-    return selection.snapshot_fingerprints(ranked).withColumn("sha_length", F.length("snapshot_sha256"))
+    return selection.snapshot_fingerprints(ranked).withColumnRenamed("snapshot_sha256", "snapshot")
 
 
 _DAY = date(1998, 3, 1)

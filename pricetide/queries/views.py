@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import date
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pricetide.functions.hashing import content_sha
@@ -54,12 +54,67 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def by(*keys: str) -> WindowSpec:
+    """A window over all rows of the same keys."""
+    return Window.partitionBy(*keys)
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder for tables a query writes and reads back, in the shared checkpoint folder."""
     shared = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{shared}/tables-{uuid4().hex}"
 
 
+def write_archive(spark: SparkSession, records: DataFrame, sha: Column | None = None) -> str:
+    """Write records (game_key, run_date, kind, n, text) as snapshot files and manifests.
+
+    Returns the archive's folder. A file is written line by line, a record a line in order of
+    `n`. `sha` replaces the hash that manifests declare.
+    """
+    from pyspark.sql import Window
+
+    from pricetide.session import cut_lineage
+    from pricetide.sources.object_files import write_objects
+
+    root = scratch(spark)
+    keyed = records.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
+    placed = keyed.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("n")))
+    body = placed.select("key", "pos", F.concat(F.when(F.col("pos") > 1, ",").otherwise(""), F.col("text")).alias("text"))
+    keys = keyed.select("key", "game_key", "run_date", "kind").distinct()
+    member = F.when(F.col("kind") == "catalogue", "products").otherwise("priceGuides")
+    opening = F.concat(F.lit('{"version": 1, "createdAt": "'), F.col("run_date").cast("string"), F.lit('", "'), member, F.lit('": ['))
+    head = keys.select("key", F.lit(0).alias("pos"), opening.alias("text"))
+    tail = keys.select("key", F.lit(2**31 - 1).alias("pos"), F.lit("]}").alias("text"))
+    # Writing is the action here, so it is run once.
+    written = cut_lineage(write_objects(body.unionByName(head).unionByName(tail), root).join(keys, "key"))
+    entry = F.struct(
+        F.col("game_key").alias("game"),
+        "kind",
+        "key",
+        (F.col("sha256") if sha is None else sha).alias("sha256_uncompressed"),
+        F.col("size").alias("size_uncompressed"),
+        F.concat(F.col("run_date").cast("string"), F.lit("T05:00:00+00:00")).alias("fetched_at"),
+    )
+    listed = written.groupBy("run_date").agg(F.sort_array(F.collect_list(entry)).alias("files"))
+    manifest = F.to_json(F.struct(F.col("run_date").cast("string").alias("run_date"), F.lit(1).alias("schema_version"), "files"))
+    key = F.concat(F.lit("manifests/"), F.col("run_date").cast("string"), F.lit(".json"))
+    write_objects(listed.select(key.alias("key"), F.lit(0).alias("pos"), manifest.alias("text")), root).count()
+    return root
+
+
+def monthly_listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of a price guide and a catalogue for each game and month of line items."""
+    pid, month = F.col("l_partkey"), F.trunc(F.to_date("l_shipdate"), "MM")
+    line = spread(table(spark, sf, "lineitem"), "l_partkey")
+    sold = line.groupBy(pid.alias("pid"), month.alias("run_date")).agg(F.max("l_extendedprice").alias("avg"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), "p_name", "p_type")
+    both = sold.join(part, "pid").withColumn("game_key", part_game(F.col("pid")))
+    guide = F.to_json(F.struct(F.col("pid").alias("idProduct"), F.lit(1).alias("idCategory"), "avg"))
+    listed = F.to_json(F.struct(F.col("pid").alias("idProduct"), F.col("p_name").alias("name"), F.lit("Small").alias("categoryName")))
+    kinds = F.explode(F.array(F.struct(F.lit("priceguide").alias("kind"), guide.alias("text")), F.struct(F.lit("catalogue").alias("kind"), listed.alias("text"))))
+    return both.select("game_key", "run_date", F.col("pid").alias("n"), kinds.alias("r")).select("game_key", "run_date", "n", "r.*")
+
+
 def definitions(spark: SparkSession) -> DataFrame:
     return definitions_frame(spark, METHOD)
 
@@ -696,6 +751,17 @@ SQL.update(
             FROM price_records WHERE base_avg IS NOT NULL OR base_low IS NOT NULL
             UNION ALL SELECT doc_key, game_key, run_date, cm_product_id, cm_category_id, 'foil', NULL, second_avg, NULL, NULL FROM price_records WHERE second_avg IS NOT NULL""",
         ),
+        "listings": (
+            [],
+            """SELECT CASE WHEN l_partkey % 2 = 0 THEN 'onepiece' ELSE 'pokemon' END AS game_key, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS run_date, l_partkey AS pid, max(l_extendedprice) AS price,
+            row_number() OVER (PARTITION BY l_partkey % 2, date_trunc('month', CAST(l_shipdate AS DATE)) ORDER BY l_partkey) - 1 AS source_pos
+            FROM lineitem GROUP BY l_partkey, date_trunc('month', CAST(l_shipdate AS DATE))""",
+        ),
+        "listing_files": (
+            ["listings"],
+            """SELECT game_key, run_date, kind, count(*) AS records, 'cardmarket/' || kind || '/' || game_key || '/' || strftime(run_date, '%Y/%m') || '/' || run_date || '.json.gz' AS key
+            FROM listings, (VALUES ('priceguide'), ('catalogue')) k(kind) GROUP BY ALL""",
+        ),
         "category_map": (
             [],
             "SELECT * FROM (VALUES ('standard', 'single'), ('medium', 'single'), ('small', 'single'), ('promo', 'sealed'), ('large', 'sealed'), ('misc', 'other')) c(label, kind)",
