@@ -76,32 +76,61 @@ def member_panel(
     return panel.join(daily, [*key, "value_date"], "left")
 
 
-def flag_members(panel: DataFrame, method: Methodology) -> DataFrame:
-    """Return and flag of every member row; state survives rebalances.
-
-    State is expressed over the member rows of one variant in one index (at most
-    one row per calendar day): the last observed price, and the number of missing
-    days since then.
-    """
+def member_state(panel: DataFrame, method: Methodology, carry: DataFrame | None = None) -> DataFrame:
+    """The panel with each row's observed and previous price, missing run and capped return."""
+    if carry is None:
+        panel = panel.withColumn("carried_price", F.lit(None).cast("double")).withColumn("carried_run", F.lit(None).cast("bigint"))
+    else:
+        panel = panel.join(carry, ["index_code", *VARIANT], "left")
     path = Window.partitionBy("index_code", *VARIANT).orderBy("value_date")
     history = path.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = path.rowsBetween(Window.unboundedPreceding, -1)
     price = F.when(~F.col("unchanged"), usable(F.col("used_price")))
     missed = F.when(F.col("observed").isNull() & ~F.col("unchanged"), 1).otherwise(0)
-    state = (
+    return (
         panel.withColumn("observed", price)
-        .withColumn("previous", F.last("observed", ignorenulls=True).over(before))
+        .withColumn("previous", F.coalesce(F.last("observed", ignorenulls=True).over(before), "carried_price"))
         .withColumn("missed_so_far", F.sum(missed).over(history))
         .withColumn(
             "missed_at_observation",
-            F.last(F.when(F.col("observed").isNotNull(), F.col("missed_so_far")), ignorenulls=True).over(
-                history
+            F.coalesce(
+                F.last(F.when(F.col("observed").isNotNull(), F.col("missed_so_far")), ignorenulls=True).over(history),
+                -F.col("carried_run"),
             ),
         )
         .withColumn("missing_run", F.col("missed_so_far") - F.col("missed_at_observation"))
         .withColumn("raw_return", F.col("observed") / F.col("previous") - 1)
         .withColumn("capped", capped_return(F.col("raw_return"), method.daily_return_cap))
     )
+
+
+def member_carry(panel: DataFrame, method: Methodology, carry: DataFrame | None = None) -> DataFrame:
+    """What later days need of these: per member the last observed price and the missing run.
+
+    A row (index_code, product, variant, carried_price, carried_run) for each member that was ever
+    observed; members without rows keep what they had.
+    """
+    keys = ["index_code", *VARIANT]
+    after = (
+        member_state(panel, method, carry)
+        .groupBy(*keys)
+        .agg(
+            F.max_by(F.coalesce("observed", "previous"), "value_date").alias("carried_price"),
+            F.max_by(F.coalesce("missing_run", F.lit(0)), "value_date").cast("bigint").alias("carried_run"),
+        )
+        .filter(F.col("carried_price").isNotNull())
+    )
+    return after if carry is None else carry.join(after, keys, "left_anti").unionByName(after)
+
+
+def flag_members(panel: DataFrame, method: Methodology, carry: DataFrame | None = None) -> DataFrame:
+    """Return and flag of every member row; state survives rebalances.
+
+    State is expressed over the member rows of one variant in one index (at most
+    one row per calendar day): the last observed price, and the number of missing
+    days since then. `carry` (member_carry of earlier days) goes before the rows.
+    """
+    state = member_state(panel, method, carry)
     seen = F.col("previous").isNotNull()
     flag = (
         F.when(F.col("unchanged"), F.when(seen, "snapshot_unchanged"))

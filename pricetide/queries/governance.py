@@ -12,6 +12,7 @@ from pricetide.params import LANGUAGE_PENDING, LANGUAGE_RESOLVED
 from pricetide.queries import views
 from pricetide.queries.registry import query
 from pricetide.schemas import PRICES, struct
+from pricetide.session import cut_lineage
 from pricetide.sinks import exports, tables
 from pricetide.streaming import prices as stream_prices
 from pricetide.streaming import requests
@@ -935,7 +936,8 @@ def request_limits_stream(spark: SparkSession, sf: str) -> DataFrame:
     ["flagged"],
 )
 def member_flags_stream(spark: SparkSession, sf: str) -> DataFrame:
-    source, path, checkpoint = views.scratch(spark), views.scratch(spark), views.scratch(spark)
+    """The panel in two arrivals: some days come late, and some rows come twice."""
+    source, root = views.scratch(spark), views.scratch(spark)
     panel = chain.member_panel(
         views.price_panel(spark, sf),
         views.basket(spark, sf),
@@ -943,10 +945,16 @@ def member_flags_stream(spark: SparkSession, sf: str) -> DataFrame:
         views.definitions(spark),
         views.METHOD,
     )
-    panel.write.parquet(source)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    stream_prices.drain(stream_prices.flag_members_stream(stream, views.METHOD), path, checkpoint)
-    return spark.read.parquet(path)
+    panel = cut_lineage(panel)
+    flags = stream_prices.MemberFlags(spark, views.METHOD, root, delay_days=20)
+    day, middle = F.col("value_date"), F.lit("1996-06-15").cast("date")
+    first = (day < F.date_sub(middle, 15)) | ((day < middle) & (F.dayofmonth(day) % 3 != 0))
+    again = (day < middle) & (day > F.date_sub(middle, 40))
+    for arrival in (first, ~first | again):
+        panel.filter(arrival).write.mode("append").parquet(source)
+        flags.start(spark.readStream.schema(panel.schema).parquet(source)).awaitTermination()
+    flags.close(panel.schema)
+    return flags.flags()
 
 
 @query(

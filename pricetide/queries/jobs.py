@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.params import Methodology, definitions_frame, literal_table
@@ -24,10 +24,13 @@ _FEWEST = 20
 _WRONG = "f" * 64
 
 
-def _archive(spark: SparkSession, sf: str) -> str:
+def _declared_sha() -> Column:
     planted = (F.col("kind") == "priceguide") & (F.month("run_date") % 5 == 0)
-    sha = F.when(planted, F.lit(_WRONG)).otherwise(F.col("sha256"))
-    return views.write_archive(spark, views.monthly_listings(spark, sf), sha)
+    return F.when(planted, F.lit(_WRONG)).otherwise(F.col("sha256"))
+
+
+def _archive(spark: SparkSession, sf: str) -> str:
+    return views.write_archive(spark, views.monthly_listings(spark, sf), _declared_sha())
 
 
 @query(
@@ -158,43 +161,49 @@ _BACKFILLED = """WITH days AS (SELECT CAST(unnest(generate_series(min(run_date),
 
 @query("resumed_backfill", "D9 D6 S2 K10", "run_date:s ok_runs:i errors:i status:s price_rows:i", _BACKFILLED, ["listings", "listing_files"])
 def resumed_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    """A backfill stream that stops in its second batch, and goes on; days with a wrong manifest are rejected."""
-    root, out, checkpoint = _archive(spark, sf), views.scratch(spark), views.scratch(spark)
-    found = manifests.read_manifests(spark, f"{root}/manifests")
-    first, last, days = found.agg(F.min("path_date"), F.max("path_date"), F.count(F.lit(1))).first()
-    known = categories.category_frame(spark, views.CATEGORY_LABELS)
-    # The stream takes a third of the manifests at a time; the first run is stopped within the second batch.
-    stop = last.replace(year=(first.year + last.year) // 2)
-    for end in (stop, last):
-        daily.start_backfill(spark, root, known, out, checkpoint if end == last else f"{checkpoint}-early", first, end, max(1, days // 3), 1).awaitTermination()
+    """A backfill stream over two arrivals of manifests, the second run going on from the first's
+    checkpoint; days with a wrong manifest are rejected."""
+    records = cut_lineage(views.monthly_listings(spark, sf))
+    root, out, checkpoint = views.scratch(spark), views.scratch(spark), views.scratch(spark)
+    known = views.categories(spark)
+    first, last = records.agg(F.min("run_date"), F.max("run_date")).first()
+    middle = F.lit(first + (last - first) / 2)
+    for arrived in (F.col("run_date") < middle, F.col("run_date") >= middle):
+        views.write_archive(spark, records.filter(arrived), _declared_sha(), root)
+        daily.start_backfill(spark, root, known, out, checkpoint, first, last, 60, 1).awaitTermination()
     status = daily.backfill_status(spark, out, first, last)
     rows = tables.read_stored(spark, f"{out}/prices").groupBy(F.col("value_date").alias("run_date")).agg(F.count(F.lit(1)).alias("price_rows"))
     return status.join(rows, "run_date", "left").fillna(0, ["price_rows"])
 
 
+views.SQL["last_day"] = (
+    ["archive_calendar", "price_panel"],
+    "SELECT greatest((SELECT max(value_date) FROM archive_calendar), (SELECT max(value_date) FROM price_panel)) AS d",
+)
+
+
 @query(
     "recalculated_indexes",
     "D8 K2 K3 K10",
-    "output:s index_code:s rows:i total:f2 changed:b changed_again:b",
-    """SELECT output, index_code, rows, total, true AS changed, false AS changed_again FROM (
+    "output:s index_code:s rows:i total:f2 changed:b output_rows:i",
+    """SELECT output, index_code, rows, total, true AS changed, sum(rows) OVER (PARTITION BY output) AS output_rows FROM (
       SELECT 'daily_values' AS output, index_code, count(*) AS rows, sum(index_value) AS total FROM fold_daily_values GROUP BY 2
       UNION ALL SELECT 'contributions', index_code, count(*), sum(contribution * 1000) FROM fold_contributions GROUP BY 2
-      UNION ALL SELECT 'members', index_code, count(*), sum(rank) FROM fold_members GROUP BY 2
-      UNION ALL SELECT 'rebalances', index_code, count(*), sum(n) FROM (SELECT index_code, effective_date, count(*) AS n FROM ranked JOIN qualified USING (index_code, effective_date) GROUP BY 1, 2) GROUP BY 2)""",
-    ["fold_daily_values", "fold_contributions", "fold_members", "ranked", "qualified"],
+      UNION ALL SELECT 'members', index_code, count(*), sum(rank) FROM fold_members WHERE effective_date <= (SELECT d FROM last_day) GROUP BY 2
+      UNION ALL SELECT 'rebalances', index_code, count(*), sum(n) FROM (SELECT index_code, effective_date, count(*) AS n FROM ranked JOIN qualified USING (index_code, effective_date) WHERE effective_date <= (SELECT d FROM last_day) GROUP BY 1, 2) GROUP BY 2)""",
+    ["last_day", "fold_daily_values", "fold_contributions", "fold_members", "ranked", "qualified"],
 )
 def recalculated_indexes(spark: SparkSession, sf: str) -> DataFrame:
-    """The recalculation job run twice: the second run changes no output."""
+    """The recalculation job: its stored outputs and the receipts it gives for them."""
     from pricetide.plans.indexes import run_calc
 
-    panel = tables_priced = cut_lineage(views.price_panel(spark, sf))
+    panel = cut_lineage(views.price_panel(spark, sf))
     calendar = cut_lineage(views.archive_calendar(spark, sf))
     # The run is that of the last observed day.
     run_date = max(calendar.agg(F.max("value_date")).first()[0], panel.agg(F.max("value_date")).first()[0])
     root = views.scratch(spark)
-    receipts = [run_calc(spark, tables_priced, views.products(spark, sf), calendar, views.METHOD, run_date, root) for _ in range(2)]
-    name = F.regexp_extract("output", r"([^/]+)$", 1).alias("output")
-    changed = receipts[0].select(name, "changed").join(receipts[1].select(name, F.col("changed").alias("changed_again")), "output")
+    receipts = run_calc(spark, panel, views.products(spark, sf), calendar, views.METHOD, run_date, root)
+    changed = receipts.select(F.regexp_extract("output", r"([^/]+)$", 1).alias("output"), "changed", F.col("rows").alias("output_rows"))
     amounts = {"daily_values": F.col("index_value"), "contributions": F.col("contribution") * 1000, "members": F.col("rank"), "rebalances": F.col("eligible_count")}
     out = None
     for output, amount in amounts.items():

@@ -65,7 +65,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared}/tables-{uuid4().hex}"
 
 
-def write_archive(spark: SparkSession, records: DataFrame, sha: Column | None = None) -> str:
+def write_archive(
+    spark: SparkSession, records: DataFrame, sha: Column | None = None, root: str | None = None
+) -> str:
     """Write records (game_key, run_date, kind, n, text) as snapshot files and manifests.
 
     Returns the archive's folder. A file is written line by line, a record a line in order of
@@ -76,7 +78,7 @@ def write_archive(spark: SparkSession, records: DataFrame, sha: Column | None =
     from pricetide.session import cut_lineage
     from pricetide.sources.object_files import write_objects
 
-    root = scratch(spark)
+    root = root or scratch(spark)
     keyed = records.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
     placed = keyed.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("n")))
     body = placed.select("key", "pos", F.concat(F.when(F.col("pos") > 1, ",").otherwise(""), F.col("text")).alias("text"))

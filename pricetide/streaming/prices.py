@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from datetime import timedelta
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from pricetide.operators import chain
 from pricetide.params import Methodology
 from pricetide.plans.daily import merge_price_partitions
-
-FLAGGED = (
-    "index_code string, cm_product_id bigint, variant_key string, value_date date,"
-    " used_return double, flag string"
-)
-
+from pricetide.session import cut_lineage
 
 def start_price_merge(
     spark: SparkSession, prices: DataFrame, path: str, checkpoint: str
@@ -40,75 +36,80 @@ def start_price_merge(
     )
 
 
-def member_state(cap: float, carry_days: int) -> Callable[..., Iterator[pd.DataFrame]]:
-    """State function per index member: last observed price and missing days since then."""
-
-    def update(key: Any, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        index_code, product, variant = key
-        last, missing = state.get if state.exists else (float("nan"), 0)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("value_date")
-        days, returns, flags = [], [], []
-        # A member has one row per calendar day.
-        for day, price, unchanged in zip(rows["value_date"], rows["used_price"], rows["unchanged"]):
-            known = last == last
-            observed = not unchanged and price == price and 0 < price < float("inf")
-            ret, flag = 0.0, None
-            if unchanged:
-                flag = "snapshot_unchanged" if known else None
-            elif observed:
-                flag = "initialized"
-                if known:
-                    raw = price / last - 1
-                    ret = max(-cap, min(cap, raw))
-                    flag = "spike_capped" if abs(ret - raw) > 1e-15 else "fresh"
-                last, missing = price, 0
-            else:
-                missing += 1
-                flag = "carried_forward" if known and missing <= carry_days else "stale"
-            if flag:
-                days.append(day)
-                returns.append(ret)
-                flags.append(flag)
-        state.update((last, missing))
-        yield pd.DataFrame(
-            {
-                "index_code": index_code,
-                "cm_product_id": product,
-                "variant_key": variant,
-                "value_date": days,
-                "used_return": returns,
-                "flag": flags,
-            }
-        )
+def _earlier(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in (exc.getCondition() or ""):
+            raise
+        return None
 
-    return update
 
+class MemberFlags:
+    """Streaming form of `chain.flag_members` over arriving panel rows.
 
-def flag_members_stream(panel: DataFrame, method: Methodology) -> DataFrame:
-    """Streaming form of `chain.flag_members`; days arrive in order across micro-batches."""
-    rows = panel.select(
-        "index_code", "cm_product_id", "variant_key", "value_date", "used_price", "unchanged"
-    )
-    return rows.groupBy("index_code", "cm_product_id", "variant_key").applyInPandasWithState(
-        member_state(method.daily_return_cap, method.carry_forward_max_days),
-        outputStructType=FLAGGED,
-        stateStructType="last double, missing int",
-        outputMode="append",
-        timeoutConf="NoTimeout",
-    )
+    Days up to `delay_days` before the newest one seen are closed: their rows are judged by the
+    batch form's windows, with each member's carried state (last price, missing run) in front.
+    Later days wait, so that rows which come late but within the delay are judged in their place.
+    Rows of a closed day that arrive again change nothing; rows that come later than the delay
+    are kept apart under `late`. Of rows that repeat a member's day one is judged.
 
+    Under `root`, each batch stores flags, carry, waiting rows and late rows in folders of its
+    number, which a repeated batch overwrites: it reads only what its predecessor stored.
+    """
 
-def drain(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Write everything a stream holds now to Parquet and stop."""
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    def __init__(self, spark: SparkSession, method: Methodology, root: str, delay_days: int = 0) -> None:
+        self.spark, self.method, self.root, self.delay_days = spark, method, root.rstrip("/"), delay_days
+
+    def _stored(self, name: str, batch: int) -> DataFrame | None:
+        return _earlier(self.spark, f"{self.root}/{name}/batch={batch}")
+
+    def judge(self, batch: DataFrame, number: int, close: bool = False) -> None:
+        """Judge one batch; with `close`, all that waits is judged too."""
+        member_day = ["index_code", *chain.VARIANT, "value_date"]
+        carry, waiting = self._stored("carry", number - 1), self._stored("waiting", number - 1)
+        closed = self._stored("closed", number - 1)
+        # One row: the last closed day.
+        before = closed.first()["day"] if closed is not None else None
+        rows = batch if waiting is None else waiting.unionByName(batch)
+        rest = [c for c in batch.columns if c not in member_day]
+        rows = rows.groupBy(*member_day).agg(F.max(F.struct(*rest)).alias("_r")).select(*member_day, "_r.*").select(*batch.columns)
+        rows = cut_lineage(rows)
+        newest = rows.agg(F.max("value_date")).first()[0]
+        horizon = before
+        if newest is not None:
+            reached = newest if close else newest - timedelta(days=self.delay_days)
+            horizon = reached if before is None else max(before, reached)
+        past = F.lit(False) if before is None else F.col("value_date") <= F.lit(before)
+        upto = F.lit(False) if horizon is None else F.col("value_date") <= F.lit(horizon)
+        due, open_ = rows.filter(~past & upto), rows.filter(~past & ~upto)
+        due = cut_lineage(due)
+        self._write("flags", number, chain.flag_members(due, self.method, carry))
+        self._write("carry", number, chain.member_carry(due, self.method, carry))
+        self._write("waiting", number, open_)
+        self._write("late", number, rows.filter(past))
+        self._write("closed", number, self.spark.createDataFrame([(horizon,)], "day date"))
+
+    def _write(self, name: str, number: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={number}")
+
+    def start(self, panel: DataFrame) -> StreamingQuery:
+        """Judge everything that the stream holds now, batch by batch, and stop."""
+        return (
+            panel.writeStream.foreachBatch(self.judge)
+            .option("checkpointLocation", f"{self.root}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    def close(self, schema: StructType) -> None:
+        """Judge all days that still wait, at the end of the data."""
+        last = self.spark.read.parquet(f"{self.root}/closed").agg(F.max("batch")).first()[0]
+        self.judge(self.spark.createDataFrame([], schema), last + 1, close=True)
+
+    def flags(self) -> DataFrame:
+        """The flags of all closed days."""
+        return self.spark.read.parquet(f"{self.root}/flags").drop("batch")
 
 
 def price_rows(df: DataFrame) -> DataFrame:

@@ -185,13 +185,21 @@ def test_member_state_continues_over_batches(spark, tmp_path, one_index):
         " unchanged boolean, effective_date date, stable_variant_id string",
     )
     method = replace(one_index, carry_forward_max_days=2)
-    source, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    for part in (F.col("value_date") < days[5], F.col("value_date") >= days[5]):
+    want = rows(chain.flag_members(panel, method), "value_date", "flag", "used_return")
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    flags = stream_prices.MemberFlags(spark, method, root, delay_days=2)
+    at = F.col("value_date")
+    # Day 3 comes after day 4, days 0 and 4 come twice.
+    for part in ((at < days[5]) & (at != days[3]), (at >= days[5]) | at.isin(days[0], days[3], days[4])):
         panel.filter(part).write.mode("append").parquet(source)
         stream = spark.readStream.schema(panel.schema).parquet(source)
-        stream_prices.drain(stream_prices.flag_members_stream(stream, method), out, ck)
-    want = rows(chain.flag_members(panel, method), "value_date", "flag", "used_return")
-    assert rows(spark.read.parquet(out), "value_date", "flag", "used_return") == want
+        flags.start(stream).awaitTermination()
+    flags.close(panel.schema)
+    assert rows(flags.flags(), "value_date", "flag", "used_return") == want
+    # A batch that is repeated gives the same rows.
+    flags.judge(panel.filter((at >= days[5]) | at.isin(days[0], days[3], days[4])), 1)
+    assert rows(flags.flags(), "value_date", "flag", "used_return") == want
+    assert rows(spark.read.parquet(f"{root}/late"), "value_date") == [(days[0],)]
     assert [w[1] for w in want] == [
         "initialized", "carried_forward", "fresh", "spike_capped", "carried_forward", "carried_forward", "stale", "spike_capped", "snapshot_unchanged",
     ]

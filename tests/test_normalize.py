@@ -264,23 +264,23 @@ def test_backfill_stream_goes_on_where_it_died(spark, tmp_path, monkeypatch):
     docs = [d for day in days for d in day_docs(n=4, day=day, category="Strange" if day.day == 12 else "One Piece Single")]
     root, first, last = archive_of(spark, tmp_path / "a", *docs), days[0], days[-1]
 
-    def run(out):
-        query = daily.start_backfill(spark, root, cats, str(tmp_path / out), str(tmp_path / f"{out}-ck"), first, last, 1, 1)
+    def run(out, per_batch):
+        query = daily.start_backfill(spark, root, cats, str(tmp_path / out), str(tmp_path / f"{out}-ck"), first, last, per_batch, 1)
         query.awaitTermination()
 
-    run("whole")
+    run("whole", 4)
     calls = []
     original = daily.run_normalize
 
     def dies(*args):
         calls.append(1)
-        if len(calls) == 3:
+        if len(calls) == 2:
             raise RuntimeError("lost")
         return original(*args)
 
     monkeypatch.setattr(daily, "run_normalize", dies)
     with pytest.raises(Exception, match="lost"):
-        run("parts")
+        run("parts", 2)
     monkeypatch.undo()
     run("parts")
     for name in ("products", "prices", "unknown_categories", "runs"):
