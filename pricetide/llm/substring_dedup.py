@@ -1,10 +1,11 @@
-"""Substring dedup: content-defined chunks, compared by digest across documents.
+"""Substring dedup: content-defined chunks, deduplicated by digest across documents.
 
 A gear hash of the last 32 bytes decides where chunks end, so what is inserted or cut before a
-passage moves no boundary inside it. The bytes that decided on a chunk's end are its seed; seeds
-that texts with other ids have are found by one aggregation over digests. Each is extended to
-both sides as far as the text is that of the source; what is covered and long enough is a
-repeated passage.
+passage moves no boundary inside it. A chunk runs from the end before to its own, and is at least
+32 bytes long; chunks that texts with other ids have are found by one aggregation over digests.
+Each carries the text up to its neighbours' far ends, and by comparing that with the source's a
+repeated passage is followed into the chunks that it begins and ends in. What is covered and
+long enough is a row.
 """
 
 from __future__ import annotations
@@ -26,23 +27,26 @@ from pricetide.llm.common import IS_SPACE, mix, odd_constants, slices, small_bat
 
 _GEAR = (odd_constants(256, 29) >> np.uint64(32)).astype(np.uint32)
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
-FILTER_PARTS = 16
-#: Bytes of a seed, and bytes before its end within which no other chunk may end.
-SEED, APART = 32, 3
-#: Bytes beside a seed that are compared at least; they always reach the neighbouring seeds.
-BESIDE = 128
 _INNER_BYTES = bytes(range(0x80, 0xC0))
+FILTER_PARTS = 16
+#: Bits of the filter table for each repeated chunk, and the least and greatest size as a power of 2.
+FILTER_SPACE, FILTER_LEAST, FILTER_MOST = 16, 16, 28
+#: Least bytes of a chunk, and bytes before its end within which no other chunk may end.
+LEAST, APART = 32, 3
+#: Bytes on each side of a chunk that are carried at most.
+BESIDE = 4096
 
 
 @dataclass(frozen=True)
 class Settings:
-    """boundary_bits: a chunk has 2 ** boundary_bits bytes on average; least_words: words that a
-    repeated passage begins at least; filter_bits: bits of the table by which seeds that occur
-    once are left out of the join (it holds any number, it then only filters less)."""
+    """chunk_bytes: bytes from one end of a chunk to the next, on average; least_words: words that
+    a repeated passage begins at least; filter_bits: bits (as a power of 2) of the table by which
+    chunks that occur once are left out of the join, by default as the number of repeated chunks
+    asks for. A smaller table only filters less."""
 
-    boundary_bits: int = 5
+    chunk_bytes: int = 24
     least_words: int = 20
-    filter_bits: int = 26
+    filter_bits: int | None = None
 
 
 def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -59,55 +63,89 @@ def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hashes
 
 
-def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
-    """Where chunks end: after bytes whose hash has no bit among its highest, and at text ends."""
-    cut = (gear_hashes(data, offsets) >> np.uint32(32 - bits)) == 0
+def chunk_ends(data: np.ndarray, offsets: np.ndarray, chunk_bytes: int) -> np.ndarray:
+    """Where chunks end: after bytes whose hash is small, between characters, and at text ends."""
+    cut = gear_hashes(data, offsets) < np.uint32((1 << 32) // chunk_bytes)
+    cut[:-1] &= _IS_LEAD[data[1:]]
     cut[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = True
     return np.flatnonzero(cut) + 1
 
 
-def _seeds(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """Ends of all seeds, the number of each one's text, and both halves of its digest.
+@dataclass
+class Chunks:
+    """Chunks of consecutive texts: byte starts and ends, the texts' numbers, digest halves.
+
+    `left` and `right` are how far the text beside them is carried.
+    """
+
+    starts: np.ndarray
+    ends: np.ndarray
+    text_of: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    h1: np.ndarray
+    h2: np.ndarray
+
 
-    Chunk ends close behind another one are none, so that a run of one byte has a single seed.
+def chunks(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Chunks:
+    """All chunks of the texts.
+
+    Ends close behind another one are none, so that a run of one byte is a single chunk. A chunk
+    of less than LEAST bytes begins that much before its end; one that its text has no room for
+    is left out.
     """
-    ends = chunk_ends(data, offsets, s.boundary_bits)
+    ends = chunk_ends(data, offsets, s.chunk_bytes)
     text_of = np.searchsorted(offsets, ends, side="left") - 1
     last = ends == offsets[text_of + 1]
     close = np.zeros(len(ends), bool)
     close[1:] = (np.diff(ends) <= APART) & (text_of[1:] == text_of[:-1]) & ~last[1:]
-    keep = ~close & (ends - offsets[text_of] >= SEED)
-    ends, text_of = ends[keep], text_of[keep]
+    ends, text_of = ends[~close], text_of[~close]
+    first, stop = offsets[text_of], offsets[text_of + 1]
+    before, far, after = first.copy(), first.copy(), stop.copy()
+    same = text_of[1:] == text_of[:-1]
+    before[1:][same] = ends[:-1][same]
+    far[1:] = np.where(same, before[:-1], far[1:])
+    after[:-1][same] = ends[1:][same]
+    starts = np.minimum(before, ends - LEAST)
+    keep = starts >= first
+    # In the first 32 bytes of a passage ends depend on what stands before it, so `far` may be one
+    # of these, and the passage begins up to that much before it.
+    far = np.maximum(first, far - LEAST - APART)
+    starts, ends, text_of, far, after = (x[keep] for x in (starts, ends, text_of, far, after))
+    for _ in range(3):  # a chunk begins with a character
+        starts = starts + ~_IS_LEAD[data[starts]] if len(starts) else starts
+    left = np.maximum(np.minimum(far, starts), starts - BESIDE)
+    right = np.minimum(after, ends + BESIDE)
     body = data.tobytes()
-    raw = b"".join([xxhash.xxh3_128_digest(body[e - SEED : e]) for e in ends.tolist()])
+    raw = b"".join([xxhash.xxh3_128_digest(body[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
     digests = np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, 2)
-    return ends, text_of, digests[:, 0].view(np.int64), digests[:, 1].view(np.int64)
+    return Chunks(starts, ends, text_of, left, right, digests[:, 0].view(np.int64), digests[:, 1].view(np.int64))
 
 
-def _surroundings(data: np.ndarray, offsets: np.ndarray, ends: np.ndarray, text_of: np.ndarray, keep: np.ndarray) -> dict[str, Any]:
-    """What stands around some of the seeds, and where in its text: `at` and `place` count bytes
-    (from the text's start to `around`, from there to the seed's end), `points` code points and
-    `words` words before `around`; the word in which it begins is one of these."""
-    first, end = offsets[text_of], offsets[text_of + 1]
-    same = text_of[1:] == text_of[:-1]
-    before, after = first.copy(), end.copy()
-    before[1:][same] = ends[:-1][same] - SEED - APART
-    after[:-1][same] = ends[1:][same]
-    left = np.maximum(first, np.minimum(before, ends - SEED - BESIDE))[keep]
-    right = np.minimum(end, np.maximum(after, ends + BESIDE))[keep]
+NUMBERS = ["at", "points", "end_points", "words", "end_words"]
+
+
+def _described(data: np.ndarray, offsets: np.ndarray, found: Chunks, keep: np.ndarray) -> dict[str, Any]:
+    """Of some chunks: `at`, the byte of their text at which they begin; code points and words that
+    begin before their start and end; whether a word goes on at their end (`inside`); the text
+    beside them; and whether `left` reaches the text's start (`whole`)."""
+    starts, ends, left, right = (x[keep] for x in (found.starts, found.ends, found.left, found.right))
+    first = offsets[found.text_of[keep]]
     begins = np.zeros(len(data), bool)
     begins[word_places(~IS_SPACE[data], offsets)[0]] = True
     points = np.concatenate([[0], np.cumsum(_IS_LEAD[data])])
     words = np.concatenate([[0], np.cumsum(begins)])
-    # Where a word goes on, splitting `around` finds its rest as a word that began before.
-    inside = (~IS_SPACE[data] & ~begins)[left] if len(left) else np.zeros(0, bool)
-    body, start = data.tobytes(), first[keep]
+    body = data.tobytes()
     return {
-        "at": left - start,
-        "place": ends[keep] - left,
-        "points": points[left] - points[start],
-        "words": words[left] - words[start] - inside,
-        "around": [body[a:b] for a, b in zip(left.tolist(), right.tolist(), strict=True)],
+        "at": starts - first,
+        "points": points[starts] - points[first],
+        "end_points": points[ends] - points[first],
+        "words": words[starts] - words[first],
+        "end_words": words[ends] - words[first],
+        "inside": ~IS_SPACE[data[ends - 1]] if len(ends) else np.zeros(0, bool),
+        "whole": left == first,
+        "left": [body[a:b] for a, b in zip(left.tolist(), starts.tolist(), strict=True)],
+        "right": [body[a:b] for a, b in zip(ends.tolist(), right.tolist(), strict=True)],
     }
 
 
@@ -117,37 +155,53 @@ def _alike(a: bytes, b: bytes, order: str) -> int:
     return len(a) - (differ.bit_length() + 7) // 8
 
 
-def extended(around: bytes, place: int, source: bytes, source_place: int) -> tuple[int, int]:
-    """Start and end in `around` of what it shares with `source` if both places are aligned.
+def _word_count(text: bytes, goes_on: bool) -> int:
+    """Words that begin in `text`; `goes_on` if a word that began before may reach into it."""
+    return len(text.split()) - (goes_on and not text[:1].isspace() and text != b"")
+
+
+def reach_left(left: bytes, source_left: bytes, whole: bool) -> tuple[int, int]:
+    """Code points and words of the end of `left` that `source_left` ends with too.
 
-    No character is cut.
+    No character is cut. Unless `left` is all there is before (`whole`), its first byte only tells
+    whether a word goes on behind it.
     """
-    n = min(place, source_place)
-    start = place - _alike(around[place - n : place], source[source_place - n : source_place], "little")
-    n = min(len(around) - place, len(source) - source_place)
-    end = place + _alike(around[place : place + n], source[source_place : source_place + n], "big")
-    while start < place and around[start] & 0xC0 == 0x80:
-        start += 1
-    while end < len(around) and around[end] & 0xC0 == 0x80:
-        end -= 1
-    return start, max(start, end)
+    n = min(len(left), len(source_left))
+    n = _alike(left[len(left) - n :], source_left[len(source_left) - n :], "little")
+    n = min(n, len(left) if whole else max(0, len(left) - 1))
+    while n and left[len(left) - n] & 0xC0 == 0x80:
+        n -= 1
+    if not n:
+        return 0, 0
+    tail, ahead = left[len(left) - n :], left[: len(left) - n]
+    return len(tail.translate(None, _INNER_BYTES)), _word_count(tail, bool(ahead) and not ahead[-1:].isspace())
+
+
+def reach_right(right: bytes, source_right: bytes, inside: bool) -> tuple[int, int]:
+    """Code points and words of the start of `right` that `source_right` starts with too."""
+    n = min(len(right), len(source_right))
+    n = _alike(right[:n], source_right[:n], "big")
+    while n and n < len(right) and right[n] & 0xC0 == 0x80:
+        n -= 1
+    head = right[:n]
+    return len(head.translate(None, _INNER_BYTES)), _word_count(head, inside)
 
 
 def _repeated(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Digests (h1, h2) of seeds that several ids have, and the least of these (first_id)."""
+    """Digests (h1, h2) of chunks that several ids have, and the least of these (first_id)."""
     id_type = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                _, text_of, h1, h2 = _seeds(*utf8(part.column(text)), s)
-                ids = part.column(doc_id).take(pa.array(text_of))
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), ids], ["h1", "h2", "id"])
+                found = chunks(*utf8(part.column(text)), s)
+                ids = part.column(doc_id).take(pa.array(found.text_of))
+                yield pa.RecordBatch.from_arrays([pa.array(found.h1), pa.array(found.h2), ids], ["h1", "h2", "id"])
 
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", id_type)])
-    seeds = docs.select(doc_id, text).mapInArrow(run, schema)
-    # One row for each digest and task reaches the shuffle, so a seed of a third of all texts is light.
-    ranges = seeds.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    every = docs.select(doc_id, text).mapInArrow(run, schema)
+    # One row for each digest and task reaches the shuffle, so a chunk of a third of all texts is light.
+    ranges = every.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     return ranges.where("first_id < last_id").drop("last_id")
 
 
@@ -155,14 +209,14 @@ def _slot(h1: np.ndarray, bits: int) -> np.ndarray:
     return (mix(h1.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _filter_table(repeated: DataFrame, s: Settings) -> np.ndarray:
-    """A bit for each hash slot that a repeated digest has; 2 ** filter_bits bits in all."""
-    size = 1 << s.filter_bits
+def _filter_table(repeated: DataFrame, width_bits: int) -> np.ndarray:
+    """A bit for each hash slot that a repeated digest has; 2 ** width_bits bits in all."""
+    size = 1 << width_bits
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_slot(batch.column(0).to_numpy(), s.filter_bits)] = True
+            bits[_slot(batch.column(0).to_numpy(), width_bits)] = True
         packed = np.split(np.packbits(bits), FILTER_PARTS)
         rows = [(n, p.tobytes()) for n, p in enumerate(packed) if p.any()]
         yield pa.RecordBatch.from_arrays(
@@ -193,19 +247,18 @@ def repeated_passages(
     """Passages that an earlier document has too: a row for each stretch of repeated text.
 
     Columns: `doc_id`, `start` and `end` (code points, end exclusive), `n_words`, and
-    `source_ids`, sorted: of the least ids of texts that have the stretch's seeds, those that
+    `source_ids`, sorted: of the least ids of texts that have the stretch's chunks, those that
     account for `least_words` of its words, or for the most; a word that several of these have
-    counts for the smallest. Seeds are equal if their 128-bit
-    digests are. A seed counts as repeated in all documents that have it but the one of least
-    id, and only if documents of different ids have it. From there the text is compared byte by
-    byte with that document's (where it has the seed more than once: at its first place), to
-    both sides over `BESIDE` bytes and at least to the next seed, which is compared in its turn.
-    What is equal, joined where it overlaps or touches, is a row if `least_words` words begin in
-    it. So a passage is reported to its true ends; one in which no chunk ends from its 35th
-    byte on has no seed and isn't found, and the ends can fall short where the only seeds near
-    them belong to other documents of smaller ids.
-
-    Null and empty texts, and those of less than 32 bytes, have no seeds; rows without an id are
+    counts for the smallest. Chunks are equal if their 128-bit digests are. A chunk counts as
+    repeated in all documents that have it but the one of least id, and only if documents of
+    different ids have it. On both sides of it the text is compared byte by byte with that
+    document's (where it has the chunk more than once: at its first place), to the far ends of
+    both texts' neighbouring chunks and over `BESIDE` bytes at most. What is equal, joined where
+    it overlaps or touches, is a row if `least_words` words begin in it. So a passage is
+    reported to its true ends; one that holds no whole chunk isn't found, and the ends can fall
+    short where the only chunks near them belong to other documents of smaller ids.
+
+    Null and empty texts, and those of less than 32 bytes, have no chunks; rows without an id are
     left out, as they can neither be named nor kept; rows that repeat an id are one document
     here, and their stretches are those of each row. Other columns of `docs` play no part.
     """
@@ -215,51 +268,56 @@ def repeated_passages(
     usable = docs.where(F.col(doc_id).isNotNull()).select(doc_id, text)
     small_batches(docs.sparkSession)
     repeated = store(_repeated(usable, doc_id, text, s))
-    table = usable.sparkSession.sparkContext.broadcast(_filter_table(repeated, s))
-    numbers = ["at", "place", "points", "words"]
+    width = s.filter_bits or min(FILTER_MOST, max(FILTER_LEAST, (FILTER_SPACE * repeated.count()).bit_length()))
+    table = usable.sparkSession.sparkContext.broadcast(_filter_table(repeated, width))
+    flags, sides = ["inside", "whole"], ["left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = utf8(part.column(text))
-                ends, text_of, h1, h2 = _seeds(data, offsets, s)
-                slot = _slot(h1, s.filter_bits)
+                found = chunks(data, offsets, s)
+                slot = _slot(found.h1, width)
                 keep = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
-                found = _surroundings(data, offsets, ends, text_of, keep)
-                ids = part.column(doc_id).cast(arrow_id).take(pa.array(text_of[keep]))
+                columns = _described(data, offsets, found, keep)
+                text_of = found.text_of[keep]
+                ids = part.column(doc_id).cast(arrow_id).take(pa.array(text_of))
                 digest = [xxhash.xxh3_64_intdigest((v.as_py() or "").encode()) >> 1 for v in part.column(text)]
-                which = np.array(digest, np.int64)[text_of[keep]]
+                which = np.array(digest, np.int64)[text_of]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, *(pa.array(x) for x in (which, h1[keep], h2[keep])), *(pa.array(found[c].astype(np.int64)) for c in numbers), pa.array(found["around"], pa.binary())],
-                    ["id", "row", "h1", "h2", *numbers, "around"],
+                    [ids, *(pa.array(x) for x in (which, found.h1[keep], found.h2[keep]))]
+                    + [pa.array(columns[c].astype(np.int32)) for c in NUMBERS]
+                    + [pa.array(columns[c]) for c in flags]
+                    + [pa.array(columns[c], pa.binary()) for c in sides],
+                    ["id", "row", "h1", "h2", *NUMBERS, *flags, *sides],
                 )
 
-    longs = [T.StructField(c, T.LongType()) for c in ("row", "h1", "h2", *numbers)]
-    schema = T.StructType([T.StructField("id", id_type), *longs, T.StructField("around", T.BinaryType())])
+    longs = [T.StructField(c, T.LongType()) for c in ("row", "h1", "h2")]
+    kinds = [T.StructField(c, T.IntegerType()) for c in NUMBERS] + [T.StructField(c, T.BooleanType()) for c in flags]
+    kinds += [T.StructField(c, T.BinaryType()) for c in sides]
+    schema = T.StructType([T.StructField("id", id_type), *longs, *kinds])
     matched = store(usable.mapInArrow(run, schema).join(repeated, ["h1", "h2"]))
     sources = (
         matched.where("id = first_id")
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("row", "at", "place", "around")).alias("source"))
-        .select("h1", "h2", F.col("source.place").alias("source_place"), F.col("source.around").alias("source_around"))
+        .agg(F.min(F.struct("row", "at", "left", "right")).alias("source"))
+        .select("h1", "h2", F.col("source.left").alias("source_left"), F.col("source.right").alias("source_right"))
     )
     pairs = matched.where("first_id < id").join(sources, ["h1", "h2"])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            columns = (batch.column(c).to_pylist() for c in ("around", "place", "source_around", "source_place", "points", "words"))
-            for around, place, source, source_place, points, words in zip(*columns, strict=True):
-                start, end = extended(around, place, source, source_place)
-                ends = []
-                for to in (start, end):
-                    # A word that starts at `to` is not before it; one that goes on there is.
-                    ends += [points + len(around[:to].translate(None, _INNER_BYTES)), words + len(around[:to].split())]
-                out.append(ends)
-            found = np.array(out, np.int64).reshape(-1, 4).T
+            sided = (batch.column(c).to_pylist() for c in ("left", "source_left", "whole", "right", "source_right", "inside"))
+            out = [
+                [*reach_left(left, source_left, whole), *reach_right(right, source_right, inside)]
+                for left, source_left, whole, right, source_right, inside in zip(*sided, strict=True)
+            ]
+            more = np.array(out, np.int64).reshape(-1, 4).T
+            points, end_points, words, end_words = (batch.column(c).to_numpy().astype(np.int64) for c in NUMBERS[1:])
+            found = (points - more[0], end_points + more[2], words - more[1], end_words + more[3])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("row"), batch.column("first_id"), *(pa.array(found[i]) for i in (0, 2, 1, 3))],
+                [batch.column("id"), batch.column("row"), batch.column("first_id"), *(pa.array(x) for x in found)],
                 ["id", "row", "first_id", "start", "end", "before", "up_to"],
             )
 

@@ -1,22 +1,23 @@
 from __future__ import annotations
 
+import difflib
 import random
 
 import numpy as np
 
-from pricetide.llm.substring_dedup import Settings, chunk_ends, extended, repeated_passages
+from pricetide.llm.substring_dedup import Settings, chunk_ends, reach_left, reach_right, repeated_passages
 from tests.llm.helpers import awkward_texts, documents, sentence
 
 
 def test_boundaries_do_not_move_with_what_stands_before():
     rng = np.random.default_rng(3)
     passage = rng.integers(97, 123, 4000).astype(np.uint8)
-    alone = chunk_ends(passage, np.array([0, 4000]), 5)
+    alone = chunk_ends(passage, np.array([0, 4000]), 24)
     for shift in (1, 7, 500):
         text = np.concatenate([rng.integers(97, 123, shift).astype(np.uint8), passage])
-        ends = chunk_ends(text, np.array([0, len(text)]), 5) - shift
+        ends = chunk_ends(text, np.array([0, len(text)]), 24) - shift
         assert set(alone[alone > 32]) <= set(ends) and set(ends[ends > 32]) == set(alone[alone > 32])
-    both = chunk_ends(np.concatenate([passage, passage]), np.array([0, 4000, 8000]), 5)
+    both = chunk_ends(np.concatenate([passage, passage]), np.array([0, 4000, 8000]), 24)
     assert both.tolist() == [*alone, *(alone + 4000)]
 
 
@@ -75,11 +76,45 @@ def test_short_passages_are_found_to_their_ends(spark):
 
 
 def test_extension_cuts_no_character():
-    a, b = "xé middle è".encode(), "yè middle é".encode()
-    at = a.index(b"dd")
-    start, end = extended(a, at, b, at)
-    assert a[start:end].decode() == " middle "
-    assert extended(b"abc", 2, b"bc", 1) == (1, 3) and extended(b"ab", 1, b"xy", 1) == (1, 1)
+    e, yes = "xé mid".encode(), "yè mid".encode()
+    # The second bytes of é and è differ, the first are the same.
+    assert reach_left(e, yes, True) == (4, 1) and reach_left("é mid".encode(), "é mid".encode(), True) == (5, 2)
+    assert reach_left(b"abc de", b"abc de", False) == (5, 1)
+    assert reach_right("d é".encode(), "d è".encode(), True) == (2, 0)
+    assert reach_right(b"d e", b"d e", True) == (3, 1) and reach_right(b"d e", b"d e", False) == (3, 2)
+    assert reach_left(b"", b"x", True) == reach_right(b"x", b"", False) == (0, 0)
+
+
+def brute_passages(texts: list[str], least: int) -> dict[int, set[tuple[int, int]]]:
+    """All maximal stretches of each text that an earlier one has, of `least` words or more, joined."""
+    out = {}
+    for n, text in enumerate(texts):
+        covered = np.zeros(len(text), bool)
+        for source in texts[:n]:
+            for m in difflib.SequenceMatcher(None, text, source, autojunk=False).get_matching_blocks():
+                if len(text[m.a : m.a + m.size].split()) >= least:
+                    covered[m.a : m.a + m.size] = True
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], covered, [0]])))
+        out[n] = set(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+    return {n: found for n, found in out.items() if found}
+
+
+def test_equal_to_comparing_all_texts(spark):
+    rng = random.Random(5)
+    passages = [sentence(rng, rng.randint(40, 90)) for _ in range(6)]
+    texts = []
+    for n in range(14):
+        # A letter stands around the passages, another for each text, so that no end is ambiguous.
+        mark = f" {chr(65 + n)} "
+        parts = [sentence(rng, 25)]
+        for passage in rng.sample(passages, 2):
+            parts += [passage, sentence(rng, 25)]
+        texts.append(mark.join(parts))
+    want = brute_passages(texts, 30)
+    got: dict[int, set[tuple[int, int]]] = {}
+    for r in repeated_passages(documents(spark, texts), settings=Settings(least_words=30)).collect():
+        got.setdefault(r["doc_id"], set()).add((r["start"], r["end"]))
+    assert len(want) >= 8 and got == want
 
 
 def test_runs_of_one_byte_and_periods(spark):
