@@ -157,7 +157,7 @@ def window_hashes(words: np.ndarray, width: int, seed: int = 11) -> np.ndarray:
 HOT_KEYS = 10_000
 
 
-def attach(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+def attach(rows: DataFrame, found: DataFrame, *key: str) -> DataFrame:
     """`rows` left-joined to `found`: one row a key, and in `copies` how many rows hold that key.
 
     Keys of many rows go by a broadcast of fewer than HOT_KEYS rows, so they are not gathered in a
@@ -166,8 +166,9 @@ def attach(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     total = rows.count()
     often = F.broadcast(found.where(F.col("copies") * HOT_KEYS > total).drop("copies"))
     seldom = found.where(F.col("copies") * HOT_KEYS <= total).drop("copies")
-    rest = rows.join(often.select(key), key, "left_anti").join(seldom, key, "left")
-    return rows.join(often, key).unionByName(rest)
+    names = list(key)
+    rest = rows.join(often.select(*names), names, "left_anti").join(seldom, names, "left")
+    return rows.join(often, names).unionByName(rest)
 
 
 def small_batches(spark: SparkSession) -> None:

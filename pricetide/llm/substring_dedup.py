@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import IS_SPACE, mix, odd_constants, slices, small_batches, store, utf8, word_places
+from pricetide.llm.common import IS_SPACE, attach, mix, odd_constants, slices, small_batches, store, utf8, word_places
 
 _GEAR = (odd_constants(256, 29) >> np.uint64(32)).astype(np.uint32)
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
@@ -188,7 +188,7 @@ def reach_right(right: bytes, source_right: bytes, inside: bool) -> tuple[int, i
 
 
 def _repeated(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame:
-    """Digests (h1, h2) of chunks that several ids have, and the least of these (first_id)."""
+    """Digests (h1, h2) of chunks that several ids have, the least of these (first_id), and how often they occur (copies)."""
     id_type = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,9 @@ def _repeated(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFrame
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", id_type)])
     every = docs.select(doc_id, text).mapInArrow(run, schema)
     # One row for each digest and task reaches the shuffle, so a chunk of a third of all texts is light.
-    ranges = every.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    ranges = every.groupBy("h1", "h2").agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("copies")
+    )
     return ranges.where("first_id < last_id").drop("last_id")
 
 
@@ -301,10 +303,10 @@ def repeated_passages(
     sources = (
         matched.where("id = first_id")
         .groupBy("h1", "h2")
-        .agg(F.min(F.struct("row", "at", "left", "right")).alias("source"))
-        .select("h1", "h2", F.col("source.left").alias("source_left"), F.col("source.right").alias("source_right"))
+        .agg(F.min(F.struct("row", "at", "left", "right")).alias("source"), F.max("copies").alias("copies"))
+        .select("h1", "h2", F.col("source.left").alias("source_left"), F.col("source.right").alias("source_right"), "copies")
     )
-    pairs = matched.where("first_id < id").join(sources, ["h1", "h2"])
+    pairs = attach(matched.where("first_id < id").drop("copies"), store(sources), "h1", "h2")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
