@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from pricetide.llm.common import IS_SPACE, attach, mix, odd_constants, slices, small_batches, store, utf8, word_places
+from pricetide.llm.common import HOT_KEYS, IS_SPACE, mix, odd_constants, slices, small_batches, store, utf8, word_places
 
 _GEAR = (odd_constants(256, 29) >> np.uint64(32)).astype(np.uint32)
 _IS_LEAD = (np.arange(256) & 0xC0) != 0x80
@@ -243,6 +243,25 @@ def _filter_table(repeated: DataFrame, width_bits: int) -> np.ndarray:
     return table
 
 
+def _with_sources(matched: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The later documents' chunks with the text beside the same chunk in its source.
+
+    Chunks that make up more than 1 / HOT_KEYS of the rows are joined by a broadcast of fewer than
+    HOT_KEYS sources, so that none of them is gathered in a task.
+    """
+    key = ["h1", "h2"]
+
+    def sources(rows: DataFrame) -> DataFrame:
+        best = rows.where("id = first_id").groupBy(*key).agg(F.min(F.struct("row", "at", "left", "right")).alias("source"))
+        return best.select(*key, F.col("source.left").alias("source_left"), F.col("source.right").alias("source_right"))
+
+    hot = F.broadcast(repeated.where(F.col("copies") * HOT_KEYS > matched.count()).select(*key))
+    later = matched.where("first_id < id")
+    often = later.join(F.broadcast(sources(matched.join(hot, key, "left_semi"))), key)
+    seldom = later.join(hot, key, "left_anti").join(sources(matched.join(hot, key, "left_anti")), key)
+    return often.unionByName(seldom)
+
+
 def repeated_passages(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", settings: Settings | None = None
 ) -> DataFrame:
@@ -299,14 +318,8 @@ def repeated_passages(
     kinds = [T.StructField(c, T.IntegerType()) for c in NUMBERS] + [T.StructField(c, T.BooleanType()) for c in flags]
     kinds += [T.StructField(c, T.BinaryType()) for c in sides]
     schema = T.StructType([T.StructField("id", id_type), *longs, *kinds])
-    matched = store(usable.mapInArrow(run, schema).join(repeated, ["h1", "h2"]))
-    sources = (
-        matched.where("id = first_id")
-        .groupBy("h1", "h2")
-        .agg(F.min(F.struct("row", "at", "left", "right")).alias("source"), F.max("copies").alias("copies"))
-        .select("h1", "h2", F.col("source.left").alias("source_left"), F.col("source.right").alias("source_right"), "copies")
-    )
-    pairs = attach(matched.where("first_id < id").drop("copies"), store(sources), "h1", "h2")
+    matched = store(usable.mapInArrow(run, schema).join(repeated.drop("copies"), ["h1", "h2"]))
+    pairs = _with_sources(matched, repeated)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
