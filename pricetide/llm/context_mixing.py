@@ -4,15 +4,19 @@ The training texts' counts are gathered in one pass. Word counts are not put int
 each task sends the words of its texts, with the texts they occur in, to shards by hash; a
 shard adds up a word's count over the corpus and returns each text's share of the sum. Bit
 counts of byte contexts go into hashed tables of a fixed size, which each task sums for its
-texts and which are then added up part by part. Mixing weights and the refinement of the mixed
-probability are learnt from all training texts, each left out of the counts that predict it:
-in each round every task learns online from its texts, and what the tasks have learnt is
-averaged by the bits it was learnt from. A last pass scores all texts with the fixed model.
+texts and which are then added up part by part. The tables are kept for two sides of the
+corpus, told apart by a hash of the text, and for both together.
+
+Mixing weights and the refinement of the mixed probability are learnt online, in steps over
+parts of the training texts that double in size. A step predicts the texts of its part, each by
+the counts of the other side, so no text or copy of it predicts itself; then it moves towards
+their bits. Every training text is learnt from once. Parts and sides follow from the texts, and
+a step's sums don't depend on their order, so the dealing of rows to tasks changes nothing. A
+last pass scores all texts by the counts of both sides.
 """
 
 from __future__ import annotations
 
-import copy
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,21 +44,22 @@ GRAM_BLOCK = 1 << 16
 DELTA = 0.05
 #: Gates tell apart counts of 1, 2 to 3, and more of the highest order that has seen the context.
 LEVELS = 3
-#: Entries of a gate's refinement; parts of a bit, and of one, in which tasks' sums are added up.
+#: Entries of a gate's refinement.
 STEPS = 33
-HEFT_PARTS, VALUE_PARTS = 1 << 8, 1 << 16
+#: Predictions are kept as whole numbers, in so many parts of 1, up to 15 either way.
+STRETCH_PARTS, MOST = 2048, 15.0
+#: Sums of a task are sent in so many parts of 1; what is learnt is kept in so many.
+SUM_PARTS, VALUE_PARTS = 1 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
 class Settings:
     """table_bits: size of the hashed table of each order (of 1, 2, ... bytes of context);
-    sample: without effect, as the mixer learns from all training texts; rounds and rate: of its
-    learning; shard_bytes: bytes of text whose words one shard gets."""
+    doublings: steps of learning, beyond the first, over parts of the training texts that double;
+    shard_bytes: bytes of text whose words one shard gets."""
 
     table_bits: tuple[int, ...] = (16, 20, 21, 22, 22)
-    sample: int = 300
-    rounds: int = 2
-    rate: float = 0.3
+    doublings: int = 4
     shard_bytes: int = 16_000_000
 
     @property
@@ -90,165 +95,206 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray, orders: int) -> tuple[np.n
     return grams[inside], np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
-_BITS = np.arange(8, dtype=np.uint64)
+_BITS = np.arange(8)
+_BYTE = np.arange(256)[:, None]
+_BIT_ROWS = ((_BYTE >> (7 - _BITS)) & 1).astype(np.int8)
+#: For each byte, the eight places in the binary tree of its context where a bit is predicted.
+_NODE_ROWS = ((1 << _BITS) | (_BYTE >> (8 - _BITS))).astype(np.uint32)
 
 
 def bits_of(grams: np.ndarray) -> np.ndarray:
     """The bits of each gram's last byte, the highest first."""
-    return ((grams[:, None] >> (np.uint64(7) - _BITS)) & np.uint64(1)).astype(np.int8)
+    return _BIT_ROWS[(grams & np.uint64(0xFF)).astype(np.uint8)]
 
 
 def slots(grams: np.ndarray, order: int, bits: int) -> np.ndarray:
     """Table slots of the 8 bit predictions of each gram of `order` + 1 bytes."""
-    byte = grams & np.uint64(0xFF)
-    node = (np.uint64(1) << _BITS) | (byte[:, None] >> (np.uint64(8) - _BITS))
+    byte = (grams & np.uint64(0xFF)).astype(np.uint8)
     context = grams >> np.uint64(8)
     if order == 1:
-        return ((context[:, None] << np.uint64(8)) | node).astype(np.int64)
-    return (mix(mix(context + np.uint64(order << 56))[:, None] + node) >> np.uint64(64 - bits)).astype(np.int64)
+        return (context.astype(np.uint32) << np.uint32(8))[:, None] | _NODE_ROWS[byte]
+    # An odd factor keeps the places of one context apart.
+    spread = (_NODE_ROWS * np.uint32(0x9E3779B1)) & np.uint32((1 << bits) - 1)
+    first = (mix(context + np.uint64(order << 56)) >> np.uint64(64 - bits)).astype(np.uint32)
+    return first[:, None] ^ spread[byte]
 
 
-def by_order(grams: np.ndarray, orders: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each order from the highest: its distinct grams, and which of them each given gram has."""
-    codes, distinct = np.arange(len(grams)), grams
-    for order in range(orders, 0, -1):
-        if order < orders:
-            shorter = distinct & np.uint64((1 << (8 * (order + 1))) - 1)
-            found, distinct = pd.factorize(shorter)
-            codes = found[codes]
-        yield order, distinct, codes
+def distinct_grams(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, those with the same last bytes together, and how often each occurs."""
+    turned = np.sort(grams.byteswap())
+    first = np.flatnonzero(np.concatenate([[True], turned[1:] != turned[:-1]])[: len(turned)])
+    return turned[first].byteswap(), np.diff(np.append(first, len(turned)))
 
 
-def gram_blocks(grams: np.ndarray) -> Iterator[np.ndarray]:
-    """Places of at most GRAM_BLOCK grams each; grams with the same last bytes are together.
+def by_order(grams: np.ndarray, orders: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each order from the highest: its distinct grams, and which of them each given gram has.
 
-    So a block has few distinct grams of the lower orders.
+    Grams with the same last bytes have to be together.
     """
-    by = np.argsort(grams.byteswap())
-    for first in range(0, len(by), GRAM_BLOCK):
-        yield by[first : first + GRAM_BLOCK]
+    for order in range(orders, 0, -1):
+        shorter = grams & np.uint64((1 << (8 * (order + 1))) - 1)
+        new = np.concatenate([[True], shorter[1:] != shorter[:-1]])
+        yield order, shorter[new], np.cumsum(new) - 1
+
 
+def blocks(n: int) -> Iterator[slice]:
+    for first in range(0, n, GRAM_BLOCK):
+        yield slice(first, first + GRAM_BLOCK)
 
-def add_counts(tables: np.ndarray, grams: np.ndarray, counts: np.ndarray, s: Settings) -> None:
-    """Add the bits of distinct grams to the counts (slot, bit) of all orders."""
-    for block in gram_blocks(grams):
+
+def add_counts(tables: np.ndarray, grams: np.ndarray, counts: np.ndarray, side: int, s: Settings) -> None:
+    """Add the bits of distinct grams to the counts (slot, side, bit) of all orders."""
+    flat = tables.reshape(-1)
+    for block in blocks(len(grams)):
         for order, distinct, codes in by_order(grams[block], s.orders):
             weight = np.bincount(codes, counts[block], len(distinct)).astype(tables.dtype)
-            at = slots(distinct, order, s.table_bits[order - 1]) + s.starts[order - 1]
-            np.add.at(tables.reshape(-1), 2 * at + bits_of(distinct), np.broadcast_to(weight[:, None], at.shape))
+            at = slots(distinct, order, s.table_bits[order - 1]).astype(np.int64) + s.starts[order - 1]
+            np.add.at(flat, 4 * at + 2 * side + bits_of(distinct), np.broadcast_to(weight[:, None], at.shape))
 
 
 @dataclass
-class Model:
-    """Counts of all tables as (share of ones, how many), gated weights and the refinement."""
+class Table:
+    """What each slot predicts, in STRETCH_PARTS, and its counts' level: 0 if it was never seen."""
+
+    stretched: np.ndarray  # int16
+    level: np.ndarray  # uint8
+
+    @staticmethod
+    def of(zeros: np.ndarray, ones: np.ndarray) -> Table:
+        value = np.clip(np.log((ones + DELTA) / (zeros + DELTA)), -MOST, MOST)
+        n = zeros + ones
+        level = (n > 0).astype(np.uint8) + (n > 1) + (n > 3)
+        return Table(np.rint(value * STRETCH_PARTS).astype(np.int16), level)
+
+
+@dataclass
+class Sums:
+    """Sums over predicted bits, by gate: slopes, curvature, and weight and ones by refinement entry."""
+
+    slope: np.ndarray
+    curve: np.ndarray
+    cells: np.ndarray
+    ones: np.ndarray
+
+    @staticmethod
+    def nought(s: Settings) -> Sums:
+        gates = 8 * (s.orders * LEVELS + 1)
+        shapes = ((gates, s.orders), (gates, s.orders, s.orders), (gates, STEPS), (gates, STEPS))
+        return Sums(*(np.zeros(x) for x in shapes))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in (self.slope, self.curve, self.cells, self.ones)])
+
+    def fill(self, flat: np.ndarray) -> Sums:
+        at = 0
+        for x in (self.slope, self.curve, self.cells, self.ones):
+            x.reshape(-1)[:] = flat[at : at + x.size]
+            at += x.size
+        return self
+
+
+@dataclass
+class Mixer:
+    """Gated weights, the refinement of what they give, and the curvature seen so far."""
 
     settings: Settings
-    ones: np.ndarray  # uint16: share of ones, in 65535ths
-    seen: np.ndarray  # uint8: count, at most 255
     weights: np.ndarray = field(init=False)
     refined: np.ndarray = field(init=False)
+    curve: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        gates = 8 * (self.settings.orders + 1) * LEVELS
-        self.weights = np.full((gates, self.settings.orders), 0.4)
+        s = self.settings
+        gates = 8 * (s.orders * LEVELS + 1)
+        self.weights = np.full((gates, s.orders), 0.4)
         self.refined = np.tile(sigmoid(np.linspace(-8, 8, STEPS)), (gates, 1))
+        self.curve = np.tile(20 * np.eye(s.orders), (gates, 1, 1))
 
-    def inputs(
-        self, grams: np.ndarray, own: np.ndarray | None = None, tables: np.ndarray | None = None
-    ) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, grams: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (order, gram, bit), and the gate of each (gram, bit).
 
-        `own` are counts of the grams to be taken off, of the text that is predicted; if these
-        are not all grams of the text, `tables` has the text's counts (slot, bit) of all orders.
         The gate is the bit's place, the highest order that has seen its context, and how often
         it has.
         """
         s = self.settings
-        out = np.zeros((s.orders, len(grams), 8), np.float32)
-        known = np.zeros((len(grams), 8), np.int64)
+        out = np.empty((s.orders, len(grams), 8), np.float32)
+        known = np.zeros((len(grams), 8), np.uint8)
         for order, distinct, codes in by_order(grams, s.orders):
-            at = slots(distinct, order, s.table_bits[order - 1])
-            where = at + s.starts[order - 1]
-            n = self.seen[where].astype(np.float32)
-            ones = self.ones[where].astype(np.float32) / 65535 * n
-            if own is not None:
-                if tables is not None:
-                    mine, mine_ones = tables[where].sum(-1), tables[where, 1]
-                else:
-                    weight = np.bincount(codes, own, len(distinct))
-                    same = pd.factorize(at.ravel())[0].reshape(at.shape)
-                    each = np.broadcast_to(weight[:, None], at.shape)
-                    mine = np.bincount(same.ravel(), each.ravel())[same]
-                    mine_ones = np.bincount(same.ravel(), (each * bits_of(distinct)).ravel())[same]
-                full = n >= 255  # the rest of such a count is more than the text's own
-                n = np.where(full, n, np.maximum(0, n - mine)).astype(np.float32)
-                ones = np.where(full, ones, np.clip(ones - mine_ones, 0, n)).astype(np.float32)
-            stretched = np.log((ones + DELTA) / (n - ones + DELTA))
-            level = (n > 1.5).astype(np.int64) + (n > 3.5)
-            known = np.maximum(known, np.where(n > 0.5, order * LEVELS + level, 0)[codes])
-            out[order - 1] = stretched[codes]
-        return out, known * 8 + np.arange(8)
+            where = slots(distinct, order, s.table_bits[order - 1]).astype(np.int64) + s.starts[order - 1]
+            out[order - 1] = (table.stretched[where] * np.float32(1 / STRETCH_PARTS))[codes]
+            level = table.level[where]
+            code = np.where(level > 0, level + np.uint8((order - 1) * LEVELS), np.uint8(0))
+            np.maximum(known, code[codes], out=known)
+        return out, known.astype(np.int16) * np.int16(8) + np.arange(8, dtype=np.int16)
 
     def mixed(self, inputs: np.ndarray, gates: np.ndarray) -> np.ndarray:
         total = np.zeros(gates.shape, np.float32)
         for order in range(self.settings.orders):
             total += self.weights[:, order].astype(np.float32)[gates] * inputs[order]
-        return np.clip(total, -7.9, 7.9)
-
-    def refine(self, mixed: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The final probability of a one, and the place between two entries of the refinement."""
-        place = (mixed + 8) * 2
-        low = place.astype(np.int64)
-        part = place - low
-        mapped = self.refined[gates, low] * (1 - part) + self.refined[gates, low + 1] * part
-        final = np.clip((sigmoid(mixed) + mapped) / 2, 1 / 4096, 1 - 1 / 4096)
-        return final, low, part
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte after the bytes before it."""
+        return np.clip(total, np.float32(-7.9), np.float32(7.9))
+
+    def refine(self, mixed: np.ndarray, gates: np.ndarray) -> np.ndarray:
+        """The final probability of a one: half the mixed one, half its refinement."""
+        low, part = places(mixed)
+        cell = gates.astype(np.int32) * STEPS + low
+        flat = self.refined.astype(np.float32).ravel()
+        mapped = flat[cell] * (1 - part) + flat[cell + 1] * part
+        return np.clip((squashed(mixed) + mapped) * np.float32(0.5), np.float32(1 / 4096), np.float32(1 - 1 / 4096))
+
+    def log10(self, grams: np.ndarray, table: Table) -> np.ndarray:
+        """log10 of the probability of each distinct gram's last byte after the bytes before it."""
         out = np.zeros(len(grams))
-        for block in gram_blocks(grams):
-            inputs, gates = self.inputs(grams[block])
-            final, _, _ = self.refine(self.mixed(inputs, gates), gates)
-            out[block] = np.log10(np.where(bits_of(grams[block]) == 1, final, 1 - final)).sum(1)
+        for block in blocks(len(grams)):
+            inputs, gates = self.inputs(grams[block], table)
+            final = self.refine(self.mixed(inputs, gates), gates).astype(np.float64)
+            out[block] = np.log10(np.where(bits_of(grams[block]) == 1, final, 1 - final).prod(1))
         return out
 
-    def learn(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One online step: predict a text without its own counts, then move towards its bits.
-
-        Returns the bits that each gate, and each entry of its refinement, has learnt from.
-        """
+    def gather(self, sums: Sums, grams: np.ndarray, counts: np.ndarray, table: Table) -> None:
+        """Predict distinct grams and add to `sums` what there is to learn from their bits."""
         s = self.settings
-        grams, _ = byte_grams(text, np.array([0, len(text)]), s.orders)
-        codes, distinct = pd.factorize(grams)
-        counts = np.bincount(codes).astype(float)
-        tables = None
-        if len(distinct) > GRAM_BLOCK:
-            tables = np.zeros((s.starts[-1], 2), np.int32)
-            add_counts(tables, distinct, counts, s)
-        size = len(self.weights)
-        steps, hefts = np.zeros((size, s.orders)), np.zeros(size)
-        cells, cell_ones = np.zeros((size, STEPS)), np.zeros((size, STEPS))
-        for block in gram_blocks(distinct):
-            inputs, gates = self.inputs(distinct[block], counts[block], tables)
+        for block in blocks(len(grams)):
+            inputs, gates = self.inputs(grams[block], table)
             mixed = self.mixed(inputs, gates)
-            bits = bits_of(distinct[block])
-            _, low, part = self.refine(mixed, gates)
-            miss = (bits - sigmoid(mixed)) * counts[block, None]
-            flat = gates.ravel()
-            weight = np.broadcast_to(counts[block, None], gates.shape).ravel()
-            hefts += np.bincount(flat, weight, size)
-            for order in range(s.orders):
-                steps[:, order] += np.bincount(flat, (miss * inputs[order]).ravel(), size)
-            for side, share in ((low, 1 - part), (low + 1, part)):
-                cell = flat * STEPS + side.ravel()
-                heft = weight * share.ravel()
-                cells += np.bincount(cell, heft, size * STEPS).reshape(size, STEPS)
-                cell_ones += np.bincount(cell, heft * bits.ravel(), size * STEPS).reshape(size, STEPS)
-        self.weights += s.rate * steps / (hefts + 50)[:, None]
-        target = np.divide(cell_ones, cells, out=self.refined.copy(), where=cells > 0)
-        self.refined += (target - self.refined) * (cells / (cells + 200))
-        return hefts, cells
+            by = np.argsort(gates.ravel(), kind="stable")
+            gate = gates.ravel()[by]
+            weight = np.repeat(counts[block].astype(float), 8)[by]
+            bit = bits_of(grams[block]).ravel()[by]
+            value = mixed.ravel()[by]
+            p = squashed(value).astype(float)
+            # Where the prediction is sure and wrong p * (1 - p) is next to nothing, and a step too wide.
+            miss, bend = weight * (bit - p), weight * np.maximum(p * (1 - p), (bit - p) ** 2)
+            x = inputs.reshape(s.orders, -1)[:, by].astype(float)
+            bounds = np.append(np.flatnonzero(np.diff(gate, prepend=-1)), len(gate)).tolist()
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own = x[:, a:b]
+                sums.slope[gate[a]] += own @ miss[a:b]
+                sums.curve[gate[a]] += (own * bend[a:b]) @ own.T
+            low, part = places(value)
+            cell = gate.astype(np.int32) * STEPS + low
+            for at, share in ((cell, 1 - part), (cell + 1, part)):
+                heft = weight * share
+                sums.cells += np.bincount(at, heft, sums.cells.size).reshape(sums.cells.shape)
+                sums.ones += np.bincount(at, heft * bit, sums.ones.size).reshape(sums.ones.shape)
+
+    def step(self, sums: Sums) -> None:
+        """One online step: Newton's, by the curvature of all that has been seen."""
+        self.curve += sums.curve
+        move = np.linalg.solve(self.curve, sums.slope[:, :, None])[:, :, 0]
+        self.weights = np.rint((self.weights + np.clip(move, -1, 1)) * VALUE_PARTS) / VALUE_PARTS
+        target = np.divide(sums.ones, sums.cells, out=self.refined.copy(), where=sums.cells > 0)
+        self.refined = self.refined + (target - self.refined) * (sums.cells / (sums.cells + 200))
+        self.refined = np.rint(self.refined * VALUE_PARTS) / VALUE_PARTS
+
+
+def squashed(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def places(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entry of the refinement below each value, and the way from there to the next one."""
+    place = (mixed + 8) * 2
+    low = place.astype(np.int32)
+    return low, place - low
 
 
 _PACKED = "shard long, kind int, unit long, ids {ids}, a binary, b binary, c binary, d binary"
@@ -268,7 +314,7 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
         return pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in items], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((s.starts[-1], 2), np.int32)
+        tables = np.zeros((s.starts[-1], 2, 2), np.int32)
         unit = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, text, TEXT_BYTES):
@@ -277,11 +323,8 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
                 data, offsets = utf8(part.column(text))
                 starts, ends, words = word_places(~IS_SPACE[data], offsets)
                 yield rows(_unit_rows(unit, part.column(doc_id).to_pylist(), data, starts, ends, words, trained, shards, offsets))
-                learn = utf8(part.column(text).filter(pa.array(trained)))
-                if len(learn[1]) > 1:
-                    grams, _ = byte_grams(*learn, s.orders)
-                    codes, distinct = pd.factorize(grams)
-                    add_counts(tables, distinct, np.bincount(codes), s)
+                for side, texts in sides(part.filter(pa.array(trained)), text):
+                    add_counts(tables, *distinct_grams(byte_grams(*texts, s.orders)[0]), side, s)
         for number, piece in enumerate(np.array_split(tables, PARTS)):
             if piece.any():
                 # Low bytes for all slots, the rest for the few that have more: this packs well.
@@ -290,7 +333,15 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
                 parts = ((flat & 255).astype(np.uint8), more, flat[more] >> 8)
                 yield rows([(-1 - number, 2, number, None, *(x.tobytes() for x in parts), None)])
 
-    return docs.select(doc_id, text, "held").mapInArrow(run, schema)
+    return docs.select(doc_id, text, "held", "side").mapInArrow(run, schema)
+
+
+def sides(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+    """For each side, the bytes and offsets of its texts, if it has any."""
+    side = batch.column("side").to_numpy(zero_copy_only=False)
+    for number in (0, 1):
+        if (side == number).any():
+            yield number, utf8(batch.column(text).filter(pa.array(side == number)))
 
 
 def text_digest(text: bytes) -> bytes:
@@ -357,10 +408,10 @@ def _combine(packed: DataFrame, shards: int, s: Settings) -> DataFrame:
                 else:
                     held[row["shard"]].append(row)
         for number, counts in sums.items():
-            pairs = counts.reshape(-1, 2)
-            n = pairs.sum(1)
-            ones = np.where(n > 0, pairs[:, 1] / np.maximum(1, n) * 65535, 0).round().astype(np.uint16)
-            yield rows([(2, number, None, ones.tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), None)])
+            pairs = counts.reshape(-1, 2, 2)
+            for which, two in enumerate((pairs[:, 0], pairs[:, 1], pairs.sum(1))):
+                made = Table.of(two[:, 0], two[:, 1])
+                yield rows([(2, which * PARTS + number, None, made.stretched.tobytes(), made.level.tobytes(), None)])
         for _, members in held.items():
             yield rows(_shard_rows(members))
 
@@ -431,45 +482,53 @@ def _per_text(combined: DataFrame, id_type: T.DataType) -> DataFrame:
     return combined.where("kind IN (0, 1)").groupBy("unit").applyInArrow(run, schema)
 
 
-def _fit_mixer(model: Model, shared: Any, docs: DataFrame, text: str) -> None:
-    """Learn weights and refinement from all rows that are not held out, in `rounds` passes.
+def _tables(combined: DataFrame, s: Settings) -> list[Table]:
+    """The tables of either side and of both, put together from their parts."""
+    made = [Table(np.zeros(s.starts[-1], np.int16), np.zeros(s.starts[-1], np.uint8)) for _ in range(3)]
+    edges = np.cumsum([0] + [len(x) for x in np.array_split(made[0].level, PARTS)])
+    for row in combined.where("kind = 2").select("unit", "a", "b").toLocalIterator():
+        which, number = divmod(row["unit"], PARTS)
+        where = slice(edges[number], edges[number + 1])
+        made[which].stretched[where] = np.frombuffer(row["a"], np.int16)
+        made[which].level[where] = np.frombuffer(row["b"], np.uint8)
+    return made
+
+
+def _with_sides(docs: DataFrame, text: str, s: Settings) -> DataFrame:
+    """Add `side` (0 or 1) and `part` (0 and up; each is learnt from in one step), by the text."""
+    parts = 1 << s.doublings
+    mixed = F.xxhash64(text)
+    part = F.pmod(F.shiftright(mixed, 8), F.lit(parts))
+    # Parts 1, 2 to 3, 4 to 7 and so on double in size; 0 is as large as 1.
+    step = sum(((part >= (1 << k)).cast("int") for k in range(s.doublings)), F.lit(0))
+    return docs.withColumns({"side": F.pmod(mixed, F.lit(2)).cast("int"), "part": step})
+
+
+def _fit_mixer(mixer: Mixer, shared: Any, docs: DataFrame, text: str) -> None:
+    """Learn from all rows that are not held out, in a step for each part.
 
-    `shared` is the broadcast model, of which tasks use the counts. In a round each task starts
-    from the same weights, learns online from its texts one after the other, and returns a row
-    for each number that it has moved; these are averaged by the bits they were learnt from.
+    `shared` are the broadcast tables of both sides; a side's texts are predicted by the other's.
     """
-    s = model.settings
-    trained = docs.where("NOT held").select(text)
-
-    def one_round(weights: np.ndarray, refined: np.ndarray) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            mine = copy.copy(shared.value)
-            mine.weights, mine.refined = weights.copy(), refined.copy()
-            gates, cells = np.zeros(len(weights)), np.zeros(refined.shape)
-            for batch in batches:
-                for part in slices(batch, text, TEXT_BYTES):
-                    data, offsets = utf8(part.column(text))
-                    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                        more_gates, more_cells = mine.learn(data[a:b])
-                        gates += more_gates
-                        cells += more_cells
-            values = np.concatenate([mine.weights, mine.refined], 1).ravel()
-            hefts = np.concatenate([np.repeat(gates[:, None], s.orders, 1), cells], 1).ravel()
-            # Whole numbers, so that sums don't depend on the order of adding.
-            hefts = np.rint(hefts * HEFT_PARTS).astype(np.int64)
-            at = np.flatnonzero(hefts)
-            totals = np.rint(values[at] * VALUE_PARTS * hefts[at]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals), pa.array(hefts[at])], ["at", "total", "heft"])
-
-        moved = trained.mapInArrow(run, "at long, total long, heft long")
-        return moved.groupBy("at").agg(*(F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in ("total", "heft")))
-
-    for _ in range(s.rounds):
-        values = np.concatenate([model.weights, model.refined], 1)
-        flat = values.reshape(-1)
-        for row in one_round(model.weights, model.refined).collect():  # a row for each number at most
-            flat[row["at"]] = float(row["total"] / row["heft"]) / VALUE_PARTS
-        model.weights, model.refined = values[:, : s.orders].copy(), values[:, s.orders :].copy()
+    s = mixer.settings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums.nought(s)
+        for batch in batches:
+            for piece in slices(batch, text, TEXT_BYTES):
+                for side, texts in sides(piece, text):
+                    mixer.gather(sums, *distinct_grams(byte_grams(*texts, s.orders)[0]), shared.value[1 - side])
+        # Whole numbers, so that sums don't depend on the order of adding.
+        values = np.rint(sums.flat() * SUM_PARTS)
+        at = np.flatnonzero(values)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(values[at])], ["at", "value"])
+
+    for part in range(s.doublings + 1):
+        found = docs.where(~F.col("held") & (F.col("part") == part)).select(text, "side").mapInArrow(run, "at long, value double")
+        added = found.groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
+        flat = Sums.nought(s).flat()
+        for row in added.collect():  # a row for each number of Sums at most
+            flat[row["at"]] = float(row["value"]) / SUM_PARTS
+        mixer.step(Sums.nought(s).fill(flat))
 
 
 def score_texts(
@@ -483,28 +542,24 @@ def score_texts(
     `score` (context mixing of the bytes of the text and its end), and `bits_per_byte`.
 
     Null and empty texts have the end only. Rows that repeat an id, and null ids, are rows of
-    their own. Without any training text the counts are nought and every bit costs one. The mixer
-    learns in the order in which the partitions of `docs` have their rows, so `score` depends
-    slightly on how the rows are dealt to partitions; no other column does. Words are
-    counted by 64-bit hashes. Other columns of `docs` play no part.
+    their own. Without any training text the counts are nought and every bit costs one. No column
+    depends on the order of the rows or on how they are dealt to partitions. Words are counted by
+    64-bit hashes. Other columns of `docs` play no part.
     """
     s = settings or Settings()
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(doc_id, text, held.alias("held"))
+    docs = _with_sides(docs.select(doc_id, text, held.alias("held")), text, s)
     size = docs.agg(F.sum(F.octet_length(text)).alias("bytes"), F.sum((~F.col("held")).cast("long")).alias("texts")).first()
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["bytes"] or 0) // s.shard_bytes))
     combined = store(_combine(_gather(docs, doc_id, text, shards, s), shards, s))
 
-    ones, seen = np.zeros(s.starts[-1], np.uint16), np.zeros(s.starts[-1], np.uint8)
-    edges = np.cumsum([0] + [len(x) for x in np.array_split(ones, PARTS)])
-    for row in combined.where("kind = 2").select("unit", "a", "b").toLocalIterator():
-        where = slice(edges[row["unit"]], edges[row["unit"] + 1])
-        ones[where], seen[where] = np.frombuffer(row["a"], np.uint16), np.frombuffer(row["b"], np.uint8)
-    model = Model(s, ones, seen)
-    shared = spark.sparkContext.broadcast(model)
-    _fit_mixer(model, shared, docs, text)
-    weights, refined = model.weights, model.refined
+    *halves, whole = _tables(combined, s)
+    mixer = Mixer(s)
+    shared = spark.sparkContext.broadcast(halves)
+    _fit_mixer(mixer, shared, docs, text)
+    shared.unpersist()
+    shared = spark.sparkContext.broadcast(whole)
 
     texts = _per_text(combined, docs.schema[doc_id].dataType)
     base = store(texts)
@@ -526,14 +581,12 @@ def score_texts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = copy.copy(shared.value)
-        fitted.weights, fitted.refined = weights, refined
         for batch in batches:
             for part in slices(batch, text, TEXT_BYTES):
                 data, offsets = utf8(part.column(text))
                 grams, places = byte_grams(data, offsets, s.orders)
-                codes, distinct_grams = pd.factorize(grams)
-                values = fitted.log10(distinct_grams)[codes]
+                turned, codes = np.unique(grams.byteswap(), return_inverse=True)
+                values = mixer.log10(turned.byteswap(), shared.value)[codes]
                 scores = np.add.reduceat(values, places[:-1])
                 body = data.tobytes()
                 digests = [text_digest(body[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -542,7 +595,7 @@ def score_texts(
                     [f.name for f in schema.fields],
                 )
 
-    scored = docs.mapInArrow(run, schema)
+    scored = docs.select(doc_id, text, "held").mapInArrow(run, schema)
     base = base.dropDuplicates(["id", "digest"])
     joined = scored.alias("s").join(
         base.alias("b"), F.col("s.id").eqNullSafe(F.col("b.id")) & (F.col("s.digest") == F.col("b.digest"))
