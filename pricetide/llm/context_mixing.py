@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,6 +160,14 @@ class Table:
     stretched: np.ndarray  # int16
     level: np.ndarray  # uint8
 
+    def __getstate__(self) -> list[bytes]:
+        # Slots that nothing has met, and the few kinds of the others, take little room when packed.
+        return [zstandard.compress(x.tobytes(), 1) for x in (self.stretched, self.level)]
+
+    def __setstate__(self, packed: list[bytes]) -> None:
+        kinds = (np.int16, np.uint8)
+        self.stretched, self.level = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(packed, kinds, strict=True))
+
     @staticmethod
     def of(zeros: np.ndarray, ones: np.ndarray) -> Table:
         value = np.clip(np.log((ones + DELTA) / (zeros + DELTA)), -MOST, MOST)
@@ -558,7 +567,7 @@ def score_texts(
     mixer = Mixer(s)
     shared = spark.sparkContext.broadcast(halves)
     _fit_mixer(mixer, shared, docs, text)
-    shared.unpersist()
+    shared.destroy()
     shared = spark.sparkContext.broadcast(whole)
 
     texts = _per_text(combined, docs.schema[doc_id].dataType)
