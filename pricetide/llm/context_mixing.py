@@ -41,6 +41,7 @@ PARTS = 64
 #: Bytes of text, and of these distinct grams, that are worked on at a time: they bound memory.
 TEXT_BYTES = 4_000_000
 GRAM_BLOCK = 1 << 16
+LOT = 1_500_000
 #: Added to both counts of a slot.
 DELTA = 0.05
 #: Gates tell apart counts of 1, 2 to 3, and more of the highest order that has seen the context.
@@ -229,10 +230,13 @@ class Mixer:
         known = np.zeros((len(grams), 8), np.uint8)
         for order, distinct, codes in by_order(grams, s.orders):
             where = slots(distinct, order, s.table_bits[order - 1]).astype(np.int64) + s.starts[order - 1]
-            out[order - 1] = (table.stretched[where] * np.float32(1 / STRETCH_PARTS))[codes]
+            value = table.stretched[where]
             level = table.level[where]
-            code = np.where(level > 0, level + np.uint8((order - 1) * LEVELS), np.uint8(0))
-            np.maximum(known, code[codes], out=known)
+            level[level > 0] += np.uint8((order - 1) * LEVELS)
+            if len(distinct) < len(grams):
+                value, level = value[codes], level[codes]
+            np.multiply(value, np.float32(1 / STRETCH_PARTS), out=out[order - 1])
+            np.maximum(known, level, out=known)
         return out, known.astype(np.int16) * np.int16(8) + np.arange(8, dtype=np.int16)
 
     def mixed(self, inputs: np.ndarray, gates: np.ndarray) -> np.ndarray:
@@ -323,7 +327,7 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
         return pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in items], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((s.starts[-1], 2, 2), np.int32)
+        tables, lots = np.zeros((s.starts[-1], 2, 2), np.int32), Lots(s.orders)
         unit = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, text, TEXT_BYTES):
@@ -332,8 +336,10 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
                 data, offsets = utf8(part.column(text))
                 starts, ends, words = word_places(~IS_SPACE[data], offsets)
                 yield rows(_unit_rows(unit, part.column(doc_id).to_pylist(), data, starts, ends, words, trained, shards, offsets))
-                for side, texts in sides(part.filter(pa.array(trained)), text):
-                    add_counts(tables, *distinct_grams(byte_grams(*texts, s.orders)[0]), side, s)
+                for side, grams, counts in lots.add(part.filter(pa.array(trained)), text):
+                    add_counts(tables, grams, counts, side, s)
+        for side, grams, counts in lots.rest():
+            add_counts(tables, grams, counts, side, s)
         for number, piece in enumerate(np.array_split(tables, PARTS)):
             if piece.any():
                 # Low bytes for all slots, the rest for the few that have more: this packs well.
@@ -345,12 +351,31 @@ def _gather(docs: DataFrame, doc_id: str, text: str, shards: int, s: Settings) -
     return docs.select(doc_id, text, "held", "side").mapInArrow(run, schema)
 
 
-def sides(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
-    """For each side, the bytes and offsets of its texts, if it has any."""
-    side = batch.column("side").to_numpy(zero_copy_only=False)
-    for number in (0, 1):
-        if (side == number).any():
-            yield number, utf8(batch.column(text).filter(pa.array(side == number)))
+class Lots:
+    """Distinct grams of many texts, handed on side by side when there are LOT of them."""
+
+    def __init__(self, orders: int) -> None:
+        self.orders = orders
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+
+    def add(self, batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Take the texts of a batch; what there is too much of comes back as (side, grams, counts)."""
+        of = batch.column("side").to_numpy(zero_copy_only=False)
+        for side, held in enumerate(self.held):
+            if (of == side).any():
+                texts = utf8(batch.column(text).filter(pa.array(of == side)))
+                held.append(distinct_grams(byte_grams(*texts, self.orders)[0]))
+        yield from self.rest(LOT)
+
+    def rest(self, least: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for side, held in enumerate(self.held):
+            if sum(len(grams) for grams, _ in held) >= least:
+                grams, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+                held.clear()
+                by = np.argsort(grams.byteswap())
+                grams, counts = grams[by], counts[by]
+                first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+                yield side, grams[first], np.add.reduceat(counts, first)
 
 
 def text_digest(text: bytes) -> bytes:
@@ -521,11 +546,13 @@ def _fit_mixer(mixer: Mixer, shared: Any, docs: DataFrame, text: str) -> None:
     s = mixer.settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums.nought(s)
+        sums, lots = Sums.nought(s), Lots(s.orders)
         for batch in batches:
             for piece in slices(batch, text, TEXT_BYTES):
-                for side, texts in sides(piece, text):
-                    mixer.gather(sums, *distinct_grams(byte_grams(*texts, s.orders)[0]), shared.value[1 - side])
+                for side, grams, counts in lots.add(piece, text):
+                    mixer.gather(sums, grams, counts, shared.value[1 - side])
+        for side, grams, counts in lots.rest():
+            mixer.gather(sums, grams, counts, shared.value[1 - side])
         # Whole numbers, so that sums don't depend on the order of adding.
         values = np.rint(sums.flat() * SUM_PARTS)
         at = np.flatnonzero(values)
@@ -594,9 +621,11 @@ def score_texts(
             for part in slices(batch, text, TEXT_BYTES):
                 data, offsets = utf8(part.column(text))
                 grams, places = byte_grams(data, offsets, s.orders)
-                turned, codes = np.unique(grams.byteswap(), return_inverse=True)
-                values = mixer.log10(turned.byteswap(), shared.value)[codes]
-                scores = np.add.reduceat(values, places[:-1])
+                codes, found = pd.factorize(grams)
+                by = np.argsort(found.byteswap())
+                values = np.empty(len(found))
+                values[by] = mixer.log10(found[by], shared.value)
+                scores = np.add.reduceat(values[codes], places[:-1])
                 body = data.tobytes()
                 digests = [text_digest(body[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
