@@ -50,6 +50,17 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete what `store` has written, once every frame that reads it is stored itself."""
+    for df in stored:
+        spark = df.sparkSession
+        own = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+        for path in own:
+            if path.rsplit("/", 1)[-1].startswith("llm-"):
+                place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def held_out(divisor: int, doc_id: str = "doc_id") -> F.Column:
     """True for rows whose crc32(doc_id as text) mod `divisor` is 1; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor == 1, F.lit(False))

@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pricetide.llm.common import (
     FOLD,
     IS_SPACE,
+    discard,
     mix,
     slices,
     small_batches,
@@ -168,8 +169,8 @@ def _classes(rows: DataFrame, s: Settings) -> np.ndarray:
     return np.minimum((1 << _CLASS_BITS) - 1, 2 * np.log2(1 + over)).astype(np.uint8)
 
 
-def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Settings) -> DataFrame:
-    """Prefix postings (token, set, n, pos, held) of tokens that several sets have.
+def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Prefix postings (token, set, n, pos, held) of tokens that several sets have, and the stored table they come from.
 
     Tasks send their postings to buckets of tokens in packed rows, each set once. Postings of
     tokens that the sketch holds frequent skip the search for a second set, so that no bucket
@@ -253,7 +254,7 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
     found = store(packed.groupBy("bucket").applyInArrow(shared, "token long, set long, n int, pos int, held long"))
     # Postings that no bucket gathered may repeat, once for each task that has the set.
     frequent = found.where("held IS NULL").drop("held").distinct()
-    return found.where("held IS NOT NULL").unionByName(_with_count(frequent))
+    return found.where("held IS NOT NULL").unionByName(_with_count(frequent)), found
 
 
 def _band() -> F.Column:
@@ -315,7 +316,7 @@ def _linkable(postings: DataFrame, s: Settings) -> DataFrame:
 
 
 def _chunk_pairs(postings: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (one, band_one, two, band_two) of chunks whose sets of these bands may be linked.
+    """Stored pairs (one, band_one, two, band_two) of chunks whose sets of these bands may be linked.
 
     Blocks of the index lists are a chunk's postings of like size. They are compared token by
     token under the size bound, and the tokens of a pair are counted; the position bound must
@@ -351,7 +352,9 @@ def _chunk_pairs(postings: DataFrame, s: Settings) -> DataFrame:
         )
     )
     fewest = _fewest(F.col("low"), F.col("high"), F.col("other_low"), F.col("other_high"), s)
-    return counted.where(F.col("first") & (F.col("tokens") >= fewest)).select("one", "band_one", "two", "band_two")
+    pairs = store(counted.where(F.col("first") & (F.col("tokens") >= fewest)).select("one", "band_one", "two", "band_two"))
+    discard(blocks)
+    return pairs
 
 
 def _fetch_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, classes: Any, s: Settings) -> DataFrame:
@@ -503,12 +506,13 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        edges = store(
+        before, edges = edges, store(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select("a", F.col("m").alias("b")))
             .where("a <> b")
             .distinct()
         )
+        discard(before)
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
@@ -545,9 +549,10 @@ def jaccard_classes(
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-int(total) // s.bucket_rows))
     usable = docs.where(F.col(doc_id).isNotNull())
-    postings = _postings(usable, text, classes, buckets, s)
+    postings, found = _postings(usable, text, classes, buckets, s)
 
     useful = store(_with_count(_linkable(postings, s)))
+    discard(found)
     key = useful.groupBy("set").agg(F.max(F.struct("held", "token"))["token"].alias("key"), F.first("n").alias("n"))
     sizes = key.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("sets") / s.chunk_sets), F.ceil(F.col("grams") / s.chunk_grams))
@@ -560,12 +565,14 @@ def jaccard_classes(
     members = store(tokens.join(chunk, "set"))
     inside = store(_solve_groups(members, ["chunk"], s))
 
-    pairs = store(_chunk_pairs(useful.join(chunk.select("set", "chunk"), "set"), s))
+    pairs = _chunk_pairs(useful.join(chunk.select("set", "chunk"), "set"), s)
+    discard(useful, chunk)
     one = pairs.select("one", "two", F.col("one").alias("chunk"), F.col("band_one").alias("band"))
     two = pairs.select("one", "two", F.col("two").alias("chunk"), F.col("band_two").alias("band"))
     across = one.unionByName(two).distinct().join(members, ["chunk", "band"])
     across = across.withColumn("side", F.col("chunk") == F.col("one")).drop("chunk", "band")
     between = store(_solve_groups(across, ["one", "two"], s))
+    discard(members, pairs)
 
     linked = inside.unionByName(between)
     counts = linked.groupBy("set").agg(F.sum("links").alias("links"))
