@@ -68,9 +68,14 @@ def ranked_candidates(
     definitions: DataFrame,
     method: Methodology,
     effective_dates: list[date] | None = None,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
-    """Eligible variants with their rank per (index, effective date), checkpointed."""
-    scores = score_liquidity(prices, definitions, method.selection_lookback_days, effective_dates)
+    """Eligible variants with their rank per (index, effective date), checkpointed.
+
+    `scores`, where given, are used instead of scoring the prices.
+    """
+    if scores is None:
+        scores = score_liquidity(prices, definitions, method.selection_lookback_days, effective_dates)
     pool = eligible(scores, products, method).select(
         "index_code",
         "effective_date",
@@ -339,15 +344,17 @@ def monthly_rebalances(
     definitions: DataFrame,
     method: Methodology,
     run_date: date | None = None,
+    scores: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All monthly rebalances of all indexes: (rebalances, members, removed).
 
     Every month of every index is scored and ranked in one job; only the best
-    ranks go through the sequential fold, one group per index.
+    ranks go through the sequential fold, one group per index. `scores` at all month
+    starts, as stored summaries give them, stand in for scoring the prices.
     """
     if run_date is not None:
         prices = prices.filter(F.col("value_date") <= F.lit(run_date))
-    ranked = ranked_candidates(prices, products, definitions, method)
+    ranked = ranked_candidates(prices, products, definitions, method, scores=scores)
     if run_date is not None:
         ranked = ranked.filter(F.col("effective_date") <= F.lit(run_date))
     members = select_members(ranked, definitions, method)

@@ -32,16 +32,19 @@ def calculate(
     calendar: DataFrame,
     method: Methodology,
     run_date: date | None = None,
+    scores: DataFrame | None = None,
 ) -> IndexTables:
     """All indexes of a methodology in one plan; the index code is a key column.
 
+    `scores` from stored summaries (plans/summaries.py) spare the scan of all prices for scoring.
+
     Members and the flagged panel are read several times below, so both are
     checkpointed; their size is set by target sizes and calendar, not by the
     price volume.
     """
     definitions = definitions_frame(prices.sparkSession, method)
     rebalances, members, removed = selection.monthly_rebalances(
-        prices, products, definitions, method, run_date
+        prices, products, definitions, method, run_date, scores
     )
     members = cut_lineage(members)
     panel = chain.member_panel(prices, members, calendar, definitions, method)
@@ -60,11 +63,12 @@ def run_calc(
     method: Methodology,
     run_date: date,
     root: str,
+    scores: DataFrame | None = None,
 ) -> DataFrame:
     """Recalculate, write changed outputs, quality rows, receipts. Returns the receipts."""
     definitions = definitions_frame(spark, method)
     upto = calendar.filter(F.col("value_date") <= F.lit(run_date))
-    t = calculate(prices, products, upto, method, run_date)
+    t = calculate(prices, products, upto, method, run_date, scores)
     receipts: list[Receipt] = [
         write_if_changed(t.rebalances, f"{root}/rebalances", REBALANCE, ["index_code", "effective_date"]),
         write_if_changed(t.members, f"{root}/members", MEMBER, ["index_code", "effective_date", "rank"]),

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from pricetide.operators import chain, liquidity, ranking, selection
 from pricetide.params import with_cutoffs
+from pricetide.plans.summaries import refresh_summaries, stored_scores
 from pricetide.queries import views
 from pricetide.queries.registry import query
+from pricetide.sinks.versions import VersionedTable
 
 views.SQL.update(
     {
@@ -113,6 +115,28 @@ def liquidity_scores(spark: SparkSession, sf: str) -> DataFrame:
     return _scores(spark, sf)
 
 
+@query(
+    "stored_liquidity_scores",
+    "A1 A2 W1 F12 P3",
+    "index_code:s effective_date:s stable_variant_id:s primary_observation_days:i price_floor_days:i suspect_zero_days:i"
+    " price_update_days:i inverse_dispersion:f8 history_days:i first_observation_date:s last_observation_date:s"
+    " source_avg30:f8 mean_used_price:f6 liquidity_score:f8",
+    "SELECT * FROM scores",
+    ["scores"],
+)
+def stored_liquidity_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores from monthly summaries, stored for all but the newest month and then brought up to date."""
+    panel = views.price_panel(spark, sf).withColumn("month", F.date_format("value_date", "yyyy-MM"))
+    definitions, lookback = views.definitions(spark), views.METHOD.selection_lookback_days
+    prices = VersionedTable(spark, views.scratch(spark), panel.schema, ["game_key", "month"], ["stable_variant_id", "value_date"])
+    path = views.scratch(spark)
+    newest = panel.agg(F.max("month")).first()[0] or ""
+    prices.replace(panel.where(F.col("month") < newest))
+    refresh_summaries(spark, path, prices, definitions, lookback)
+    prices.replace_partitions(panel.where(F.col("month") == newest))
+    return stored_scores(refresh_summaries(spark, path, prices, definitions, lookback), definitions, lookback)
+
+
 @query(
     "price_changes_by_part",
     "W1",

@@ -66,6 +66,15 @@ PRICES = struct(
 # As stored: partitioned by game_key and month (yyyy-MM).
 PRICE_TABLE = T.StructType([*PRICES.fields, T.StructField("month", T.StringType())])
 
+# As stored: partitioned by game_key, month and what the month's summaries were made from.
+LIQUIDITY_SUMMARY = struct(
+    "game_key string, product_kind string, stable_variant_id string, cm_product_id bigint,"
+    " variant_key string, segment date, min_price double, primary_days bigint, floor_days bigint,"
+    " zero_days bigint, changes bigint, dispersion_sum double, dispersion_days bigint,"
+    " used_sum double, used_days bigint, first_date date, last_date date, first_avg double,"
+    " last_avg double, avg30 double, avg30_date date, month string, source string"
+)
+
 REBALANCE = struct(
     "index_code string, effective_date date, methodology_version string,"
     " snapshot_sha256 string, eligible_count bigint"
