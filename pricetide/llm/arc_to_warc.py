@@ -243,22 +243,31 @@ ARROW_RECORD = pa.schema(
 )
 
 
+def _payload(digest: str, size: str) -> F.Column:
+    """The name under which records with equal payloads meet."""
+    return F.concat_ws(":", digest, F.col(size).cast("string"))
+
+
 def with_referred(records: DataFrame, key_type: T.DataType, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Records with the id and key of the response that a revisit refers to, else null.
 
     Of records with equal payloads of at least `least_bytes`, that with the largest key is the
     response. Rows that repeat its key are responses too. A record without a key never is one
-    if another has a key, and if none has, all are responses.
+    if another has a key, and if none has, all are responses. Records with smaller payloads,
+    of which very many can be equal, don't meet in the join: each has a key of its own there.
     """
     ordered = F.col("key").cast(key_type)
+    large = F.col("size") >= least_bytes
     best = (
-        records.where(F.col("size") >= least_bytes)
+        records.where(large)
         .groupBy("digest", "size")
         .agg(F.max(F.struct(ordered.alias("order"), F.col("key"), F.col("id"))).alias("best"), F.count("*").alias("copies"))
         .where("copies > 1 AND best.key IS NOT NULL")
-        .select("digest", "size", F.col("best.key").alias("refers_key"), F.col("best.id").alias("refers_id"))
+        .select(_payload("digest", "size").alias("match"), F.col("best.key").alias("refers_key"), F.col("best.id").alias("refers_id"))
     )
-    joined = records.join(best, ["digest", "size"], "left")
+    # An id never begins as a digest does, so it matches nothing.
+    keyed = records.withColumn("match", F.when(large, _payload("digest", "size")).otherwise(F.col("id")))
+    joined = keyed.join(best, "match", "left").drop("match")
     revisit = F.col("refers_key").isNotNull() & ~F.col("key").eqNullSafe(F.col("refers_key"))
     return joined.withColumns({c: F.when(revisit, F.col(c)) for c in ("refers_key", "refers_id")})
 

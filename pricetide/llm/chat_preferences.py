@@ -66,8 +66,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pai
     completion that a loss should count (the assistant's texts and what ends them, without the
     head of the turn); and the number of turns of all three.
 
-    Turns are ordered by number; turns with the same number by role and text. Null roles and
-    texts are empty. Rows without an id belong to no pair, an id that one side lacks is left
+    Turns are ordered by number, null before all others; turns with the same number by role and
+    text. Null roles and texts are empty. Rows without an id belong to no pair, an id that one side lacks is left
     out, and equal conversations have empty completions. The comparison goes turn by turn, so
     only what is rendered into one text is ever in one place. Other columns play no part.
     """
@@ -105,22 +105,23 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pai
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected conversations from `conversations` (conv_id, turn, role, text).
 
-    The chosen one is a conversation up to its last reply; the rejected one has in its place
-    the last reply of the mate (2k and 2k + 1 are mates), or none if the mate has none.
-    Conversations without a reply make no pair. Of replies of the same turn the last by text
-    counts.
+    The chosen one is the whole conversation; the rejected one has in place of its last reply
+    the last reply of the mate (2k and 2k + 1 are mates), or none if the mate has none. A
+    conversation without a reply is the same on both sides, so it gives a prompt and two empty
+    completions. Of replies of the same turn the last by text counts, and it takes the place of
+    all of them. A null turn number comes before all others. Rows without an id are left out.
+    Other columns play no part.
     """
     last = (
-        conversations.where(F.col("role") == LEARNT)
+        conversations.where((F.col("role") == LEARNT) & F.col("conv_id").isNotNull())
         .groupBy("conv_id")
         .agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("reply"))
     )
-    turns = conversations.select("conv_id", "turn", "role", "text").join(last, "conv_id")
-    replied = (F.col("turn") == F.col("reply.turn")) & (F.col("role") == LEARNT)
+    named = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
     columns = [F.col("conv_id").alias("pair_id"), "turn", "role", "text"]
-    chosen = turns.where((F.col("turn") < F.col("reply.turn")) | replied).select(*columns)
-    earlier = turns.where(F.col("turn") < F.col("reply.turn")).select(*columns)
+    replied = F.col("reply").isNotNull() & F.col("turn").eqNullSafe(F.col("reply.turn")) & F.col("role").eqNullSafe(F.lit(LEARNT))
+    others = named.join(last, "conv_id", "left").where(~replied).select(*columns)
     mates = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply.text").alias("text"))
     swapped = last.select("conv_id", "reply.turn").join(mates, "conv_id")
     reply = swapped.select(F.col("conv_id").alias("pair_id"), "turn", F.lit(LEARNT).alias("role"), "text")
-    return chosen, earlier.unionByName(reply)
+    return named.select(*columns), others.unionByName(reply)

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pricetide.session import ensure_checkpoint_dir
 
@@ -245,3 +246,30 @@ def fit_platt(raw: np.ndarray, label: np.ndarray, weight: np.ndarray, steps: int
         if np.abs(step).max() < 1e-8:
             break
     return float(at[0]), float(at[1])
+
+
+def with_row_key(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = "__key") -> DataFrame:
+    """`docs` with a column `key`: the id, made different for rows of one id with different texts.
+
+    Keys are in the order of the ids, strings for string ids and whole numbers for others, wide
+    enough for any id. Rows that repeat both id and text have the same key, rows without an id
+    a null one.
+    """
+    digest = F.xxhash64(text)  # a null text has a number too
+    repeated = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    repeated = store(repeated.where("a <> b").select(doc_id))
+    if repeated.isEmpty():
+        return docs.withColumn(key, F.col(doc_id))
+    texts = docs.select(doc_id, digest.alias("__digest")).join(repeated, doc_id, "left_semi").distinct()
+    place = F.row_number().over(Window.partitionBy(doc_id).orderBy("__digest"))
+    numbered = store(texts.withColumn("__place", place))
+    most = numbered.agg(F.max("__place")).first()[0] + 1
+    place = F.coalesce("__place", F.lit(0))
+    if isinstance(docs.schema[doc_id].dataType, T.StringType):
+        made = F.concat(doc_id, F.lit("\0"), F.lpad(place.cast("string"), 10, "0"))
+    else:
+        # A product of 64-bit ids doesn't fit 64 bits.
+        made = F.col(doc_id).cast("decimal(20,0)") * F.lit(most).cast("decimal(17,0)") + place.cast("decimal(17,0)")
+        made = made.cast("decimal(38,0)")
+    keyed = docs.withColumn("__digest", digest).join(numbered, [doc_id, "__digest"], "left")
+    return keyed.select(*docs.columns, made.alias(key))

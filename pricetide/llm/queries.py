@@ -240,35 +240,44 @@ SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
 FROM r"""
 
 PREFERENCES_SQL = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-last AS (SELECT conv_id, max(turn) AS turn FROM t WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(turn) AS turn FROM t WHERE role = 'assistant' GROUP BY conv_id),
 reply AS (
   SELECT l.conv_id, l.turn, max(t.text) AS text FROM last l
-  JOIN t ON t.conv_id = l.conv_id AND t.turn = l.turn AND t.role = 'assistant' GROUP BY l.conv_id, l.turn),
-pairs AS (
-  SELECT a.conv_id, a.turn, a.text AS chosen, b.text AS rejected
-  FROM reply a LEFT JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
-earlier AS (
-  SELECT p.conv_id, count(*) AS turns,
-    string_agg('<|' || t.role || '|>
-' || t.text || '<|end|>
-', '' ORDER BY t.turn, t.role, t.text) AS prompt
-  FROM pairs p JOIN t ON t.conv_id = p.conv_id AND t.turn < p.turn GROUP BY p.conv_id),
-sides AS (
-  SELECT p.conv_id, p.chosen, p.rejected, coalesce(turns, 0) AS turns, coalesce(prompt, '') AS prompt,
-    p.chosen IS NOT DISTINCT FROM p.rejected AS same,
-    '<|assistant|>
-' || p.chosen || '<|end|>
-' AS c, '<|assistant|>
-' || p.rejected || '<|end|>
-' AS r
-  FROM pairs p LEFT JOIN earlier USING (conv_id)
-  WHERE p.rejected IS NOT NULL OR turns > 0)
-SELECT conv_id, turns + CAST(same AS BIGINT) AS prompt_turns, CASE WHEN same THEN prompt || c ELSE prompt END AS prompt,
-  CASE WHEN same THEN '' ELSE c END AS chosen, CASE WHEN same THEN '' ELSE coalesce(r, '') END AS rejected,
-  CASE WHEN same THEN '' ELSE '14:' || CAST(len(c) AS VARCHAR) END AS chosen_mask,
-  CASE WHEN same OR r IS NULL THEN '' ELSE '14:' || CAST(len(r) AS VARCHAR) END AS rejected_mask
-FROM sides"""
+  JOIN t ON t.conv_id = l.conv_id AND t.turn IS NOT DISTINCT FROM l.turn AND t.role = 'assistant' GROUP BY l.conv_id, l.turn),
+swapped AS (
+  SELECT t.* FROM t LEFT JOIN last l ON l.conv_id = t.conv_id
+  WHERE l.conv_id IS NULL OR t.role <> 'assistant' OR t.turn IS DISTINCT FROM l.turn
+  UNION ALL SELECT a.conv_id, a.turn, 'assistant', b.text FROM reply a JOIN reply b ON b.conv_id = xor(a.conv_id, 1)),
+sides AS (SELECT 'chosen' AS side, * FROM t UNION ALL SELECT 'rejected', * FROM swapped),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY side, conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+    turn || '/' || row_number() OVER (PARTITION BY side, conv_id, turn ORDER BY role, text) AS name FROM sides),
+unlike AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, min(coalesce(c.place, r.place)) AS place
+  FROM (SELECT * FROM placed WHERE side = 'chosen') c FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') r
+    ON r.conv_id = c.conv_id AND r.name IS NOT DISTINCT FROM c.name
+  WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text GROUP BY 1),
+parts AS (
+  SELECT p.conv_id, CASE WHEN u.place IS NULL OR p.place < u.place THEN 'prompt' ELSE side END AS part, p.place, p.role,
+    '<|' || role || '|>
+' AS head, text || '<|end|>
+' AS body
+  FROM placed p LEFT JOIN unlike u ON u.conv_id = p.conv_id
+  WHERE side = 'chosen' OR p.place >= u.place),
+measured AS (
+  SELECT *, sum(len(head) + len(body)) OVER (PARTITION BY conv_id, part ORDER BY place) AS stop FROM parts),
+joined AS (
+  SELECT conv_id, part, count(*) AS turns, string_agg(head || body, '' ORDER BY place) AS body,
+    string_agg(CAST(stop - len(body) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY place) FILTER (role = 'assistant') AS mask
+  FROM measured GROUP BY conv_id, part),
+both_sides AS (SELECT conv_id FROM sides GROUP BY conv_id HAVING count(DISTINCT side) = 2)
+SELECT b.conv_id, coalesce(p.turns, 0) AS prompt_turns, coalesce(p.body, '') AS prompt, coalesce(c.body, '') AS chosen,
+  coalesce(r.body, '') AS rejected, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM both_sides b
+LEFT JOIN joined p ON p.conv_id = b.conv_id AND p.part = 'prompt'
+LEFT JOIN joined c ON c.conv_id = b.conv_id AND c.part = 'chosen'
+LEFT JOIN joined r ON r.conv_id = b.conv_id AND r.part = 'rejected'"""
 
 JACCARD_SQL = r"""
 WITH RECURSIVE texts AS (

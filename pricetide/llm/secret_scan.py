@@ -45,11 +45,25 @@ def _satisfied(query: Query, held: F.Column) -> F.Column:
     return reduce(lambda a, b: a & b, [*(F.array_contains(held, t) for t in sorted(query.trigrams)), *parts])
 
 
+def _held(folded: F.Column, trigrams: list[str]) -> F.Column:
+    """The given trigrams that a text in lower case holds."""
+    return F.filter(F.array(*(F.when(F.contains(folded, F.lit(t)), F.lit(t)) for t in trigrams)), F.isnotnull)
+
+
+def _kinds(held: F.Column, rules: tuple[Rule, ...]) -> F.Column:
+    """The kinds of the rules whose query the trigrams in `held` satisfy."""
+    satisfied = (
+        F.when(_satisfied(query, held), F.lit(rule.kind))
+        for rule in rules
+        if (query := trigram_query(rule.pattern)).op != "every"
+    )
+    return F.filter(F.array(*satisfied), F.isnotnull)
+
+
 def postings(docs: DataFrame, trigrams: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The inverted index of the given trigrams: a row (trigram, id) for each text that holds one."""
     folded = docs.select(F.col(doc_id).alias("id"), F.lower(F.col(text)).alias("folded"))
-    held = F.filter(F.array(*(F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams)), F.isnotnull)
-    return folded.select("id", F.explode(held).alias("trigram"))
+    return folded.select("id", F.explode(_held(F.col("folded"), trigrams)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -58,14 +72,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     An id has as many trigrams as the rules have at most, however many texts there are.
     """
     held = index.groupBy("id").agg(F.collect_set("trigram").alias("held"))
-    kinds = F.array(
-        *(
-            F.when(_satisfied(query, F.col("held")), F.lit(rule.kind))
-            for rule in rules
-            if (query := trigram_query(rule.pattern)).op != "every"
-        )
-    )
-    found = held.select("id", F.filter(kinds, F.isnotnull).alias("kinds"))
+    found = held.select("id", _kinds(F.col("held"), rules).alias("kinds"))
     return found.where(F.size("kinds") > 0)
 
 
@@ -116,9 +123,10 @@ def find_secrets(
     queries is built over all texts, its posting lists are intersected, and only texts that
     satisfy a rule's query are searched for the rule. Rules without mandatory trigrams search
     every text. As the index goes by id, texts that share an id are searched alike if one of
-    them is a candidate, and null ids count as one id; the search itself decides, so every
-    row's result is that of its own text. Null and empty texts have no secrets. Other columns
-    pass through, except that one called `result` is replaced.
+    them is a candidate; the search itself decides, so every row's result is that of its own
+    text. Rows without an id can't be posted and would all be one key: their queries are asked
+    of the trigrams of their own text, where they lie. Null and empty texts have no secrets.
+    Other columns pass through, except that one called `result` is replaced.
     """
     docs = docs.drop(result)
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
@@ -126,9 +134,12 @@ def find_secrets(
     full = {kind for kind, query in queries.items() if query.op == "every"}
     content = F.coalesce(F.col(text), F.lit(""))
     if trigrams:
-        found = candidates(postings(docs, trigrams, text, doc_id), rules)
+        named = docs.where(F.col(doc_id).isNotNull())
+        found = candidates(postings(named, trigrams, text, doc_id), rules)
         found = found.select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
-        docs = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")), "left").drop("__id")
+        named = named.join(found.hint("shuffle_hash"), F.col(doc_id) == F.col("__id"), "left").drop("__id")
+        own = _kinds(_held(F.lower(F.col(text)), trigrams), rules)
+        docs = named.unionByName(docs.where(F.col(doc_id).isNull()).withColumn("__kinds", own))
     else:
         docs = docs.withColumn("__kinds", F.lit(None).cast("array<string>"))
     none = F.array().cast(f"array<{_SPAN}>")

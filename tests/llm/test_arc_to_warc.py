@@ -4,6 +4,7 @@ import hashlib
 from datetime import UTC, datetime
 
 import pytest
+from pyspark.sql import types as T
 
 from pricetide.llm.arc_to_warc import (
     ArchiveError,
@@ -13,6 +14,7 @@ from pricetide.llm.arc_to_warc import (
     archive_pages,
     warc_record,
     warc_records,
+    with_referred,
 )
 
 WHEN = datetime(2003, 4, 5, 6, 7, 8, tzinfo=UTC)
@@ -71,3 +73,11 @@ def test_pages_match_brute_force(spark):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert archive_pages(pages).collect() == []
+
+
+def test_small_records_have_no_common_key_in_the_join(spark):
+    shape = "key string, digest string, size long, id string"
+    rows = [(str(i), "same", 3, f"<urn:{i}>") for i in range(40)] + [("1", "big", 2000, "<urn:a>"), ("2", "big", 2000, "<urn:b>")]
+    found = with_referred(spark.createDataFrame(rows, shape), T.LongType())
+    assert [(r["id"], r["refers_key"], r["refers_id"]) for r in found.where("refers_id IS NOT NULL").collect()] == [("<urn:a>", "2", "<urn:b>")]
+    assert found.count() == 42 and found.columns == ["key", "digest", "size", "id", "refers_key", "refers_id"]

@@ -63,12 +63,27 @@ def test_replies_are_swapped_between_mates(spark):
     rows = [
         (0, 0, "user", "q"), (0, 1, "assistant", "r0"), (0, 2, "user", "more"),
         (1, 0, "assistant", "r1"), (2, 0, "user", "alone"), (4, 0, "user", "q"), (4, 1, "assistant", "r4"),
-        (None, 0, "assistant", "x"), (7, 1, None, None),
+        (None, 0, "assistant", "x"), (7, 1, None, None), (8, None, "user", "first"), (8, 0, "assistant", "r8"), (9, None, "assistant", "r9"),
     ]
-    chosen, rejected = swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    rows = [(*r, 3, "x", "y") for r in rows]
+    shape = "conv_id long, turn long, role string, text string, pair_id long, reply string, place string"
+    chosen, rejected = swapped_replies(spark.createDataFrame(rows, shape))
     found = {r["pair_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in preference_pairs(chosen, rejected).collect()}
+    more, empty = show("user", "more"), show("", "")
     assert found == {
-        0: (show("user", "q"), show("assistant", "r0"), show("assistant", "r1")),
+        0: (show("user", "q"), show("assistant", "r0") + more, show("assistant", "r1") + more),
         1: ("", show("assistant", "r1"), show("assistant", "r0")),
+        2: (show("user", "alone"), "", ""),
         4: (show("user", "q"), show("assistant", "r4"), ""),
+        7: (empty, "", ""),
+        8: (show("user", "first"), show("assistant", "r8"), show("assistant", "r9")),
+        9: ("", show("assistant", "r9"), show("assistant", "r8")),
     }
+
+
+def test_every_conversation_of_no_replies_and_of_empty_tables(spark):
+    shape = "conv_id long, turn long, role string, text string"
+    rows = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "system", "c")]
+    pairs = preference_pairs(*swapped_replies(spark.createDataFrame(rows, shape))).collect()
+    assert sorted((r["pair_id"], r["prompt_turns"], r["chosen_turns"], r["rejected_turns"]) for r in pairs) == [(1, 2, 0, 0), (2, 1, 0, 0)]
+    assert preference_pairs(*swapped_replies(spark.createDataFrame([], shape))).collect() == []

@@ -48,6 +48,11 @@ def test_spans_match_brute_force(spark):
     assert sorted((r["text"] or "", r["s"]) for r in rows) == sorted((t or "", brute(t)) for t in TEXTS)
 
 
+def test_rows_without_an_id_stay_where_they_lie(spark):
+    rows = find_secrets(documents(spark, TEXTS, [None] * len(TEXTS))).select("text", joined(F.col("secrets")).alias("s")).collect()
+    assert sorted((r["text"] or "", r["s"]) for r in rows) == sorted((t or "", brute(t)) for t in TEXTS)
+
+
 def test_redaction(spark):
     rows = find_secrets(documents(spark, TEXTS)).select("text", redact(F.col("text"), F.col("secrets"), "#").alias("out"))
     for r in rows.collect():
