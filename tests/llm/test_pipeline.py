@@ -93,9 +93,9 @@ def test_one_of_repeated_rows_stays(spark, corpus):
 
 def test_rows_of_one_id_with_different_texts_are_told_apart(spark, corpus):
     a, b, c = (sentence(random.Random(n), 40) for n in (1, 2, 3))
-    for name in (int, lambda i: f"k{i}"):
+    for name in (int, lambda i: f"k{i}", lambda i: 2**63 - 10 + i, lambda i: i - 2**63):
         rows = [(3, a), (5, a), (5, b), (5, b), (4, c), (6, c), (6, a), (6, None), (6, ""), (7, b), (None, a)]
-        ids = spark.createDataFrame([(n, None if i is None else name(i)) for n, (i, _) in enumerate(rows)], f"n long, doc_id {'long' if name is int else 'string'}")
+        ids = spark.createDataFrame([(n, None if i is None else name(i)) for n, (i, _) in enumerate(rows)], f"n long, doc_id {'string' if name(1) == 'k1' else 'long'}")
         texts = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "n long, text string")
         docs = ids.join(texts, "n").drop("n")
         found = sorted(((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.keep_one_of_each(spark, docs, corpus[0]).collect()), key=str)
