@@ -6,11 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from pricetide.llm import decontamination, ngram_jaccard, secret_scan, sentencepiece_chunks, toxicity
-from pricetide.llm.common import held_out, scratch_path, store, table
+from pricetide.llm.common import held_out, scratch_path, store, table, with_row_key
 from pricetide.llm.queries import piece_model
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,36 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__toxicity.score") < 0.7).select(*docs.columns)
 
 
-def _with_key(docs: DataFrame) -> DataFrame:
-    """`docs` with a column __key: the id, made different for rows of one id with different texts.
-
-    Keys are in the order of the ids. Rows that repeat both id and text have the same key.
-    """
-    digest = F.xxhash64("text")  # a null text has a number too
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
-    repeated = store(repeated.where("a <> b").select("doc_id"))
-    if repeated.isEmpty():
-        return docs.withColumn("__key", F.col("doc_id"))
-    texts = docs.select("doc_id", digest.alias("__digest")).join(repeated, "doc_id", "left_semi").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("__digest"))
-    numbered = store(texts.withColumn("__place", place))
-    most = numbered.agg(F.max("__place")).first()[0] + 1
-    place = F.coalesce("__place", F.lit(0))
-    if isinstance(docs.schema["doc_id"].dataType, T.StringType):
-        key = F.concat("doc_id", F.lit("\0"), F.lpad(place.cast("string"), 10, "0"))
-    else:
-        key = F.col("doc_id").cast("long") * F.lit(most).cast("long") + place
-    keyed = docs.withColumn("__digest", digest).join(numbered, ["doc_id", "__digest"], "left")
-    return keyed.select(*docs.columns, key.alias("__key"))
-
-
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each group of linked documents.
 
     Rows without an id are linked with nothing and stay. Of rows that repeat both id and text
     one stays; rows that repeat an id with different texts are documents of their own.
     """
-    keyed = _with_key(docs)
+    keyed = with_row_key(docs)
     classes = store(ngram_jaccard.jaccard_classes(keyed, doc_id="__key"))
     others = classes.where("component_id <> __key").select("__key").distinct()
     repeated = classes.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("rows")).where("rows > 1")
