@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetide.operators import membership
+from pricetide.operators import membership, search
 from pricetide.queries import views
 from pricetide.queries.registry import query
 
@@ -117,6 +117,24 @@ def member_search(spark: SparkSession, sf: str) -> DataFrame:
     return active.unionByName(ever)
 
 
+@query(
+    "indexed_member_search",
+    "P6 D18 K8",
+    "index_code:s cm_product_id:i variant_key:s name:s set_name:s member_since:s inactive:b",
+    f"""SELECT *, false AS inactive FROM intervals WHERE {_ON.format(_D2)} AND (lower(name) LIKE '%set 1%' OR lower(set_name) LIKE '%set 1%' OR variant_key LIKE '%set 1%')
+    UNION ALL SELECT *, true FROM intervals WHERE member_since <= DATE '{_D2}' AND (lower(name) LIKE '%1%' OR lower(set_name) LIKE '%1%' OR CAST(cm_product_id AS VARCHAR) LIKE '%1%')""",
+    ["intervals"],
+)
+def indexed_member_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches of `member_search` through a stored trigram index."""
+    rows = views.intervals(spark, sf)
+    index = search.MemberIndex(spark, views.scratch(spark))
+    index.build(rows)
+    active = index.search(rows, F.lit(_D2), "  SET 1 ").withColumn("inactive", F.lit(False))
+    ever = index.search(rows, F.lit(_D2), "1", include_inactive=True).withColumn("inactive", F.lit(True))
+    return active.unionByName(ever)
+
+
 @query(
     "composition_delta",
     "J17 D18",

@@ -11,6 +11,7 @@ _TYPES: dict[str, T.DataType] = {
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
     "date": T.DateType(),
+    "binary": T.BinaryType(),
     "array<string>": T.ArrayType(T.StringType()),
     "map<string,string>": T.MapType(T.StringType(), T.StringType()),
 }
