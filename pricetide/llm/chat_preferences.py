@@ -11,36 +11,35 @@ HEAD, MIDDLE, TAIL = "<|", "|>\n", "<|end|>\n"
 LEARNT = "assistant"
 
 
-def _numbered(turns: DataFrame, pair_id: str) -> DataFrame:
-    """Turns with a place (turn, nth): turns that repeat a number follow by role and text."""
-    kept = turns.where(F.col(pair_id).isNotNull()).select(
-        F.col(pair_id).alias("pair"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    same = Window.partitionBy("pair", "turn").orderBy("role", "text")
-    return kept.withColumn("nth", F.row_number().over(same)).select(
-        "pair", F.struct("turn", "nth").alias("place"), "role", "text"
+_PARTS = ("prompt", "chosen", "rejected")
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def _side(turns: DataFrame, pair_id: str, side: str) -> DataFrame:
+    """The turns of one side; null roles and texts are empty."""
+    return turns.where(F.col(pair_id).isNotNull()).select(
+        F.col(pair_id).alias("pair"),
+        F.lit(side).alias("side"),
+        "turn",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
     )
 
 
-def _rendered(turns: DataFrame) -> DataFrame:
-    """Each turn as text, the length of its head, and whether its text is learnt."""
-    head = F.concat(F.lit(HEAD), "role", F.lit(MIDDLE))
-    return turns.select(
-        "pair",
-        "part",
-        "place",
-        F.concat(head, "text", F.lit(TAIL)).alias("body"),
+def _rendered(turn: F.Column) -> F.Column:
+    """A turn with its place as text, the length of its head, and whether its text is learnt."""
+    head = F.concat(F.lit(HEAD), turn["role"], F.lit(MIDDLE))
+    return F.struct(
+        F.col("place"),
+        F.concat(head, turn["text"], F.lit(TAIL)).alias("body"),
         F.length(head).alias("head"),
-        (F.col("role") == LEARNT).alias("learnt"),
+        (turn["role"] == LEARNT).alias("learnt"),
     )
 
 
-def _joined(turns: DataFrame) -> DataFrame:
-    """A row (pair, part, body, mask, turns): turns in order, and spans that are learnt."""
-    listed = turns.groupBy("pair", "part").agg(
-        F.sort_array(F.collect_list(F.struct("place", "body", "head", "learnt"))).alias("each")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+def _mask(each: F.Column) -> F.Column:
+    """The spans of learnt texts, and what ends them, in turns that are joined in order."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
 
     def add(so_far: F.Column, turn: F.Column) -> F.Column:
         end = so_far["at"] + F.length(turn["body"])
@@ -49,13 +48,7 @@ def _joined(turns: DataFrame) -> DataFrame:
             end.alias("at"), F.when(turn["learnt"], F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"]).alias("spans")
         )
 
-    return listed.select(
-        "pair",
-        "part",
-        F.array_join(F.col("each.body"), "").alias("body"),
-        F.aggregate("each", start, add)["spans"].alias("mask"),
-        F.size("each").cast("long").alias("turns"),
-    )
+    return F.aggregate(each, start, add)["spans"]
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pair_id") -> DataFrame:
@@ -67,38 +60,35 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, pair_id: str = "pai
     head of the turn); and the number of turns of all three.
 
     Turns are ordered by number, null before all others; turns with the same number by role and
-    text. Null roles and texts are empty. Rows without an id belong to no pair, an id that one side lacks is left
-    out, and equal conversations have empty completions. The comparison goes turn by turn, so
-    only what is rendered into one text is ever in one place. Other columns play no part.
+    text. Null roles and texts are empty. Rows without an id belong to no pair, an id that one
+    side lacks is left out, and equal conversations have empty completions. Other columns play
+    no part. The turns of both sides are shuffled once, by pair; a pair is gathered because its
+    turns are rendered into one row.
     """
-    left, right = _numbered(chosen, pair_id), _numbered(rejected, pair_id)
-    both = left.alias("l").join(right.alias("r"), ["pair", "place"], "full")
-    differs = ~(F.col("l.role").eqNullSafe(F.col("r.role")) & F.col("l.text").eqNullSafe(F.col("r.text")))
-    first = both.groupBy("pair").agg(
-        F.min(F.when(differs, F.col("place"))).alias("first"),
-        F.max(F.col("l.role").isNotNull()).alias("in_left"),
-        F.max(F.col("r.role").isNotNull()).alias("in_right"),
-    )
-    first = first.where("in_left AND in_right").select("pair", "first")
+    both = _side(chosen, pair_id, "chosen").unionByName(_side(rejected, pair_id, "rejected")).repartition("pair")
+    same = Window.partitionBy("pair", "turn", "side").orderBy("role", "text")
+    placed = both.withColumn("nth", F.row_number().over(same)).withColumn("place", F.struct("turn", "nth"))
+    said = F.struct("role", "text")
+    met = placed.groupBy("pair", "place").agg(*(F.max(F.when(F.col("side") == s, said)).alias(s) for s in ("chosen", "rejected")))
+    whole = Window.partitionBy("pair")
+    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
+    met = met.select(
+        "*",
+        F.min(F.when(differs, F.col("place"))).over(whole).alias("first"),
+        *(F.max(F.col(s).isNotNull()).over(whole).alias(f"in_{s}") for s in ("chosen", "rejected")),
+    ).where("in_chosen AND in_rejected")
     shared = F.col("first").isNull() | (F.col("place") < F.col("first"))
-    turns = left.join(first, "pair").withColumn("part", F.when(shared, "prompt").otherwise("chosen"))
-    turns = turns.unionByName(right.join(first, "pair").where(~shared).withColumn("part", F.lit("rejected")))
-    parts = _joined(_rendered(turns))
-    sides = first.select("pair").join(
-        parts.groupBy("pair").agg(
-            *(
-                F.max(F.when(F.col("part") == part, F.struct("body", "mask", "turns"))).alias(part)
-                for part in ("prompt", "chosen", "rejected")
-            )
-        ),
-        "pair",
-    )
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return sides.select(
+    turns = {
+        "prompt": F.when(shared, _rendered(F.col("chosen"))),
+        "chosen": F.when(~shared & F.col("chosen").isNotNull(), _rendered(F.col("chosen"))),
+        "rejected": F.when(~shared & F.col("rejected").isNotNull(), _rendered(F.col("rejected"))),
+    }
+    listed = met.groupBy("pair").agg(*(F.sort_array(F.collect_list(c)).alias(p) for p, c in turns.items()))
+    return listed.select(
         F.col("pair").alias(pair_id),
-        *(F.coalesce(f"{p}.body", F.lit("")).alias(p) for p in ("prompt", "chosen", "rejected")),
-        *(F.coalesce(f"{p}.mask", none).alias(f"{p}_mask") for p in ("chosen", "rejected")),
-        *(F.coalesce(f"{p}.turns", F.lit(0).cast("long")).alias(f"{p}_turns") for p in ("prompt", "chosen", "rejected")),
+        *(F.array_join(F.col(f"{p}.body"), "").alias(p) for p in _PARTS),
+        *(_mask(F.col(p)).alias(f"{p}_mask") for p in ("chosen", "rejected")),
+        *(F.size(p).cast("long").alias(f"{p}_turns") for p in _PARTS),
     )
 
 
@@ -119,8 +109,9 @@ def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     named = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
     columns = [F.col("conv_id").alias("pair_id"), "turn", "role", "text"]
-    replied = F.col("reply").isNotNull() & F.col("turn").eqNullSafe(F.col("reply.turn")) & F.col("role").eqNullSafe(F.lit(LEARNT))
-    others = named.join(last, "conv_id", "left").where(~replied).select(*columns)
+    replied = F.col("has_reply").isNotNull() & F.col("turn").eqNullSafe(F.col("reply_turn")) & F.col("role").eqNullSafe(F.lit(LEARNT))
+    at = last.select("conv_id", F.col("reply.turn").alias("reply_turn"), F.lit(True).alias("has_reply"))
+    others = named.join(at, "conv_id", "left").where(~replied).select(*columns)
     mates = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("reply.text").alias("text"))
     swapped = last.select("conv_id", "reply.turn").join(mates, "conv_id")
     reply = swapped.select(F.col("conv_id").alias("pair_id"), "turn", F.lit(LEARNT).alias("role"), "text")
