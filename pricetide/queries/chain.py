@@ -190,14 +190,10 @@ _RUN = date(1999, 6, 30)
     ["price_panel"],
 )
 def prices_up_to_run_date(spark: SparkSession, sf: str) -> DataFrame:
+    from pricetide.plans.daily import merge_price_partitions
     from pricetide.sources.tables import read_prices
+    from pricetide.streaming.prices import price_rows
 
     root = views.scratch(spark)
-    (
-        views.price_panel(spark, sf)
-        .withColumn("month", F.date_format("value_date", "yyyy-MM"))
-        .repartition("game_key", "month")
-        .write.partitionBy("game_key", "month")
-        .parquet(root)
-    )
+    merge_price_partitions(spark, root, price_rows(views.price_panel(spark, sf)))
     return read_prices(spark, root, _RUN)
