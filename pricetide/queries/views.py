@@ -159,7 +159,10 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def price_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily prices per brand and variant."""
+    """Daily prices per brand and variant.
+
+    Averages are taken over decimals, whose sums don't depend on the order of rows.
+    """
     price = F.when(
         F.col("variant_key") == "foil", F.col("l_extendedprice") / F.col("l_quantity")
     ).otherwise(F.col("p_retailprice") * (1 - F.col("l_discount")))
@@ -168,7 +171,7 @@ def price_panel(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("price", price)
         .groupBy("cm_product_id", "variant_key", "value_date")
         .agg(
-            F.round(F.avg(F.when(F.col("l_linestatus") == "O", F.col("price"))), 8).alias("listed"),
+            F.round(F.avg(F.when(F.col("l_linestatus") == "O", F.col("price").cast("decimal(28,12)"))), 8).cast("double").alias("listed"),
             F.round(F.min("price"), 8).alias("price_low"),
         )
     )

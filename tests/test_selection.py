@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 from dataclasses import replace
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -207,3 +207,28 @@ def test_snapshot_hash_sees_order_and_values(spark):
     b = spark.createDataFrame([("X", DAY, 2, "a", 0.9, 1.0), ("X", DAY, 1, "b", 0.8, 1.0)], schema)
     sha = [selection.snapshot_fingerprints(x).first().snapshot_sha256 for x in (a, a.orderBy("rank"), b)]
     assert sha[0] == sha[1] != sha[2]
+
+
+def test_prices_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    from pricetide.queries import views
+
+    dice = random.Random(5)
+    columns = "l_partkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_linestatus string, l_returnflag string, l_shipdate timestamp"
+    # 32 prices of four decimals a day: their mean often ends in half of the eighth decimal.
+    lines = [
+        (dice.randrange(9), 1.0, 1.0, dice.randrange(11) / 100, "O", "N", datetime(1996, 1, 1) + timedelta(days=day))
+        for day in range(300)
+        for _ in range(32)
+    ]
+    parts = [(k, "Brand#7", 901.13 + k * 113.71) for k in range(9)]
+    found = []
+    for name, order in (("forward", lines), ("backward", lines[::-1])):
+        spark.createDataFrame(order, columns).coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        spark.createDataFrame(parts, "p_partkey bigint, p_brand string, p_retailprice double").write.parquet(f"{tmp_path}/{name}/part.parquet")
+        found.append(rows(views.price_panel(spark, f"{tmp_path}/{name}"), "value_date", "price_avg", "price_low"))
+    assert found[0] == found[1]
+    exact = {}
+    for key, *_, discount, _, _, day in lines:
+        exact[day.date()] = exact.get(day.date(), 0) + round((901.13 + key * 113.71) * 100) * (100 - round(discount * 100))
+    # Sums are ten-thousandths; a mean's half goes up.
+    assert [r[1] for r in found[0]] == [(exact[r[0]] * 10**5 // 32 + 5) // 10 / 10**8 for r in found[0]]
