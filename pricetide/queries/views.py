@@ -73,22 +73,20 @@ def write_archive(
     Returns the archive's folder. A file is written line by line, a record a line in order of
     `n`. `sha` replaces the hash that manifests declare.
     """
-    from pyspark.sql import Window
-
     from pricetide.session import cut_lineage
     from pricetide.sources.object_files import write_objects
+    from pricetide.sources.snapshot_files import with_key
+
+    def envelope(key: str) -> tuple[str, str]:
+        kind, day = key.split("/")[1], key.rpartition("/")[2][:10]
+        member = "products" if kind == "catalogue" else "priceGuides"
+        return f'{{"version": 1, "createdAt": "{day}", "{member}": [', "]}"
 
     root = root or scratch(spark)
-    keyed = records.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
-    placed = keyed.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("n")))
-    body = placed.select("key", "pos", F.concat(F.when(F.col("pos") > 1, ",").otherwise(""), F.col("text")).alias("text"))
-    keys = keyed.select("key", "game_key", "run_date", "kind").distinct()
-    member = F.when(F.col("kind") == "catalogue", "products").otherwise("priceGuides")
-    opening = F.concat(F.lit('{"version": 1, "createdAt": "'), F.col("run_date").cast("string"), F.lit('", "'), member, F.lit('": ['))
-    head = keys.select("key", F.lit(0).alias("pos"), opening.alias("text"))
-    tail = keys.select("key", F.lit(2**31 - 1).alias("pos"), F.lit("]}").alias("text"))
-    # Writing is the action here, so it is run once.
-    written = cut_lineage(write_objects(body.unionByName(head).unionByName(tail), root).join(keys, "key"))
+    key = snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date"))
+    lines = records.select(key.alias("key"), F.col("n").alias("pos"), "text")
+    # Writing is the action here, so it is run once; the files' names give the other columns.
+    written = cut_lineage(with_key(write_objects(lines, root, envelope).withColumnRenamed("key", "path")))
     entry = F.struct(
         F.col("game_key").alias("game"),
         "kind",

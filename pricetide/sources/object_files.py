@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from typing import Any
 from uuid import uuid4
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes read at a time.
@@ -103,13 +104,25 @@ def list_objects(spark: SparkSession, root: str, depth: int = 1) -> DataFrame:
     return spark.read.format("object_listing").option("path", root).option("depth", str(depth)).load()
 
 
-def write_objects(lines: DataFrame, root: str) -> DataFrame:
+def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` dealt by a hash of `columns` to the session's number of shuffle partitions.
+
+    The number is stated, as few small rows that stand for large objects would otherwise be
+    coalesced into one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def write_objects(
+    lines: DataFrame, root: str, envelope: Callable[[str], tuple[str, str]] | None = None
+) -> DataFrame:
     """Write one object for each key, from its lines in order of `pos`, unless the key is taken.
 
     `lines` has key, pos and text. Returns a row (key, size, sha256, status) for each: created,
     existing (the same content is there), or conflict (other content is there and stays). A key's
     lines go through one task, piece by piece; the object appears under its name by a rename, so
-    a task that is lost or repeated leaves no half object.
+    a task that is lost or repeated leaves no half object. With `envelope`, the first and the
+    last line of an object are those it gives for the key, and commas part the lines between.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,39 +134,58 @@ def write_objects(lines: DataFrame, root: str) -> DataFrame:
 
         current = None
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            # Lines of a key lie together, so a batch is a few runs of them.
+            runs, start = pc.run_end_encode(batch.column("key")), 0
+            for key, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
                 if current is None or current.key != key:
                     if current is not None:
                         yield out(*current.close())
-                    current = _Object(root, key)
-                current.add(text)
+                    current = _Object(root, key, envelope)
+                current.add(batch.column("text").slice(start, end - start).to_pylist())
+                start = end
         if current is not None:
             yield out(*current.close())
 
-    sorted_lines = lines.repartition("key").sortWithinPartitions("key", "pos").select("key", "text")
+    sorted_lines = dealt(lines, "key").sortWithinPartitions("key", "pos").select("key", "text")
     return sorted_lines.mapInArrow(run, "key string, size bigint, sha256 string, status string")
 
 
 class _Object:
     """An object that is being written beside its name."""
 
-    def __init__(self, root: str, key: str) -> None:
+    def __init__(self, root: str, key: str, envelope: Callable[[str], tuple[str, str]] | None) -> None:
         self.key = key
         self.uri = f"{root.rstrip('/')}/{key}"
         self.fs, self.path = resolve(self.uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         folder, _, name = self.path.rpartition("/")
         self.waiting = f"{folder}/.{name}.{uuid4().hex}"
-        self.stream = self.fs.open_output_stream(self.waiting, compression="gzip" if key.endswith(".gz") else None)
-        self.hash, self.size = hashlib.sha256(), 0
-
-    def add(self, text: str | None) -> None:
-        body = (text or "").encode() + b"\n"
+        self.stream = self.fs.open_output_stream(self.waiting, compression=None)
+        self.packer = zlib.compressobj(wbits=31) if key.endswith(".gz") else None
+        self.hash, self.size, self.lines = hashlib.sha256(), 0, 0
+        self.separator, self.last = "\n", None
+        if envelope is not None:
+            first, self.last = envelope(key)
+            self._write(first + "\n")
+            self.separator = "\n,"
+
+    def add(self, texts: list[str | None]) -> None:
+        """Append some lines."""
+        text = self.separator.join([t or "" for t in texts]) + "\n"
+        self._write("," + text if self.last is not None and self.lines else text)
+        self.lines += len(texts)
+
+    def _write(self, text: str) -> None:
+        body = text.encode()
         self.hash.update(body)
         self.size += len(body)
-        self.stream.write(body)
+        self.stream.write(body if self.packer is None else self.packer.compress(body))
 
     def close(self) -> tuple[str, int, str, str]:
+        if self.last is not None:
+            self._write(self.last + "\n")
+        if self.packer is not None:
+            self.stream.write(self.packer.flush())
         self.stream.close()
         sha = self.hash.hexdigest()
         if self.fs.get_file_info(self.path).type == pafs.FileType.NotFound:
@@ -181,8 +213,7 @@ def measure_objects(keys: DataFrame, root: str, measure: Any, schema: str) -> Da
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    whole = F.col("key")
     parsed = keys.sparkSession.createDataFrame([], f"key string, {schema}").schema
     shape, kinds = to_arrow_schema(parsed), [f.name for f in parsed.fields[1:]]
     # Opening is what takes time, so keys are dealt evenly however few files they come from.
-    return keys.select("key").distinct().repartition(whole).mapInArrow(run, parsed)
+    return dealt(keys.select("key"), "key").distinct().mapInArrow(run, parsed)

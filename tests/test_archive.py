@@ -209,3 +209,26 @@ def test_sample_is_stable_and_sized(spark):
     assert len(first) == 6
     assert first == rows(archive.sample_files(keys.repartition(7), 0.051, "s"), "key")
     assert archive.sample_files(keys.limit(0), 0.5, "s").count() == 0
+
+
+def test_few_files_are_read_by_several_tasks(spark, tmp_path):
+    from pricetide.sources.snapshot_files import key_records, measure_keys
+
+    keys = [f"cardmarket/catalogue/onepiece/2026/08/2026-08-{d:02}.json" for d in range(1, 13)]
+    for key in keys:
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_text('{"products": [{"idProduct": 1}]}')
+    named = spark.createDataFrame([(k,) for k in keys], "key string")
+    for read in (measure_keys(named, str(tmp_path)), key_records(named, str(tmp_path))):
+        tasks = read.select("key", F.spark_partition_id().alias("task")).collect()
+        assert sorted(r["key"] for r in tasks) == keys
+        assert len({r["task"] for r in tasks}) > 1
+
+
+def test_envelope_around_an_objects_lines(spark, tmp_path):
+    lines = spark.createDataFrame([(k, p, f'"{p}é"') for k in ("a.json", "b.json.gz") for p in (3, 1, 2)], "key string, pos int, text string")
+    written = write_objects(lines, str(tmp_path), lambda key: (f'{{"of": "{key}", "data": [', "]}"))
+    assert {r["status"] for r in written.collect()} == {"created"}
+    text = (tmp_path / "a.json").read_text()
+    assert text == '{"of": "a.json", "data": [\n"1é"\n,"2é"\n,"3é"\n]}\n'
+    assert gzip.decompress((tmp_path / "b.json.gz").read_bytes()).decode() == text.replace("a.json", "b.json.gz")
