@@ -402,17 +402,20 @@ def part_game(pid: Column) -> Column:
 
 def _enveloped(key: Column, records: Column) -> Column:
     """A JSON document around an array of record texts; the shape depends on the key."""
-    body = F.concat(
+    # The records stand in one place: a copy of their expression for each shape makes the
+    # generated method too long for the JVM to compile.
+    meta = '{"version": 1, "createdAt": "2001-01-01T00:00:00+0000", "%s": '
+    head = F.when(key % 6 == 0, "")
+    for i, member in enumerate(["data", "products", "priceGuide", "priceGuides", "items"], start=1):
+        head = head.when(key % 6 == i, meta % member)
+    return F.concat(
+        head,
         F.lit("["),
         F.when(key % 2 == 0, '"stray", ').otherwise(""),
         F.array_join(records, ", "),
         F.lit("]"),
+        F.when(key % 6 == 0, "").otherwise("}"),
     )
-    meta = '{"version": 1, "createdAt": "2001-01-01T00:00:00+0000", "%s": '
-    shape = F.when(key % 6 == 0, body)
-    for i, member in enumerate(["data", "products", "priceGuide", "priceGuides", "items"], start=1):
-        shape = shape.when(key % 6 == i, F.concat(F.lit(meta % member), body, F.lit("}")))
-    return shape
 
 
 def price_documents(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,8 @@ runs per record.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -101,25 +103,34 @@ def bad_envelopes(documents: DataFrame) -> DataFrame:
     return documents.filter(record_list(F.col("body")).isNull()).drop("body")
 
 
-def _record_schema() -> StructType:
-    names = sorted({alias for group in ALIASES.values() for alias in group})
+#: Fields of the records of each kind.
+CATALOGUE_FIELDS = (*_LONG, *_TEXT)
+PRICE_FIELDS = ("cm_product_id", "cm_category_id", *(n for n in ALIASES if n.startswith(("base_", "foil_", "holo_"))))
+
+
+def _record_schema(fields: Iterable[str]) -> StructType:
+    names = sorted({alias for name in fields for alias in ALIASES[name]})
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def typed_records(records: DataFrame) -> DataFrame:
-    """Resolve the alias names of every field and coerce ids and prices."""
-    parsed = records.withColumn("r", F.from_json("item", _record_schema())).drop("item")
+def typed_records(records: DataFrame, fields: Iterable[str] = tuple(ALIASES)) -> DataFrame:
+    """Resolve the alias names of `fields` (by default all) and coerce ids and prices.
+
+    Members of a record that no field asks for are skipped by the parser.
+    """
+    fields = tuple(fields)
+    parsed = records.withColumn("r", F.from_json("item", _record_schema(fields))).drop("item")
 
     def pick(name: str) -> Column:
         return first_present(*[F.col("r").getField(alias) for alias in ALIASES[name]])
 
-    fields = []
-    for name in ALIASES:
+    columns = []
+    for name in fields:
         value = pick(name)
         if name in _LONG:
             value = value.try_cast("bigint")
         elif name not in _TEXT:
             value = value.try_cast("double")
-        fields.append(value.alias(name))
+        columns.append(value.alias(name))
     keep = [F.col(c) for c in parsed.columns if c != "r"]
-    return parsed.select(*keep, *fields)
+    return parsed.select(*keep, *columns)

@@ -353,3 +353,23 @@ def test_missing_catalogue(spark, tmp_path):
     assert tables.read_catalogue(spark, str(tmp_path / "none"), PRODUCTS).count() == 0
     with pytest.raises(RuntimeError):
         tables.read_catalogue(spark, str(tmp_path / "none"), PRODUCTS, required=True)
+
+
+def test_only_the_wanted_members_of_records_are_parsed(spark):
+    rows = spark.createDataFrame([('{"idProduct": 7, "average": 2.5, "name": "n", "foilAvg": 3}',)], "item string")
+    typed = snapshots.typed_records(rows, ["cm_product_id", "base_avg"])
+    assert [tuple(r) for r in typed.collect()] == [(7, 2.5)]
+    assert [f.name for f in snapshots._record_schema(["base_avg"]).fields] == ["average", "avg", "avgPrice", "price_avg"]
+
+
+def test_an_envelope_holds_its_records_once(spark):
+    from pyspark.sql import functions as F
+
+    from pricetide.queries import views
+
+    keys = spark.range(12).withColumnRenamed("id", "k")
+    body = views._enveloped(F.col("k"), F.array(F.concat(F.lit('{"id": '), F.reverse(F.col("k").cast("string")), F.lit("}"))))
+    frame = keys.select("k", body.alias("body"))
+    assert frame._jdf.queryExecution().analyzed().toString().count("reverse") == 1
+    bodies = {r["k"]: r["body"] for r in frame.collect()}
+    assert bodies[0] == '["stray", {"id": 0}]' and bodies[3] == '{"version": 1, "createdAt": "2001-01-01T00:00:00+0000", "priceGuide": [{"id": 3}]}'
