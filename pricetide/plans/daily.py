@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
 
@@ -28,7 +28,7 @@ from pricetide.sinks.tables import append_receipts, measure, read_stored, replac
 from pricetide.sinks.versions import VersionedTable
 from pricetide.sources.manifests import manifest_files, stream_manifests
 from pricetide.sources.snapshot_files import key_records, measure_keys
-from pricetide.sources.snapshots import explode_records, typed_records
+from pricetide.sources.snapshots import ALIASES, CATALOGUE_FIELDS, PRICE_FIELDS, explode_records, typed_records
 
 
 @dataclass(frozen=True)
@@ -45,24 +45,34 @@ class NormalizedBatch:
     invalid: DataFrame
 
 
-def read_records(documents: DataFrame) -> DataFrame:
+def read_records(documents: DataFrame, fields: Iterable[str] = tuple(ALIASES)) -> DataFrame:
     """Typed records of snapshot documents (game_key, run_date, kind, body)."""
-    return typed_records(explode_records(documents.select("game_key", "run_date", "kind", "body")))
+    return typed_records(explode_records(documents.select("game_key", "run_date", "kind", "body")), fields)
 
 
 def normalize_documents(documents: DataFrame, categories: DataFrame) -> NormalizedBatch:
     """Normalise snapshot documents (game_key, run_date, kind, body) of any number of
     games and days in one plan; game and day are key columns."""
-    return normalize_records(read_records(documents), categories)
+    return _normalize(
+        read_records(documents.filter(F.col("kind") == "catalogue"), CATALOGUE_FIELDS),
+        read_records(documents.filter(F.col("kind") == "priceguide"), PRICE_FIELDS),
+        read_records(documents, ["cm_product_id"]),
+        categories,
+    )
 
 
 def normalize_records(records: DataFrame, categories: DataFrame) -> NormalizedBatch:
     """Tables of typed records; the kind of a price row is that of its day's catalogue."""
-    known = records.filter(F.col("cm_product_id").isNotNull())
-    catalogue = normalize.catalogue_records(
-        known.filter(F.col("kind") == "catalogue"), categories
+    return _normalize(
+        records.filter(F.col("kind") == "catalogue"), records.filter(F.col("kind") == "priceguide"), records, categories
     )
-    guide = known.filter(F.col("kind") == "priceguide")
+
+
+def _normalize(catalogue: DataFrame, guide: DataFrame, records: DataFrame, categories: DataFrame) -> NormalizedBatch:
+    """Tables of the records of both kinds; `records` has the ids of these and of any other kind."""
+    known = F.col("cm_product_id").isNotNull()
+    catalogue = normalize.catalogue_records(catalogue.filter(known), categories)
+    guide = guide.filter(known)
     products = normalize.products_table(catalogue)
     kinds = catalogue.select("game_key", "run_date", "cm_product_id", "product_kind")
     prices = normalize.prices_table(guide, kinds).select(*[f.name for f in PRICES.fields])
