@@ -96,6 +96,12 @@ def word_terms(word: bytes, prefixes: tuple[int, ...]) -> Iterator[bytes]:
             yield word[:length] + b"*"
 
 
+def text_terms(text: str | None, prefixes: tuple[int, ...]) -> set[bytes]:
+    """The distinct terms of a text."""
+    words = set((text or "").encode().translate(NORMAL).split())
+    return {t for w in words for t in word_terms(w, prefixes)}
+
+
 class BlockMaxIndex:
     """Postings of the examples' unit vectors by term, and each block's largest weight."""
 
@@ -272,11 +278,8 @@ def fit(
     """
     settings = settings or Settings()
     examples = _labelled(docs, labels, settings, text, doc_id, label)
-    words = [set((t or "").encode().translate(NORMAL).split()) for _, _, t, _ in examples]
-    term_sets = (
-        ({t for w in found for t in word_terms(w, settings.prefixes)}, example[1])
-        for found, example in zip(words, examples, strict=True)
-    )
+    # One example's terms at a time; those of all examples would take more memory than their texts.
+    term_sets = ((text_terms(t, settings.prefixes), toxic) for _, toxic, t, _ in examples)
     numbers = {t: n for n, t in enumerate(_choose_terms(term_sets, settings))}
     rows, held = (
         document_frequencies(corpus if corpus is not None else docs, text, numbers, settings)

@@ -75,3 +75,27 @@ def test_examples_up_to_four_thousand_a_class_are_indexed(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     assert len(toxicity.fit(docs, labels).names) == 7000
+
+
+def test_terms_of_one_example_are_held_at_a_time(spark, monkeypatch):
+    import gc
+    import weakref
+
+    class Held(set):
+        pass
+
+    alive, most = [], 0
+    plain = toxicity.text_terms
+
+    def watched(text, prefixes):
+        nonlocal most
+        found = Held(plain(text, prefixes))
+        alive.append(weakref.ref(found))
+        gc.collect()
+        most = max(most, sum(r() is not None for r in alive))
+        return found
+
+    monkeypatch.setattr(toxicity, "text_terms", watched)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    toxicity.fit(documents(spark, [f"word{i % 2} other{i}" for i in range(20)]), labels, toxicity.Settings(min_chi=1))
+    assert len(alive) == 20 and most <= 3
