@@ -23,7 +23,7 @@ from pricetide.operators.archive import (
 )
 from pricetide.params import SOURCE_KINDS
 from pricetide.schemas import PRICE_TABLE, PRICES, PRODUCTS, SETS, VARIANTS, struct
-from pricetide.session import cut_lineage
+from pricetide.session import cut_lineage, store
 from pricetide.sinks.tables import append_receipts, measure, read_stored, replace_groups, stored
 from pricetide.sinks.versions import VersionedTable
 from pricetide.sources.manifests import manifest_files, stream_manifests
@@ -176,7 +176,7 @@ def run_normalize(
         *(F.max(F.when(F.col("kind") == kind, F.col("sha256"))).alias(f"{kind}_sha256") for kind in SOURCE_KINDS)
     )
     rejected = cut_lineage(_rejected_by_manifest(files, documents, min_records))
-    records = cut_lineage(landed.read(documents.join(rejected, DAY, "left_anti")))
+    records = store(landed.read(documents.join(rejected, DAY, "left_anti")))
     first = normalize_records(records, categories)
     spoiled = first.duplicates.select(*DAY).unionByName(first.invalid.select(*DAY)).distinct()
     quality = (
@@ -198,16 +198,18 @@ def run_normalize(
     append_receipts(spark, f"{root}/quality", quality, DAY)
     merged = quality.filter(F.col("status").isin("pass", "fail")).select(*DAY)
     clean = normalize_records(records.join(merged, DAY, "left_semi"), categories)
+    # Four outputs come from the prices, whose join and ids are worked out once.
+    prices = store(clean.prices)
     unknown = cut_lineage(clean.unknown_categories.select(*DAY, "category"))
     replace_groups(spark, f"{root}/unknown_categories", unknown, merged)
 
     tables = {
         "products": merge_catalogue_table(spark, f"{root}/products", clean.products, PRODUCTS, "stable_product_id"),
         "sets": merge_catalogue_table(spark, f"{root}/sets", clean.sets, SETS, "stable_set_id"),
-        "variants": merge_catalogue_table(spark, f"{root}/variants", clean.variants, VARIANTS, "stable_variant_id"),
-        "prices": merge_price_partitions(spark, f"{root}/prices", clean.prices),
+        "variants": merge_catalogue_table(spark, f"{root}/variants", normalize.variants_table(prices), VARIANTS, "stable_variant_id"),
+        "prices": merge_price_partitions(spark, f"{root}/prices", prices),
     }
-    counts = clean.prices.groupBy("game_key", F.col("value_date").alias("run_date")).agg(
+    counts = prices.groupBy("game_key", F.col("value_date").alias("run_date")).agg(
         F.count(F.lit(1)).alias("price_rows"),
         F.count_distinct("stable_variant_id").alias("catalogue_variants"),
     )

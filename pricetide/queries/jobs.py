@@ -12,7 +12,7 @@ from pricetide.plans import daily
 from pricetide.queries import views
 from pricetide.queries.registry import query
 from pricetide.schemas import HISTORY, QUALITY, struct
-from pricetide.session import cut_lineage
+from pricetide.session import cut_lineage, store
 from pricetide.sinks import exports, tables
 from pricetide.sources import categories, holdings, manifests, snapshot_files, snapshots
 from pricetide.sources.object_files import list_objects, write_objects
@@ -163,7 +163,7 @@ _BACKFILLED = """WITH days AS (SELECT CAST(unnest(generate_series(min(run_date),
 def resumed_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """A backfill stream over two arrivals of manifests, the second run going on from the first's
     checkpoint; days with a wrong manifest are rejected."""
-    records = cut_lineage(views.monthly_listings(spark, sf))
+    records = store(views.monthly_listings(spark, sf))
     root, out, checkpoint = views.scratch(spark), views.scratch(spark), views.scratch(spark)
     known = views.categories(spark)
     first, last = records.agg(F.min("run_date"), F.max("run_date")).first()

@@ -373,3 +373,23 @@ def test_an_envelope_holds_its_records_once(spark):
     assert frame._jdf.queryExecution().analyzed().toString().count("reverse") == 1
     bodies = {r["k"]: r["body"] for r in frame.collect()}
     assert bodies[0] == '["stray", {"id": 0}]' and bodies[3] == '{"version": 1, "createdAt": "2001-01-01T00:00:00+0000", "priceGuide": [{"id": 3}]}'
+
+
+def test_prices_of_a_run_are_worked_out_once(spark, tmp_path, monkeypatch):
+    worked_out = spark.sparkContext.accumulator(0)
+    original = normalize.prices_table
+
+    def counted(records, products):
+        prices = original(records, products)
+
+        def run(batches):
+            for batch in batches:
+                worked_out.add(batch.num_rows)
+                yield batch
+
+        return prices.mapInArrow(run, prices.schema)
+
+    monkeypatch.setattr(normalize, "prices_table", counted)
+    root = str(tmp_path / "tables")
+    run_day(spark, documents(spark, *day_docs(n=5)), categories.category_frame(spark, MAP), root)
+    assert worked_out.value == sinks.read_stored(spark, f"{root}/prices").count()
