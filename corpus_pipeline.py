@@ -30,11 +30,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     keyed = with_row_key(docs)
     classes = store(ngram_jaccard.jaccard_classes(keyed, doc_id="__key"))
-    others = classes.where("component_id <> __key").select("__key").distinct()
+    # The keys are stored, so that few of them go to the texts and not the texts to them.
+    others = store(classes.where("component_id <> __key").select("__key").distinct())
     repeated = classes.where("__key IS NOT NULL").groupBy("__key").agg(F.count("*").alias("rows")).where("rows > 1")
+    repeated = store(repeated.select("__key"))
     kept = keyed.join(others, "__key", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
     once = kept.join(repeated, "__key", "left_anti")
-    again = kept.join(repeated.select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    again = kept.join(repeated, "__key", "left_semi").dropDuplicates(["__key"])
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 

@@ -19,6 +19,9 @@ from pricetide.session import ensure_checkpoint_dir
 #: Bytes of text that numpy code handles at a time; a longer text is handled alone and whole.
 SLICE_BYTES = 1_000_000
 
+#: Spark's setting to delete an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The separators of words, and the lower-casing of A-Z.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -45,10 +48,23 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it again: the lineage ends there."""
-    path = scratch_path(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` to the shared folder and read it again: the lineage ends there.
+
+    The shuffle files of the write are deleted with it, so they don't add up over the steps of an
+    operator; nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*stored: DataFrame) -> None:

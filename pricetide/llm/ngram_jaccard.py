@@ -37,6 +37,7 @@ from pricetide.llm.common import (
     word_hashes,
     word_places,
 )
+from pricetide.llm.substring_dedup import _filter_table, _slot
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,8 @@ class Settings:
 
 SKETCH_PARTS = 64
 _CLASS_BITS = 6
+#: Slots for each node in the bit table that keeps other texts out of the shuffle, and its least and greatest size (powers of 2).
+_SLOTS_PER_NODE, _LEAST_BITS, _MOST_BITS = 16, 16, 28
 
 
 def text_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -170,7 +173,9 @@ def _classes(rows: DataFrame, s: Settings) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Prefix postings (token, set, n, pos, held) of tokens that several sets have, and the stored table they come from.
+    """Two stored tables of prefix postings (token, set, n, pos, held) of tokens that several sets have.
+
+    The first has the tokens that were gathered in buckets, the second the frequent ones.
 
     Tasks send their postings to buckets of tokens in packed rows, each set once. Postings of
     tokens that the sketch holds frequent skip the search for a second set, so that no bucket
@@ -253,8 +258,8 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
     )
     found = store(packed.groupBy("bucket").applyInArrow(shared, "token long, set long, n int, pos int, held long"))
     # Postings that no bucket gathered may repeat, once for each task that has the set.
-    frequent = found.where("held IS NULL").drop("held").distinct()
-    return found.where("held IS NOT NULL").unionByName(_with_count(frequent)), found
+    frequent = store(_with_count(found.where("held IS NULL").drop("held").distinct()))
+    return found, frequent
 
 
 def _band() -> F.Column:
@@ -282,7 +287,7 @@ def _fewest(low: F.Column, high: F.Column, other_low: F.Column, other_high: F.Co
 
 
 def _linkable(postings: DataFrame, s: Settings) -> DataFrame:
-    """Postings of the sets that may be linked with any set at all.
+    """The sets that may be linked with any set at all.
 
     The blocks of an index list are its postings of like size, with the least position. Blocks
     that the size bound excludes are skipped for a posting. A set is kept if for sets of some
@@ -312,7 +317,7 @@ def _linkable(postings: DataFrame, s: Settings) -> DataFrame:
         F.max("high").alias("high"),
     )
     kept = counted.where(F.col("first") & (F.col("tokens") >= _fewest(n, n, F.col("low"), F.col("high"), s)))
-    return postings.join(kept.select("set").distinct(), "set", "left_semi")
+    return kept.select("set").distinct()
 
 
 def _chunk_pairs(postings: DataFrame, s: Settings) -> DataFrame:
@@ -358,8 +363,20 @@ def _chunk_pairs(postings: DataFrame, s: Settings) -> DataFrame:
 
 
 def _fetch_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, classes: Any, s: Settings) -> DataFrame:
-    """The nodes (id, set, weight) with all their tokens, worked out again from their texts."""
-    id_field = nodes.schema["id"]
+    """The nodes (id, set and any others) with all their tokens, worked out again from their texts.
+
+    Most texts are no node: a bit table of the nodes' ids keeps them out of the shuffle.
+    """
+    carried = nodes.columns
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (_SLOTS_PER_NODE * nodes.count()).bit_length()))
+    table = docs.sparkSession.sparkContext.broadcast(_filter_table(nodes.select(F.xxhash64("id").alias("h1")), bits))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = table.value
+        for batch in batches:
+            slot = _slot(batch.column("slot").to_numpy(), bits)
+            keep = (held[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+            yield batch.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
@@ -370,14 +387,13 @@ def _fetch_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, class
                 keep = pa.array(right, pa.bool_())
                 tokens = [in_order(x, order, s.sketch_bits).tobytes() for x, ok in zip(sets, right, strict=True) if ok]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c).filter(keep) for c in ("id", "set", "weight")] + [pa.array(tokens, pa.binary())],
-                    ["id", "set", "weight", "tokens"],
+                    [part.column(c).filter(keep) for c in carried] + [pa.array(tokens, pa.binary())],
+                    [*carried, "tokens"],
                 )
 
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType(
-        [id_field, T.StructField("set", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("tokens", T.BinaryType())]
-    )
+    texts = texts.withColumn("slot", F.xxhash64("id")).mapInArrow(near, texts.schema)
+    schema = T.StructType([*nodes.schema.fields, T.StructField("tokens", T.BinaryType())])
     return texts.join(nodes, "id").mapInArrow(run, schema)
 
 
@@ -549,10 +565,13 @@ def jaccard_classes(
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-int(total) // s.bucket_rows))
     usable = docs.where(F.col(doc_id).isNotNull())
-    postings, found = _postings(usable, text, classes, buckets, s)
+    gathered, frequent = _postings(usable, text, classes, buckets, s)
+    postings = gathered.where("held IS NOT NULL").unionByName(frequent)
 
-    useful = store(_with_count(_linkable(postings, s)))
-    discard(found)
+    # A step's shuffle files go when it is stored, so the postings go through two shorter steps.
+    linkable = store(_linkable(postings, s))
+    useful = store(_with_count(postings.join(linkable, "set", "left_semi")))
+    discard(gathered, frequent, linkable)
     key = useful.groupBy("set").agg(F.max(F.struct("held", "token"))["token"].alias("key"), F.first("n").alias("n"))
     sizes = key.groupBy("key").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     parts = F.greatest(F.ceil(F.col("sets") / s.chunk_sets), F.ceil(F.col("grams") / s.chunk_grams))
@@ -560,9 +579,10 @@ def jaccard_classes(
         "set", _band().alias("band"), F.xxhash64("key", F.pmod(F.xxhash64("set"), parts)).alias("chunk")
     )
     chunk = store(chunk)
-    nodes = equal.join(chunk, "set").select("id", "set", "weight")
-    tokens = _fetch_sets(docs, nodes, doc_id, text, classes, s)
-    members = store(tokens.join(chunk, "set"))
+    # Stored, the nodes are known to be few beside the texts before those are dealt to meet them.
+    nodes = store(equal.join(chunk, "set").select("id", "set", "weight", "band", "chunk"))
+    members = store(_fetch_sets(docs, nodes, doc_id, text, classes, s))
+    discard(nodes)
     inside = store(_solve_groups(members, ["chunk"], s))
 
     pairs = _chunk_pairs(useful.join(chunk.select("set", "chunk"), "set"), s)

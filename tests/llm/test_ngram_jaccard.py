@@ -1,11 +1,15 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
-from pricetide.llm.ngram_jaccard import Settings, components, jaccard_classes, overlaps
+from pricetide.llm.common import CLEANUP, store
+from pricetide.llm.ngram_jaccard import Settings, _fetch_sets, components, jaccard_classes, overlaps, set_digest, text_sets
 from tests.llm.helpers import awkward_texts, documents, sentence, words
 
 
@@ -92,3 +96,39 @@ def test_components_of_a_long_chain(spark):
     found = components(spark.createDataFrame(edges, "a long, b long"))
     want = {i: 0 for i in range(41)} | {100: 100, 101: 100}
     assert {r["id"]: r["component"] for r in found.collect()} == want
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    setting, before = spark.conf.get(CLEANUP), shuffled()
+    stored = store(spark.range(1000).repartition(3, "id"))
+    assert spark.conf.get(CLEANUP) == setting
+    # Files go a moment after the write.
+    until = time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert stored.count() == 1000
+
+
+def test_texts_that_are_no_node_stay_out_of_the_join(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('some words of text number ', id) AS text")
+    name = set_digest(text_sets(pa.array(["some words of text number 7"]), 5)[0])[0]
+    nodes = spark.createDataFrame([(7, name)], "id long, set long")
+    classes = spark.sparkContext.broadcast(np.zeros(1 << 20, np.uint8))
+    met = []
+    monkey = DataFrame.join
+
+    def join(self, other, *args):
+        met.append(self.count())
+        return monkey(self, other, *args)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrame, "join", join)
+        found = _fetch_sets(docs, nodes, "doc_id", "text", classes, Settings()).collect()
+    assert [(r["id"], r["set"], len(r["tokens"])) for r in found] == [(7, name, 16)]
+    assert met[0] < 20
