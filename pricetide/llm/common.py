@@ -19,6 +19,9 @@ from pricetide.session import ensure_checkpoint_dir
 #: Bytes of text that numpy code handles at a time; a longer text is handled alone and whole.
 SLICE_BYTES = 1_000_000
 
+#: Bytes of text whose words are hashed at a time.
+HASH_BYTES = 1 << 15
+
 #: Spark's setting to delete an execution's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -160,13 +163,23 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word from its bytes: a polynomial over all bytes, sums taken apart."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
+    """A 64-bit hash of each word from its bytes: a polynomial over all bytes, sums taken apart.
+
+    Words are in order and don't overlap. They are hashed some HASH_BYTES at a time, a longer one
+    alone: a word's hash doesn't depend on where it lies, and what is needed stays in the cache.
+    """
+    value = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(ends, base + HASH_BYTES, side="right")))
+        own = data[base : int(ends[last - 1])]
+        up, down = _power_tables(len(own) + 1)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_BYTES[own] * up[: len(own)], out=sums[1:])
+        begin = starts[first:last] - base
+        value[first:last] = (sums[ends[first:last] - base] - sums[begin]) * down[begin]
+        first = last
     return mix(value ^ mix((ends - starts).astype(np.uint64)))
 
 

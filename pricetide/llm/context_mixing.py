@@ -42,6 +42,8 @@ PARTS = 64
 TEXT_BYTES = 4_000_000
 GRAM_BLOCK = 1 << 16
 LOT = 1_500_000
+#: Bytes of texts whose scores wait to be worked out together, at four bytes of memory each.
+HELD_GRAMS = 16_000_000
 #: Added to both counts of a slot.
 DELTA = 0.05
 #: Gates tell apart counts of 1, 2 to 3, and more of the highest order that has seen the context.
@@ -81,20 +83,20 @@ def byte_grams(data: np.ndarray, offsets: np.ndarray, orders: int) -> tuple[np.n
     """
     n = len(offsets) - 1
     lengths = np.diff(offsets)
-    buffer = np.zeros(len(data) + n * (orders + 1), np.uint8)
-    text_of = np.repeat(np.arange(n), lengths)
-    buffer[np.arange(len(data)) + (text_of + 1) * orders + text_of] = data
+    # Seven bytes in front, so that a number of eight bytes ends at each place.
+    padded = np.zeros(7 + len(data) + n * (orders + 1), np.uint8)
+    buffer = padded[7:]
     ends = offsets[1:] + np.arange(1, n + 1) * orders + np.arange(n)
-    buffer[ends] = END
-    grams = np.zeros(len(buffer), np.uint64)
-    for back in range(orders, -1, -1):
-        grams <<= np.uint64(8)
-        grams[back:] |= buffer[: len(buffer) - back]
     inside = np.ones(len(buffer), bool)
     first = ends - lengths
     for back in range(1, orders + 1):
         inside[first - back] = False
-    return grams[inside], np.concatenate([[0], np.cumsum(lengths + 1)])
+    inside[ends] = False
+    buffer[inside] = data
+    buffer[ends], inside[ends] = END, True
+    grams = np.ndarray(len(buffer), ">u8", padded, strides=(1,)).astype(np.uint64)[inside]
+    grams &= np.uint64((1 << (8 * (orders + 1))) - 1)
+    return grams, np.concatenate([[0], np.cumsum(lengths + 1)])
 
 
 _BITS = np.arange(8)
@@ -121,6 +123,13 @@ def slots(grams: np.ndarray, order: int, bits: int) -> np.ndarray:
     return first[:, None] ^ spread[byte]
 
 
+def places_of(grams: np.ndarray, order: int, s: Settings) -> np.ndarray:
+    """The slots of `grams` in the one row of all tables, as numpy's own index type."""
+    at = slots(grams, order, s.table_bits[order - 1]).astype(np.intp)
+    at += s.starts[order - 1]
+    return at
+
+
 def distinct_grams(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams, those with the same last bytes together, and how often each occurs."""
     turned = np.sort(grams.byteswap())
@@ -150,8 +159,11 @@ def add_counts(tables: np.ndarray, grams: np.ndarray, counts: np.ndarray, side:
     for block in blocks(len(grams)):
         for order, distinct, codes in by_order(grams[block], s.orders):
             weight = np.bincount(codes, counts[block], len(distinct)).astype(tables.dtype)
-            at = slots(distinct, order, s.table_bits[order - 1]).astype(np.int64) + s.starts[order - 1]
-            np.add.at(flat, 4 * at + 2 * side + bits_of(distinct), np.broadcast_to(weight[:, None], at.shape))
+            at = places_of(distinct, order, s)
+            at *= 4
+            at += 2 * side + bits_of(distinct)
+            # Flat places and weights of the tables' own type: numpy adds these several times as fast.
+            np.add.at(flat, at.ravel(), np.repeat(weight, 8))
 
 
 @dataclass
@@ -160,6 +172,7 @@ class Table:
 
     stretched: np.ndarray  # int16
     level: np.ndarray  # uint8
+    _both: np.ndarray | None = field(default=None, compare=False)
 
     def __getstate__(self) -> list[bytes]:
         # Slots that nothing has met, and the few kinds of the others, take little room when packed.
@@ -168,6 +181,14 @@ class Table:
     def __setstate__(self, packed: list[bytes]) -> None:
         kinds = (np.int16, np.uint8)
         self.stretched, self.level = (np.frombuffer(zstandard.decompress(x), k) for x, k in zip(packed, kinds, strict=True))
+        self._both = None
+
+    def at(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions and levels of slots; both lie in one number, so a slot is looked up once."""
+        if self._both is None:
+            self._both = (self.stretched.astype(np.int32) << 2) | self.level
+        found = self._both.take(where)
+        return found >> 2, (found & 3).astype(np.uint8)
 
     @staticmethod
     def of(zeros: np.ndarray, ones: np.ndarray) -> Table:
@@ -228,29 +249,35 @@ class Mixer:
         s = self.settings
         out = np.empty((s.orders, len(grams), 8), np.float32)
         known = np.zeros((len(grams), 8), np.uint8)
+        # A level of nought stays, others come after those of all lower orders.
+        known_level = np.array([[0, *range(1 + at * LEVELS, 1 + (at + 1) * LEVELS)] for at in range(s.orders)], np.uint8)
         for order, distinct, codes in by_order(grams, s.orders):
-            where = slots(distinct, order, s.table_bits[order - 1]).astype(np.int64) + s.starts[order - 1]
-            value = table.stretched[where]
-            level = table.level[where]
-            level[level > 0] += np.uint8((order - 1) * LEVELS)
+            value, level = table.at(places_of(distinct, order, s))
+            value = value.astype(np.float32)
+            value *= np.float32(1 / STRETCH_PARTS)
+            level = known_level[order - 1].take(level)
             if len(distinct) < len(grams):
-                value, level = value[codes], level[codes]
-            np.multiply(value, np.float32(1 / STRETCH_PARTS), out=out[order - 1])
+                value.take(codes, 0, out[order - 1], "clip")
+                level = level.take(codes, 0)
+            else:
+                out[order - 1] = value
             np.maximum(known, level, out=known)
-        return out, known.astype(np.int16) * np.int16(8) + np.arange(8, dtype=np.int16)
+        return out, known.astype(np.intp) * 8 + np.arange(8)
 
     def mixed(self, inputs: np.ndarray, gates: np.ndarray) -> np.ndarray:
         total = np.zeros(gates.shape, np.float32)
         for order in range(self.settings.orders):
-            total += self.weights[:, order].astype(np.float32)[gates] * inputs[order]
+            total += self.weights[:, order].astype(np.float32).take(gates) * inputs[order]
         return np.clip(total, np.float32(-7.9), np.float32(7.9))
 
     def refine(self, mixed: np.ndarray, gates: np.ndarray) -> np.ndarray:
         """The final probability of a one: half the mixed one, half its refinement."""
         low, part = places(mixed)
-        cell = gates.astype(np.int32) * STEPS + low
+        cell = gates * STEPS + low
         flat = self.refined.astype(np.float32).ravel()
-        mapped = flat[cell] * (1 - part) + flat[cell + 1] * part
+        mapped = flat.take(cell) * (1 - part)
+        cell += 1
+        mapped += flat.take(cell) * part
         return np.clip((squashed(mixed) + mapped) * np.float32(0.5), np.float32(1 / 4096), np.float32(1 - 1 / 4096))
 
     def log10(self, grams: np.ndarray, table: Table) -> np.ndarray:
@@ -259,7 +286,11 @@ class Mixer:
         for block in blocks(len(grams)):
             inputs, gates = self.inputs(grams[block], table)
             final = self.refine(self.mixed(inputs, gates), gates).astype(np.float64)
-            out[block] = np.log10(np.where(bits_of(grams[block]) == 1, final, 1 - final).prod(1))
+            right = np.where(bits_of(grams[block]) == 1, final, 1 - final)
+            product = right[:, 0].copy()
+            for bit in range(1, 8):
+                product *= right[:, bit]
+            out[block] = np.log10(product)
         return out
 
     def gather(self, sums: Sums, grams: np.ndarray, counts: np.ndarray, table: Table) -> None:
@@ -268,22 +299,23 @@ class Mixer:
         for block in blocks(len(grams)):
             inputs, gates = self.inputs(grams[block], table)
             mixed = self.mixed(inputs, gates)
-            by = np.argsort(gates.ravel(), kind="stable")
-            gate = gates.ravel()[by]
-            weight = np.repeat(counts[block].astype(float), 8)[by]
-            bit = bits_of(grams[block]).ravel()[by]
-            value = mixed.ravel()[by]
+            # Two bytes are sorted by their digits.
+            by = np.argsort(gates.ravel().astype(np.int16), kind="stable")
+            gate = gates.ravel().take(by)
+            weight = counts[block].astype(float).take(by >> 3)
+            bit = bits_of(grams[block]).ravel().take(by)
+            value = mixed.ravel().take(by)
             p = squashed(value).astype(float)
             # Where the prediction is sure and wrong p * (1 - p) is next to nothing, and a step too wide.
             miss, bend = weight * (bit - p), weight * np.maximum(p * (1 - p), (bit - p) ** 2)
-            x = inputs.reshape(s.orders, -1)[:, by].astype(float)
+            x = inputs.reshape(s.orders, -1).take(by, 1).astype(float)
             bounds = np.append(np.flatnonzero(np.diff(gate, prepend=-1)), len(gate)).tolist()
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = x[:, a:b]
                 sums.slope[gate[a]] += own @ miss[a:b]
                 sums.curve[gate[a]] += (own * bend[a:b]) @ own.T
             low, part = places(value)
-            cell = gate.astype(np.int32) * STEPS + low
+            cell = gate * STEPS + low
             for at, share in ((cell, 1 - part), (cell + 1, part)):
                 heft = weight * share
                 sums.cells += np.bincount(at, heft, sums.cells.size).reshape(sums.cells.shape)
@@ -375,7 +407,12 @@ class Lots:
                 by = np.argsort(grams.byteswap())
                 grams, counts = grams[by], counts[by]
                 first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-                yield side, grams[first], np.add.reduceat(counts, first)
+                grams, counts = grams[first], np.add.reduceat(counts, first)
+                # Merged they may be few enough to wait for more texts.
+                if 4 * len(grams) >= 3 * least:
+                    yield side, grams, counts
+                else:
+                    held.append((grams, counts))
 
 
 def text_digest(text: bytes) -> bytes:
@@ -617,21 +654,36 @@ def score_texts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The more texts are predicted together, the fewer distinct grams they have.
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.Array]]] = []
         for batch in batches:
             for part in slices(batch, text, TEXT_BYTES):
                 data, offsets = utf8(part.column(text))
                 grams, places = byte_grams(data, offsets, s.orders)
                 codes, found = pd.factorize(grams)
-                by = np.argsort(found.byteswap())
-                values = np.empty(len(found))
-                values[by] = mixer.log10(found[by], shared.value)
-                scores = np.add.reduceat(values[codes], places[:-1])
+                del grams
                 body = data.tobytes()
                 digests = [text_digest(body[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(doc_id), part.column("held"), pa.array(digests, pa.binary()), pa.array(np.diff(offsets)), pa.array(scores)],
-                    [f.name for f in schema.fields],
-                )
+                own = [part.column(doc_id), part.column("held"), pa.array(digests, pa.binary()), pa.array(np.diff(offsets))]
+                held.append((found, codes.astype(np.int32), places, own))
+                if sum(len(x[0]) for x in held) >= LOT or sum(len(x[1]) for x in held) >= HELD_GRAMS:
+                    yield from scores(held)
+                    held.clear()
+        yield from scores(held)
+
+    def scores(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        numbers, every = pd.factorize(np.concatenate([x[0] for x in held]))
+        by = np.argsort(every.byteswap())
+        values = np.empty(len(every))
+        values[by] = mixer.log10(every[by], shared.value)
+        at = 0
+        for found, codes, places, own in held:
+            mine = values[numbers[at : at + len(found)]]
+            at += len(found)
+            total = np.add.reduceat(mine.take(codes), places[:-1])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(total)], [f.name for f in schema.fields])
 
     scored = docs.select(doc_id, text, "held").mapInArrow(run, schema)
     base = base.dropDuplicates(["id", "digest"])

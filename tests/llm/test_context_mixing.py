@@ -1,16 +1,18 @@
 from __future__ import annotations
 
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from pricetide.llm import context_mixing
 from pricetide.llm.common import held_out
-from pricetide.llm.context_mixing import DELTA, END, MOST, STEPS, STRETCH_PARTS, VALUE_PARTS
+from pricetide.llm.context_mixing import DELTA, END, MOST, STEPS, STRETCH_PARTS, VALUE_PARTS, Lots
 from pricetide.llm.context_mixing import Mixer, Settings, Sums, Table, add_counts, byte_grams, distinct_grams, score_texts
 from tests.llm.helpers import awkward_texts, documents, sentence, words
 
@@ -241,3 +243,22 @@ def test_blocks_change_nothing(monkeypatch):
     blocks, other = grown(texts), learnt(texts[:2], whole)
     assert (whole.stretched == blocks.stretched).all() and (whole.level == blocks.level).all()
     assert np.allclose(mixer.weights, other.weights) and np.allclose(mixer.refined, other.refined)
+
+
+def test_lots_wait_for_more_texts_while_they_hold_few_distinct_grams(monkeypatch):
+    rng = random.Random(3)
+    batch = pa.RecordBatch.from_pydict({"text": [sentence(rng, 200)], "side": pa.array([0], pa.int32())})
+    once = len(distinct_grams(grams_of(batch["text"][0].as_py()))[0])
+    monkeypatch.setattr(context_mixing, "LOT", 3 * once)
+    lots = Lots(4)
+    # Texts met again add to the counts only; before, they were handed on as if they were new.
+    assert [x for _ in range(20) for x in lots.add(batch, "text")] == []
+    [(side, grams, counts)] = lots.rest()
+    assert side == 0 and len(grams) == once and counts.sum() == 20 * (len(batch["text"][0].as_py().encode()) + 1)
+
+
+def test_a_slot_is_looked_up_once():
+    zeros, ones = np.array([0, 0, 3, 900, 1]), np.array([0, 1, 0, 1, 7])
+    table = pickle.loads(pickle.dumps(Table.of(zeros, ones)))
+    value, level = table.at(np.array([[4, 0], [2, 3], [1, 1]]))
+    assert (value == table.stretched[[[4, 0], [2, 3], [1, 1]]]).all() and (level == table.level[[[4, 0], [2, 3], [1, 1]]]).all()
