@@ -58,6 +58,8 @@ class Settings:
 
 
 SKETCH_PARTS = 64
+#: Bytes of text whose sets are worked out at a time; they bound a Python worker's memory.
+SET_BYTES = 1 << 18
 _CLASS_BITS = 6
 #: Slots for each node in the bit table that keeps other texts out of the shuffle, and its least and greatest size (powers of 2).
 _SLOTS_PER_NODE, _LEAST_BITS, _MOST_BITS = 16, 16, 28
@@ -120,11 +122,11 @@ def _read_sets(docs: DataFrame, doc_id: str, text: str, s: Settings) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << s.sketch_bits, np.int64)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SET_BYTES):
                 sets = text_sets(part.column(text), s.width)
                 digests = [set_digest(x) for x in sets]
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                counts += np.bincount((every >> np.uint64(64 - s.sketch_bits)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (every >> np.uint64(64 - s.sketch_bits)).astype(np.intp), 1)
                 rows = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -188,7 +190,7 @@ def _postings(docs: DataFrame, text: str, classes: Any, buckets: int, s: Setting
         order = classes.value
         emitted = 0
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SET_BYTES):
                 tokens, names, sizes, owners, places = [], [], [], [], []
                 for grams in text_sets(part.column(text), s.width):
                     if not len(grams):
@@ -381,7 +383,7 @@ def _fetch_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, class
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = classes.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SET_BYTES):
                 sets = text_sets(part.column("text"), s.width)
                 right = [set_digest(x)[0] == name for x, name in zip(sets, part.column("set").to_pylist(), strict=True)]
                 keep = pa.array(right, pa.bool_())
@@ -394,7 +396,9 @@ def _fetch_sets(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, class
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     texts = texts.withColumn("slot", F.xxhash64("id")).mapInArrow(near, texts.schema)
     schema = T.StructType([*nodes.schema.fields, T.StructField("tokens", T.BinaryType())])
-    return texts.join(nodes, "id").mapInArrow(run, schema)
+    # A broadcast would put both Python steps into one stage, and so two workers into each task,
+    # which an executor then keeps; with a shuffle between them a task has one.
+    return texts.join(nodes.hint("merge"), "id").mapInArrow(run, schema)
 
 
 def overlaps(sets: list[np.ndarray], s: Settings) -> Iterator[tuple[int, np.ndarray]]:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pricetide.llm.common import fit_platt, sigmoid, small_batches, with_result
 from pricetide.llm.decontamination import NORMAL
@@ -212,7 +213,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text: str,
     if not chosen:
         return []
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(r["__id"], r["__toxic"]) for r in chosen], known.schema)
+    # As Arrow data; rows would go through Python workers of their own kind, which executors keep.
+    columns = [pa.array([r[f.name] for r in chosen], to_arrow_type(f.dataType)) for f in known.schema.fields]
+    wanted = spark.createDataFrame(pa.table(columns, known.schema.names), known.schema)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(wanted), "__id")
     # A chosen id that several rows have stands for the least of their texts.
     found = rows.groupBy("__id", "__toxic").agg(F.min("__text").alias("__text")).collect()

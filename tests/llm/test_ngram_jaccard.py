@@ -132,3 +132,15 @@ def test_texts_that_are_no_node_stay_out_of_the_join(spark):
         found = _fetch_sets(docs, nodes, "doc_id", "text", classes, Settings()).collect()
     assert [(r["id"], r["set"], len(r["tokens"])) for r in found] == [(7, name, 16)]
     assert met[0] < 20
+
+
+def test_a_task_has_one_python_worker_where_sets_are_fetched(spark):
+    from types import SimpleNamespace
+
+    # So few nodes would be broadcast, and both Python steps would run in one stage.
+    docs = documents(spark, ["a b c d e f", "g h i"])
+    nodes = spark.createDataFrame([(0, set_digest(text_sets(pa.array(["a b c d e f"]), 5)[0])[0])], "id long, set long")
+    frame = _fetch_sets(docs, nodes, "doc_id", "text", SimpleNamespace(value=np.zeros(1 << 20, np.uint8)), Settings())
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "BroadcastHashJoin" not in plan
+    assert [r["id"] for r in frame.collect()] == [0]

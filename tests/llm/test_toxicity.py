@@ -99,3 +99,11 @@ def test_terms_of_one_example_are_held_at_a_time(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
     toxicity.fit(documents(spark, [f"word{i % 2} other{i}" for i in range(20)]), labels, toxicity.Settings(min_chi=1))
     assert len(alive) == 20 and most <= 3
+
+
+def test_chosen_examples_start_no_python_workers_of_another_kind(spark, monkeypatch):
+    texts, labels = labelled(spark, 40)
+    docs = documents(spark, texts)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", None)  # rows of Python go through it
+    found = toxicity._labelled(docs, labels, toxicity.Settings(), "text", "doc_id", "toxic")
+    assert [(x[0], x[1], x[2]) for x in found] == [(str(i), int(i % 4 == 0), t) for i, t in enumerate(texts)]
