@@ -293,10 +293,12 @@ def holdings_files(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = line.select(key.alias("key"), F.row_number().over(order).alias("pos"), cells.alias("text"))
     header = F.lit("﻿cm_product_id,variant_key, quantity ,cost_basis_eur")
-    head = line.select(key.alias("key"), F.lit(0).alias("pos"), header.alias("text")).distinct()
+    # The suppliers come from the table itself, so that few rows of each task are shuffled for them.
+    suppliers = views.table(spark, sf, "lineitem").select("l_suppkey").distinct()
+    head = suppliers.select(key.alias("key"), F.lit(0).alias("pos"), header.alias("text"))
     root = views.scratch(spark)
     write_objects(rows.unionByName(head), root).count()
-    documents = holdings.read_holdings(spark, f"{root}/*.csv")
+    documents = holdings.read_holdings(spark, root, "*.csv")
     named = F.regexp_extract("portfolio_id", r"/(p\d+)\.csv$", 1).alias("portfolio")
     return holdings.parse_holdings(documents).select(named, "*")
 

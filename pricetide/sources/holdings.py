@@ -14,9 +14,13 @@ MAX_QUANTITY = 1_000_000.0
 REQUIRED = ("cm_product_id", "quantity")
 
 
-def read_holdings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per uploaded file: portfolio_id (its path) and the CSV text."""
-    return spark.read.text(paths, wholetext=True).select(
+def read_holdings(spark: SparkSession, paths: str | list[str], names: str | None = None) -> DataFrame:
+    """One row per uploaded file: portfolio_id (its path) and the CSV text.
+
+    For many files give their folder, and a pattern of their names in `names`: a folder is listed
+    at once, but a path with a pattern becomes a path for each file, and each is listed by a task.
+    """
+    return spark.read.text(paths, wholetext=True, pathGlobFilter=names).select(
         F.col("_metadata.file_path").alias("portfolio_id"), F.col("value").alias("csv")
     )
 

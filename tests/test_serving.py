@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetide.functions import dates, ids, text
 from pricetide.operators import performance, portfolio, reports
 from pricetide.schemas import HISTORY
-from pricetide.sources.holdings import UPLOAD_BYTES, UPLOAD_ROWS, parse_holdings
+from pricetide.sources.holdings import UPLOAD_BYTES, UPLOAD_ROWS, parse_holdings, read_holdings
 from tests.conftest import rows
 
 
@@ -182,3 +182,18 @@ def test_text_helpers(spark):
     assert got[1] == {"magic": date(2026, 7, 20), "pokemon": date(2026, 8, 12)}
     assert got[2] == "a/b.conflict-2.json.gz"
     assert got[3] is None
+
+
+def test_a_folder_of_holdings_is_listed_without_a_task_for_each_file(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"p{i}.csv").write_text(f"cm_product_id,quantity\n{i + 1},2")
+    (tmp_path / "other.txt").write_text("no holdings")
+    spark.sparkContext.setJobGroup("holdings listing", "")
+    try:
+        documents = read_holdings(spark, str(tmp_path), "*.csv")
+        # Above 32 paths Spark lists them in a job; it did for a path with a pattern.
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("holdings listing")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = parse_holdings(documents)
+    assert sorted(r["cm_product_id"] for r in found.collect()) == list(range(1, 41))
