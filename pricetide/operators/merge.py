@@ -52,12 +52,19 @@ def widen_union(*frames: DataFrame) -> DataFrame:
 PRICE_KEY = ["game_key", "cm_product_id", "variant_key", "value_date"]
 
 
-def merge_prices(existing: DataFrame, current: DataFrame) -> DataFrame:
-    """Price rows after a (re)played batch: one per product, variant and day, current wins."""
+def merge_prices(existing: DataFrame, current: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Price rows after a (re)played batch: one per product, variant and day, current wins.
+
+    With `order` (the key's columns and others that follow from them) rows come dealt by range and
+    sorted by it: the shuffle that puts a key's rows together is the one that a sorted table needs.
+    """
     both = widen_union(
         existing.withColumn("_batch", F.lit(0)), current.withColumn("_batch", F.lit(1))
     )
-    return keep_last(both, PRICE_KEY, ["_batch"]).drop("_batch")
+    if order is None:
+        return keep_last(both, PRICE_KEY, ["_batch"]).drop("_batch")
+    dealt = both.repartitionByRange(*order)
+    return keep_last(dealt, order, ["_batch"]).drop("_batch").sortWithinPartitions(*order)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -144,8 +144,14 @@ def with_product_kind(rows: DataFrame, products: DataFrame) -> DataFrame:
     listed more than once has the last of its kinds by name, so no row is doubled.
     """
     days = ["run_date"] if "run_date" in rows.columns and "run_date" in products.columns else []
-    key = ["game_key", "cm_product_id", *days]
-    kinds = products.groupBy(*key).agg(F.max("product_kind").alias("_kind"))
+    # The greatest kind of texts is found by sorting, which is quicker by ids first.
+    key = ["cm_product_id", "game_key", *days]
+    listed = products.select(*key, "product_kind")
+    if days:
+        # A day lists a product once, so nothing is reduced before the shuffle that the join needs.
+        # Files of few bytes hold very many such rows, too many to be sent to every task.
+        listed, rows = listed.repartition(*key), rows.hint("merge")
+    kinds = listed.groupBy(*key).agg(F.max("product_kind").alias("_kind"))
     return (
         rows.join(kinds, key, "left")
         .withColumn("product_kind", F.coalesce("_kind", F.lit("other")))
@@ -173,19 +179,22 @@ def prices_table(records: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def variants_table(prices: DataFrame) -> DataFrame:
-    """Distinct variant identities of each day, seen on that day."""
+def variants_table(prices: DataFrame, distinct: bool = True) -> DataFrame:
+    """Distinct variant identities of each day, seen on that day.
+
+    Without `distinct` they repeat as the prices do, for a caller that reduces them by id.
+    """
+    variants = prices.select(
+        "stable_variant_id",
+        "stable_product_id",
+        "game_key",
+        "cm_product_id",
+        "variant_key",
+        "product_kind",
+        "value_date",
+    )
     return (
-        prices.select(
-            "stable_variant_id",
-            "stable_product_id",
-            "game_key",
-            "cm_product_id",
-            "variant_key",
-            "product_kind",
-            "value_date",
-        )
-        .distinct()
+        (variants.distinct() if distinct else variants)
         .withColumn("first_seen", F.col("value_date"))
         .withColumnRenamed("value_date", "last_seen")
     )
@@ -207,18 +216,18 @@ def combine_catalogues(singles: DataFrame, others: DataFrame) -> tuple[DataFrame
     return both.drop("_part", "version", "created_at"), header
 
 
-def latest_catalogue(tables: DataFrame, key: str) -> DataFrame:
+def latest_catalogue(tables: DataFrame, *keys: str) -> DataFrame:
     """Collapse several days of a catalogue table: attributes of the last day,
     first_seen and last_seen over all days."""
-    rest = [c for c in tables.columns if c not in (key, "first_seen", "last_seen")]
+    rest = [c for c in tables.columns if c not in (*keys, "first_seen", "last_seen")]
     return (
-        tables.groupBy(key)
+        tables.groupBy(*keys)
         .agg(
             F.max_by(F.struct(*rest), "last_seen").alias("_last"),
             F.min("first_seen").alias("first_seen"),
             F.max("last_seen").alias("last_seen"),
         )
-        .select(key, *[F.col(f"_last.{c}").alias(c) for c in rest], "first_seen", "last_seen")
+        .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest], "first_seen", "last_seen")
         .select(*tables.columns)
     )
 

@@ -23,7 +23,7 @@ from pricetide.operators.archive import (
 )
 from pricetide.params import SOURCE_KINDS
 from pricetide.schemas import PRICE_TABLE, PRICES, PRODUCTS, SETS, VARIANTS, struct
-from pricetide.session import cut_lineage, store
+from pricetide.session import cut_lineage, fits_broadcast, store
 from pricetide.sinks.tables import append_receipts, measure, read_stored, replace_groups, stored
 from pricetide.sinks.versions import VersionedTable
 from pricetide.sources.manifests import manifest_files, stream_manifests
@@ -53,26 +53,40 @@ def read_records(documents: DataFrame, fields: Iterable[str] = tuple(ALIASES)) -
 def normalize_documents(documents: DataFrame, categories: DataFrame) -> NormalizedBatch:
     """Normalise snapshot documents (game_key, run_date, kind, body) of any number of
     games and days in one plan; game and day are key columns."""
+    catalogue = read_records(documents.filter(F.col("kind") == "catalogue"), CATALOGUE_FIELDS)
     return _normalize(
-        read_records(documents.filter(F.col("kind") == "catalogue"), CATALOGUE_FIELDS),
+        normalize.catalogue_records(catalogue, categories),
         read_records(documents.filter(F.col("kind") == "priceguide"), PRICE_FIELDS),
         read_records(documents, ["cm_product_id"]),
-        categories,
     )
 
 
-def normalize_records(records: DataFrame, categories: DataFrame) -> NormalizedBatch:
-    """Tables of typed records; the kind of a price row is that of its day's catalogue."""
-    return _normalize(
-        records.filter(F.col("kind") == "catalogue"), records.filter(F.col("kind") == "priceguide"), records, categories
-    )
+@dataclass(frozen=True)
+class Records:
+    """Typed records of documents, each kind with the fields that it has; a catalogue's are classified."""
+
+    catalogue: DataFrame
+    guide: DataFrame
+    #: Those of any other kind, of which only the ids count.
+    other: DataFrame
+
+    def normalize(self, days: DataFrame | None = None) -> NormalizedBatch:
+        """Tables of the records, or of those of some days (game_key, run_date)."""
+        parts = [self.catalogue, self.guide, self.other]
+        if days is not None:
+            parts = [p.join(days, DAY, "left_semi") for p in parts]
+        ids = [p.select(*DAY, "kind", "source_pos", "cm_product_id") for p in parts]
+        return _normalize(parts[0], parts[1], ids[0].unionByName(ids[1]).unionByName(ids[2]))
 
 
-def _normalize(catalogue: DataFrame, guide: DataFrame, records: DataFrame, categories: DataFrame) -> NormalizedBatch:
-    """Tables of the records of both kinds; `records` has the ids of these and of any other kind."""
+def _normalize(catalogue: DataFrame, guide: DataFrame, records: DataFrame) -> NormalizedBatch:
+    """Tables of the records of both kinds, the catalogue's being classified.
+
+    `records` has the ids of these and of any other kind. The kind of a price row is that of
+    its day's catalogue.
+    """
     known = F.col("cm_product_id").isNotNull()
-    catalogue = normalize.catalogue_records(catalogue.filter(known), categories)
-    guide = guide.filter(known)
+    catalogue, guide = catalogue.filter(known), guide.filter(known)
     products = normalize.products_table(catalogue)
     kinds = catalogue.select("game_key", "run_date", "cm_product_id", "product_kind")
     prices = normalize.prices_table(guide, kinds).select(*[f.name for f in PRICES.fields])
@@ -101,11 +115,12 @@ class Landed:
     """Documents of some days: what was measured of each, and how to read the records of some.
 
     `documents` has game_key, run_date, kind, key, sha256, size, valid, guide_records and
-    other_records; `read` gives the typed records of the rows of it that it gets.
+    other_records; `read` gives the typed records of the rows of it that it gets, with the fields
+    that it is asked for.
     """
 
     documents: DataFrame
-    read: Callable[[DataFrame], DataFrame]
+    read: Callable[[DataFrame, Iterable[str]], DataFrame]
 
 
 def landed_bodies(bodies: DataFrame) -> Landed:
@@ -113,8 +128,8 @@ def landed_bodies(bodies: DataFrame) -> Landed:
     keyed = bodies.withColumn("key", snapshot_key(F.col("kind"), F.col("game_key"), F.col("run_date")))
     names = keyed.select("key", *DAY, "kind").distinct()
 
-    def read(wanted: DataFrame) -> DataFrame:
-        return read_records(keyed.join(wanted.select("key"), "key", "left_semi"))
+    def read(wanted: DataFrame, fields: Iterable[str]) -> DataFrame:
+        return read_records(keyed.join(wanted.select("key"), "key", "left_semi"), fields)
 
     return Landed(measure_bodies(keyed).join(names, "key"), read)
 
@@ -126,9 +141,9 @@ def landed_files(files: DataFrame, root: str) -> Landed:
     """
     listed = files.select("key", "game_key", F.col("run_date").cast("date").alias("run_date"), "kind").distinct()
 
-    def read(wanted: DataFrame) -> DataFrame:
+    def read(wanted: DataFrame, fields: Iterable[str]) -> DataFrame:
         records = key_records(wanted.select("key", *DAY, "kind"), root)
-        return typed_records(records.drop("key"))
+        return typed_records(records.drop("key"), fields)
 
     return Landed(measured_files(measure_keys(listed, root)).join(listed, "key"), read)
 
@@ -147,6 +162,34 @@ def _rejected_by_manifest(files: DataFrame, documents: DataFrame, min_records: i
     return out.distinct()
 
 
+#: Labels of a category map and days of a batch (one row a game and day) that are sent to every
+#: task; more of them are joined by shuffles.
+MAP_LABELS = 10_000
+BATCH_DAYS = 100_000
+
+
+def _sent(df: DataFrame, most: int) -> DataFrame:
+    """`df`, to be broadcast by joins if it has at most `most` rows.
+
+    Rows that come from a checkpoint or a local table have no size that a plan could tell, so the
+    many rows on the other side would be shuffled by a label or a day, which few tasks would get.
+    """
+    return F.broadcast(df) if fits_broadcast(df, most) else df
+
+
+def _stored_records(landed: Landed, documents: DataFrame, categories: DataFrame) -> Records:
+    """The records of documents, parsed and classified once, each kind with its own fields."""
+    categories = _sent(categories, MAP_LABELS)
+    kind = F.col("kind")
+    catalogue = landed.read(documents.filter(kind == "catalogue"), CATALOGUE_FIELDS)
+    other = documents.filter(~F.coalesce(kind.isin(*SOURCE_KINDS), F.lit(False)))
+    return Records(
+        store(normalize.catalogue_records(catalogue, categories)),
+        store(landed.read(documents.filter(kind == "priceguide"), PRICE_FIELDS)),
+        store(landed.read(other, ["cm_product_id"])),
+    )
+
+
 def run_normalize(
     spark: SparkSession,
     landed: Landed,
@@ -176,8 +219,8 @@ def run_normalize(
         *(F.max(F.when(F.col("kind") == kind, F.col("sha256"))).alias(f"{kind}_sha256") for kind in SOURCE_KINDS)
     )
     rejected = cut_lineage(_rejected_by_manifest(files, documents, min_records))
-    records = store(landed.read(documents.join(rejected, DAY, "left_anti")))
-    first = normalize_records(records, categories)
+    records = _stored_records(landed, cut_lineage(documents.join(rejected, DAY, "left_anti")), categories)
+    first = records.normalize()
     spoiled = first.duplicates.select(*DAY).unionByName(first.invalid.select(*DAY)).distinct()
     quality = (
         present.join(first.quality, DAY, "left")
@@ -197,21 +240,29 @@ def run_normalize(
     quality = cut_lineage(quality)
     append_receipts(spark, f"{root}/quality", quality, DAY)
     merged = quality.filter(F.col("status").isin("pass", "fail")).select(*DAY)
-    clean = normalize_records(records.join(merged, DAY, "left_semi"), categories)
+    clean = records.normalize(_sent(merged, BATCH_DAYS))
     # Four outputs come from the prices, whose join and ids are worked out once.
     prices = store(clean.prices)
     unknown = cut_lineage(clean.unknown_categories.select(*DAY, "category"))
     replace_groups(spark, f"{root}/unknown_categories", unknown, merged)
 
+    # Rows are dealt by the columns that their id is made of, which sort quicker, before they are
+    # reduced: days rarely lie together, so a part reduction would sort all rows and drop few.
+    product, variant = ["cm_product_id", "game_key"], ["cm_product_id", "game_key", "variant_key"]
+    products = clean.products.repartition(*product)
+    variants = normalize.variants_table(prices.repartition(*variant), distinct=False)
     tables = {
-        "products": merge_catalogue_table(spark, f"{root}/products", clean.products, PRODUCTS, "stable_product_id"),
+        "products": merge_catalogue_table(spark, f"{root}/products", products, PRODUCTS, "stable_product_id", product),
         "sets": merge_catalogue_table(spark, f"{root}/sets", clean.sets, SETS, "stable_set_id"),
-        "variants": merge_catalogue_table(spark, f"{root}/variants", normalize.variants_table(prices), VARIANTS, "stable_variant_id"),
+        "variants": merge_catalogue_table(spark, f"{root}/variants", variants, VARIANTS, "stable_variant_id", variant),
         "prices": merge_price_partitions(spark, f"{root}/prices", prices),
     }
-    counts = prices.groupBy("game_key", F.col("value_date").alias("run_date")).agg(
-        F.count(F.lit(1)).alias("price_rows"),
-        F.count_distinct("stable_variant_id").alias("catalogue_variants"),
+    # Read by the completions and by the notes. A variant's id is made of these columns.
+    counts = cut_lineage(
+        prices.groupBy("game_key", F.col("value_date").alias("run_date")).agg(
+            F.count(F.lit(1)).alias("price_rows"),
+            F.count_distinct("cm_product_id", "variant_key").alias("catalogue_variants"),
+        )
     )
     notes = (
         quality.join(counts, DAY, "left")
@@ -254,10 +305,13 @@ def _outputs(spark: SparkSession, tables: dict[str, VersionedTable], days: DataF
 
 
 def merge_catalogue_table(
-    spark: SparkSession, path: str, current: DataFrame, schema: StructType, key: str
+    spark: SparkSession, path: str, current: DataFrame, schema: StructType, key: str, made_of: list[str] | None = None
 ) -> VersionedTable:
-    """Merge a batch (possibly several days) into a stored catalogue table, game by game."""
-    latest = cut_lineage(normalize.latest_catalogue(current, key))
+    """Merge a batch (possibly several days) into a stored catalogue table, game by game.
+
+    `made_of` are columns that tell rows apart as `key` does, if it is made of them.
+    """
+    latest = cut_lineage(normalize.latest_catalogue(current, *(made_of or [key])))
     table = VersionedTable(spark, path, schema, ["game_key"], [key])
     # The games of a batch, as configured.
     games = [{"game_key": r["game_key"]} for r in latest.select("game_key").distinct().collect()]
@@ -273,12 +327,16 @@ def merge_price_partitions(spark: SparkSession, path: str, current: DataFrame) -
 
     Only the months present in the batch are read and written anew.
     """
-    incoming = current.withColumn("month", F.date_format("value_date", "yyyy-MM"))
+    month = F.date_format("value_date", "yyyy-MM").alias("month")
+    incoming = current.select("*", month)
     table = VersionedTable(spark, path, PRICE_TABLE, ["game_key", "month"], ["cm_product_id", "variant_key", "value_date"])
     # Games x months of a batch: a calendar's worth at most.
-    touched = [r.asDict() for r in incoming.select("game_key", "month").distinct().collect()]
+    days = current.select("game_key", "value_date").distinct()
+    touched = [r.asDict() for r in days.select("game_key", month).distinct().collect()]
     old = table.read_partitions(touched)
-    table.replace_partitions(merge.merge_prices(incoming.limit(0) if old is None else old, incoming))
+    table.replace_partitions(
+        merge.merge_prices(incoming.limit(0) if old is None else old, incoming, table.order), dealt=True
+    )
     return table
 
 

@@ -163,13 +163,13 @@ _BACKFILLED = """WITH days AS (SELECT CAST(unnest(generate_series(min(run_date),
 def resumed_backfill(spark: SparkSession, sf: str) -> DataFrame:
     """A backfill stream over two arrivals of manifests, the second run going on from the first's
     checkpoint; days with a wrong manifest are rejected."""
-    records = store(views.monthly_listings(spark, sf))
+    sales = store(views.monthly_sales(spark, sf))
     root, out, checkpoint = views.scratch(spark), views.scratch(spark), views.scratch(spark)
     known = views.categories(spark)
-    first, last = records.agg(F.min("run_date"), F.max("run_date")).first()
+    first, last = sales.agg(F.min("run_date"), F.max("run_date")).first()
     middle = F.lit(first + (last - first) / 2)
     for arrived in (F.col("run_date") < middle, F.col("run_date") >= middle):
-        views.write_archive(spark, records.filter(arrived), _declared_sha(), root)
+        views.write_archive(spark, views.listing_records(sales.filter(arrived)), _declared_sha(), root)
         daily.start_backfill(spark, root, known, out, checkpoint, first, last, 60, 1).awaitTermination()
     status = daily.backfill_status(spark, out, first, last)
     rows = tables.read_stored(spark, f"{out}/prices").groupBy(F.col("value_date").alias("run_date")).agg(F.count(F.lit(1)).alias("price_rows"))

@@ -104,15 +104,24 @@ def write_archive(
 
 def monthly_listings(spark: SparkSession, sf: str) -> DataFrame:
     """Records of a price guide and a catalogue for each game and month of line items."""
+    return listing_records(monthly_sales(spark, sf))
+
+
+def monthly_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """Each part's highest price and name by game and month of line items."""
     pid, month = F.col("l_partkey"), F.trunc(F.to_date("l_shipdate"), "MM")
     line = spread(table(spark, sf, "lineitem"), "l_partkey")
     sold = line.groupBy(pid.alias("pid"), month.alias("run_date")).agg(F.max("l_extendedprice").alias("avg"))
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("pid"), "p_name", "p_type")
-    both = sold.join(part, "pid").withColumn("game_key", part_game(F.col("pid")))
+    return sold.join(part, "pid").withColumn("game_key", part_game(F.col("pid")))
+
+
+def listing_records(sales: DataFrame) -> DataFrame:
+    """The price guides' and the catalogues' records of monthly sales."""
     guide = F.to_json(F.struct(F.col("pid").alias("idProduct"), F.lit(1).alias("idCategory"), "avg"))
     listed = F.to_json(F.struct(F.col("pid").alias("idProduct"), F.col("p_name").alias("name"), F.lit("Small").alias("categoryName")))
     kinds = F.explode(F.array(F.struct(F.lit("priceguide").alias("kind"), guide.alias("text")), F.struct(F.lit("catalogue").alias("kind"), listed.alias("text"))))
-    return both.select("game_key", "run_date", F.col("pid").alias("n"), kinds.alias("r")).select("game_key", "run_date", "n", "r.*")
+    return sales.select("game_key", "run_date", F.col("pid").alias("n"), kinds.alias("r")).select("game_key", "run_date", "n", "r.*")
 
 
 def definitions(spark: SparkSession) -> DataFrame:

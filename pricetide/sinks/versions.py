@@ -197,10 +197,13 @@ class VersionedTable:
         """Make `rows` the whole content; a new version only if the content differs."""
         return self._switch(rows, lambda old, new: new)
 
-    def replace_partitions(self, rows: DataFrame, emptied: list[dict[str, Any]] | None = None) -> Receipt:
+    def replace_partitions(
+        self, rows: DataFrame, emptied: list[dict[str, Any]] | None = None, dealt: bool = False
+    ) -> Receipt:
         """Replace the partitions that `rows` has values of; others stay, unread.
 
-        Partitions of `emptied` go even if `rows` has none of them.
+        Partitions of `emptied` go even if `rows` has none of them. `dealt` says that `rows` are
+        dealt by range and sorted in the table's order already.
         """
         gone = {tuple(str(e[c]) for c in self.partition_by) for e in emptied or []}
 
@@ -209,13 +212,18 @@ class VersionedTable:
             stay = [p for p in old if p.place not in touched and tuple(self.values(p).values()) not in gone]
             return stay + new
 
-        return self._switch(rows, merged)
+        return self._switch(rows, merged, dealt)
 
-    def _switch(self, rows: DataFrame, merge: Any) -> Receipt:
+    @property
+    def order(self) -> list[str]:
+        """The columns that stored rows are dealt and sorted by."""
+        return [*self.partition_by, *[c for c in self.sort_by if c not in self.partition_by]]
+
+    def _switch(self, rows: DataFrame, merge: Any, dealt: bool = False) -> Receipt:
         known = self.versions()
         old = self.parts(known[-1]) if known else None
         batch = uuid4().hex
-        new = self._write_batch(rows, batch)
+        new = self._write_batch(rows, batch, dealt)
         was = {p.place: p for p in old or []}
         # A partition with the rows it had keeps its old files.
         same = [p for p in new if p.place in was and (was[p.place].rows, was[p.place].hash) == (p.rows, p.hash)]
@@ -234,12 +242,11 @@ class VersionedTable:
     def _fixed(self, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
 
-    def _write_batch(self, rows: DataFrame, batch: str) -> list[Part]:
+    def _write_batch(self, rows: DataFrame, batch: str, dealt: bool = False) -> list[Part]:
         """Write the files of a batch and measure them, one row a partition."""
-        order = [*self.partition_by, *[c for c in self.sort_by if c not in self.partition_by]]
         fixed = self._fixed(rows)
-        if order:
-            fixed = fixed.repartitionByRange(*order).sortWithinPartitions(*order)
+        if self.order and not dealt:
+            fixed = fixed.repartitionByRange(*self.order).sortWithinPartitions(*self.order)
         writer = fixed.withColumn("batch", F.lit(batch)).write.mode("append").option("compression", "zstd")
         writer.partitionBy(*self.partition_by, "batch").parquet(f"{self.root}/data")
         names = self._folders_of(batch)

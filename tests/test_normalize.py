@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pricetide.operators import archive, merge, normalize
 from pricetide.plans import daily
 from pricetide.schemas import PRICES, PRODUCTS
+from pricetide.session import cut_lineage
 from pricetide.sinks import tables as sinks
 from pricetide.sinks.versions import VersionedTable
 from pricetide.sources import categories, snapshots, tables
@@ -393,3 +394,54 @@ def test_prices_of_a_run_are_worked_out_once(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "tables")
     run_day(spark, documents(spark, *day_docs(n=5)), categories.category_frame(spark, MAP), root)
     assert worked_out.value == sinks.read_stored(spark, f"{root}/prices").count()
+
+
+def test_records_of_a_run_are_classified_once(spark, tmp_path, monkeypatch):
+    classified = spark.sparkContext.accumulator(0)
+    original = normalize.classify
+
+    def counted(records, known):
+        out = original(records, known)
+
+        def run(batches):
+            for batch in batches:
+                classified.add(batch.num_rows)
+                yield batch
+
+        return out.mapInArrow(run, out.schema)
+
+    monkeypatch.setattr(normalize, "classify", counted)
+    notes = run_day(spark, documents(spark, *day_docs(n=5)), categories.category_frame(spark, MAP), str(tmp_path / "t"))
+    assert rows(notes, "status", "catalogue_products") == [("ok", 5)]
+    assert classified.value == 5
+
+
+def test_records_of_another_kind_count_by_their_ids(spark, tmp_path):
+    cats = categories.category_frame(spark, MAP)
+    extra = {"version": 1, "createdAt": "2026-08-12", "products": [{"idProduct": 1}]}
+    twice = extra | {"products": [{"idProduct": 1}, {"idProduct": 1, "avg": 2}]}
+    docs = [d for day in (10, 11) for d in day_docs(n=5, day=date(2026, 8, day))]
+    docs += [("onepiece", date(2026, 8, 10), "extra", extra), ("onepiece", date(2026, 8, 11), "extra", twice)]
+    notes = run_day(spark, documents(spark, *docs), cats, str(tmp_path / "t"))
+    assert rows(notes, "run_date", "status") == [(date(2026, 8, 10), "ok"), (date(2026, 8, 11), "invalid")]
+
+
+def test_prices_are_merged_by_the_shuffle_that_sorts_them(spark):
+    shape = "game_key string, cm_product_id bigint, variant_key string, value_date date, price_avg double, month string"
+    old = spark.createDataFrame([("g", i, "foil", DAY, 1.0, "2026-08") for i in range(6)], shape)
+    new = spark.createDataFrame([("g", i, "foil", DAY, None, "2026-08") for i in range(3, 9)], shape)
+    order = ["game_key", "month", "cm_product_id", "variant_key", "value_date"]
+    merged = merge.merge_prices(old, new, order)
+    assert rows(merged, *merge.PRICE_KEY, "price_avg") == rows(merge.merge_prices(old, new), *merge.PRICE_KEY, "price_avg")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Exchange rangepartitioning") == 1
+
+
+def test_small_sides_are_sent_to_tasks(spark):
+    days = cut_lineage(spark.createDataFrame([("1", DAY)], "game_key string, run_date date"))
+    many = spark.range(3).select(F.col("id").cast("string").alias("game_key"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("run_date"))
+
+    def plan(most):
+        return many.join(daily._sent(days, most), daily.DAY, "left_semi")._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(1) and "BroadcastHashJoin" not in plan(0)

@@ -109,3 +109,12 @@ def test_source_equals_parsing_of_bodies(spark, tmp_path, monkeypatch):
 
 def test_an_empty_folder(spark, tmp_path):
     assert read_records(spark, str(tmp_path)).count() == 0
+
+
+def test_a_long_list_is_read_in_one_pass(tmp_path, monkeypatch):
+    many = [{"i": i, "t": "é" * (i % 50)} for i in range(3000)]
+    (tmp_path / "x.json").write_text(json.dumps({"priceGuides": [{"no": 1}] * 99, "data": many, "z": 1}))
+    opened, original = [], snapshot_files.chunks
+    monkeypatch.setattr(snapshot_files, "chunks", lambda uri: opened.append(uri) or original(uri))
+    assert [json.loads(t) for t in records(str(tmp_path / "x.json"), 100)] == many
+    assert len(opened) == 1
