@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes read at a time.
@@ -113,6 +114,15 @@ def dealt(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
+def dealt_evenly(keys: DataFrame) -> DataFrame:
+    """Rows of few objects each, the same number of them for every task; `key` names the object.
+
+    A hash of some dozens of keys gives one task twice as many as the next.
+    """
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartitionByRange(tasks, F.xxhash64("key"))
+
+
 def write_objects(
     lines: DataFrame, root: str, envelope: Callable[[str], tuple[str, str]] | None = None
 ) -> DataFrame:
@@ -216,4 +226,4 @@ def measure_objects(keys: DataFrame, root: str, measure: Any, schema: str) -> Da
     parsed = keys.sparkSession.createDataFrame([], f"key string, {schema}").schema
     shape, kinds = to_arrow_schema(parsed), [f.name for f in parsed.fields[1:]]
     # Opening is what takes time, so keys are dealt evenly however few files they come from.
-    return dealt(keys.select("key"), "key").distinct().mapInArrow(run, parsed)
+    return dealt_evenly(keys.select("key").distinct()).mapInArrow(run, parsed)

@@ -225,6 +225,19 @@ def test_few_files_are_read_by_several_tasks(spark, tmp_path):
         assert len({r["task"] for r in tasks}) > 1
 
 
+def test_tasks_read_equally_many_files(spark, tmp_path):
+    from pricetide.sources.snapshot_files import key_records, measure_keys
+
+    keys = [f"cardmarket/catalogue/onepiece/2026/08/2026-08-{d:02}.json" for d in range(1, 29)]
+    for key in keys:
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_text('{"products": [{"idProduct": 1}]}')
+    named = spark.createDataFrame([(k,) for k in keys], "key string")
+    for read in (measure_keys(named, str(tmp_path)), key_records(named, str(tmp_path))):
+        tasks = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sorted(r["count"] for r in tasks) == [7, 7, 7, 7]
+
+
 def test_envelope_around_an_objects_lines(spark, tmp_path):
     lines = spark.createDataFrame([(k, p, f'"{p}é"') for k in ("a.json", "b.json.gz") for p in (3, 1, 2)], "key string, pos int, text string")
     written = write_objects(lines, str(tmp_path), lambda key: (f'{{"of": "{key}", "data": [', "]}"))
